@@ -136,7 +136,8 @@ class Fixtures:
                     .otherwise(F.concat(F.lit("User_"), _s(k % 300))))
         email = (F.when(k % 5 == 0, F.lit("bad.address"))
                  .otherwise(F.concat(F.lit("c"), _s(k % 700), F.lit("@example.org"))))
-        return c.select(k.alias("row_no"), username.alias("username"), email.alias("email"))
+        return c.select(k.alias("row_no"), username.alias("username"), email.alias("email"),
+                        F.col("c_mktsegment").alias("segment"))
 
     # uploaded list files: several extensions, repeated names
     def uploads_v(self) -> DataFrame:
@@ -226,7 +227,8 @@ select c_custkey as row_no,
        case c_custkey % 4 when 0 then replace(c_name, '#', '_') when 1 then 'ab' when 2 then c_name
             else concat('User_', cast(c_custkey % 300 as string)) end as username,
        case when c_custkey % 5 = 0 then 'bad.address'
-            else concat('c', cast(c_custkey % 700 as string), '@example.org') end as email
+            else concat('c', cast(c_custkey % 700 as string), '@example.org') end as email,
+       c_mktsegment as segment
 from customer"""),
     "uploads_v": ((), """
 select doc_id as seq,

@@ -339,3 +339,207 @@ from manifest_v""", "manifest_v")
 @register("c7_shape_result", with_views(SHAPED_SQL, "manifest_v", "files_v", "catalog_v", "payload_v"))
 def q_c7(spark, sf):
     return shaped_v(Fixtures(spark, sf))
+
+
+# ================================ D: catalog maintenance ============================
+
+from docfetch.operators import browse as BR  # noqa: E402
+from docfetch.operators import catalog as CA  # noqa: E402
+
+DATA_COLS = [c for c in S.CATALOG_COLUMNS if c not in ("id", "brnumber")]
+SLICE_START, SLICE_ROWS = 100, 100
+
+
+def _merge_select(new: str, old: str, flag: str) -> str:
+    return ",\n  ".join(f"case when {flag} then {new}.{c} else {old}.{c} end as {c}" for c in DATA_COLS)
+
+
+@register("d1_upsert", with_views(f"""
+select case when c.brnumber is not null then c.id
+            else (select coalesce(max(id), 0) from catalog_v) + 1 + u.row_no end as id,
+  coalesce(c.brnumber, u.brnumber) as brnumber,
+  {_merge_select('u', 'c', 'u.brnumber is not null')}
+from catalog_v c full outer join
+  (select * from ({SHAPED_SQL}) s where row_no >= {SLICE_START} and row_no < {SLICE_START + SLICE_ROWS}) u
+  on c.brnumber = u.brnumber""", "manifest_v", "files_v", "catalog_v", "payload_v"))
+def q_d1(spark, sf):
+    fx = Fixtures(spark, sf)
+    updates = P.slice_rows(shaped_v(fx), SLICE_START, SLICE_ROWS)
+    return CA.upsert(fx.catalog_v(), updates)
+
+
+@register("d2_append_rows", with_views(f"""
+select {CATALOG_COLS_SQL} from catalog_v
+union all
+select (select coalesce(max(id), 0) from catalog_v) + 1 + s.row_no as id, brnumber, {", ".join(DATA_COLS)}
+from ({SHAPED_SQL}) s where not exists (select 1 from catalog_v c where c.brnumber = s.brnumber)""",
+    "manifest_v", "files_v", "catalog_v", "payload_v"))
+def q_d2(spark, sf):
+    fx = Fixtures(spark, sf)
+    table, _ = CA.append_rows(fx.catalog_v(), shaped_v(fx))
+    return table
+
+
+D3_COLS = ["download_status", "download_message", "download_attempt_date"]
+
+
+@register("d3_update_rows", with_views(f"""
+select {", ".join(f"case when u.brnumber is not null then u.{c} else c.{c} end as {c}"
+                  if c in D3_COLS else f"c.{c}" for c in S.CATALOG_COLUMNS)}
+from catalog_v c left join ({SHAPED_SQL}) u on u.brnumber = c.brnumber""",
+    "manifest_v", "files_v", "catalog_v", "payload_v"))
+def q_d3(spark, sf):
+    fx = Fixtures(spark, sf)
+    changes = shaped_v(fx).select("row_no", "brnumber", *D3_COLS)
+    return CA.update_rows(fx.catalog_v(), changes)
+
+
+@register("d3_update_misses", with_views(f"""
+select row_no, brnumber from ({SHAPED_SQL}) u
+where not exists (select 1 from catalog_v c where c.brnumber = u.brnumber)""",
+    "manifest_v", "files_v", "catalog_v", "payload_v"))
+def q_d3m(spark, sf):
+    fx = Fixtures(spark, sf)
+    return CA.update_misses(fx.catalog_v(), shaped_v(fx).select("row_no", "brnumber"))
+
+
+@register("d4_delete_rows", with_views(f"""
+select * from catalog_v c
+where not exists (select 1 from ({DECIDED_SQL}) d where d.decision = 'failed' and d.brnumber = c.brnumber)""",
+    "manifest_v", "files_v", "catalog_v"))
+def q_d4(spark, sf):
+    fx = Fixtures(spark, sf)
+    keys = plan_v(fx).where(F.col("decision") == "failed").select("brnumber")
+    return CA.delete_rows(fx.catalog_v(), keys, key="brnumber")
+
+
+@register("d4_delete_misses", with_views(f"""
+select brnumber from ({DECIDED_SQL}) d
+where d.decision = 'failed' and not exists (select 1 from catalog_v c where c.brnumber = d.brnumber)""",
+    "manifest_v", "files_v", "catalog_v"))
+def q_d4m(spark, sf):
+    fx = Fixtures(spark, sf)
+    keys = plan_v(fx).where(F.col("decision") == "failed").select("brnumber")
+    return CA.delete_misses(fx.catalog_v(), keys, key="brnumber")
+
+
+EARLIER_SEGMENTS = ("BUILDING", "AUTOMOBILE")
+VALID_NORM_SQL = ("select row_no, lower(username) as username, email, segment from accounts_v where "
+                  + VALID_ACCOUNT_SQL)
+
+
+def _first_sql(src: str) -> str:
+    return f"""
+select row_no, username, email, segment,
+  case when row_no <> min(row_no) over (partition by username) then 'Username already exists'
+       when row_no <> min(row_no) over (partition by email) then 'Email already exists' end as reject_reason
+from ({src}) v"""
+
+
+_SEG = ", ".join(f"'{s}'" for s in EARLIER_SEGMENTS)
+_TABLE_SQL = (f"select * from ({_first_sql(VALID_NORM_SQL + f' and segment in ({_SEG})')}) t "
+              "where reject_reason is null")
+
+
+@register("d5_insert_if_absent", with_views(f"""
+select row_no, username, email from (
+  select *, min(row_no) over (partition by username) as fu, min(row_no) over (partition by email) as fe
+  from ({VALID_NORM_SQL} and segment not in ({_SEG})) r
+  where username not in (select username from ({_TABLE_SQL}) a)
+    and email not in (select email from ({_TABLE_SQL}) a)) x
+where row_no = fu and row_no = fe""", "accounts_v"))
+def q_d5(spark, sf):
+    """Accounts of two market segments were registered earlier (the table); the
+    other segments' accounts are seeded unless a user name or e-mail is taken."""
+    valid, _ = P.validate_rows(Fixtures(spark, sf).accounts_v(), C.account_rules())
+    valid = P.normalise_key(valid, "username")
+    earlier = valid.where(F.col("segment").isin(*EARLIER_SEGMENTS))
+    table, _ = P.reject_duplicates(earlier, ["username", "email"], [S.MSG_USERNAME_EXISTS, S.MSG_EMAIL_EXISTS])
+    rows = valid.where(~F.col("segment").isin(*EARLIER_SEGMENTS))
+    return CA.insert_if_absent(table, rows).select("row_no", "username", "email")
+
+
+# ================================ E: catalog queries ================================
+
+E1_FILTER = '{"download_status": "TRUE", "region": "EUROPE"}'
+
+
+@register("e1_filter_equals", with_views(
+    "select * from catalog_v where download_status = 'TRUE' and region = 'EUROPE'", "catalog_v", "manifest_v"))
+def q_e1(spark, sf):
+    return BR.filter_equals(Fixtures(spark, sf).catalog_v(), E1_FILTER)
+
+
+@register("e2_sort_by", with_views("select * from catalog_v", "catalog_v", "manifest_v"))
+def q_e2(spark, sf):
+    return BR.sort_by(Fixtures(spark, sf).catalog_v(), "publication_year", "desc")
+
+
+@register("e3_page", with_views(
+    "select * from catalog_v order by title asc nulls first, brnumber asc limit 20 offset 40",
+    "catalog_v", "manifest_v"))
+def q_e3(spark, sf):
+    return BR.page(BR.sort_by(Fixtures(spark, sf).catalog_v(), "title", "asc"), 3, 20)
+
+
+@register("e4_count_matching", with_views("""
+select count(id) as total, cast(ceil(count(id) / 10) as bigint) as total_pages
+from catalog_v where download_status = 'FALSE'""", "catalog_v", "manifest_v"))
+def q_e4(spark, sf):
+    return BR.count_matching(Fixtures(spark, sf).catalog_v(), '{"download_status": "FALSE"}', page_size=10)
+
+
+@register("e5_query_catalog", with_views("""
+select p.*, t.total_pdfs from
+  (select * from catalog_v where download_status = 'FALSE'
+   order by publication_year desc nulls last, brnumber asc limit 10 offset 10) p,
+  (select count(id) as total_pdfs from catalog_v where download_status = 'FALSE') t""",
+    "catalog_v", "manifest_v"))
+def q_e5(spark, sf):
+    return BR.query_catalog(Fixtures(spark, sf).catalog_v(), '{"download_status": "FALSE"}',
+                            "publication_year", "desc", 2, 10)
+
+
+@register("e6_lookup", with_views(f"""
+select * from catalog_v c
+where c.brnumber in (select brnumber from ({DECIDED_SQL}) d where d.decision = 'fetch')""",
+    "manifest_v", "files_v", "catalog_v"))
+def q_e6(spark, sf):
+    fx = Fixtures(spark, sf)
+    keys = plan_v(fx).where(F.col("decision") == "fetch").select("brnumber")
+    return BR.lookup(fx.catalog_v(), "brnumber", keys)
+
+
+@register("e6_lookup_misses", with_views(f"""
+select distinct brnumber from ({DECIDED_SQL}) d
+where d.decision = 'fetch' and brnumber not in (select brnumber from catalog_v)""",
+    "manifest_v", "files_v", "catalog_v"))
+def q_e6m(spark, sf):
+    fx = Fixtures(spark, sf)
+    keys = plan_v(fx).where(F.col("decision") == "fetch").select("brnumber")
+    return BR.lookup_misses(fx.catalog_v(), "brnumber", keys)
+
+
+@register("e7_resolve_delivery", with_views(f"""
+select c.brnumber,
+  'file://' || coalesce(c.file_folder, 'None') || '/' || coalesce(c.file_name, 'None') as local_uri,
+  c.pdf_url, c.pdf_backup_url,
+  case when coalesce(c.file_name, '') = '' or f.file_name is null or c.download_status <> 'TRUE' then null
+       else coalesce(c.file_folder, 'None') || '/' || coalesce(c.file_name, 'None') end as deliver_path,
+  case when coalesce(c.file_name, '') = '' then '{S.MSG_PDF_NOT_FOUND}'
+       when f.file_name is null then '{S.MSG_PDF_NOT_FOUND}'
+       when coalesce(c.download_status = 'TRUE', false) = false then '{S.MSG_PDF_NOT_DOWNLOADED}' end as reason
+from catalog_v c
+left join (select distinct 'archive' as file_folder, file_name from files_v) f
+  on f.file_folder = c.file_folder and f.file_name = c.file_name""", "catalog_v", "manifest_v", "files_v"))
+def q_e7(spark, sf):
+    fx = Fixtures(spark, sf)
+    listing = fx.files_v().select(F.lit("archive").alias("file_folder"), "file_name")
+    return BR.resolve_delivery(fx.catalog_v(), listing)
+
+
+@register("e8_public_view", with_views(
+    "select * exclude (id, file_folder, pdf_url, pdf_backup_url, file_name) from catalog_v",
+    "catalog_v", "manifest_v"))
+def q_e8(spark, sf):
+    return BR.public_view(Fixtures(spark, sf).catalog_v(), table=True)
