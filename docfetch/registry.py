@@ -543,3 +543,154 @@ def q_e7(spark, sf):
     "catalog_v", "manifest_v"))
 def q_e8(spark, sf):
     return BR.public_view(Fixtures(spark, sf).catalog_v(), table=True)
+
+
+# ================================ F: run tracking ===================================
+
+from docfetch.operators import runs as RU  # noqa: E402
+
+F1_SQL = """
+select run_id,
+  count(*) filter (where outcome = 'successful') as successful,
+  count(*) filter (where outcome = 'already_downloaded') as already_downloaded,
+  count(*) filter (where outcome = 'failed') as failed,
+  count(*) as processed_rows
+from attempts_v group by run_id"""
+
+F2_SQL = """
+select run_id, seq, finished_at, outcome,
+  cast(sum(case when outcome = 'successful' then 1 else 0 end) over w as bigint) as successful,
+  cast(sum(case when outcome = 'already_downloaded' then 1 else 0 end) over w as bigint) as already_downloaded,
+  cast(sum(case when outcome = 'failed' then 1 else 0 end) over w as bigint) as failed,
+  count(*) over w as processed_rows
+from attempts_v
+window w as (partition by run_id order by finished_at, seq rows between unbounded preceding and current row)"""
+
+PROGRESS_SQL = """
+case when num_rows <> 0 then cast(processed_rows as double) / cast(num_rows as double) * 100.0 end"""
+
+DURATION_SQL = f"""
+((epoch_us(case when status = 'running' then timestamp '{RUN_NOW}' else end_time end)
+  - epoch_us(start_time)) // 1000000)"""
+
+
+def _duration_text_sql(s: str) -> str:
+    return f"printf('%d hours, %d minutes, %d seconds', {s} // 3600, ({s} % 3600) // 60, {s} % 60)"
+
+
+ENCODE_SQL = """'{"successful": ' || successful || ', "already_downloaded": ' || already_downloaded
+  || ', "failed": ' || failed || ', "processed_rows": ' || processed_rows || '}'"""
+
+
+@register("f1_outcome_counts", with_views(F1_SQL, "attempts_v"))
+def q_f1(spark, sf):
+    return RU.outcome_counts(Fixtures(spark, sf).attempts_v())
+
+
+@register("f2_running_counts", with_views(F2_SQL, "attempts_v"))
+def q_f2(spark, sf):
+    return RU.running_counts(Fixtures(spark, sf).attempts_v())
+
+
+@register("f3_sample_progress", with_views(f"""
+select * from ({F2_SQL}) r
+qualify row_number() over (partition by run_id, epoch_us(finished_at) // 1000000
+                           order by finished_at desc, seq desc) = 1""", "attempts_v"))
+def q_f3(spark, sf):
+    return RU.sample_progress(Fixtures(spark, sf).attempts_v(), seconds=1)
+
+
+@register("f4_progress_state", with_views(f"""
+select task_id, status, processed_rows, num_rows, {PROGRESS_SQL} as progress,
+  case when status = 'running' and {PROGRESS_SQL} = 100.0 then 'finalizing' else status end as state
+from runs_v""", "runs_v"))
+def q_f4(spark, sf):
+    return RU.progress_state(Fixtures(spark, sf).runs_v()).select(
+        "task_id", "status", "processed_rows", "num_rows", "progress", "state")
+
+
+@register("f5_run_duration", with_views(f"""
+select task_id, status, {DURATION_SQL} as running_seconds,
+  {_duration_text_sql(DURATION_SQL)} as running_time
+from runs_v""", "runs_v"))
+def q_f5(spark, sf):
+    return RU.run_duration(Fixtures(spark, sf).runs_v(), RUN_NOW).select(
+        "task_id", "status", "running_seconds", "running_time")
+
+
+@register("f6_pending_manifests", with_views(f"""
+select seq, running_file,
+  case when busy or seq <> first_seq then 'refused' else 'accepted' end as decision,
+  case when busy or seq <> first_seq then '{S.MSG_TASK_RUNNING}' end as message
+from (select q.*, min(seq) over (partition by running_file) as first_seq,
+             running_file in (select running_file from runs_v where status = 'running') as busy
+      from requests_v q) x""", "requests_v", "runs_v"))
+def q_f6(spark, sf):
+    fx = Fixtures(spark, sf)
+    return RU.pending_manifests(fx.requests_v(), fx.runs_v()).select("seq", "running_file", "decision", "message")
+
+
+@register("f7_apply_cancels", with_views(f"""
+select c.seq, c.task_id,
+  case when r.task_id is null then '{S.MSG_NO_SUCH_TASK}'
+       when c.seq = min(c.seq) over (partition by c.task_id) and r.status = 'running' then '{S.MSG_TASK_CANCELLED}'
+       else '{S.MSG_TASK_FINISHED}' end as message
+from cancels_v c left join runs_v r on r.task_id = c.task_id""", "cancels_v", "runs_v"))
+def q_f7(spark, sf):
+    fx = Fixtures(spark, sf)
+    _, answered = RU.apply_cancels(fx.runs_v(), fx.cancels_v())
+    return answered.select("seq", "task_id", "message")
+
+
+@register("f7_runs_after_cancel", with_views("""
+select task_id, running_file,
+  case when status = 'running' and task_id in (select task_id from cancels_v) then 'cancelled'
+       else status end as status,
+  start_time, end_time, processed_rows, num_rows
+from runs_v""", "cancels_v", "runs_v"))
+def q_f7r(spark, sf):
+    fx = Fixtures(spark, sf)
+    after, _ = RU.apply_cancels(fx.runs_v(), fx.cancels_v())
+    return after
+
+
+@register("f8_encode_results", with_views(f"""
+select run_id, {ENCODE_SQL} as results, successful as decoded_successful,
+  already_downloaded as decoded_already_downloaded, failed as decoded_failed,
+  processed_rows as decoded_processed_rows
+from ({F1_SQL}) c""", "attempts_v"))
+def q_f8(spark, sf):
+    enc = RU.encode_results(RU.outcome_counts(Fixtures(spark, sf).attempts_v()))
+    dec = RU.decode_results(enc.select("run_id", "results"))
+    return dec.select("run_id", "results", *[F.col(f"decoded.{k}").alias(f"decoded_{k}")
+                                             for k in ("successful", "already_downloaded", "failed",
+                                                       "processed_rows")])
+
+
+@register("f9_failed_by_subtraction", with_views("""
+select a.run_id, count(*) filter (where outcome = 'successful') as successful,
+  count(*) filter (where outcome = 'already_downloaded') as already_downloaded,
+  r.num_rows,
+  r.num_rows - count(*) filter (where outcome = 'successful')
+             - count(*) filter (where outcome = 'already_downloaded') as failed
+from attempts_v a join runs_v r on r.task_id = a.run_id group by a.run_id, r.num_rows""",
+    "attempts_v", "runs_v"))
+def q_f9(spark, sf):
+    fx = Fixtures(spark, sf)
+    return RU.failed_by_subtraction(fx.attempts_v(), fx.runs_v().withColumnRenamed("task_id", "run_id"))
+
+
+@register("f10_run_report", with_views(f"""
+select r.task_id, r.status,
+  case when r.status = 'running' and {PROGRESS_SQL} = 100.0 then 'finalizing' else r.status end as state,
+  r.start_time, r.end_time, {DURATION_SQL} as running_seconds,
+  {_duration_text_sql(DURATION_SQL)} as running_time,
+  r.num_rows, r.processed_rows, {PROGRESS_SQL} as progress, r.running_file,
+  c.results
+from runs_v r left join (select run_id, {ENCODE_SQL} as results from ({F1_SQL}) f) c
+  on c.run_id = r.task_id""", "attempts_v", "runs_v"))
+def q_f10(spark, sf):
+    fx = Fixtures(spark, sf)
+    return RU.run_report(fx.runs_v(), fx.attempts_v(), RUN_NOW).select(
+        "task_id", "status", "state", "start_time", "end_time", "running_seconds", "running_time",
+        "num_rows", "processed_rows", "progress", "running_file", "results")
