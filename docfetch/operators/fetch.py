@@ -26,57 +26,58 @@ FETCH_OUT = T.StructType([
     T.StructField("outcome", T.StringType(), True),
     T.StructField("message", T.StringType(), True),
     T.StructField("bytes_written", T.LongType(), True),
+    T.StructField("finished_at", T.TimestampNTZType(), True),
 ])
 
 
-def _fetch_batches(batches, signature: bytes, dest: str | None, timeout: float,
-                   chunk: int = 1 << 20):
+def _fetch_one(url, name, signature: bytes, dest: str | None, timeout: float, chunk: int):
+    """(outcome, message, bytes written) for one URL."""
     import os
     import urllib.request
     import uuid
 
+    if url is None or (isinstance(url, float) and url != url):
+        return "failed", S.MSG_MISSING_URL, None
+    try:
+        with urllib.request.urlopen(url, timeout=timeout) as resp:
+            head = resp.read(len(signature))
+            if not head.startswith(signature):
+                return "failed", S.MSG_NOT_PDF, None
+            if dest is None:
+                return "successful", None, None
+            n = len(head)
+            final = os.path.join(dest, name)
+            tmp = os.path.join(dest, f".{name}.{uuid.uuid4().hex}.part")
+            with open(tmp, "wb") as out:
+                out.write(head)
+                while True:
+                    block = resp.read(chunk)
+                    if not block:
+                        break
+                    out.write(block)
+                    n += len(block)
+            os.replace(tmp, final)
+            return "successful", S.MSG_DOWNLOADED, n
+    except Exception as e:  # noqa: BLE001 - every failure is an outcome
+        return "failed", str(e), None
+
+
+def _fetch_batches(batches, signature: bytes, dest: str | None, timeout: float,
+                   chunk: int = 1 << 20):
+    import datetime as dt
+
     import pandas as pd
 
     for pdf in batches:
-        outcomes, messages, written = [], [], []
+        results, done = [], []
         for url, name in zip(pdf["url"], pdf["stored_name"]):
-            if url is None or (isinstance(url, float) and url != url):
-                outcomes.append("failed")
-                messages.append(S.MSG_MISSING_URL)
-                written.append(None)
-                continue
-            try:
-                with urllib.request.urlopen(url, timeout=timeout) as resp:
-                    head = resp.read(len(signature))
-                    if not head.startswith(signature):
-                        outcomes.append("failed")
-                        messages.append(S.MSG_NOT_PDF)
-                        written.append(None)
-                        continue
-                    n = len(head)
-                    if dest is not None:
-                        final = os.path.join(dest, name)
-                        tmp = os.path.join(dest, f".{name}.{uuid.uuid4().hex}.part")
-                        with open(tmp, "wb") as out:
-                            out.write(head)
-                            while True:
-                                block = resp.read(chunk)
-                                if not block:
-                                    break
-                                out.write(block)
-                                n += len(block)
-                        os.replace(tmp, final)
-                outcomes.append("successful")
-                messages.append(S.MSG_DOWNLOADED if dest is not None else None)
-                written.append(n if dest is not None else None)
-            except Exception as e:  # noqa: BLE001 - every failure is an outcome
-                outcomes.append("failed")
-                messages.append(str(e))
-                written.append(None)
+            results.append(_fetch_one(url, name, signature, dest, timeout, chunk))
+            done.append(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
         yield pd.DataFrame({
             "row_no": pdf["row_no"], "url": pdf["url"], "stored_name": pdf["stored_name"],
-            "outcome": outcomes, "message": messages,
-            "bytes_written": pd.array(written, dtype="Int64"),
+            "outcome": [r[0] for r in results], "message": [r[1] for r in results],
+            "bytes_written": pd.array([r[2] for r in results], dtype="Int64"),
+            "finished_at": pd.Series(pd.to_datetime(done), dtype="datetime64[us]"),
         })
 
 

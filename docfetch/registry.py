@@ -694,3 +694,30 @@ def q_f10(spark, sf):
     return RU.run_report(fx.runs_v(), fx.attempts_v(), RUN_NOW).select(
         "task_id", "status", "state", "start_time", "end_time", "running_seconds", "running_time",
         "num_rows", "processed_rows", "progress", "running_file", "results")
+
+
+# ================================ G: streaming ======================================
+
+@register("g2_live_counts", with_views(F1_SQL, "attempts_v"))
+def q_g2(spark, sf):
+    """The events table replayed as a stream of attempts; the live counters after
+    the stream is drained equal the batch counters (F1)."""
+    import uuid
+
+    from docfetch.session import scratch_path
+    from docfetch.streaming.ingest import live_counts
+
+    schema = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").schema
+    events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(sf))
+    et = F.col("event_type")
+    attempts = events.select(
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("ts").alias("finished_at"),
+        F.when(et.isin("click", "purchase"), "successful").when(et == "view", "already_downloaded")
+        .otherwise("failed").alias("outcome"))
+    name = f"live_counts_{uuid.uuid4().hex[:12]}"
+    q = (live_counts(attempts).writeStream.outputMode("complete").format("memory").queryName(name)
+         .option("checkpointLocation", scratch_path(spark, "live-counts"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.table(name)
