@@ -42,11 +42,16 @@ def flag_extreme_per_key(df: DataFrame, keys: Sequence[str], order: str, flag: s
 
 def keep_extreme_per_key(df: DataFrame, keys: Sequence[str], order: str,
                          last: bool = False) -> DataFrame:
-    """Rows that win ``flag_extreme_per_key`` (one per non-NULL key)."""
+    """Rows that win ``flag_extreme_per_key`` (one per non-NULL key).
+
+    One pass over ``df``: ``max_by``/``min_by`` of the whole row, aggregated
+    partially in every map task, so the input lineage is evaluated once and a
+    hot key reaches the shuffle as one row per map task."""
     keys = list(keys)
-    agg = F.max(order) if last else F.min(order)
-    winners = df.where(_all_not_null(keys)).groupBy(*keys).agg(agg.alias(order))
-    return df.join(winners, keys + [order], "left_semi")
+    pick = F.max_by if last else F.min_by
+    packed = (df.where(_all_not_null(keys)).groupBy(*keys)
+              .agg(pick(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.col(order)).alias("_w")))
+    return packed.select(*[F.col("_w").getField(c).alias(c) for c in df.columns])
 
 
 def presence_flag(df: DataFrame, other: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
