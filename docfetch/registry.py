@@ -721,3 +721,39 @@ def q_g2(spark, sf):
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.table(name)
+
+
+# ================================ A: sources and sinks ==============================
+
+from docfetch.sources import manifest as MA  # noqa: E402
+from docfetch.sources import tables as TBL  # noqa: E402
+
+
+@register("a1_read_manifest_csv", ORACLE["b2_map_columns"])
+def q_a1(spark, sf):
+    """The raw manifest written as CSV part files (header = the manifest's own
+    column names) and read back by the manifest reader, then mapped (B2)."""
+    from docfetch.session import scratch_path
+
+    path = scratch_path(spark, "manifest-csv")
+    raw = Fixtures(spark, sf).raw_manifest_v().withColumnRenamed("row_no", "Row")
+    TBL.export_csv(raw, path)
+    back = P.require_columns(MA.read_manifest_csv(spark, path))
+    mapped = P.map_columns(back.drop("row_no").withColumn("row_no", F.col("Row").cast("long")))
+    return mapped.drop("source_file")
+
+
+def _py_text_sql(c: str, dtype: str) -> str:
+    if dtype == "ts":
+        return (f"coalesce(case when date_part('microseconds', {c}) % 1000000 = 0 "
+                f"then strftime({c}, '%Y-%m-%d %H:%M:%S') else strftime({c}, '%Y-%m-%d %H:%M:%S.%f') end, 'None')")
+    return f"coalesce(cast({c} as varchar), 'None')"
+
+
+@register("a5_export_compat_lines", with_views(
+    "select concat_ws(',', " + ", ".join(
+        _py_text_sql(c, "ts" if c == "download_attempt_date" else "s") for c in S.CATALOG_COLUMNS)
+    + ") as value from catalog_v", "catalog_v", "manifest_v"))
+def q_a5(spark, sf):
+    """Catalog export lines in the original's unquoted ``str(value)`` layout."""
+    return TBL.compat_lines(Fixtures(spark, sf).catalog_v())
