@@ -2,6 +2,8 @@
 from the checkpoint, same catalog as a batch run."""
 
 import csv
+import os
+import time
 
 from docfetch import schemas as S
 from docfetch.sources.tables import read_latest
@@ -30,6 +32,9 @@ def test_ingest_stream_two_files_and_restart(spark, tmp_path):
                            ["K2", "two", "2019", "", "", "", "", "", f"{u}/zz.pdf", ""]])
     _drop(drop / "2.csv", [["K1", "changed title", "2019", "", "", "", "", "", f"{u}/a.pdf", ""],
                            ["K3", "three", "2020", "", "", "", "", "", f"{u}/b.pdf", ""]])
+    t = time.time()
+    os.utime(drop / "1.csv", (t - 20, t - 20))   # files are taken in arrival (modification) order
+    os.utime(drop / "2.csv", (t - 10, t - 10))
     q = ingest_stream(spark, str(drop), str(state), str(dest), checkpoint=str(ck), now="2024-06-01 00:00:00")
     q.awaitTermination()
     cat = {r.brnumber: r for r in read_latest(spark, str(state / "catalog")).collect()}
