@@ -52,25 +52,31 @@ def clean_filters(spec: Mapping) -> dict:
 
 
 # E1
-def filter_equals(df: DataFrame, filters: str | Mapping | None) -> DataFrame:
+def filter_equals(df: DataFrame, filters: str | Mapping | None, collation: str | None = None) -> DataFrame:
     """AND of ``column == value``. The value is cast to the column's type with
-    ``try_cast`` (a text that is no number matches nothing instead of failing)."""
+    ``try_cast`` (a text that is no number matches nothing instead of failing).
+    Text compares byte-wise (UTF8_BINARY) unless ``collation`` is given, e.g.
+    ``UTF8_LCASE`` for the case-insensitive matching some databases default to."""
     spec = parse_filters(filters)
     types = dict(df.dtypes)
     for k, v in spec.items():
         if k not in types:
             raise QueryError(f"Unknown column {k}")
         val: Column = F.lit(str(v) if not isinstance(v, str) else v)
+        col = F.col(k)
         if types[k] != "string":
             val = val.try_cast(types[k])
-        df = df.where(F.col(k) == val)
+        elif collation:
+            col, val = F.collate(col, collation), F.collate(val, collation)
+        df = df.where(col == val)
     return df
 
 
-def _sort_cols(sort_by: str | None, order: str | None, tie: str | None) -> list[Column]:
+def _sort_cols(sort_by: str | None, order: str | None, tie: str | None,
+               collation: str | None = None) -> list[Column]:
     cols: list[Column] = []
     if sort_by and sort_by != "null":
-        c = F.col(sort_by)
+        c = F.collate(F.col(sort_by), collation) if collation else F.col(sort_by)
         cols.append(c.asc_nulls_first() if order == "asc" else c.desc_nulls_last())
     if tie and tie != sort_by:
         cols.append(F.col(tie).asc_nulls_first())
@@ -79,10 +85,13 @@ def _sort_cols(sort_by: str | None, order: str | None, tie: str | None) -> list[
 
 # E2
 def sort_by(df: DataFrame, sort_by: str | None, order: str | None = "asc",
-            tie: str | None = "brnumber") -> DataFrame:
+            tie: str | None = "brnumber", collation: str | None = None) -> DataFrame:
     """``asc`` ascending (NULLs first), anything else descending (NULLs last);
-    None/"null" = no sort column. Ties always break on ``tie`` so pages are stable."""
-    cols = _sort_cols(sort_by, order, tie)
+    None/"null" = no sort column. Ties always break on ``tie`` so pages are stable.
+    ``collation`` (a text column only) orders e.g. case-insensitively."""
+    if collation and dict(df.dtypes).get(sort_by) != "string":
+        collation = None
+    cols = _sort_cols(sort_by, order, tie, collation)
     return df.orderBy(*cols) if cols else df
 
 
@@ -123,11 +132,11 @@ def query_catalog(df: DataFrame, filters: str | Mapping | None = None, sort_col:
                   order: str | None = "asc", page_no: int = 1, page_size: int = DEFAULT_PAGE_SIZE,
                   tie: str = "brnumber") -> DataFrame:
     """One page of rows with ``total_pdfs`` (the filtered count) on every row. The
-    count is a one-row aggregate, broadcast to the page."""
+    count is a scalar subquery (partial counts per task, one final sum)."""
     filtered = filter_equals(df, filters)
     rows = page(sort_by(filtered, sort_col, order, tie), page_no, page_size)
-    total = filtered.agg(F.count(F.col("id")).alias("total_pdfs"))
-    return rows.crossJoin(F.broadcast(total))
+    total = filtered.agg(F.count(F.col("id"))).scalar()
+    return rows.withColumn("total_pdfs", total)
 
 
 # E6

@@ -7,7 +7,7 @@ unique on its business key; every operator keeps it so.
 Surrogate ids of inserted rows are ``max(id) + 1 + order`` where ``order`` is
 the row's unique position in its batch (``row_no``): deterministic, above every
 existing id, no global sort and no single-partition window. The maximum is a
-one-row aggregate, the only side broadcast by hint here.
+scalar subquery (one partial + final aggregate over the ``id`` column only).
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from docfetch.operators.keys import keep_extreme_per_key, presence_flag
 from docfetch.operators.prepare import flag_duplicates
 
 
-def _max_id(table: DataFrame, id_col: str) -> DataFrame:
-    return F.broadcast(table.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long").alias("_max_id")))
+def _max_id(table: DataFrame, id_col: str):
+    """``max(id)`` (0 for an empty table) as a scalar-subquery Column."""
+    return table.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).scalar()
 
 
 def latest_per_key(updates: DataFrame, key: str, order: str) -> DataFrame:
@@ -45,13 +46,14 @@ def upsert(catalog: DataFrame, updates: DataFrame, key: str = "brnumber", order:
         key, F.col(order).cast("long").alias("_ord"),
         *[F.col(c).alias(f"_u_{c}") for c in upd_cols], F.lit(True).alias("_in_upd"))
     cat = catalog.withColumn("_in_cat", F.lit(True))
-    j = cat.join(upd, key, "full_outer").crossJoin(_max_id(catalog, id_col))
+    j = cat.join(upd, key, "full_outer")
+    max_id = _max_id(catalog, id_col)
     in_upd = F.coalesce(F.col("_in_upd"), F.lit(False))
     out = []
     for c in catalog.columns:
         if c == id_col:
             out.append(F.when(F.col("_in_cat"), F.col(id_col))
-                       .otherwise(F.col("_max_id") + 1 + F.col("_ord")).cast("long").alias(id_col))
+                       .otherwise(max_id + 1 + F.col("_ord")).cast("long").alias(id_col))
         elif c == key:
             out.append(F.col(key))
         elif c in upd_cols:
@@ -71,9 +73,7 @@ def append_rows(table: DataFrame, rows: DataFrame, keys: Sequence[str] = ("brnum
     accepted = flagged.where(F.col("reject_reason").isNull()).drop("reject_reason")
     rejected = flagged.where(F.col("reject_reason").isNotNull())
     if id_col and id_col in table.columns:
-        accepted = (accepted.crossJoin(_max_id(table, id_col))
-                    .withColumn(id_col, (F.col("_max_id") + 1 + F.col(order)).cast("long"))
-                    .drop("_max_id"))
+        accepted = accepted.withColumn(id_col, (_max_id(table, id_col) + 1 + F.col(order)).cast("long"))
     new = accepted.select(*[c for c in table.columns if c in accepted.columns])
     return table.unionByName(new, allowMissingColumns=True), rejected
 

@@ -34,6 +34,12 @@ def _done_batches(spark: SparkSession, state_root: str) -> DataFrame | None:
         return None
 
 
+def manifest_key_rules():
+    """The catalog key is NOT NULL and String(50)."""
+    from docfetch.functions.columns import max_length_rule, not_null_rule
+    return [not_null_rule("brnumber"), max_length_rule("brnumber", 50)]
+
+
 def read_dropped_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Mapped manifest rows of the given files (CSV or workbook), one layout per file."""
     csvs = [p for p in paths if p.lower().endswith(".csv")]
@@ -69,10 +75,14 @@ def ingest_stream(spark: SparkSession, in_dir: str, state_root: str, dest: str,
     """Start the stream; returns the ``StreamingQuery``.
 
     State under ``state_root``: ``catalog`` (versioned, see ``save_table``),
-    ``attempts`` (append-only log), ``batches`` (processed batch ids)."""
+    ``attempts`` (append-only log), ``rejected`` (rows failing the key rules,
+    with their errors), ``batches`` (processed batch ids)."""
     from docfetch.plans.run import run_manifest
 
-    checkpoint = checkpoint or f"{checkpoint_root(spark).rstrip('/')}/docfetch/ingest-{abs(hash(in_dir))}"
+    if checkpoint is None:  # stable across restarts: derived from the watched folder
+        import hashlib
+        digest = hashlib.sha1(in_dir.encode()).hexdigest()[:16]
+        checkpoint = f"{checkpoint_root(spark).rstrip('/')}/docfetch/ingest-{digest}"
     fetch_kwargs = dict(fetch_kwargs or {})
     names = (spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
              .option("maxFilesPerTrigger", max_files_per_trigger).load(in_dir).select("path"))
@@ -86,7 +96,9 @@ def ingest_stream(spark: SparkSession, in_dir: str, state_root: str, dest: str,
         paths = [p for p in paths if p.lower().endswith((".csv",) + M.WORKBOOK_EXTENSIONS)]
         if paths:
             manifest = batch_row_order(read_dropped_files(sp, paths))
-            valid, _rejected = P.validate_rows(manifest, [(F.col("brnumber").isNull(), "BRnum cannot be null")])
+            valid, rejected = P.validate_rows(manifest, manifest_key_rules())
+            rejected.withColumn("batch_id", F.lit(batch_id)).write.mode("append") \
+                .parquet(f"{state_root}/rejected")
             catalog = TB.read_latest(sp, f"{state_root}/catalog", S.CATALOG_SCHEMA)
             if catalog is None:
                 catalog = sp.createDataFrame([], S.CATALOG_SCHEMA)

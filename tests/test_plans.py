@@ -69,3 +69,12 @@ def test_upsert_broadcasts_only_the_one_row_maximum(spark, tmp_path):
     assert "SortMergeJoin" in plan
     import re
     assert len(re.findall(r"^\(\d+\) BroadcastExchange", plan, flags=re.M)) <= 1, plan
+
+
+def test_case_insensitive_collation_on_request(spark):
+    df = spark.createDataFrame([(1, "K1", "Europe"), (2, "K2", "EUROPE"), (3, "K3", "asia")],
+                               "id long, brnumber string, region string")
+    assert B.filter_equals(df, '{"region": "europe"}').count() == 0
+    assert B.filter_equals(df, '{"region": "europe"}', collation="UTF8_LCASE").count() == 2
+    order = [r.brnumber for r in B.sort_by(df, "region", "asc", collation="UTF8_LCASE").collect()]
+    assert order[0] == "K3"

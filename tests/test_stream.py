@@ -31,7 +31,8 @@ def test_ingest_stream_two_files_and_restart(spark, tmp_path):
     _drop(drop / "1.csv", [["K1", "first", "2019", "", "", "", "", "", f"{u}/a.pdf", ""],
                            ["K2", "two", "2019", "", "", "", "", "", f"{u}/zz.pdf", ""]])
     _drop(drop / "2.csv", [["K1", "changed title", "2019", "", "", "", "", "", f"{u}/a.pdf", ""],
-                           ["K3", "three", "2020", "", "", "", "", "", f"{u}/b.pdf", ""]])
+                           ["K3", "three", "2020", "", "", "", "", "", f"{u}/b.pdf", ""],
+                           ["", "no key", "2020", "", "", "", "", "", f"{u}/b.pdf", ""]])
     t = time.time()
     os.utime(drop / "1.csv", (t - 20, t - 20))   # files are taken in arrival (modification) order
     os.utime(drop / "2.csv", (t - 10, t - 10))
@@ -43,6 +44,8 @@ def test_ingest_stream_two_files_and_restart(spark, tmp_path):
     assert cat["K1"].download_status == "TRUE"
     assert cat["K2"].download_status == "FALSE"
     assert (dest / "b.pdf").exists()
+    rej = spark.read.parquet(str(state / "rejected")).collect()
+    assert [r.title for r in rej] == ["no key"] and rej[0].errors == ["brnumber cannot be null"]
     n_attempts = spark.read.parquet(str(state / "attempts")).count()
 
     # restart from the same checkpoint: nothing new, nothing re-run
