@@ -179,9 +179,12 @@ def failed_by_subtraction(attempts: DataFrame, nrows: DataFrame, by: str = "run_
 
 # F10
 def run_report(runs: DataFrame, attempts: DataFrame, now, key: str = "task_id", by: str = "run_id") -> DataFrame:
-    """One record per run: status (finalizing shown), times, rows, file, counters
-    as JSON. Both join sides have one row per run."""
-    counts = encode_results(outcome_counts(attempts, by)).select(
-        F.col(by).alias(key), "results", F.col("processed_rows").alias("_counted"))
+    """One record per run, any status (a cancelled run is reported too): status
+    (finalizing shown), times, rows, file, counters as JSON. A run without any
+    attempt reports zeros. Both join sides have one row per run."""
+    counts = outcome_counts(attempts, by).select(F.col(by).alias(key), *COUNTERS, "processed_rows")
     r = run_duration(progress_state(runs), now)
-    return r.join(counts, key, "left").drop("_counted")
+    j = r.join(counts.withColumnRenamed("processed_rows", "_counted"), key, "left")
+    zero = F.lit(0).cast("long")
+    results = C.encode_results(*[F.coalesce(F.col(k), zero) for k in (*COUNTERS, "_counted")])
+    return j.withColumn("results", results).drop(*COUNTERS, "_counted")
