@@ -175,3 +175,67 @@ def register_manifests(new: DataFrame, registry: DataFrame, overwrite: bool = Fa
     updated = kept.unionByName(stored.select(*[c for c in keep_cols if c in stored.columns]),
                                allowMissingColumns=True)
     return updated, decided
+
+
+def flag_duplicates_sequential(new: DataFrame, keys: Sequence[str], messages: Sequence[str],
+                               order: str = "row_no", existing: DataFrame | None = None,
+                               reason: str = "reject_reason") -> DataFrame:
+    """B5 with the semantics of inserting the rows one at a time in ``order``: a row
+    is accepted unless an *accepted* earlier row (or ``existing``) already holds
+    one of its unique keys; the reason names the first such key in ``keys`` order.
+
+    Iterative and distributed: each round accepts every undecided row that is the
+    first of its group for every key among the undecided rows (all earlier rows
+    sharing a key are decided and none was accepted, or it would have been
+    rejected), then rejects the undecided rows that share a key with a row just
+    accepted. Every round decides at least the earliest undecided row; the
+    undecided set is checkpointed each round so lineage stays short. Rows with a
+    NULL key never collide on that key.
+    """
+    from docfetch.session import checkpoint_root
+
+    keys = list(keys)
+    checkpoint_root(new.sparkSession)
+    base = new.select(order, *keys)
+    pre_taken = F.lit(False)
+    if existing is not None:
+        for i, k in enumerate(keys):
+            base = presence_flag(base, existing, [k], f"_ex_{i}")
+            pre_taken = pre_taken | F.col(f"_ex_{i}")
+    undecided = base.where(~pre_taken).select(order, *keys).checkpoint()
+    accepted_parts: list[DataFrame] = []
+    while not undecided.isEmpty():
+        flagged = undecided
+        first_all = F.lit(True)
+        for i, k in enumerate(keys):
+            flagged = flag_extreme_per_key(flagged, [k], order, f"_min_{i}")
+            first_all = first_all & F.col(f"_min_{i}")
+        winners = flagged.where(first_all).select(order, *keys).checkpoint()
+        accepted_parts.append(winners)
+        rest = undecided.join(winners.select(order), order, "left_anti")
+        hit = F.lit(False)
+        for i, k in enumerate(keys):
+            rest = presence_flag(rest, winners, [k], f"_hit_{i}")
+            hit = hit | F.col(f"_hit_{i}")
+        undecided = rest.where(~hit).select(order, *keys).checkpoint()
+
+    accepted = accepted_parts[0]
+    for part in accepted_parts[1:]:
+        accepted = accepted.unionByName(part)
+    accepted = accepted.select(order, *keys).withColumn("_accepted", F.lit(True))
+    out = new.join(accepted.select(order, "_accepted"), order, "left")
+    reason_col = F.lit(None).cast("string")
+    conds = []
+    for i, (k, msg) in enumerate(zip(keys, messages)):
+        # at most one accepted row holds each key value: its position decides
+        holder = accepted.where(F.col(k).isNotNull()).select(F.col(k), F.col(order).alias(f"_by_{i}"))
+        out = out.join(holder, k, "left")
+        taken = F.coalesce(F.col(f"_by_{i}") < F.col(order), F.lit(False))
+        if existing is not None:
+            out = presence_flag(out, existing, [k], f"_ex_{i}")
+            taken = taken | F.col(f"_ex_{i}")
+        conds.append(taken & F.col("_accepted").isNull())
+    for taken, msg in reversed(list(zip(conds, messages))):
+        reason_col = F.when(taken, F.lit(msg)).otherwise(reason_col)
+    drop = [c for c in out.columns if c.startswith(("_by_", "_ex_")) or c == "_accepted"]
+    return out.withColumn(reason, reason_col).drop(*drop)

@@ -168,6 +168,15 @@ def q_b5(spark, sf):
     return out.select("row_no", "username", "email", "reject_reason")
 
 
+@register("b5_reject_duplicates_sequential")
+def q_b5s(spark, sf):
+    """B5 as one-at-a-time inserts would decide it (iterative; no SQL oracle)."""
+    valid, _ = P.validate_rows(Fixtures(spark, sf).accounts_v(), C.account_rules())
+    valid = P.normalise_key(valid, "username")
+    out = P.flag_duplicates_sequential(valid, ["username", "email"], [S.MSG_USERNAME_EXISTS, S.MSG_EMAIL_EXISTS])
+    return out.select("row_no", "username", "email", "reject_reason")
+
+
 @register("b6_derive_file_name", with_views(f"""
 select row_no, pdf_url, {BASE_NAME_SQL.format(u='pdf_url')} as file_name,
   case when ends_with({BASE_NAME_SQL.format(u='pdf_url')}, '.pdf') then {BASE_NAME_SQL.format(u='pdf_url')}

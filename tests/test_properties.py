@@ -108,3 +108,27 @@ def test_plan_never_fetches_a_true_key(spark):
     fx = Fixtures(spark, "/root/testdata/sf0.01")
     true_keys = fx.catalog_v().where(F.col("download_status") == "TRUE").select("brnumber")
     assert plan_v(fx).where(F.col("decision") == "fetch").join(true_keys, "brnumber").count() == 0
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.sampled_from(["u1", "u2", "u3", None]), st.sampled_from(["e1", "e2", "e3"])),
+                min_size=1, max_size=14))
+def test_sequential_duplicates_match_one_at_a_time_inserts(spark, pairs):
+    rows = [(i, u, e) for i, (u, e) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "row_no long, username string, email string")
+    existing = spark.createDataFrame([("u3", "e9")], "username string, email string")
+    got = {r.row_no: r.reject_reason for r in P.flag_duplicates_sequential(
+        df, ["username", "email"], ["Username already exists", "Email already exists"],
+        existing=existing).collect()}
+    users, emails, want = {"u3"}, {"e9"}, {}
+    for i, u, e in rows:
+        if u is not None and u in users:
+            want[i] = "Username already exists"
+        elif e in emails:
+            want[i] = "Email already exists"
+        else:
+            want[i] = None
+            if u is not None:
+                users.add(u)
+            emails.add(e)
+    assert got == want
