@@ -32,13 +32,23 @@ def mark_existing_files(df: DataFrame, files: DataFrame, name_col: str = "file_n
                         flag: str = "in_folder") -> DataFrame:
     """``flag`` = the row's raw file name is in the folder listing **and** ends in
     ``.pdf`` in any case (a stored ``report.pdf`` does not cover a raw
-    ``report``: the test is on the raw name)."""
-    listing = (files.select(F.col(name_col).alias("_listed")).where(F.col("_listed").isNotNull())
+    ``report``: the test is on the raw name).
+
+    Rows whose name is NULL or empty can never match a listed file; they join on
+    a unique NUL-prefixed key (no file name contains NUL), so a mass of
+    missing URLs spreads over all partitions instead of hashing to one."""
+    listing = (files.select(F.col(name_col).alias("_listed"))
+               .where(F.col("_listed").isNotNull() & (F.col("_listed") != ""))
                .distinct().withColumn("_present", F.lit(True)))
-    out = df.join(listing, F.col(name_col) == F.col("_listed"), "left")
+    name = F.col(name_col)
+    salted = (df.withColumn("_salt", F.monotonically_increasing_id())
+              .withColumn("_jkey", F.when(name.isNull() | (name == ""),
+                                          F.concat(F.lit("\u0000"), F.col("_salt").cast("string")))
+                          .otherwise(name)))
+    out = salted.join(listing, F.col("_jkey") == F.col("_listed"), "left")
     return (out.withColumn(flag, F.coalesce(F.col("_present"), F.lit(False))
                            & F.coalesce(C.has_pdf_suffix(name_col), F.lit(False)))
-            .drop("_listed", "_present"))
+            .drop("_listed", "_present", "_salt", "_jkey"))
 
 
 # C2

@@ -338,7 +338,7 @@ def q_c6(spark, sf):
 
 ORACLE["c6_fetch_with_backup"] = with_views("""
 select row_no,
-  case when row_no % 3 = 0 and pdf_backup_url is not null then 2 else 1 end as attempts,
+  cast(case when row_no % 3 = 0 and pdf_backup_url is not null then 2 else 1 end as bigint) as attempts,
   case when row_no % 3 = 0 and pdf_backup_url is not null then 2 else 1 end as final_attempt,
   case when row_no % 3 <> 0 then 'successful'
        when pdf_backup_url is not null and row_no % 2 = 0 then 'successful' else 'failed' end as final_outcome

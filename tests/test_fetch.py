@@ -98,3 +98,12 @@ def test_upsert_is_idempotent(spark, site):
     once = spark.createDataFrame(res.catalog.collect(), S.CATALOG_SCHEMA)
     twice = upsert(once, res.updates)
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
+
+
+def test_missing_and_empty_names_never_match_the_folder(spark):
+    from docfetch.plans.fetch_plan import mark_existing_files
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else ("" if i % 3 == 1 else f"f{i}.pdf"))
+                                for i in range(30)], "row_no long, file_name string")
+    files = spark.createDataFrame([("",), ("f2.pdf",), ("f5.pdf",)], "file_name string")
+    got = {r.row_no: r.in_folder for r in mark_existing_files(df, files).collect()}
+    assert got == {i: i in (2, 5) for i in range(30)}
