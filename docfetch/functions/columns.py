@@ -41,6 +41,24 @@ def last_dot_piece(name: str | Column) -> Column:
     return F.substring_index(_c(name), ".", -1)
 
 
+def fill_template(template: str, **values: Column | str) -> Column:
+    """``template`` with each ``{name}`` replaced by a column (or text), as one
+    ``concat``. NULL values print as ``None``, as Python's f-strings do."""
+    import re
+
+    parts: list[Column] = []
+    pos = 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        if m.start() > pos:
+            parts.append(F.lit(template[pos:m.start()]))
+        v = values[m.group(1)]
+        parts.append(F.coalesce(v, F.lit("None")) if isinstance(v, Column) else F.lit(str(v)))
+        pos = m.end()
+    if pos < len(template):
+        parts.append(F.lit(template[pos:]))
+    return F.concat(*parts)
+
+
 # --- run results JSON -----------------------------------------------------------
 
 def encode_results(successful, already, failed, processed) -> Column:

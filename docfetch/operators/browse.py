@@ -33,16 +33,16 @@ def parse_filters(filters: str | Mapping | None) -> dict:
         try:
             spec = json.loads(filters)
         except json.JSONDecodeError as e:
-            raise QueryError("Invalid JSON format in filters") from e
+            raise QueryError(S.MSG_BAD_FILTER_JSON) from e
     else:
         spec = dict(filters)
     if not isinstance(spec, dict):
-        raise QueryError("Invalid JSON format in filters")
+        raise QueryError(S.MSG_BAD_FILTER_JSON)
     for k, v in spec.items():
         if k is None or k == "null":
-            raise QueryError("Filter key cannot be None")
+            raise QueryError(S.MSG_NULL_FILTER_KEY)
         if v is None:
-            raise QueryError(f"Filter value for {k} cannot be None")
+            raise QueryError(S.MSG_NULL_FILTER_VALUE.format(key=k))
     return spec
 
 
@@ -98,7 +98,7 @@ def sort_by(df: DataFrame, sort_by: str | None, order: str | None = "asc",
 # E3
 def page(df: DataFrame, page_no: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
     if page_no < 1:
-        raise QueryError("Page number must be at least 1")
+        raise QueryError(S.MSG_BAD_PAGE)
     return df.offset((page_no - 1) * page_size).limit(page_size)
 
 

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docfetch import schemas as S
 from docfetch.operators.keys import keep_extreme_per_key, presence_flag
 from docfetch.operators.prepare import flag_duplicates
 
@@ -68,7 +69,7 @@ def append_rows(table: DataFrame, rows: DataFrame, keys: Sequence[str] = ("brnum
                 order: str = "row_no", id_col: str | None = "id") -> tuple[DataFrame, DataFrame]:
     """Insert rows whose unique keys are free (in the table and earlier in the
     batch). Returns (table after insert, rejected rows with ``reject_reason``)."""
-    msgs = [f"A row with the same {k} already exists." for k in keys]
+    msgs = [S.MSG_UNIQUE_TAKEN for _ in keys]
     flagged = flag_duplicates(rows, list(keys), msgs, order, existing=table)
     accepted = flagged.where(F.col("reject_reason").isNull()).drop("reject_reason")
     rejected = flagged.where(F.col("reject_reason").isNotNull())

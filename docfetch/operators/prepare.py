@@ -159,11 +159,10 @@ def register_manifests(new: DataFrame, registry: DataFrame, overwrite: bool = Fa
                 .when(~F.col("_first"), F.lit("superseded" if overwrite else "refused"))
                 .when(F.col("_stored") & F.lit(not overwrite), F.lit("refused"))
                 .otherwise(F.lit("stored")))
-    message = (F.when(~F.col("supported"), F.lit("Invalid file type. Only Excel files are allowed."))
-               .when(~F.col("_first") & F.lit(not overwrite),
-                     F.format_string("File %s already exists.", F.col(name_col)))
-               .when(F.col("_stored") & F.lit(not overwrite),
-                     F.format_string("File %s already exists.", F.col(name_col))))
+    exists_msg = F.format_string(S.MSG_FILE_EXISTS.replace("{name}", "%s"), F.col(name_col))
+    message = (F.when(~F.col("supported"), F.lit(S.MSG_INVALID_UPLOAD))
+               .when(~F.col("_first") & F.lit(not overwrite), exists_msg)
+               .when(F.col("_stored") & F.lit(not overwrite), exists_msg))
     decided = (flagged.withColumn("decision", decision).withColumn("message", message)
                .drop("_first", "_stored", "extension", "supported"))
     stored = decided.where(F.col("decision") == "stored").drop("decision", "message")

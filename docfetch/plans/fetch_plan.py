@@ -82,10 +82,8 @@ def plan_fetch(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest:
                 .when(in_cat, F.lit("already_downloaded"))
                 .when(missing, F.lit("failed"))
                 .otherwise(F.lit("fetch")))
-    cat_msg = F.concat(F.lit("Download_status for "), F.coalesce(F.col("brnumber"), F.lit("None")),
-                       F.lit(" was already TRUE, should be found in folder: "),
-                       F.coalesce(F.col("catalog_folder"), F.lit("None")),
-                       F.lit(f", wont attempt download to folder: {dest}"))
+    cat_msg = C.fill_template(S.MSG_ALREADY_TRUE, brnumber=F.col("brnumber"),
+                              folder=F.col("catalog_folder"), dest=dest)
     message = (F.when(in_folder, F.lit(S.MSG_EXISTS_IN_FOLDER))
                .when(in_cat, cat_msg)
                .when(missing, F.lit(S.MSG_MISSING_URL)))

@@ -53,6 +53,15 @@ MSG_TASK_RUNNING = "Task already running"
 MSG_PDF_NOT_FOUND = "PDF file not found"
 MSG_PDF_NOT_DOWNLOADED = "PDF file not downloaded"
 
+MSG_INVALID_UPLOAD = "Invalid file type. Only Excel files are allowed."
+MSG_FILE_EXISTS = "File {name} already exists."
+MSG_UNIQUE_TAKEN = "A row with the same unique field value already exists."
+
+MSG_BAD_PAGE = "Page number must be at least 1"
+MSG_BAD_FILTER_JSON = "Invalid JSON format in filters"
+MSG_NULL_FILTER_KEY = "Filter key cannot be None"
+MSG_NULL_FILTER_VALUE = "Filter value for {key} cannot be None"
+
 # run extensions (with dot, as os.path.splitext gives them); upload extensions
 RUN_EXTENSIONS = (".csv", ".xlsx", ".xlsm", ".xltx", ".xltm")
 UPLOAD_EXTENSIONS = ("xlsx", "xls")

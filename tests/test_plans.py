@@ -78,3 +78,20 @@ def test_case_insensitive_collation_on_request(spark):
     assert B.filter_equals(df, '{"region": "europe"}', collation="UTF8_LCASE").count() == 2
     order = [r.brnumber for r in B.sort_by(df, "region", "asc", collation="UTF8_LCASE").collect()]
     assert order[0] == "K3"
+
+
+def test_filter_spec_errors():
+    import pytest
+    with pytest.raises(B.QueryError, match="Invalid JSON"):
+        B.parse_filters("{bad")
+    with pytest.raises(B.QueryError, match="key cannot be None"):
+        B.parse_filters('{"null": "x"}')
+    with pytest.raises(B.QueryError, match="Filter value for region cannot be None"):
+        B.parse_filters('{"region": null}')
+    assert B.clean_filters({"region": "", "country": "NO"}) == {"country": "NO"}
+
+
+def test_page_number_must_be_positive(spark):
+    import pytest
+    with pytest.raises(B.QueryError, match="at least 1"):
+        B.page(spark.range(3), 0, 10)
