@@ -133,12 +133,18 @@ def _workbook_rows(content: bytes, batch_rows: int = 10000):
         except ValueError:
             return txt
 
+    # Positions follow the sheet's row numbers (attribute ``r``, 1-based): the
+    # header is row 1 and data row ``r`` is ``row_no = r - 2``, so a slice means
+    # the same sheet rows even when blank rows are missing from the XML.
     headers: list | None = None
     out: list = []
-    next_pos = 0
+    seq = 0
     for _, el in ET.iterparse(zf.open(sheet_path)):
         if el.tag != ns + "row":
             continue
+        seq += 1
+        r_attr = el.get("r")
+        sheet_row = int(r_attr) if r_attr else seq
         values: dict[int, str | None] = {}
         for pos, c in enumerate(el.findall(ns + "c")):
             ref = c.get("r")
@@ -146,16 +152,17 @@ def _workbook_rows(content: bytes, batch_rows: int = 10000):
         width = (max(values) + 1) if values else 0
         row = [values.get(i) for i in range(width)]
         el.clear()
-        if headers is None:
+        if sheet_row == 1:
             headers = row
             continue
+        if headers is None:
+            headers = []
         cells = {}
         for i, h in enumerate(headers):
             if h is None:
                 continue
             cells[str(h)] = row[i] if i < len(row) else None
-        out.append((next_pos, cells))
-        next_pos += 1
+        out.append((sheet_row - 2, cells))
         if len(out) >= batch_rows:
             yield out
             out = []

@@ -57,10 +57,10 @@ def read_dropped_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def batch_row_order(df: DataFrame) -> DataFrame:
     """Make ``row_no`` unique across the files of one batch: files are ranked by
-    path (a table of one row per file) and rows numbered after the rows of the
-    files before them."""
+    path (a table of one row per file) and each file's positions are shifted past
+    the largest position of the files before it (positions may have gaps)."""
     from pyspark.sql import Window
-    per_file = df.groupBy("source_file").agg(F.count(F.lit(1)).alias("_n"))
+    per_file = df.groupBy("source_file").agg((F.max("row_no") + 1).alias("_n"))
     w = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_file.select("source_file", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     return (df.join(F.broadcast(offs), "source_file")

@@ -100,6 +100,8 @@ def _xlsx(path, sheets, active=0):
     for rows in sheets:
         body = []
         for i, row in enumerate(rows, start=1):
+            if row is None:      # a blank sheet row: absent from the XML
+                continue
             cells = "".join(cell(f"{chr(65 + j)}{i}", v) for j, v in enumerate(row))
             body.append(f'<row r="{i}">{cells}</row>')
         sheet_xml.append(f'<?xml version="1.0"?><worksheet {ns}><sheetData>{"".join(body)}</sheetData></worksheet>')
@@ -124,6 +126,7 @@ def test_xlsx_reader(spark, tmp_path):
     d.mkdir()
     _xlsx(d / "a.xlsx", [[["BRnum", "Title", "Publication Year", "Pdf_URL"],
                           ["BR1", "inline:First", 2019, "http://h/1.pdf"],
+                          None,
                           ["BR2", None, 2020.5, "http://h/2.pdf"]],
                          [["BRnum"], ["IGNORED"]]])
     _xlsx(d / "b.xlsm", [[["other"], ["x"]], [["BRnum", "Pdf_URL"], ["BR9", "http://h/9.pdf"]]], active=1)
@@ -136,6 +139,7 @@ def test_xlsx_reader(spark, tmp_path):
     assert m["BR2"]["title"] is None and m["BR2"]["publication_year"] == "2020.5"   # Q2: empty cell NULL
     assert m["BR1"]["region"] == ""                                                # absent header -> ''
     assert m["BR9"]["pdf_url"] == "http://h/9.pdf" and m["BR9"]["row_no"] == 0     # active sheet only
+    assert m["BR1"]["row_no"] == 0 and m["BR2"]["row_no"] == 2                     # sheet row numbers
 
 
 def test_list_stored_files(spark, tmp_path):

@@ -53,10 +53,14 @@ def test_ingest_stream_two_files_and_restart(spark, tmp_path):
     q.awaitTermination()
     assert spark.read.parquet(str(state / "attempts")).count() == n_attempts
 
-    # a third file arrives later
+    # a CSV and a workbook arrive later
     _drop(drop / "3.csv", [["K4", "four", "2021", "", "", "", "", "", f"{u}/a.pdf", ""]])
+    from test_io import _xlsx
+    _xlsx(drop / "4.xlsx", [[["BRnum", "Title", "Pdf_URL"], ["K5", "five", f"{u}/b.pdf"]]])
+    os.utime(drop / "4.xlsx", (t + 10, t + 10))
     q = ingest_stream(spark, str(drop), str(state), str(dest), checkpoint=str(ck), now="2024-06-03 00:00:00")
     q.awaitTermination()
     cat = {r.brnumber: r for r in read_latest(spark, str(state / "catalog")).collect()}
-    assert set(cat) == {"K1", "K2", "K3", "K4"}
+    assert set(cat) == {"K1", "K2", "K3", "K4", "K5"}
     assert cat["K4"].download_message == S.MSG_EXISTS_IN_FOLDER
+    assert cat["K5"].title == "five" and cat["K5"].region == "" and cat["K5"].download_status == "TRUE"
