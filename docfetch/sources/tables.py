@@ -25,7 +25,11 @@ def list_stored_files(spark: SparkSession, folder: str, recursive: bool = False)
     """Regular files of ``folder`` as ``path, file_folder, file_name, length,
     modificationTime``. The ``content`` column is never selected, so no file is
     read. Names starting with ``.`` or ``_`` are hidden by Spark's file listing
-    (the fetcher's temporary ``.part`` files rely on that)."""
+    (the fetcher's temporary ``.part`` files rely on that).
+
+    ``file_folder`` is ``folder`` exactly as given (the form the catalog stores
+    after a run into that folder); with ``recursive`` it is each file's parent
+    path, without a ``file:`` scheme."""
     try:
         df = (spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
               .load(folder).select("path", "length", "modificationTime"))
@@ -34,7 +38,10 @@ def list_stored_files(spark: SparkSession, folder: str, recursive: bool = False)
             return spark.createDataFrame([], LISTING_SCHEMA)
         raise
     name = F.substring_index("path", "/", -1)
-    parent = F.regexp_replace("path", "/[^/]*$", "")
+    if recursive:
+        parent = F.regexp_replace(F.regexp_replace("path", "/[^/]*$", ""), "^file:", "")
+    else:
+        parent = F.lit(folder.rstrip("/") or "/")
     return df.select("path", parent.alias("file_folder"), name.alias("file_name"),
                      "length", "modificationTime")
 

@@ -75,6 +75,14 @@ def test_run_manifest_end_to_end(spark, site):
     assert totals.successful + totals.already_downloaded + totals.failed == totals.processed_rows == 6
     assert res.catalog.count() == 6 and res.catalog.select("brnumber").distinct().count() == 6
 
+    # E7 over the real folder listing: stored TRUE rows are deliverable, the failed one is not
+    from docfetch.operators.browse import resolve_delivery
+    from docfetch.sources.tables import list_stored_files as _ls
+    deliver = {r.brnumber: r for r in resolve_delivery(res.catalog, _ls(spark, str(dest))).collect()}
+    assert deliver["BR0"].deliver_path == f"{dest}/ok.pdf" and deliver["BR0"].reason is None
+    assert deliver["BR1"].deliver_path == f"{dest}/UP.PDF.pdf"
+    assert deliver["BR4"].deliver_path is None and deliver["BR4"].reason == S.MSG_PDF_NOT_FOUND
+
     # re-run with the folder listing and the new catalog: nothing is fetched again
     from docfetch.sources.tables import list_stored_files
     cat = spark.createDataFrame(res.catalog.collect(), S.CATALOG_SCHEMA)
