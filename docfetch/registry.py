@@ -766,3 +766,15 @@ def _py_text_sql(c: str, dtype: str) -> str:
 def q_a5(spark, sf):
     """Catalog export lines in the original's unquoted ``str(value)`` layout."""
     return TBL.compat_lines(Fixtures(spark, sf).catalog_v())
+
+
+@register("a7_save_and_read_catalog", with_views("select * from catalog_v", "catalog_v", "manifest_v"))
+def q_a7(spark, sf):
+    """The catalog written as a new version (hash-partitioned and sorted on the
+    key) under the shared checkpoint folder and read back as the latest version
+    with the catalog schema (A7 + A4)."""
+    from docfetch.session import scratch_path
+
+    root = scratch_path(spark, "catalog-table")
+    TBL.save_table(Fixtures(spark, sf).catalog_v(), root, bucket_by="brnumber")
+    return TBL.read_catalog(spark, TBL.latest_version(spark, root))
