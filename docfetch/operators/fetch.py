@@ -94,18 +94,28 @@ def _fetch_batches(batches, signature: bytes, dest: str | None, timeout: float,
 def fetch_documents(rows: DataFrame, url_col: str = "pdf_url", dest: str | None = None,
                     signature: bytes = S.PDF_SIGNATURE, timeout: float = 10.0,
                     num_partitions: int | None = None, name_col: str = "stored_name",
-                    concurrency: int = 8) -> DataFrame:
+                    concurrency: int = 8, host_slots: int | None = None) -> DataFrame:
     """Open each row's URL, test the first bytes against ``signature``, and (when
     ``dest`` is given) store the body as ``dest/<stored_name>``. ``dest=None``
     only probes. Returns ``row_no, url, stored_name, outcome, message,
     bytes_written, finished_at``; every error is a ``failed`` outcome with its text.
 
     Open connections = ``num_partitions`` running tasks x ``concurrency`` threads
-    per task (downloads wait on the network, not the CPU)."""
+    per task (downloads wait on the network, not the CPU).
+
+    ``host_slots`` bounds the load on any one server: rows are partitioned on
+    (URL host, hash(row_no) mod ``host_slots``), so one host's URLs go to at most
+    ``host_slots`` tasks (at most ``host_slots x concurrency`` connections) while
+    a host holding many URLs is still spread over that many tasks."""
     src = rows.select(F.col("row_no").cast("long").alias("row_no"),
                       F.col(url_col).alias("url"), F.col(name_col).alias("stored_name"))
     n = num_partitions or rows.sparkSession.sparkContext.defaultParallelism
-    src = src.repartition(n, "row_no")
+    if host_slots:
+        host = F.coalesce(F.try_parse_url(F.col("url"), F.lit("HOST")), F.lit(""))
+        slot = F.pmod(F.xxhash64("row_no"), F.lit(int(host_slots)))
+        src = src.repartition(n, host, slot)
+    else:
+        src = src.repartition(n, "row_no")
     sig, d, to, cc = bytes(signature), dest, float(timeout), int(concurrency)
     if d is not None:
         from docfetch.session import to_local_path
@@ -147,7 +157,7 @@ def last_attempt_per_row(attempts: DataFrame, key: str = "row_no", attempt: str
 def fetch_with_backup(rows: DataFrame, primary: str = "pdf_url", backup: str = "pdf_backup_url",
                       dest: str | None = None, signature: bytes = S.PDF_SIGNATURE,
                       timeout: float = 10.0, num_partitions: int | None = None,
-                      persist=None) -> DataFrame:
+                      persist=None, concurrency: int = 8, host_slots: int | None = None) -> DataFrame:
     """Pass 1 on ``primary``; rows that failed are tried on ``backup`` (stored under
     the backup URL's own name); all attempts are returned with ``attempt`` 1/2.
 
@@ -160,12 +170,14 @@ def fetch_with_backup(rows: DataFrame, primary: str = "pdf_url", backup: str = "
     persist = persist or persist_attempts
     keyed = rows.select("row_no", primary, backup,
                         stored_name(base_name(primary)).alias("stored_name"))
-    first = persist(fetch_documents(keyed, primary, dest, signature, timeout, num_partitions)
+    first = persist(fetch_documents(keyed, primary, dest, signature, timeout, num_partitions,
+                                    concurrency=concurrency, host_slots=host_slots)
                     .withColumn("attempt", F.lit(1)))
     retry = (keyed.join(first.where(F.col("outcome") == "failed").select("row_no"), "row_no", "left_semi")
              .where(F.col(backup).isNotNull())
              .withColumn("stored_name", stored_name(base_name(backup))))
-    second = (fetch_documents(retry, backup, dest, signature, timeout, num_partitions)
+    second = (fetch_documents(retry, backup, dest, signature, timeout, num_partitions,
+                              concurrency=concurrency, host_slots=host_slots)
               .withColumn("attempt", F.lit(2)))
     return first.unionByName(persist(second))
 

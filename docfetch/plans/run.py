@@ -42,10 +42,18 @@ class RunResult:
 
 def run_manifest(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest: str, now, run_id: int = 0,
                  signature: bytes = S.PDF_SIGNATURE, timeout: float = 10.0,
-                 num_partitions: int | None = None, persist=None, use_backup: bool = True) -> RunResult:
+                 num_partitions: int | None = None, persist=None, use_backup: bool = True,
+                 concurrency: int = 8, host_slots: int | None = None) -> RunResult:
     """``manifest``: mapped manifest rows (B2) with a unique ``row_no``;
-    ``files``: listing of ``dest`` (``file_name``); ``catalog``: current catalog."""
+    ``files``: listing of ``dest`` (``file_name``); ``catalog``: current catalog.
+    ``num_partitions``, ``concurrency`` and ``host_slots`` shape the fetch (see
+    ``fetch_documents``)."""
     persist = persist or FE.persist_attempts
+
+    def fetch(rows, url_col):
+        return FE.fetch_documents(rows, url_col, dest, signature, timeout, num_partitions,
+                                  concurrency=concurrency, host_slots=host_slots)
+
     now_col = FP._now_literal(now)
     plan = persist(FP.plan_fetch(manifest, files, catalog, dest))
 
@@ -60,7 +68,7 @@ def run_manifest(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest
     wave1 = fetch_rows.where(F.col("_first") | ~exact_pdf)
     wave2 = fetch_rows.where(~F.col("_first") & exact_pdf)
 
-    a1 = persist(FE.fetch_documents(wave1, "pdf_url", dest, signature, timeout, num_partitions)
+    a1 = persist(fetch(wave1, "pdf_url")
                  .withColumn("attempt", F.lit(1)).withColumn("file_folder", F.lit(dest)))
     stored = (a1.where(F.col("outcome") == "successful").select("stored_name").distinct()
               .withColumn("_stored", F.lit(True)))
@@ -69,8 +77,7 @@ def run_manifest(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest
                .select("row_no", F.lit(1).alias("attempt"), F.col("pdf_url").alias("url"), "stored_name",
                        F.lit(dest).alias("file_folder"), F.lit("already_downloaded").alias("outcome"),
                        F.lit(S.MSG_EXISTS_IN_FOLDER).alias("message"), now_col.alias("finished_at")))
-    a2 = persist(FE.fetch_documents(w2.where(F.col("_stored").isNull()), "pdf_url", dest, signature, timeout,
-                                    num_partitions)
+    a2 = persist(fetch(w2.where(F.col("_stored").isNull()), "pdf_url")
                  .withColumn("attempt", F.lit(1)).withColumn("file_folder", F.lit(dest)))
 
     first = (decided.unionByName(a1.select(*ATTEMPT_COLS)).unionByName(w2_done)
@@ -87,8 +94,7 @@ def run_manifest(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest
                           F.col("file_name").alias("stored_name"), F.lit(dest).alias("file_folder"),
                           F.lit("already_downloaded").alias("outcome"), F.lit(S.MSG_EXISTS_IN_FOLDER).alias("message"),
                           now_col.alias("finished_at")))
-        b = persist(FE.fetch_documents(retry.where(~F.col("in_folder")), "pdf_backup_url", dest, signature,
-                                       timeout, num_partitions)
+        b = persist(fetch(retry.where(~F.col("in_folder")), "pdf_backup_url")
                     .withColumn("attempt", F.lit(2)).withColumn("file_folder", F.lit(dest)))
         attempts = first.unionByName(b_done).unionByName(b.select(*ATTEMPT_COLS))
 

@@ -115,3 +115,16 @@ def test_missing_and_empty_names_never_match_the_folder(spark):
     files = spark.createDataFrame([("",), ("f2.pdf",), ("f5.pdf",)], "file_name string")
     got = {r.row_no: r.in_folder for r in mark_existing_files(df, files).collect()}
     assert got == {i: i in (2, 5) for i in range(30)}
+
+
+def test_host_slots_bound_tasks_per_host(spark, site):
+    src, _ = site
+    rows = spark.createDataFrame([(i, f"file://{src}/ok.pdf" if i % 2 else f"http://one.example/{i}.pdf", f"{i}.pdf")
+                                  for i in range(40)], "row_no long, pdf_url string, stored_name string")
+    out = FE.fetch_documents(rows, host_slots=2, num_partitions=8, timeout=0.01)
+    from pyspark.sql import functions as F
+    per_host = (out.withColumn("pid", F.spark_partition_id())
+                .withColumn("host", F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
+                .groupBy("host").agg(F.countDistinct("pid").alias("tasks")).collect())
+    assert all(r.tasks <= 2 for r in per_host) and out.count() == 40
+    assert out.where("url like 'file:%'").where("outcome = 'successful'").count() == 20
