@@ -195,11 +195,16 @@ def read_manifest_xlsx(spark: SparkSession, path: str, glob: str | None = None)
 
 
 def expand_cells(df: DataFrame, mapping=S.MANIFEST_COLUMN_MAP, default: str | None = "",
-                 keep: Sequence[str] = ("source_file", "row_no")) -> DataFrame:
+                 keep: Sequence[str] = ("source_file", "row_no"),
+                 required: Sequence[str] | None = None) -> DataFrame:
     """B2 for workbook rows: header present in that workbook -> its cell (NULL
-    when empty), header absent -> ``default``."""
+    when empty), header absent -> ``default``. With ``required``, also
+    ``missing_columns``: the required headers that row's workbook lacks."""
     cols = [F.col(k) for k in keep if k in df.columns]
     for src, dst in mapping.items():
         cols.append(F.when(F.map_contains_key("cells", F.lit(src)), F.try_element_at("cells", F.lit(src)))
                     .otherwise(F.lit(default)).alias(dst))
+    if required:
+        checks = [F.when(~F.map_contains_key("cells", F.lit(h)), F.lit(h)) for h in required]
+        cols.append(F.array_compact(F.array(*checks)).alias("missing_columns"))
     return df.select(*cols)

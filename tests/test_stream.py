@@ -58,9 +58,17 @@ def test_ingest_stream_two_files_and_restart(spark, tmp_path):
     from test_io import _xlsx
     _xlsx(drop / "4.xlsx", [[["BRnum", "Title", "Pdf_URL"], ["K5", "five", f"{u}/b.pdf"]]])
     os.utime(drop / "4.xlsx", (t + 10, t + 10))
+    with open(drop / "5.csv", "w") as f:                   # Q12: no BRnum column - rejected, stream goes on
+        f.write("Title,pdf_url\nx,http://h/x.pdf\n")
+    os.utime(drop / "5.csv", (t + 20, t + 20))
+    _xlsx(drop / "6.xlsx", [[["Title", "Pdf_URL"], ["no key column", f"{u}/b.pdf"]]])
+    os.utime(drop / "6.xlsx", (t + 30, t + 30))
     q = ingest_stream(spark, str(drop), str(state), str(dest), checkpoint=str(ck), now="2024-06-03 00:00:00")
     q.awaitTermination()
     cat = {r.brnumber: r for r in read_latest(spark, str(state / "catalog")).collect()}
     assert set(cat) == {"K1", "K2", "K3", "K4", "K5"}
     assert cat["K4"].download_message == S.MSG_EXISTS_IN_FOLDER
     assert cat["K5"].title == "five" and cat["K5"].region == "" and cat["K5"].download_status == "TRUE"
+    rej = spark.read.parquet(str(state / "rejected"))
+    lacking = [r for r in rej.collect() if r.errors and r.errors[0].startswith("manifest lacks")]
+    assert sorted(r.title for r in lacking) == ["no key column", "x"]
