@@ -20,6 +20,10 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # a join side is broadcast only when its size estimate (an upper bound for
+    # scans; AQE re-checks the measured size) is under this; folder listings of
+    # a run, per-run tables and small dimensions fall under it, catalogs do not
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.speculation": "false",
