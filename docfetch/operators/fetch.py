@@ -189,4 +189,4 @@ def persist_attempts(df: DataFrame) -> DataFrame:
 
     path = scratch_path(df.sparkSession, "attempts")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -218,8 +218,9 @@ def flag_duplicates_sequential(new: DataFrame, keys: Sequence[str], messages: Se
             hit = hit | F.col(f"_hit_{i}")
         undecided = rest.where(~hit).select(order, *keys).checkpoint()
 
-    accepted = accepted_parts[0]
-    for part in accepted_parts[1:]:
+    key_schema = new.select(order, *keys).schema
+    accepted = new.sparkSession.createDataFrame([], key_schema)
+    for part in accepted_parts:
         accepted = accepted.unionByName(part)
     accepted = accepted.select(order, *keys).withColumn("_accepted", F.lit(True))
     out = new.join(accepted.select(order, "_accepted"), order, "left")

@@ -716,7 +716,8 @@ def q_g2(spark, sf):
     from docfetch.session import scratch_path
     from docfetch.streaming.ingest import live_counts
 
-    schema = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").schema
+    from docfetch.fixtures import read_table
+    schema = read_table(spark, sf, "events").schema
     events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
               .option("maxFilesPerTrigger", 1).parquet(sf))
     et = F.col("event_type")

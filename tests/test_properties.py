@@ -132,3 +132,10 @@ def test_sequential_duplicates_match_one_at_a_time_inserts(spark, pairs):
                 users.add(u)
             emails.add(e)
     assert got == want
+
+
+def test_sequential_duplicates_all_taken_by_existing(spark):
+    df = spark.createDataFrame([(0, "u3", "e1")], "row_no long, username string, email string")
+    existing = spark.createDataFrame([("u3", "e9")], "username string, email string")
+    out = P.flag_duplicates_sequential(df, ["username", "email"], ["U", "E"], existing=existing).collect()
+    assert [(r.row_no, r.reject_reason) for r in out] == [(0, "U")]
