@@ -139,3 +139,29 @@ def test_sequential_duplicates_all_taken_by_existing(spark):
     existing = spark.createDataFrame([("u3", "e9")], "username string, email string")
     out = P.flag_duplicates_sequential(df, ["username", "email"], ["U", "E"], existing=existing).collect()
     assert [(r.row_no, r.reject_reason) for r in out] == [(0, "U")]
+
+
+@settings(**SETTINGS)
+@given(st.integers(min_value=1, max_value=6), st.sampled_from(["asc", "desc"]))
+def test_keyset_pages_equal_offset_pages(spark, size, order):
+    rows = [(i, f"BR{i:03d}", str(2017 + i % 4)) for i in range(21)]
+    df = spark.createDataFrame(rows, "id long, brnumber string, publication_year string")
+    by_offset = []
+    p = 1
+    while True:
+        got = [(r.publication_year, r.brnumber) for r in
+               B.page(B.sort_by(df, "publication_year", order), p, size).collect()]
+        if not got:
+            break
+        by_offset += got
+        p += 1
+    by_key = [(r.publication_year, r.brnumber) for r in
+              B.sort_by(df, "publication_year", order).limit(size).collect()]
+    while True:
+        last_v, last_k = by_key[-1]
+        got = [(r.publication_year, r.brnumber) for r in
+               B.page_after(df, "publication_year", last_v, last_k, size, order).collect()]
+        if not got:
+            break
+        by_key += got
+    assert by_key == by_offset and len(by_key) == 21
