@@ -154,12 +154,15 @@ def lookup_misses(df: DataFrame, key_col: str, keys: DataFrame) -> DataFrame:
 
 
 # E7
-def resolve_delivery(catalog: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_delivery(catalog: DataFrame, files: DataFrame, mode: str | None = None) -> DataFrame:
     """Per catalog row, all three answers of the document endpoint:
     ``local_uri`` (``file://folder/name``), the two ``link`` URLs, and for
     ``download`` either a ``deliver_path`` or the ``reason`` it cannot be
     delivered - no file name, file absent, status not TRUE, checked in that
-    order. ``files`` lists stored files as (file_folder, file_name)."""
+    order. ``files`` lists stored files as (file_folder, file_name).
+    ``mode`` (``local`` / ``link`` / ``download``) keeps only that answer."""
+    if mode is not None and mode not in S.DELIVERY_MODES:
+        raise QueryError(S.MSG_BAD_RESPONSE_TYPE)
     listing = (files.select("file_folder", "file_name").distinct()
                .withColumn("_on_disk", F.lit(True)))
     j = catalog.join(listing, ["file_folder", "file_name"], "left")
@@ -170,12 +173,15 @@ def resolve_delivery(catalog: DataFrame, files: DataFrame) -> DataFrame:
     not_true = ~F.coalesce(F.col("download_status") == S.STATUS_TRUE, F.lit(False))
     reason = (F.when(no_name, F.lit(S.MSG_PDF_NOT_FOUND)).when(absent, F.lit(S.MSG_PDF_NOT_FOUND))
               .when(not_true, F.lit(S.MSG_PDF_NOT_DOWNLOADED)))
-    return j.select(
+    out = j.select(
         "brnumber",
         F.concat(F.lit("file://"), path).alias("local_uri"),
         "pdf_url", "pdf_backup_url",
         F.when(reason.isNull(), path).alias("deliver_path"),
         reason.alias("reason"))
+    pick = {"local": ["local_uri"], "link": ["pdf_url", "pdf_backup_url"],
+            "download": ["deliver_path", "reason"]}
+    return out if mode is None else out.select("brnumber", *pick[mode])
 
 
 # E8

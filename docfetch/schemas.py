@@ -52,6 +52,8 @@ MSG_TASK_RUNNING = "Task already running"
 
 MSG_PDF_NOT_FOUND = "PDF file not found"
 MSG_PDF_NOT_DOWNLOADED = "PDF file not downloaded"
+MSG_BAD_RESPONSE_TYPE = "Invalid response_type"
+DELIVERY_MODES = ("local", "link", "download")
 
 MSG_INVALID_UPLOAD = "Invalid file type. Only Excel files are allowed."
 MSG_FILE_EXISTS = "File {name} already exists."

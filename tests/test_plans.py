@@ -95,3 +95,16 @@ def test_page_number_must_be_positive(spark):
     import pytest
     with pytest.raises(B.QueryError, match="at least 1"):
         B.page(spark.range(3), 0, 10)
+
+
+def test_delivery_modes(spark):
+    import pytest
+    cat = spark.createDataFrame([("K1", "f", "a.pdf", "TRUE", "http://p", None)],
+                                "brnumber string, file_folder string, file_name string, download_status string, "
+                                "pdf_url string, pdf_backup_url string")
+    files = spark.createDataFrame([("f", "a.pdf")], "file_folder string, file_name string")
+    assert B.resolve_delivery(cat, files, "local").first().local_uri == "file://f/a.pdf"
+    assert B.resolve_delivery(cat, files, "link").columns == ["brnumber", "pdf_url", "pdf_backup_url"]
+    assert B.resolve_delivery(cat, files, "download").first().deliver_path == "f/a.pdf"
+    with pytest.raises(B.QueryError, match="Invalid response_type"):
+        B.resolve_delivery(cat, files, "zip")
