@@ -136,3 +136,33 @@ def live_counts(attempts_stream: DataFrame, by: str = "run_id") -> DataFrame:
     """Streaming twin of F1: a stateful aggregate whose key set is the set of
     runs; in ``update`` mode each trigger emits the runs that changed."""
     return RU.outcome_counts(attempts_stream, by)
+
+
+def track_progress(spark: SparkSession, attempts_stream: DataFrame, state_root: str,
+                   checkpoint: str | None = None, by: str = "run_id", available_now: bool = False,
+                   interval: str = "1 second"):
+    """Keep run progress durable while runs go on (the original saved it about
+    once a second): the live counters run in ``update`` mode and every trigger
+    appends the runs that changed, with their results JSON and the batch id, to
+    ``state_root/progress``. ``read_progress`` gives the latest per run.
+    Returns the ``StreamingQuery``."""
+    if checkpoint is None:
+        import hashlib
+        digest = hashlib.sha1(state_root.encode()).hexdigest()[:16]
+        checkpoint = f"{checkpoint_root(spark).rstrip('/')}/docfetch/progress-{digest}"
+    counts = RU.encode_results(live_counts(attempts_stream, by))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append") \
+            .parquet(f"{state_root}/progress")
+
+    writer = counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
+    return writer.start()
+
+
+def read_progress(spark: SparkSession, state_root: str, by: str = "run_id") -> DataFrame:
+    """Latest progress record per run (a replayed batch writes the same values)."""
+    from docfetch.operators.keys import keep_extreme_per_key
+    log = spark.read.parquet(f"{state_root}/progress")
+    return keep_extreme_per_key(log, [by], "batch_id", last=True)
