@@ -39,6 +39,15 @@ def map_columns(df: DataFrame, mapping: Mapping[str, str] = S.MANIFEST_COLUMN_MA
     return df.select(*cols)
 
 
+def manifest_key_rules() -> list[tuple[Column, str]]:
+    """Rules a manifest row must pass before a run: its file has the required
+    headers (needs ``missing_columns``, see ``read_manifests``), and the catalog
+    key is NOT NULL and String(50)."""
+    missing = (F.size("missing_columns") > 0,
+               "manifest lacks required column(s): " + ", ".join(S.REQUIRED_MANIFEST_COLUMNS))
+    return [missing, C.not_null_rule("brnumber"), C.max_length_rule("brnumber", 50)]
+
+
 def require_columns(df: DataFrame, required: Sequence[str] = S.REQUIRED_MANIFEST_COLUMNS) -> DataFrame:
     """Fail up front (driver side, schema only) when a required header is absent."""
     missing = [c for c in required if c not in df.columns]

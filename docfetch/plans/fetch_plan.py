@@ -117,9 +117,3 @@ def shape_result(outcomes: DataFrame, now: dt.datetime | str | Column) -> DataFr
         "pdf_url", "pdf_backup_url",
     )
 
-
-def decided_outcomes(plan: DataFrame) -> DataFrame:
-    """Plan rows settled without a fetch, as outcome rows (attempt 1)."""
-    return (plan.where(F.col("decision") != "fetch")
-            .withColumn("outcome", F.col("decision"))
-            .withColumn("attempt", F.lit(1)))

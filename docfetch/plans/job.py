@@ -91,16 +91,8 @@ def run_file(spark: SparkSession, path: str, state_root: str, dest: str, start_r
 
 
 def _run(spark, path, ext, state_root, dest, start_row, num_rows, start, task_id, record, fetch_kwargs) -> dict:
-    if ext == ".csv":
-        raw = M.read_manifest_csv(spark, path)
-        lacking = [h for h in S.REQUIRED_MANIFEST_COLUMNS if h not in raw.columns]
-        manifest = P.map_columns(raw).withColumn(
-            "missing_columns", F.array(*[F.lit(h) for h in lacking]).cast("array<string>"))
-    else:
-        manifest = M.expand_cells(M.read_manifest_xlsx(spark, path), required=S.REQUIRED_MANIFEST_COLUMNS)
-    manifest = P.slice_rows(manifest, start_row, num_rows)
-    from docfetch.streaming.ingest import manifest_key_rules
-    valid, rejected = P.validate_rows(manifest, manifest_key_rules())
+    manifest = P.slice_rows(M.read_manifests(spark, [path]), start_row, num_rows)
+    valid, rejected = P.validate_rows(manifest, P.manifest_key_rules())
     rejected.withColumn("task_id", F.lit(task_id)).write.mode("append").parquet(f"{state_root}/rejected")
     valid = valid.drop("missing_columns")
 

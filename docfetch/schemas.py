@@ -68,8 +68,6 @@ MSG_NULL_FILTER_VALUE = "Filter value for {key} cannot be None"
 RUN_EXTENSIONS = (".csv", ".xlsx", ".xlsm", ".xltx", ".xltm")
 UPLOAD_EXTENSIONS = ("xlsx", "xls")
 
-RUN_STATUSES = ("running", "finished", "cancelled")
-OUTCOMES = ("successful", "already_downloaded", "failed")
 
 # --- schemas ------------------------------------------------------------------
 S = T.StringType()
@@ -97,13 +95,6 @@ CATALOG_SCHEMA = T.StructType([
     T.StructField("pdf_backup_url", S, True),
 ])
 CATALOG_COLUMNS = [f.name for f in CATALOG_SCHEMA.fields]
-# columns an upsert writes (everything but the surrogate id)
-CATALOG_DATA_COLUMNS = [c for c in CATALOG_COLUMNS if c != "id"]
-
-# catalog columns as carried through the fetch plan (before an outcome exists)
-MANIFEST_COLUMNS = ["brnumber", "title", "publication_year", "organization_name",
-                    "organization_type", "organization_sector", "country", "region",
-                    "pdf_url", "pdf_backup_url"]
 
 RUN_SCHEMA = T.StructType([
     T.StructField("task_id", S, False),
@@ -133,15 +124,3 @@ ACCOUNT_SCHEMA = T.StructType([
     T.StructField("created_at", TS, True),
     T.StructField("updated_at", TS, True),
 ])
-
-ATTEMPT_SCHEMA = T.StructType([
-    T.StructField("run_id", L, True),
-    T.StructField("seq", L, True),
-    T.StructField("row_no", L, True),
-    T.StructField("brnumber", S, True),
-    T.StructField("url", S, True),
-    T.StructField("attempt", T.IntegerType(), True),
-    T.StructField("outcome", S, True),
-    T.StructField("message", S, True),
-    T.StructField("finished_at", TS, True),
-])

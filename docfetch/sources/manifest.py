@@ -208,3 +208,27 @@ def expand_cells(df: DataFrame, mapping=S.MANIFEST_COLUMN_MAP, default: str | No
         checks = [F.when(~F.map_contains_key("cells", F.lit(h)), F.lit(h)) for h in required]
         cols.append(F.array_compact(F.array(*checks)).alias("missing_columns"))
     return df.select(*cols)
+
+
+def read_manifests(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Mapped manifest rows (B2 names) of CSV files and workbooks, each file with
+    its own header, plus ``missing_columns``: the required headers the row's
+    file lacks (such rows are for rejection, not for an error that stops a run)."""
+    from docfetch.operators.prepare import map_columns
+
+    csvs = [p for p in paths if p.lower().endswith(".csv")]
+    books = [p for p in paths if p.lower().endswith(WORKBOOK_EXTENSIONS)]
+    parts = []
+    for p in csvs:  # each CSV has its own header (known from the schema, no data pass)
+        raw = read_manifest_csv(spark, p)
+        lacking = [h for h in S.REQUIRED_MANIFEST_COLUMNS if h not in raw.columns]
+        parts.append(map_columns(raw).withColumn(
+            "missing_columns", F.array(*[F.lit(h) for h in lacking]).cast("array<string>")))
+    for p in books:
+        parts.append(expand_cells(read_manifest_xlsx(spark, p), required=S.REQUIRED_MANIFEST_COLUMNS))
+    if not parts:
+        raise ValueError("no CSV or workbook among the given paths")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

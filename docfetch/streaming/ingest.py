@@ -34,34 +34,6 @@ def _done_batches(spark: SparkSession, state_root: str) -> DataFrame | None:
         return None
 
 
-def manifest_key_rules():
-    """Required headers present (Q12); the catalog key is NOT NULL and String(50)."""
-    from docfetch.functions.columns import max_length_rule, not_null_rule
-    missing = (F.size("missing_columns") > 0,
-               "manifest lacks required column(s): " + ", ".join(S.REQUIRED_MANIFEST_COLUMNS))
-    return [missing, not_null_rule("brnumber"), max_length_rule("brnumber", 50)]
-
-
-def read_dropped_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Mapped manifest rows of the given files (CSV or workbook), one layout per
-    file, with ``missing_columns``: required headers the row's file lacks (its
-    rows are then rejected, the stream goes on)."""
-    csvs = [p for p in paths if p.lower().endswith(".csv")]
-    books = [p for p in paths if p.lower().endswith(M.WORKBOOK_EXTENSIONS)]
-    parts = []
-    for p in csvs:  # each CSV has its own header (read from the schema, no data pass)
-        raw = M.read_manifest_csv(spark, p)
-        lacking = [h for h in S.REQUIRED_MANIFEST_COLUMNS if h not in raw.columns]
-        parts.append(P.map_columns(raw).withColumn(
-            "missing_columns", F.array(*[F.lit(h) for h in lacking]).cast("array<string>")))
-    for p in books:
-        parts.append(M.expand_cells(M.read_manifest_xlsx(spark, p), required=S.REQUIRED_MANIFEST_COLUMNS))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def batch_row_order(df: DataFrame) -> DataFrame:
     """Make ``row_no`` unique across the files of one batch: files are ranked by
     path (a table of one row per file) and each file's positions are shifted past
@@ -102,8 +74,8 @@ def ingest_stream(spark: SparkSession, in_dir: str, state_root: str, dest: str,
         paths = sorted(r["path"] for r in batch.select("path").distinct().collect())  # bounded by maxFilesPerTrigger
         paths = [p for p in paths if p.lower().endswith((".csv",) + M.WORKBOOK_EXTENSIONS)]
         if paths:
-            manifest = batch_row_order(read_dropped_files(sp, paths))
-            valid, rejected = P.validate_rows(manifest, manifest_key_rules())
+            manifest = batch_row_order(M.read_manifests(sp, paths))
+            valid, rejected = P.validate_rows(manifest, P.manifest_key_rules())
             valid = valid.drop("missing_columns")
             rejected.withColumn("batch_id", F.lit(batch_id)).write.mode("append") \
                 .parquet(f"{state_root}/rejected")
