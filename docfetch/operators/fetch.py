@@ -174,7 +174,7 @@ def fetch_with_backup(rows: DataFrame, primary: str = "pdf_url", backup: str = "
                                     concurrency=concurrency, host_slots=host_slots)
                     .withColumn("attempt", F.lit(1)))
     retry = (keyed.join(first.where(F.col("outcome") == "failed").select("row_no"), "row_no", "left_semi")
-             .where(F.col(backup).isNotNull())
+             .where(F.col(backup).isNotNull() & (F.col(backup) != ""))
              .withColumn("stored_name", stored_name(base_name(backup))))
     second = (fetch_documents(retry, backup, dest, signature, timeout, num_partitions,
                               concurrency=concurrency, host_slots=host_slots)

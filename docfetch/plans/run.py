@@ -85,7 +85,9 @@ def run_manifest(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest
     attempts = first
     if use_backup:
         failed = first.where(F.col("outcome") == "failed").select("row_no")
-        retry = (plan.join(failed, "row_no", "left_semi").where(F.col("pdf_backup_url").isNotNull())
+        # no backup URL (NULL, or '' from a missing column) means no second attempt
+        retry = (plan.join(failed, "row_no", "left_semi")
+                 .where(F.col("pdf_backup_url").isNotNull() & (F.col("pdf_backup_url") != ""))
                  .withColumn("file_name", C.base_name("pdf_backup_url"))
                  .withColumn("stored_name", C.stored_name("file_name")))
         retry = FP.mark_existing_files(retry, files)

@@ -128,3 +128,13 @@ def test_host_slots_bound_tasks_per_host(spark, site):
                 .groupBy("host").agg(F.countDistinct("pid").alias("tasks")).collect())
     assert all(r.tasks <= 2 for r in per_host) and out.count() == 40
     assert out.where("url like 'file:%'").where("outcome = 'successful'").count() == 20
+
+
+def test_empty_backup_url_is_no_second_attempt(spark, site):
+    src, dest = site
+    m = _manifest(spark, [("K1", f"file://{src}/missing.pdf", ""), ("K2", f"file://{src}/missing.pdf", None)])
+    res = run_manifest(m, spark.createDataFrame([], "file_name string"), _empty_catalog(spark), str(dest),
+                       "2024-06-01 00:00:00")
+    assert res.attempts.where("attempt = 2").count() == 0
+    msgs = {r.brnumber: r.download_message for r in res.updates.collect()}
+    assert all("No such file" in m for m in msgs.values())
