@@ -1,4 +1,4 @@
-"""Command line: ``python -m docfetch <command> ...`` (spark-submit works the same).
+"""Command line: ``python -m docfetch <command> ...`` (or ``spark-submit docfetch/__main__.py ...``).
 
     run     --file F --state S --dest D [--start-row N] [--num-rows N]   one manifest file, prints the run record
     cancel  --state S TASK_ID ...                                        cancel running runs
