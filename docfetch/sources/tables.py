@@ -109,13 +109,16 @@ def save_table(df: DataFrame, root: str, bucket_by: str | None = None, num_bucke
     fresh folder, never the one being read (Spark would delete its own input) -
     and record it in ``root/versions``. Returns the version path. With
     ``bucket_by`` the rows are hash-partitioned on that key and sorted within
-    each file, so key look-ups prune on Parquet min/max statistics."""
+    each file, so key look-ups prune on Parquet min/max statistics. Without
+    ``num_buckets`` the partitioning is a ``rebalance`` on the key: AQE sizes
+    the files to ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` and splits
+    an oversized partition, so the file count follows the data, not the cores."""
     stamp = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
     path = f"{root.rstrip('/')}/data/v={stamp}-{uuid.uuid4().hex[:8]}"
     out = df
     if bucket_by:
-        n = num_buckets or df.sparkSession.sparkContext.defaultParallelism
-        out = out.repartition(n, bucket_by).sortWithinPartitions(bucket_by)
+        out = out.repartition(num_buckets, bucket_by) if num_buckets else out.hint("rebalance", bucket_by)
+        out = out.sortWithinPartitions(bucket_by)
     out.write.parquet(path)
     spark = df.sparkSession
     spark.createDataFrame([(stamp, path)], "stamp string, path string") \
