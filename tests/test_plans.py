@@ -108,3 +108,19 @@ def test_delivery_modes(spark):
     assert B.resolve_delivery(cat, files, "download").first().deliver_path == "f/a.pdf"
     with pytest.raises(B.QueryError, match="Invalid response_type"):
         B.resolve_delivery(cat, files, "zip")
+
+
+def test_register_manifests_with_and_without_overwrite(spark):
+    from docfetch.operators.prepare import register_manifests
+    registry = spark.createDataFrame([("a.xlsx", "old")], "file_name string, note string")
+    new = spark.createDataFrame([(1, "a.xlsx", "new1"), (2, "b.xls", "b"), (3, "a.xlsx", "new2"),
+                                 (4, "c.csv", "c")], "seq long, file_name string, note string")
+    reg, decided = register_manifests(new, registry, overwrite=False)
+    d = {r.seq: (r.decision, r.message) for r in decided.collect()}
+    assert d[1] == ("refused", "File a.xlsx already exists.") and d[2] == ("stored", None)
+    assert d[4] == ("refused", "Invalid file type. Only Excel files are allowed.")
+    assert sorted((r.file_name, r.note) for r in reg.collect()) == [("a.xlsx", "old"), ("b.xls", "b")]
+    reg, decided = register_manifests(new, registry, overwrite=True)
+    d = {r.seq: r.decision for r in decided.collect()}
+    assert d == {1: "superseded", 2: "stored", 3: "stored", 4: "refused"}
+    assert sorted((r.file_name, r.note) for r in reg.collect()) == [("a.xlsx", "new2"), ("b.xls", "b")]
