@@ -54,11 +54,35 @@ def keep_extreme_per_key(df: DataFrame, keys: Sequence[str], order: str,
     return packed.select(*[F.col("_w").getField(c).alias(c) for c in df.columns])
 
 
-def presence_flag(df: DataFrame, other: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
-    """Add boolean ``flag``: does ``other`` hold the same ``keys``? The other side
-    is reduced to distinct keys first, so the join cannot multiply rows."""
+# Largest key set ``presence_flag`` broadcasts: 1M keys is at most ~255 MB even
+# for 255-byte file names, and a few tens of MB for typical keys.
+BROADCAST_KEYS = 1_000_000
+
+
+def at_most_rows(df: DataFrame, n: int) -> bool:
+    """Size check before a broadcast: True when ``df`` has at most ``n`` rows.
+    A bounded action (``limit(n + 1)``), it stops reading once ``n + 1`` are seen."""
+    return df.limit(n + 1).count() <= n
+
+
+def presence_flag(df: DataFrame, other: DataFrame, keys: Sequence[str], flag: str,
+                  broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """Add boolean ``flag``: does ``other`` hold the same ``keys``? Never
+    multiplies rows; rows with a NULL key are never present.
+
+    * ``other`` has at most ``broadcast_keys`` rows (checked): its distinct keys
+      are broadcast and joined in one pass - a hot key of ``df`` costs nothing
+      extra, every task joins its own rows locally.
+    * beyond that: a left-semi join (flag True) unioned with a left-anti join
+      (flag False). Both read straight from shuffles that they share (exchange
+      reuse, so ``df`` is computed once), and with no aggregate between shuffle
+      and join AQE can split a hot key of ``df`` over several tasks."""
     keys = list(keys)
-    present = other.select(*keys).where(_all_not_null(keys)).distinct() \
-        .withColumn(flag, F.lit(True))
-    return (df.join(present, keys, "left")
-            .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
+    right = other.select(*keys).where(_all_not_null(keys))
+    if at_most_rows(right, broadcast_keys):
+        small = F.broadcast(right.distinct().withColumn(flag, F.lit(True)))
+        return (df.join(small, keys, "left")
+                .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
+    hit = df.join(right, keys, "left_semi").withColumn(flag, F.lit(True))
+    miss = df.join(right, keys, "left_anti").withColumn(flag, F.lit(False))
+    return hit.unionByName(miss)

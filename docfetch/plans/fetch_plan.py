@@ -29,26 +29,29 @@ def _now_literal(now: dt.datetime | str | Column) -> Column:
 
 # C1
 def mark_existing_files(df: DataFrame, files: DataFrame, name_col: str = "file_name",
-                        flag: str = "in_folder") -> DataFrame:
+                        flag: str = "in_folder", broadcast_keys: int | None = None) -> DataFrame:
     """``flag`` = the row's raw file name is in the folder listing **and** ends in
     ``.pdf`` in any case (a stored ``report.pdf`` does not cover a raw
     ``report``: the test is on the raw name).
 
-    Rows whose name is NULL or empty can never match a listed file; they join on
-    a unique NUL-prefixed key (no file name contains NUL), so a mass of
-    missing URLs spreads over all partitions instead of hashing to one."""
-    listing = (files.select(F.col(name_col).alias("_listed"))
-               .where(F.col("_listed").isNotNull() & (F.col("_listed") != ""))
-               .distinct().withColumn("_present", F.lit(True)))
+    Presence is ``keys.presence_flag``: a checked-size broadcast of the listing's
+    names, or beyond that a semi/anti join pair that AQE can split when many
+    rows share a name; a listing that repeats a name multiplies no row. Rows whose name is NULL or empty can never match a listed file;
+    they join on a unique NUL-prefixed key (no file name contains NUL), so a
+    mass of missing URLs spreads over all partitions instead of hashing to one."""
+    from docfetch.operators.keys import presence_flag
+
+    listing = (files.select(F.col(name_col).alias("_jkey"))
+               .where(F.col("_jkey").isNotNull() & (F.col("_jkey") != "")))
     name = F.col(name_col)
     salted = (df.withColumn("_salt", F.monotonically_increasing_id())
               .withColumn("_jkey", F.when(name.isNull() | (name == ""),
                                           F.concat(F.lit("\u0000"), F.col("_salt").cast("string")))
                           .otherwise(name)))
-    out = salted.join(listing, F.col("_jkey") == F.col("_listed"), "left")
-    return (out.withColumn(flag, F.coalesce(F.col("_present"), F.lit(False))
-                           & F.coalesce(C.has_pdf_suffix(name_col), F.lit(False)))
-            .drop("_listed", "_present", "_salt", "_jkey"))
+    kw = {} if broadcast_keys is None else {"broadcast_keys": broadcast_keys}
+    out = presence_flag(salted, listing, ["_jkey"], "_present", **kw)
+    return (out.withColumn(flag, F.col("_present") & F.coalesce(C.has_pdf_suffix(name_col), F.lit(False)))
+            .drop("_present", "_salt", "_jkey"))
 
 
 # C2

@@ -49,3 +49,46 @@ def test_running_counts_spread_a_hot_run(no_aqe):
     assert max(sizes) < 2 * N / len(sizes)
     hot = out.where("run_id = 0").agg(F.max("processed_rows")).first()[0]
     assert hot == N // 3
+
+
+def test_hot_file_name_is_split_by_aqe(spark):
+    """C1 with a name a third of the rows share: AQE must be able to split it
+    (both joins read straight from a shuffle)."""
+    from docfetch.plans.fetch_plan import mark_existing_files
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        n = 30000
+        df = spark.range(n).select(
+            F.col("id").alias("row_no"),
+            F.when(F.col("id") % 3 == 0, F.lit("shared.pdf"))
+            .otherwise(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".pdf"))).alias("file_name"))
+        files = spark.range(0, n, 2).select(F.concat(F.lit("f"), F.col("id").cast("string"),
+                                                     F.lit(".pdf")).alias("file_name")) \
+            .union(spark.createDataFrame([("shared.pdf",)], "file_name string"))
+        out = mark_existing_files(df, files, broadcast_keys=100)   # listing too big to broadcast
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert "skew=true" in plan
+    present = {r.row_no for r in rows if r.in_folder}
+    assert len(rows) == n and present == {i for i in range(n) if i % 3 == 0 or i % 2 == 0}
+
+
+def test_small_listing_is_broadcast_after_a_size_check(spark):
+    from docfetch.operators.keys import presence_flag
+    df = spark.range(1000).select((F.col("id") % 7).cast("string").alias("k"))
+    other = spark.createDataFrame([("1",), ("1",), ("3",)], "k string")
+    out = presence_flag(df, other, ["k"], "hit")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan
+    assert out.count() == 1000 and out.where("hit").count() == sum(1 for i in range(1000) if i % 7 in (1, 3))
+    big = presence_flag(df, other, ["k"], "hit", broadcast_keys=1)     # over the bound: shuffle joins
+    assert big.count() == 1000 and big.where("hit").count() == out.where("hit").count()
