@@ -163,9 +163,17 @@ def resolve_delivery(catalog: DataFrame, files: DataFrame, mode: str | None = No
     ``mode`` (``local`` / ``link`` / ``download``) keeps only that answer."""
     if mode is not None and mode not in S.DELIVERY_MODES:
         raise QueryError(S.MSG_BAD_RESPONSE_TYPE)
-    listing = (files.select("file_folder", "file_name").distinct()
-               .withColumn("_on_disk", F.lit(True)))
-    j = catalog.join(listing, ["file_folder", "file_name"], "left")
+    from docfetch.operators.keys import presence_flag
+
+    # rows without a file name are never looked up (they cannot be delivered):
+    # a unique never-matching key keeps the mass of FALSE rows ('', '') spread
+    name = F.coalesce(F.col("file_name"), F.lit(""))
+    keyed = (catalog.withColumn("_salt", F.monotonically_increasing_id())
+             .withColumn("_jfolder", F.coalesce(F.col("file_folder"), F.lit("")))
+             .withColumn("_jname", F.when(name == "", F.concat(F.lit("\u0000"), F.col("_salt").cast("string")))
+                         .otherwise(name)))
+    listing = files.select(F.col("file_folder").alias("_jfolder"), F.col("file_name").alias("_jname"))
+    j = presence_flag(keyed, listing, ["_jfolder", "_jname"], "_on_disk")
     path = F.concat(F.coalesce(F.col("file_folder"), F.lit("None")), F.lit("/"),
                     F.coalesce(F.col("file_name"), F.lit("None")))
     no_name = F.coalesce(F.col("file_name"), F.lit("")) == ""

@@ -24,7 +24,7 @@ from docfetch.functions import columns as C
 from docfetch.operators import catalog as CA
 from docfetch.operators import fetch as FE
 from docfetch.operators import runs as RU
-from docfetch.operators.keys import flag_extreme_per_key, keep_extreme_per_key
+from docfetch.operators.keys import flag_extreme_per_key, keep_extreme_per_key, presence_flag
 from docfetch.plans import fetch_plan as FP
 
 ATTEMPT_COLS = ["row_no", "attempt", "url", "stored_name", "file_folder", "outcome", "message", "finished_at"]
@@ -70,14 +70,13 @@ def run_manifest(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest
 
     a1 = persist(fetch(wave1, "pdf_url")
                  .withColumn("attempt", F.lit(1)).withColumn("file_folder", F.lit(dest)))
-    stored = (a1.where(F.col("outcome") == "successful").select("stored_name").distinct()
-              .withColumn("_stored", F.lit(True)))
-    w2 = wave2.join(stored, "stored_name", "left")
+    stored = a1.where(F.col("outcome") == "successful").select("stored_name")
+    w2 = presence_flag(wave2, stored, ["stored_name"], "_stored")   # wave 2 holds the hot names
     w2_done = (w2.where(F.col("_stored"))
                .select("row_no", F.lit(1).alias("attempt"), F.col("pdf_url").alias("url"), "stored_name",
                        F.lit(dest).alias("file_folder"), F.lit("already_downloaded").alias("outcome"),
                        F.lit(S.MSG_EXISTS_IN_FOLDER).alias("message"), now_col.alias("finished_at")))
-    a2 = persist(fetch(w2.where(F.col("_stored").isNull()), "pdf_url")
+    a2 = persist(fetch(w2.where(~F.col("_stored")), "pdf_url")
                  .withColumn("attempt", F.lit(1)).withColumn("file_folder", F.lit(dest)))
 
     first = (decided.unionByName(a1.select(*ATTEMPT_COLS)).unionByName(w2_done)
