@@ -113,9 +113,12 @@ def insert_if_absent(table: DataFrame, rows: DataFrame, keys: Sequence[str] = ("
                      order: str = "row_no") -> DataFrame:
     """Rows to seed: none of their unique fields is in the table or on an earlier
     row of the batch."""
+    from docfetch.operators.keys import BROADCAST_KEYS, at_most_rows
+
     out = rows
+    small = at_most_rows(table, BROADCAST_KEYS)   # one size check serves every key
     for i, k in enumerate(keys):
-        out = presence_flag(out, table, [k], f"_in_table_{i}")
+        out = presence_flag(out, table, [k], f"_in_table_{i}", small=small)
     taken = F.lit(False)
     for i in range(len(keys)):
         taken = taken | F.col(f"_in_table_{i}")

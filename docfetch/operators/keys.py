@@ -66,7 +66,7 @@ def at_most_rows(df: DataFrame, n: int) -> bool:
 
 
 def presence_flag(df: DataFrame, other: DataFrame, keys: Sequence[str], flag: str,
-                  broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+                  broadcast_keys: int = BROADCAST_KEYS, small: bool | None = None) -> DataFrame:
     """Add boolean ``flag``: does ``other`` hold the same ``keys``? Never
     multiplies rows; rows with a NULL key are never present.
 
@@ -79,7 +79,9 @@ def presence_flag(df: DataFrame, other: DataFrame, keys: Sequence[str], flag: st
       and join AQE can split a hot key of ``df`` over several tasks."""
     keys = list(keys)
     right = other.select(*keys).where(_all_not_null(keys))
-    if at_most_rows(right, broadcast_keys):
+    if small is None:
+        small = at_most_rows(right, broadcast_keys)
+    if small:
         small = F.broadcast(right.distinct().withColumn(flag, F.lit(True)))
         return (df.join(small, keys, "left")
                 .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))

@@ -84,15 +84,18 @@ def flag_duplicates(new: DataFrame, keys: Sequence[str], messages: Sequence[str]
     """Add ``reject_reason``: for each unique key in turn, its message when the key
     is already in ``existing`` or an earlier row (by ``order``) of the batch has
     it; NULL when the row can be inserted. Each key is judged on its own."""
+    from docfetch.operators.keys import BROADCAST_KEYS, at_most_rows
+
     out = new
     reason_col = F.lit(None).cast("string")
     conds = []
+    small = at_most_rows(existing, BROADCAST_KEYS) if existing is not None else None
     for i, (key, msg) in enumerate(zip(keys, messages)):
         first_flag, exist_flag = f"_first_{i}", f"_exists_{i}"
         out = flag_extreme_per_key(out, [key], order, first_flag)
         taken = ~F.col(first_flag)
         if existing is not None:
-            out = presence_flag(out, existing, [key], exist_flag)
+            out = presence_flag(out, existing, [key], exist_flag, small=small)
             taken = taken | F.col(exist_flag)
         conds.append((taken, msg))
     for taken, msg in reversed(conds):
