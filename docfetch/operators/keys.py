@@ -1,4 +1,4 @@
-"""Skew-safe "first / last row per key" building blocks.
+"""Skew-safe building blocks: first / last row per key, and presence checks.
 
 A window ``row_number() over (partition by key ...)`` sends every row of a key
 to one task, so a key holding a third of the rows becomes a third of the job in
@@ -7,6 +7,10 @@ one task. Here the winner per key is found with a ``min``/``max`` aggregate
 and joined back on ``(key, order)``: that join hashes on both columns, so the
 rows of a hot key spread over all partitions, and the aggregated side has one
 row per key.
+
+Presence checks ("is this key in that table?") broadcast the other side's keys
+after an explicit size check, or else use semi/anti joins read straight from
+shuffles, the shape AQE's skew-join rule can split.
 """
 
 from __future__ import annotations
@@ -82,8 +86,8 @@ def presence_flag(df: DataFrame, other: DataFrame, keys: Sequence[str], flag: st
     if small is None:
         small = at_most_rows(right, broadcast_keys)
     if small:
-        small = F.broadcast(right.distinct().withColumn(flag, F.lit(True)))
-        return (df.join(small, keys, "left")
+        known = F.broadcast(right.distinct().withColumn(flag, F.lit(True)))
+        return (df.join(known, keys, "left")
                 .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
     hit = df.join(right, keys, "left_semi").withColumn(flag, F.lit(True))
     miss = df.join(right, keys, "left_anti").withColumn(flag, F.lit(False))
