@@ -1,11 +1,12 @@
 """Decide per manifest row what to do (C1-C3) and shape outcomes into catalog rows (C7).
 
-Both joins are equi-joins against sides that are unique on the join key (a
-folder listing reduced to distinct names, a catalog unique on ``brnumber``), so
-no manifest row is ever multiplied. Neither side is hinted: the optimizer
-broadcasts a side only when its measured size is under
-``spark.sql.autoBroadcastJoinThreshold`` (AQE re-checks at runtime); a large
-folder or catalog is shuffle-joined, and AQE splits a hot manifest key.
+No manifest row is ever multiplied. The folder check is a presence check
+(``keys.presence_flag``): the listing's names are broadcast after an explicit
+size check, or else joined by a left-semi / left-anti pair that AQE can split
+on a name many rows share. The catalog check is a left join against rows unique
+on ``brnumber``, broadcast only under ``spark.sql.autoBroadcastJoinThreshold``
+(AQE re-checks the measured size), otherwise shuffle-joined with AQE free to
+split a hot key.
 """
 
 from __future__ import annotations
