@@ -124,3 +124,13 @@ def test_register_manifests_with_and_without_overwrite(spark):
     d = {r.seq: r.decision for r in decided.collect()}
     assert d == {1: "superseded", 2: "stored", 3: "stored", 4: "refused"}
     assert sorted((r.file_name, r.note) for r in reg.collect()) == [("a.xlsx", "new2"), ("b.xls", "b")]
+
+
+def test_no_registered_query_plans_a_cartesian_or_nested_loop_join(spark):
+    import __spark_entry__ as E
+    offenders = []
+    for name, fn in E.queries().items():
+        plan = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+            offenders.append(name)
+    assert offenders == []
