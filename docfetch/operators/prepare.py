@@ -40,12 +40,13 @@ def map_columns(df: DataFrame, mapping: Mapping[str, str] = S.MANIFEST_COLUMN_MA
 
 
 def manifest_key_rules() -> list[tuple[Column, str]]:
-    """Rules a manifest row must pass before a run: its file has the required
-    headers (needs ``missing_columns``, see ``read_manifests``), and the catalog
-    key is NOT NULL and String(50)."""
+    """Rules a manifest row must pass before a run: its file could be read and
+    has the required headers (needs ``read_error`` and ``missing_columns``, see
+    ``read_manifests``), and the catalog key is NOT NULL and String(50)."""
+    unreadable = (F.col("read_error").isNotNull(), "manifest file could not be read")
     missing = (F.size("missing_columns") > 0,
                "manifest lacks required column(s): " + ", ".join(S.REQUIRED_MANIFEST_COLUMNS))
-    return [missing, C.not_null_rule("brnumber"), C.max_length_rule("brnumber", 50)]
+    return [unreadable, missing, C.not_null_rule("brnumber"), C.max_length_rule("brnumber", 50)]
 
 
 def require_columns(df: DataFrame, required: Sequence[str] = S.REQUIRED_MANIFEST_COLUMNS) -> DataFrame:

@@ -91,10 +91,13 @@ def run_file(spark: SparkSession, path: str, state_root: str, dest: str, start_r
 
 
 def _run(spark, path, ext, state_root, dest, start_row, num_rows, start, task_id, record, fetch_kwargs) -> dict:
-    manifest = P.slice_rows(M.read_manifests(spark, [path]), start_row, num_rows)
+    rows = M.read_manifests(spark, [path])
+    unreadable = F.col("read_error").isNotNull()
+    # a file that cannot be read has one row (position -1): report it whatever the slice
+    manifest = P.slice_rows(rows.where(~unreadable), start_row, num_rows).unionByName(rows.where(unreadable))
     valid, rejected = P.validate_rows(manifest, P.manifest_key_rules())
     rejected.withColumn("task_id", F.lit(task_id)).write.mode("append").parquet(f"{state_root}/rejected")
-    valid = valid.drop("missing_columns")
+    valid = valid.drop("missing_columns", "read_error")
 
     catalog = TB.read_latest(spark, f"{state_root}/catalog", S.CATALOG_SCHEMA)
     if catalog is None:

@@ -61,6 +61,7 @@ CELLS_SCHEMA = T.StructType([
     T.StructField("source_file", T.StringType(), True),
     T.StructField("row_no", T.LongType(), True),
     T.StructField("cells", T.MapType(T.StringType(), T.StringType(), True), True),
+    T.StructField("read_error", T.StringType(), True),
 ])
 
 
@@ -171,14 +172,24 @@ def _workbook_rows(content: bytes, batch_rows: int = 10000):
 
 
 def _parse_workbooks(batches):
+    """One workbook per input row. A workbook that cannot be read becomes one
+    row with ``read_error`` set (a bad file is rejected, it does not stop a run
+    or a stream that would replay it forever)."""
     import pandas as pd
 
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
-            for chunk in _workbook_rows(bytes(content)):
+            try:
+                chunks = list(_workbook_rows(bytes(content)))
+            except Exception as e:  # noqa: BLE001 - reported per file
+                yield pd.DataFrame({"source_file": [path], "row_no": [-1], "cells": [{}],
+                                    "read_error": [f"{type(e).__name__}: {e}"]})
+                continue
+            for chunk in chunks:
                 yield pd.DataFrame({"source_file": [path] * len(chunk),
                                     "row_no": [r for r, _ in chunk],
-                                    "cells": [c for _, c in chunk]})
+                                    "cells": [c for _, c in chunk],
+                                    "read_error": [None] * len(chunk)})
 
 
 def read_manifest_xlsx(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -204,9 +215,14 @@ def expand_cells(df: DataFrame, mapping=S.MANIFEST_COLUMN_MAP, default: str | No
     for src, dst in mapping.items():
         cols.append(F.when(F.map_contains_key("cells", F.lit(src)), F.try_element_at("cells", F.lit(src)))
                     .otherwise(F.lit(default)).alias(dst))
+    if "read_error" in df.columns:
+        cols.append(F.col("read_error"))
     if required:
         checks = [F.when(~F.map_contains_key("cells", F.lit(h)), F.lit(h)) for h in required]
-        cols.append(F.array_compact(F.array(*checks)).alias("missing_columns"))
+        missing = F.array_compact(F.array(*checks))
+        if "read_error" in df.columns:  # an unreadable file reports only that
+            missing = F.when(F.col("read_error").isNull(), missing).otherwise(F.array().cast("array<string>"))
+        cols.append(missing.alias("missing_columns"))
     return df.select(*cols)
 
 
@@ -223,7 +239,8 @@ def read_manifests(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
         raw = read_manifest_csv(spark, p)
         lacking = [h for h in S.REQUIRED_MANIFEST_COLUMNS if h not in raw.columns]
         parts.append(map_columns(raw).withColumn(
-            "missing_columns", F.array(*[F.lit(h) for h in lacking]).cast("array<string>")))
+            "missing_columns", F.array(*[F.lit(h) for h in lacking]).cast("array<string>"))
+            .withColumn("read_error", F.lit(None).cast("string")))
     for p in books:
         parts.append(expand_cells(read_manifest_xlsx(spark, p), required=S.REQUIRED_MANIFEST_COLUMNS))
     if not parts:

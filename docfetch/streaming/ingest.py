@@ -76,7 +76,7 @@ def ingest_stream(spark: SparkSession, in_dir: str, state_root: str, dest: str,
         if paths:
             manifest = batch_row_order(M.read_manifests(sp, paths))
             valid, rejected = P.validate_rows(manifest, P.manifest_key_rules())
-            valid = valid.drop("missing_columns")
+            valid = valid.drop("missing_columns", "read_error")
             rejected.withColumn("batch_id", F.lit(batch_id)).write.mode("append") \
                 .parquet(f"{state_root}/rejected")
             catalog = TB.read_latest(sp, f"{state_root}/catalog", S.CATALOG_SCHEMA)

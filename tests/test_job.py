@@ -60,9 +60,16 @@ def test_running_file_is_refused_and_cancel_is_terminal(spark, tmp_path):
 
 def test_crashed_run_does_not_block_its_file(spark, tmp_path):
     state = tmp_path / "state"
-    lists = tmp_path / "l"
-    lists.mkdir()
-    (lists / "bad.xlsx").write_bytes(b"not a zip")
     with pytest.raises(Exception):
-        run_file(spark, str(lists / "bad.xlsx"), str(state), str(tmp_path / "dest"), now=NOW)
+        run_file(spark, str(tmp_path / "absent.csv"), str(state), str(tmp_path / "dest"), now=NOW)
     assert [r.status for r in read_runs(spark, str(state)).collect()] == ["failed"]
+
+
+def test_unreadable_workbook_is_rejected_not_fatal(spark, tmp_path):
+    state, lists = tmp_path / "state", tmp_path / "l"
+    lists.mkdir()
+    (lists / "bad.xlsx").write_bytes(b"not a zip")
+    rec = run_file(spark, str(lists / "bad.xlsx"), str(state), str(tmp_path / "dest"), now=NOW)
+    assert rec["status"] == "finished" and rec["processed_rows"] == 0
+    rej = spark.read.parquet(str(state / "rejected")).collect()
+    assert [r.errors for r in rej] == [["manifest file could not be read"]]

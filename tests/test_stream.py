@@ -63,12 +63,18 @@ def test_ingest_stream_two_files_and_restart(spark, tmp_path):
     os.utime(drop / "5.csv", (t + 20, t + 20))
     _xlsx(drop / "6.xlsx", [[["Title", "Pdf_URL"], ["no key column", f"{u}/b.pdf"]]])
     os.utime(drop / "6.xlsx", (t + 30, t + 30))
+    (drop / "7.xlsx").write_bytes(b"not a zip at all")          # unreadable: rejected, stream goes on
+    os.utime(drop / "7.xlsx", (t + 40, t + 40))
+    _drop(drop / "8.csv", [["K8", "eight", "2021", "", "", "", "", "", f"{u}/a.pdf", ""]])
+    os.utime(drop / "8.csv", (t + 50, t + 50))
     q = ingest_stream(spark, str(drop), str(state), str(dest), checkpoint=str(ck), now="2024-06-03 00:00:00")
     q.awaitTermination()
     cat = {r.brnumber: r for r in read_latest(spark, str(state / "catalog")).collect()}
-    assert set(cat) == {"K1", "K2", "K3", "K4", "K5"}
+    assert set(cat) == {"K1", "K2", "K3", "K4", "K5", "K8"}
     assert cat["K4"].download_message == S.MSG_EXISTS_IN_FOLDER
     assert cat["K5"].title == "five" and cat["K5"].region == "" and cat["K5"].download_status == "TRUE"
     rej = spark.read.parquet(str(state / "rejected"))
     lacking = [r for r in rej.collect() if r.errors and r.errors[0].startswith("manifest lacks")]
     assert sorted(r.title for r in lacking) == ["no key column", "x"]
+    broken = [r for r in rej.collect() if r.errors and r.errors[0] == "manifest file could not be read"]
+    assert len(broken) == 1 and "BadZipFile" in broken[0].read_error
