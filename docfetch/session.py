@@ -14,9 +14,9 @@ from pyspark.sql import SparkSession
 
 # Settings this library relies on. AQE re-plans joins from runtime sizes
 # (broadcast only when the measured side is under the threshold) and splits
-# skewed shuffle partitions; speculation stays off because the fetcher has
-# side effects (files on shared storage).
-DEFAULTS = {
+# skewed shuffle partitions. Applied after start, and only when the job did not
+# set the key itself (``spark-submit --conf`` wins).
+SQL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -26,24 +26,36 @@ DEFAULTS = {
     "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+# Set before the context starts: no web UI (a non-interactive job), no console
+# progress bars, no speculative copies of the side-effecting fetch tasks.
+STATIC_DEFAULTS = {
     "spark.speculation": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
+DEFAULTS = {**SQL_DEFAULTS, **STATIC_DEFAULTS}
 
 
 def get_session(app_name: str = "docfetch", master: str | None = None,
                 shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
+    """The active session, or a new one. Keyword settings use ``__`` for dots
+    (``spark__driver__memory="8g"``) and always apply."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in DEFAULTS.items():
+    for key, value in STATIC_DEFAULTS.items():
         builder = builder.config(key, value)
+    explicit = {key.replace("__", "."): value for key, value in conf.items()}
     if shuffle_partitions is not None:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for key, value in conf.items():
-        builder = builder.config(key.replace("__", "."), value)
+        explicit["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    for key, value in explicit.items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    submitted = spark.sparkContext.getConf()
+    for key, value in SQL_DEFAULTS.items():
+        if key not in explicit and not submitted.contains(key):
+            spark.conf.set(key, value)
     spark.sparkContext.setLogLevel("WARN")
     return spark
 
