@@ -30,7 +30,8 @@ def _now_literal(now: dt.datetime | str | Column) -> Column:
 
 # C1
 def mark_existing_files(df: DataFrame, files: DataFrame, name_col: str = "file_name",
-                        flag: str = "in_folder", broadcast_keys: int | None = None) -> DataFrame:
+                        flag: str = "in_folder", broadcast_keys: int | None = None,
+                        small: bool | None = None) -> DataFrame:
     """``flag`` = the row's raw file name is in the folder listing **and** ends in
     ``.pdf`` in any case (a stored ``report.pdf`` does not cover a raw
     ``report``: the test is on the raw name).
@@ -50,7 +51,7 @@ def mark_existing_files(df: DataFrame, files: DataFrame, name_col: str = "file_n
                                           F.concat(F.lit("\u0000"), F.col("_salt").cast("string")))
                           .otherwise(name)))
     kw = {} if broadcast_keys is None else {"broadcast_keys": broadcast_keys}
-    out = presence_flag(salted, listing, ["_jkey"], "_present", **kw)
+    out = presence_flag(salted, listing, ["_jkey"], "_present", small=small, **kw)
     return (out.withColumn(flag, F.col("_present") & F.coalesce(C.has_pdf_suffix(name_col), F.lit(False)))
             .drop("_present", "_salt", "_jkey"))
 
@@ -72,13 +73,15 @@ def mark_already_downloaded(df: DataFrame, catalog: DataFrame, key: str = "brnum
 
 # C3
 def plan_fetch(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest: str,
-               url_col: str = "pdf_url") -> DataFrame:
+               url_col: str = "pdf_url", files_small: bool | None = None) -> DataFrame:
     """Per row: ``decision`` in (already_downloaded, failed, fetch), with the
     planned ``file_folder``, ``stored_name`` and ``message``. Priority: raw name in
     the folder, then key TRUE in the catalog, then a missing URL fails, else fetch.
+    ``files_small`` passes a size check of the listing already made (see
+    ``keys.presence_flag``).
     """
     df = manifest.withColumn("file_name", C.base_name(url_col))
-    df = mark_existing_files(df, files)
+    df = mark_existing_files(df, files, small=files_small)
     df = mark_already_downloaded(df, catalog)
     in_folder, in_cat = F.col("in_folder"), F.col("in_catalog")
     missing = F.col(url_col).isNull()

@@ -55,7 +55,9 @@ def run_manifest(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest
                                   concurrency=concurrency, host_slots=host_slots)
 
     now_col = FP._now_literal(now)
-    plan = persist(FP.plan_fetch(manifest, files, catalog, dest))
+    from docfetch.operators.keys import BROADCAST_KEYS, at_most_rows
+    files_small = at_most_rows(files.select("file_name"), BROADCAST_KEYS)   # one check, two folder look-ups
+    plan = persist(FP.plan_fetch(manifest, files, catalog, dest, files_small=files_small))
 
     decided = (plan.where(F.col("decision") != "fetch")
                .select("row_no", F.lit(1).alias("attempt"), F.col("pdf_url").alias("url"), "stored_name",
@@ -89,7 +91,7 @@ def run_manifest(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest
                  .where(F.col("pdf_backup_url").isNotNull() & (F.col("pdf_backup_url") != ""))
                  .withColumn("file_name", C.base_name("pdf_backup_url"))
                  .withColumn("stored_name", C.stored_name("file_name")))
-        retry = FP.mark_existing_files(retry, files)
+        retry = FP.mark_existing_files(retry, files, small=files_small)
         b_done = (retry.where("in_folder")
                   .select("row_no", F.lit(2).alias("attempt"), F.col("pdf_backup_url").alias("url"),
                           F.col("file_name").alias("stored_name"), F.lit(dest).alias("file_folder"),
