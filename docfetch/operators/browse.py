@@ -104,13 +104,22 @@ def page(df: DataFrame, page_no: int = 1, page_size: int = DEFAULT_PAGE_SIZE) ->
 
 def page_after(df: DataFrame, sort_col: str, last_value, last_key, page_size: int = DEFAULT_PAGE_SIZE,
                order: str = "asc", key: str = "brnumber") -> DataFrame:
-    """Keyset page: rows after (``last_value``, ``last_key``) in the (sort_col, key)
-    order. A range filter plus a top-k: cost does not grow with the page number."""
+    """Keyset page: the rows after (``last_value``, ``last_key``) in the order
+    ``sort_by`` gives (ascending: NULLs first; descending: NULLs last; ties on
+    ``key``). A range filter plus a top-k: cost does not grow with the page
+    number. ``last_value`` may be None (the last row seen had a NULL)."""
     c, k = F.col(sort_col), F.col(key)
+    after_key = k > F.lit(last_key)
     if order == "asc":
-        cond = (c > F.lit(last_value)) | ((c == F.lit(last_value)) & (k > F.lit(last_key)))
+        if last_value is None:        # inside the leading NULLs
+            cond = (c.isNull() & after_key) | c.isNotNull()
+        else:
+            cond = (c > F.lit(last_value)) | ((c == F.lit(last_value)) & after_key)
         return df.where(cond).orderBy(c.asc_nulls_first(), k.asc()).limit(page_size)
-    cond = (c < F.lit(last_value)) | ((c == F.lit(last_value)) & (k > F.lit(last_key)))
+    if last_value is None:            # inside the trailing NULLs
+        cond = c.isNull() & after_key
+    else:
+        cond = (c < F.lit(last_value)) | ((c == F.lit(last_value)) & after_key) | c.isNull()
     return df.where(cond).orderBy(c.desc_nulls_last(), k.asc()).limit(page_size)
 
 

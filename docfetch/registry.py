@@ -491,6 +491,17 @@ def q_e3(spark, sf):
     return BR.page(BR.sort_by(Fixtures(spark, sf).catalog_v(), "title", "asc"), 3, 20)
 
 
+@register("e3_page_after", with_views("""
+select * from catalog_v
+where publication_year < '2019' or (publication_year = '2019' and brnumber > 'BR000100')
+   or publication_year is null
+order by publication_year desc nulls last, brnumber asc limit 20""", "catalog_v", "manifest_v"))
+def q_e3k(spark, sf):
+    """Keyset page: the 20 rows after ('2019', 'BR000100') in publication_year
+    descending order - a range filter and a top-k, whatever the depth."""
+    return BR.page_after(Fixtures(spark, sf).catalog_v(), "publication_year", "2019", "BR000100", 20, "desc")
+
+
 @register("e4_count_matching", with_views("""
 select count(id) as total, cast(ceil(count(id) / 10) as bigint) as total_pages
 from catalog_v where download_status = 'FALSE'""", "catalog_v", "manifest_v"))
