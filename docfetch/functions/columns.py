@@ -89,10 +89,10 @@ def seconds_between(start: str | Column, end: str | Column) -> Column:
 
 
 def duration_text(seconds: str | Column) -> Column:
-    """``h hours, m minutes, s seconds`` from a number of whole seconds."""
+    """``h hours, m minutes, s seconds`` from a number of whole seconds (NULL stays NULL)."""
     s = _c(seconds)
-    return F.format_string("%d hours, %d minutes, %d seconds",
-                           F.floor(s / 3600), F.floor((s % 3600) / 60), s % 60)
+    return F.when(s.isNotNull(), F.format_string("%d hours, %d minutes, %d seconds",
+                                                 F.floor(s / 3600), F.floor((s % 3600) / 60), s % 60))
 
 
 # --- validation -------------------------------------------------------------------

@@ -127,7 +127,7 @@ def flag_supported(files: DataFrame, name_col: str = "file_name",
     after the last dot."""
     ext = C.path_extension(name_col) if mode == "run" else C.last_dot_piece(name_col)
     return (files.withColumn("extension", ext)
-            .withColumn("supported", F.col("extension").isin(list(allowed))))
+            .withColumn("supported", F.coalesce(F.col("extension").isin(list(allowed)), F.lit(False))))
 
 
 def filter_supported(files: DataFrame, name_col: str = "file_name",

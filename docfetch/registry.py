@@ -190,9 +190,10 @@ def q_b6(spark, sf):
 @register("b7_filter_supported", with_views("""
 select seq, file_name,
   regexp_extract(file_name, '^\\.*[^.].*?(\\.[^.]*)$', 1) as extension,
-  regexp_extract(file_name, '^\\.*[^.].*?(\\.[^.]*)$', 1) in ('.csv', '.xlsx', '.xlsm', '.xltx', '.xltm') as supported,
+  coalesce(regexp_extract(file_name, '^\\.*[^.].*?(\\.[^.]*)$', 1)
+           in ('.csv', '.xlsx', '.xlsm', '.xltx', '.xltm'), false) as supported,
   string_split(file_name, '.')[-1] as upload_extension,
-  string_split(file_name, '.')[-1] in ('xlsx', 'xls') as upload_supported
+  coalesce(string_split(file_name, '.')[-1] in ('xlsx', 'xls'), false) as upload_supported
 from uploads_v""", "uploads_v"))
 def q_b7(spark, sf):
     u = Fixtures(spark, sf).uploads_v()

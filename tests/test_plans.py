@@ -134,3 +134,16 @@ def test_no_registered_query_plans_a_cartesian_or_nested_loop_join(spark):
         if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
             offenders.append(name)
     assert offenders == []
+
+
+def test_null_names_and_durations(spark):
+    from docfetch.functions.columns import duration_text
+    from docfetch.operators.prepare import filter_supported, register_manifests
+    files = spark.createDataFrame([(1, None), (2, "a.csv")], "seq long, file_name string")
+    ok, bad = filter_supported(files)
+    assert [r.seq for r in ok.collect()] == [2] and [r.seq for r in bad.collect()] == [1]
+    registry = spark.createDataFrame([], "file_name string")
+    _, decided = register_manifests(spark.createDataFrame([(1, None)], "seq long, file_name string"), registry)
+    assert decided.first().decision == "refused"
+    d = spark.createDataFrame([(None,), (3725,)], "s long").select(duration_text("s").alias("t")).collect()
+    assert [r.t for r in d] == [None, "1 hours, 2 minutes, 5 seconds"]
