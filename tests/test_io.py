@@ -177,3 +177,17 @@ def test_save_table_versions(spark, tmp_path):
     p2 = TB.save_table(df2, root, bucket_by="brnumber", num_buckets=2)   # never overwrites what it reads
     assert p1 != p2 and os.path.isdir(p1)
     assert TB.read_latest(spark, root).first().download_status == "TRUE"
+
+
+def test_row_positions_per_file_when_reading_many(spark, tmp_path):
+    d = tmp_path / "many"
+    d.mkdir()
+    for f, n in (("a.csv", 7), ("b.csv", 3), ("c.csv", 12)):
+        _write_csv(d / f, HEADERS, [[f"{f}-{i}", "", "", "", "", "", "", "", "u", ""] for i in range(n)])
+    df = M.read_manifest_csv(spark, str(d))
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.source_file.rsplit("/", 1)[-1], []).append((r.row_no, r.BRnum))
+    for f, rows in got.items():
+        assert sorted(rows) == [(i, f"{f}-{i}") for i in range(len(rows))]
+    assert sorted(len(v) for v in got.values()) == [3, 7, 12]

@@ -165,3 +165,10 @@ def test_keyset_pages_equal_offset_pages(spark, size, order):
             break
         by_key += got
     assert by_key == by_offset and len(by_key) == 21
+
+
+def test_upsert_drops_updates_without_a_key(spark):
+    cat = spark.createDataFrame([(1, "K1", "old")], "id long, brnumber string, title string")
+    upd = spark.createDataFrame([(0, None, "x"), (1, "K1", "new")], "row_no long, brnumber string, title string")
+    out = {r.brnumber: r.title for r in CA.upsert(cat, upd).collect()}
+    assert out == {"K1": "new"}
