@@ -70,7 +70,7 @@ def at_most_rows(df: DataFrame, n: int) -> bool:
 
 
 def presence_flag(df: DataFrame, other: DataFrame, keys: Sequence[str], flag: str,
-                  broadcast_keys: int = BROADCAST_KEYS, small: bool | None = None) -> DataFrame:
+                  broadcast_keys: int | None = None, small: bool | None = None) -> DataFrame:
     """Add boolean ``flag``: does ``other`` hold the same ``keys``? Never
     multiplies rows; rows with a NULL key are never present.
 
@@ -84,7 +84,8 @@ def presence_flag(df: DataFrame, other: DataFrame, keys: Sequence[str], flag: st
     keys = list(keys)
     right = other.select(*keys).where(_all_not_null(keys))
     if small is None:
-        small = at_most_rows(right, broadcast_keys)
+        limit = BROADCAST_KEYS if broadcast_keys is None else broadcast_keys
+        small = at_most_rows(right, limit)
     if small:
         known = F.broadcast(right.distinct().withColumn(flag, F.lit(True)))
         return (df.join(known, keys, "left")
