@@ -191,3 +191,14 @@ def test_row_positions_per_file_when_reading_many(spark, tmp_path):
     for f, rows in got.items():
         assert sorted(rows) == [(i, f"{f}-{i}") for i in range(len(rows))]
     assert sorted(len(v) for v in got.values()) == [3, 7, 12]
+
+
+def test_default_export_survives_newlines_and_quotes(spark, tmp_path):
+    """Q18: the quoted export keeps commas, quotes and newlines inside a field."""
+    rows = [(1, 'a "quoted", multi\nline title'), (2, "plain")]
+    df = spark.createDataFrame(rows, "id long, title string")
+    out = str(tmp_path / "q18")
+    TB.export_csv(df, out)
+    back = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+            .schema("id long, title string").csv(out))
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
