@@ -113,6 +113,7 @@ def shaped_v(fx: Fixtures) -> DataFrame:
 @register("b1_slice_rows", with_views(
     "select * from manifest_v where row_no >= 20 and row_no < 120", "manifest_v"))
 def q_b1(spark, sf):
+    """Manifest rows 20-119 in file order (start_row=20, num_rows=100)."""
     return P.slice_rows(Fixtures(spark, sf).manifest_v(), 20, 100)
 
 
@@ -123,6 +124,7 @@ select row_no, "BRnum" as brnumber, "Title" as title, "Publication Year" as publ
        "Pdf_URL" as pdf_url, "Report Html Address" as pdf_backup_url
 from raw_manifest_v""", "raw_manifest_v"))
 def q_b2(spark, sf):
+    """Manifest headers mapped to catalog names; the absent Region column becomes ''."""
     return P.map_columns(P.require_columns(Fixtures(spark, sf).raw_manifest_v()))
 
 
@@ -141,6 +143,7 @@ select row_no, username, email,
   """ + VALID_ACCOUNT_SQL + """ as is_valid
 from accounts_v""", "accounts_v"))
 def q_b3(spark, sf):
+    """Account rows with every violated rule's message."""
     df = P.with_errors(Fixtures(spark, sf).accounts_v(), C.account_rules())
     return df.select("row_no", "username", "email",
                      F.array_join("errors", "; ").alias("errors"),
@@ -151,6 +154,7 @@ def q_b3(spark, sf):
     "select row_no, lower(username) as username from accounts_v where " + VALID_ACCOUNT_SQL,
     "accounts_v"))
 def q_b4(spark, sf):
+    """Valid accounts with user names stored lower-case."""
     valid, _ = P.validate_rows(Fixtures(spark, sf).accounts_v(), C.account_rules())
     return P.normalise_key(valid, "username").select("row_no", "username")
 
@@ -162,6 +166,7 @@ select row_no, username, email,
 from (select row_no, lower(username) as username, email from accounts_v where """
     + VALID_ACCOUNT_SQL + ") v", "accounts_v"))
 def q_b5(spark, sf):
+    """Valid accounts: the first row per user name and per e-mail is accepted, the rest carry a reason."""
     valid, _ = P.validate_rows(Fixtures(spark, sf).accounts_v(), C.account_rules())
     valid = P.normalise_key(valid, "username")
     out = P.flag_duplicates(valid, ["username", "email"], [S.MSG_USERNAME_EXISTS, S.MSG_EMAIL_EXISTS])
@@ -183,6 +188,7 @@ select row_no, pdf_url, {BASE_NAME_SQL.format(u='pdf_url')} as file_name,
        else {BASE_NAME_SQL.format(u='pdf_url')} || '.pdf' end as stored_name
 from manifest_v""", "manifest_v"))
 def q_b6(spark, sf):
+    """File name (last URL piece) and stored name (.pdf appended) per manifest row."""
     df = P.derive_file_name(Fixtures(spark, sf).manifest_v())
     return df.select("row_no", "pdf_url", "file_name", C.stored_name("file_name").alias("stored_name"))
 
@@ -196,6 +202,7 @@ select seq, file_name,
   coalesce(string_split(file_name, '.')[-1] in ('xlsx', 'xls'), false) as upload_supported
 from uploads_v""", "uploads_v"))
 def q_b7(spark, sf):
+    """Extension and support flag per uploaded list, for runs (splitext) and uploads (last dot)."""
     u = Fixtures(spark, sf).uploads_v()
     run = P.flag_supported(u)
     up = P.flag_supported(u, allowed=S.UPLOAD_EXTENSIONS, mode="upload").select(
@@ -209,6 +216,7 @@ union all
 select row_no, brnumber, 2 as attempt, 'pdf_backup_url' as url_source, pdf_backup_url as url from manifest_v""",
     "manifest_v"))
 def q_b8(spark, sf):
+    """One row per manifest row and candidate URL (primary, then backup)."""
     m = Fixtures(spark, sf).manifest_v().select("row_no", "brnumber", "pdf_url", "pdf_backup_url")
     return P.explode_candidates(m).select("row_no", "brnumber", "attempt", "url_source", "url")
 
@@ -219,6 +227,7 @@ select row_no, attempt, url, {BASE_NAME_SQL.format(u='url')} as file_name,
 from (select row_no, 1 as attempt, pdf_url as url from manifest_v
       union all select row_no, 2 as attempt, pdf_backup_url as url from manifest_v) c""", "manifest_v"))
 def q_b9(spark, sf):
+    """Candidate URLs with the earlier script's .pdf-suffix check."""
     m = Fixtures(spark, sf).manifest_v().select("row_no", "pdf_url", "pdf_backup_url")
     c = P.explode_candidates(m)
     c = P.derive_file_name(c, "url")
@@ -238,6 +247,7 @@ select seq, file_name,
        end as message
 from uploads_v""", "uploads_v", "runs_v"))
 def q_b10(spark, sf):
+    """Uploaded lists admitted or refused against the stored lists (no overwrite)."""
     fx = Fixtures(spark, sf)
     registry = fx.runs_v().select(F.col("running_file").alias("file_name"))
     _, decided = P.register_manifests(fx.uploads_v(), registry)
@@ -250,6 +260,7 @@ def q_b10(spark, sf):
     "select row_no, file_name, in_folder from (" + PLAN_SQL + ") p",
     "manifest_v", "files_v", "catalog_v"))
 def q_c1(spark, sf):
+    """Per manifest row: is its raw file name in the folder and a .pdf name?"""
     fx = Fixtures(spark, sf)
     m = P.derive_file_name(fx.manifest_v())
     return FP.mark_existing_files(m, fx.files_v()).select("row_no", "file_name", "in_folder")
@@ -259,6 +270,7 @@ def q_c1(spark, sf):
     "select row_no, brnumber, in_catalog, catalog_folder, catalog_file_name from (" + PLAN_SQL + ") p",
     "manifest_v", "files_v", "catalog_v"))
 def q_c2(spark, sf):
+    """Per manifest row: is its key TRUE in the catalog, and where was it stored?"""
     fx = Fixtures(spark, sf)
     return FP.mark_already_downloaded(fx.manifest_v(), fx.catalog_v()).select(
         "row_no", "brnumber", "in_catalog", "catalog_folder", "catalog_file_name")
@@ -268,6 +280,7 @@ def q_c2(spark, sf):
     "select row_no, brnumber, file_name, decision, file_folder, stored_name, message from ("
     + DECIDED_SQL + ") d", "manifest_v", "files_v", "catalog_v"))
 def q_c3(spark, sf):
+    """The fetch plan (flagship): decision, folder, stored name and message per manifest row."""
     return plan_v(Fixtures(spark, sf)).select(
         "row_no", "brnumber", "file_name", "decision", "file_folder", "stored_name", "message")
 
@@ -312,6 +325,7 @@ select row_no, coalesce(starts_with(content, '%PDF-'), false) as signature_ok,
        else '{S.MSG_NOT_PDF}' end as message
 from payload_v""", "payload_v"))
 def q_c5(spark, sf):
+    """Signature check of the stored bodies, as a fetch would report it."""
     df = FE.signature_outcome(FE.check_signature(Fixtures(spark, sf).payload_v()))
     return df.select("row_no", "signature_ok", "outcome", "message")
 
@@ -348,6 +362,7 @@ from manifest_v""", "manifest_v")
 
 @register("c7_shape_result", with_views(SHAPED_SQL, "manifest_v", "files_v", "catalog_v", "payload_v"))
 def q_c7(spark, sf):
+    """Catalog rows of a whole run, fetch rows judged on the stored bodies."""
     return shaped_v(Fixtures(spark, sf))
 
 
@@ -373,6 +388,7 @@ from catalog_v c full outer join
   (select * from ({SHAPED_SQL}) s where row_no >= {SLICE_START} and row_no < {SLICE_START + SLICE_ROWS}) u
   on c.brnumber = u.brnumber""", "manifest_v", "files_v", "catalog_v", "payload_v"))
 def q_d1(spark, sf):
+    """Catalog after upserting the outcome rows of a run over rows 100-199."""
     fx = Fixtures(spark, sf)
     updates = P.slice_rows(shaped_v(fx), SLICE_START, SLICE_ROWS)
     return CA.upsert(fx.catalog_v(), updates)
@@ -385,6 +401,7 @@ select (select coalesce(max(id), 0) from catalog_v) + 1 + s.row_no as id, brnumb
 from ({SHAPED_SQL}) s where not exists (select 1 from catalog_v c where c.brnumber = s.brnumber)""",
     "manifest_v", "files_v", "catalog_v", "payload_v"))
 def q_d2(spark, sf):
+    """Catalog after appending the run's rows whose keys are new."""
     fx = Fixtures(spark, sf)
     table, _ = CA.append_rows(fx.catalog_v(), shaped_v(fx))
     return table
@@ -399,6 +416,7 @@ select {", ".join(f"case when u.brnumber is not null then u.{c} else c.{c} end a
 from catalog_v c left join ({SHAPED_SQL}) u on u.brnumber = c.brnumber""",
     "manifest_v", "files_v", "catalog_v", "payload_v"))
 def q_d3(spark, sf):
+    """Catalog with status, message and date updated from the run's rows."""
     fx = Fixtures(spark, sf)
     changes = shaped_v(fx).select("row_no", "brnumber", *D3_COLS)
     return CA.update_rows(fx.catalog_v(), changes)
@@ -409,6 +427,7 @@ select row_no, brnumber from ({SHAPED_SQL}) u
 where not exists (select 1 from catalog_v c where c.brnumber = u.brnumber)""",
     "manifest_v", "files_v", "catalog_v", "payload_v"))
 def q_d3m(spark, sf):
+    """Run rows whose key the catalog lacks (an update would miss them)."""
     fx = Fixtures(spark, sf)
     return CA.update_misses(fx.catalog_v(), shaped_v(fx).select("row_no", "brnumber"))
 
@@ -418,6 +437,7 @@ select * from catalog_v c
 where not exists (select 1 from ({DECIDED_SQL}) d where d.decision = 'failed' and d.brnumber = c.brnumber)""",
     "manifest_v", "files_v", "catalog_v"))
 def q_d4(spark, sf):
+    """Catalog without the keys the plan marks failed."""
     fx = Fixtures(spark, sf)
     keys = plan_v(fx).where(F.col("decision") == "failed").select("brnumber")
     return CA.delete_rows(fx.catalog_v(), keys, key="brnumber")
@@ -428,6 +448,7 @@ select brnumber from ({DECIDED_SQL}) d
 where d.decision = 'failed' and not exists (select 1 from catalog_v c where c.brnumber = d.brnumber)""",
     "manifest_v", "files_v", "catalog_v"))
 def q_d4m(spark, sf):
+    """Keys to delete that the catalog does not hold."""
     fx = Fixtures(spark, sf)
     keys = plan_v(fx).where(F.col("decision") == "failed").select("brnumber")
     return CA.delete_misses(fx.catalog_v(), keys, key="brnumber")
@@ -477,11 +498,13 @@ E1_FILTER = '{"download_status": "TRUE", "region": "EUROPE"}'
 @register("e1_filter_equals", with_views(
     "select * from catalog_v where download_status = 'TRUE' and region = 'EUROPE'", "catalog_v", "manifest_v"))
 def q_e1(spark, sf):
+    """Catalog rows matching a JSON filter spec (status TRUE, region EUROPE)."""
     return BR.filter_equals(Fixtures(spark, sf).catalog_v(), E1_FILTER)
 
 
 @register("e2_sort_by", with_views("select * from catalog_v", "catalog_v", "manifest_v"))
 def q_e2(spark, sf):
+    """Catalog sorted by publication year, descending, ties on brnumber."""
     return BR.sort_by(Fixtures(spark, sf).catalog_v(), "publication_year", "desc")
 
 
@@ -489,6 +512,7 @@ def q_e2(spark, sf):
     "select * from catalog_v order by title asc nulls first, brnumber asc limit 20 offset 40",
     "catalog_v", "manifest_v"))
 def q_e3(spark, sf):
+    """Third page of 20 catalog rows ordered by title."""
     return BR.page(BR.sort_by(Fixtures(spark, sf).catalog_v(), "title", "asc"), 3, 20)
 
 
@@ -507,6 +531,7 @@ def q_e3k(spark, sf):
 select count(id) as total, cast(ceil(count(id) / 10) as bigint) as total_pages
 from catalog_v where download_status = 'FALSE'""", "catalog_v", "manifest_v"))
 def q_e4(spark, sf):
+    """Count and page count of FALSE catalog rows (page size 10)."""
     return BR.count_matching(Fixtures(spark, sf).catalog_v(), '{"download_status": "FALSE"}', page_size=10)
 
 
@@ -517,6 +542,7 @@ select p.*, t.total_pdfs from
   (select count(id) as total_pdfs from catalog_v where download_status = 'FALSE') t""",
     "catalog_v", "manifest_v"))
 def q_e5(spark, sf):
+    """Second page of FALSE rows by publication year with the filtered total."""
     return BR.query_catalog(Fixtures(spark, sf).catalog_v(), '{"download_status": "FALSE"}',
                             "publication_year", "desc", 2, 10)
 
@@ -526,6 +552,7 @@ select * from catalog_v c
 where c.brnumber in (select brnumber from ({DECIDED_SQL}) d where d.decision = 'fetch')""",
     "manifest_v", "files_v", "catalog_v"))
 def q_e6(spark, sf):
+    """Catalog entries of the keys the plan will fetch."""
     fx = Fixtures(spark, sf)
     keys = plan_v(fx).where(F.col("decision") == "fetch").select("brnumber")
     return BR.lookup(fx.catalog_v(), "brnumber", keys)
@@ -536,6 +563,7 @@ select distinct brnumber from ({DECIDED_SQL}) d
 where d.decision = 'fetch' and brnumber not in (select brnumber from catalog_v)""",
     "manifest_v", "files_v", "catalog_v"))
 def q_e6m(spark, sf):
+    """Keys the plan will fetch that the catalog does not hold."""
     fx = Fixtures(spark, sf)
     keys = plan_v(fx).where(F.col("decision") == "fetch").select("brnumber")
     return BR.lookup_misses(fx.catalog_v(), "brnumber", keys)
@@ -554,6 +582,7 @@ from catalog_v c
 left join (select distinct 'archive' as file_folder, file_name from files_v) f
   on f.file_folder = c.file_folder and f.file_name = c.file_name""", "catalog_v", "manifest_v", "files_v"))
 def q_e7(spark, sf):
+    """Delivery answers (local URI, links, deliverable path or reason) per catalog row."""
     fx = Fixtures(spark, sf)
     listing = fx.files_v().select(F.lit("archive").alias("file_folder"), "file_name")
     return BR.resolve_delivery(fx.catalog_v(), listing)
@@ -563,6 +592,7 @@ def q_e7(spark, sf):
     "select * exclude (id, file_folder, pdf_url, pdf_backup_url, file_name) from catalog_v",
     "catalog_v", "manifest_v"))
 def q_e8(spark, sf):
+    """Catalog columns the browsing table shows."""
     return BR.public_view(Fixtures(spark, sf).catalog_v(), table=True)
 
 
@@ -605,11 +635,13 @@ ENCODE_SQL = """'{"successful": ' || successful || ', "already_downloaded": ' ||
 
 @register("f1_outcome_counts", with_views(F1_SQL, "attempts_v"))
 def q_f1(spark, sf):
+    """Outcome counters per run."""
     return RU.outcome_counts(Fixtures(spark, sf).attempts_v())
 
 
 @register("f2_running_counts", with_views(F2_SQL, "attempts_v"))
 def q_f2(spark, sf):
+    """Counters after every finished attempt, per run in time order."""
     return RU.running_counts(Fixtures(spark, sf).attempts_v())
 
 
@@ -618,6 +650,7 @@ select * from ({F2_SQL}) r
 qualify row_number() over (partition by run_id, epoch_us(finished_at) // 1000000
                            order by finished_at desc, seq desc) = 1""", "attempts_v"))
 def q_f3(spark, sf):
+    """Running counters kept once per one-second slot per run."""
     return RU.sample_progress(Fixtures(spark, sf).attempts_v(), seconds=1)
 
 
@@ -626,6 +659,7 @@ select task_id, status, processed_rows, num_rows, {PROGRESS_SQL} as progress,
   case when status = 'running' and {PROGRESS_SQL} = 100.0 then 'finalizing' else status end as state
 from runs_v""", "runs_v"))
 def q_f4(spark, sf):
+    """Progress percentage and shown state per run."""
     return RU.progress_state(Fixtures(spark, sf).runs_v()).select(
         "task_id", "status", "processed_rows", "num_rows", "progress", "state")
 
@@ -635,6 +669,7 @@ select task_id, status, {DURATION_SQL} as running_seconds,
   {_duration_text_sql(DURATION_SQL)} as running_time
 from runs_v""", "runs_v"))
 def q_f5(spark, sf):
+    """Running time per run (now for running runs) in seconds and as text."""
     return RU.run_duration(Fixtures(spark, sf).runs_v(), RUN_NOW).select(
         "task_id", "status", "running_seconds", "running_time")
 
@@ -647,6 +682,7 @@ from (select q.*, min(seq) over (partition by running_file) as first_seq,
              running_file in (select running_file from runs_v where status = 'running') as busy
       from requests_v q) x""", "requests_v", "runs_v"))
 def q_f6(spark, sf):
+    """Run requests accepted or refused because the file is already running."""
     fx = Fixtures(spark, sf)
     return RU.pending_manifests(fx.requests_v(), fx.runs_v()).select("seq", "running_file", "decision", "message")
 
@@ -658,6 +694,7 @@ select c.seq, c.task_id,
        else '{S.MSG_TASK_FINISHED}' end as message
 from cancels_v c left join runs_v r on r.task_id = c.task_id""", "cancels_v", "runs_v"))
 def q_f7(spark, sf):
+    """Answer to each cancel request."""
     fx = Fixtures(spark, sf)
     _, answered = RU.apply_cancels(fx.runs_v(), fx.cancels_v())
     return answered.select("seq", "task_id", "message")
@@ -670,6 +707,7 @@ select task_id, running_file,
   start_time, end_time, processed_rows, num_rows
 from runs_v""", "cancels_v", "runs_v"))
 def q_f7r(spark, sf):
+    """Runs after the cancel requests (cancelled is terminal)."""
     fx = Fixtures(spark, sf)
     after, _ = RU.apply_cancels(fx.runs_v(), fx.cancels_v())
     return after
@@ -681,6 +719,7 @@ select run_id, {ENCODE_SQL} as results, successful as decoded_successful,
   processed_rows as decoded_processed_rows
 from ({F1_SQL}) c""", "attempts_v"))
 def q_f8(spark, sf):
+    """Run counters as JSON text and decoded back."""
     enc = RU.encode_results(RU.outcome_counts(Fixtures(spark, sf).attempts_v()))
     dec = RU.decode_results(enc.select("run_id", "results"))
     return dec.select("run_id", "results", *[F.col(f"decoded.{k}").alias(f"decoded_{k}")
@@ -697,6 +736,7 @@ select a.run_id, count(*) filter (where outcome = 'successful') as successful,
 from attempts_v a join runs_v r on r.task_id = a.run_id group by a.run_id, r.num_rows""",
     "attempts_v", "runs_v"))
 def q_f9(spark, sf):
+    """The earlier script's failed count by subtraction."""
     fx = Fixtures(spark, sf)
     return RU.failed_by_subtraction(fx.attempts_v(), fx.runs_v().withColumnRenamed("task_id", "run_id"))
 
@@ -711,6 +751,7 @@ select r.task_id, r.status,
 from runs_v r left join (select run_id, {ENCODE_SQL} as results from ({F1_SQL}) f) c
   on c.run_id = r.task_id""", "attempts_v", "runs_v"))
 def q_f10(spark, sf):
+    """One report record per run: state, times, progress, counters as JSON."""
     fx = Fixtures(spark, sf)
     return RU.run_report(fx.runs_v(), fx.attempts_v(), RUN_NOW).select(
         "task_id", "status", "state", "start_time", "end_time", "running_seconds", "running_time",
