@@ -206,22 +206,18 @@ class ChunkTable:
     def ask_again(self, answers: DataFrame, request: Callable) -> DataFrame:
         """As ``ask``, with the answers so far: ``request(body, {kind: {bucket: block}})``."""
         def ask_one(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows:
-                return _empty(REQUEST)
             body, chunk = left["body"][0].as_py(), left["chunk"][0].as_py()
             return pa.Table.from_batches([_request_rows(chunk, request(body, _by_kind(right)))])
 
-        return (self.df.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+        return (self.df.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk"))
                 .applyInArrow(ask_one, REQUEST))
 
     def finish(self, answers: DataFrame, result: Callable, schema: str) -> DataFrame:
         """``result(body, {kind: {bucket: block}})`` makes the rows (an Arrow table)."""
         def finish_one(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows:
-                return _empty(schema)
             return result(left["body"][0].as_py(), _by_kind(right))
 
-        return (self.df.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+        return (self.df.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk"))
                 .applyInArrow(finish_one, schema))
 
 
@@ -272,13 +268,6 @@ def _by_kind(answers: pa.Table) -> dict[int, dict[int, bytes]]:
     return out
 
 
-def _empty(ddl: str) -> pa.Table:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(ddl)).empty_table()
-
-
 # --- documents inside a chunk ------------------------------------------------------
 
 def pack_texts(doc_ids: pa.Array, texts: pa.Array) -> bytes:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfetch.llm import bpe, substring, suffix_buckets
+from docfetch.llm import bpe, katz, substring, suffix_buckets
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op2_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+@query
+def op3_katz_lm(spark, sf_dir):
+    return katz.score(documents(spark, sf_dir))
+
+
 @query
 def op9_byte_bpe(spark, sf_dir):
     ranks, pattern = vocabulary(spark)
