@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfetch.llm import bpe, katz, substring, suffix_buckets
+from docfetch.llm import bpe, decontaminate, katz, substring, suffix_buckets
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,39 @@ def vocabulary(spark: SparkSession, name: str = VOCABULARY) -> tuple[dict[bytes,
     return bpe.read_ranks(spark, public_tokenizers.path(name)), public_tokenizers.PATTERN
 
 
+@query
+def op1_decontamination(spark, sf_dir):
+    out = decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
+
+
+ORACLE["op1_decontamination"] = r"""
+with dw as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
+iw as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+win as (
+  select distinct item_id, least(10, len(w)) as n, array_to_string(w[i + 1:i + least(10, len(w))], ' ') as k
+  from (select item_id, w, unnest(range(len(w) - least(10, len(w)) + 1)) as i from iw where len(w) > 0)),
+sizes as (select distinct n from win),
+dwin as (
+  select doc_id, n, i, array_to_string(w[i + 1:i + n], ' ') as k
+  from (select doc_id, w, n, unnest(range(len(w) - n + 1)) as i from dw, sizes where len(w) >= n)),
+hit as (select d.doc_id, d.i, d.n, v.item_id from dwin d join win v on v.n = d.n and v.k = d.k),
+cov as (select doc_id, count(*) as n_hit from (
+  select distinct doc_id, unnest(range(i, i + n)) as p from (select distinct doc_id, i, n from hit)) group by 1),
+ids as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids
+  from (select distinct doc_id, cast(item_id as varchar) as id from hit) group by 1)
+select dw.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from dw left join cov on cov.doc_id = dw.doc_id left join ids on ids.doc_id = dw.doc_id
+"""
+
+
 @query
 def op2_substring_dedup(spark, sf_dir):
     out = substring.dedup_substrings(documents(spark, sf_dir), window=20)
