@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfetch.llm import bpe, decontaminate, katz, substring, suffix_buckets
+from docfetch.llm import bpe, decontaminate, katz, pii, risk_rules, substring, suffix_buckets
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,23 @@ def op3_katz_lm(spark, sf_dir):
     return katz.score(documents(spark, sf_dir))
 
 
+@query
+def op5_pii(spark, sf_dir):
+    found = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["base"])
+    of_kind = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k))
+    counts = [of_kind(k).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.render(base), 256).alias("base_sha256"),
+                        pii.render(F.col("pii")).alias("spans"))
+
+
+@query
+def op6_risk_rules(spark, sf_dir):
+    out = risk_rules.apply_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept")
+
+
 @query
 def op9_byte_bpe(spark, sf_dir):
     ranks, pattern = vocabulary(spark)
