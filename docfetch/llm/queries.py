@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfetch.llm import bpe, decontaminate, katz, pii, risk_rules, substring, suffix_buckets
+from docfetch.llm import bpe, decontaminate, jaccard_join, katz, pii, risk_rules, substring, suffix_buckets
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,11 @@ def op3_katz_lm(spark, sf_dir):
     return katz.score(documents(spark, sf_dir))
 
 
+@query
+def op4_jaccard_join(spark, sf_dir):
+    return jaccard_join.groups(documents(spark, sf_dir), n=3, num=90).select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op5_pii(spark, sf_dir):
     found = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text"))
