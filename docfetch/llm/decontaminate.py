@@ -32,9 +32,10 @@ def words(text: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = 5, id_col: str = "doc_id",
-                  text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                  text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
+                  keep_key: bool = False) -> DataFrame:
     """Per document row: n_words, n_hit, item_ids (sorted) and ``spans``, the hit word
-    windows as (start, end) structs."""
+    windows as (start, end) structs; ``keep_key`` adds text_key, xxhash64 of the text."""
     if not 1 <= gram <= window:
         raise ValueError("a gram has 1 to window words")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -116,7 +117,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
                  F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")))
     no_spans = F.array().cast("array<struct<start:int,end:int>>")
     return (join_documents(flags, hits, "left")
-            .select("doc_id", F.col("n_words").cast("long").alias("n_words"),
+            .select("doc_id", *["text_key"] * keep_key, F.col("n_words").cast("long").alias("n_words"),
                     F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
                     F.coalesce("spans", no_spans).alias("spans")))

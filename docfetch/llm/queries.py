@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfetch.llm import bpe, decontaminate, jaccard_join, katz, pii, risk_rules, substring, suffix_buckets
+from docfetch.llm import bpe, decontaminate, jaccard_join, katz, pii, risk_rules, substring, suffix_buckets, token_order, weak_quality
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,18 @@ def op6_risk_rules(spark, sf_dir):
                       "base_failed", "kept")
 
 
+@query
+def op7_weak_quality(spark, sf_dir):
+    judged = weak_quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.select("doc_id", "quality_score", "quality_accepted")
+
+
+@query
+def op8_token_order(spark, sf_dir):
+    ranks, pattern = vocabulary(spark)
+    return token_order.slots(token_order.materialise(documents(spark, sf_dir), ranks, pattern))
+
+
 @query
 def op9_byte_bpe(spark, sf_dir):
     ranks, pattern = vocabulary(spark)

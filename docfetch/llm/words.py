@@ -10,28 +10,35 @@ import pyarrow as pa
 from docfetch.llm.chunks import byte_values, mix, pieces, prefix_sums, span_hash
 
 SEPARATOR = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
+#: ASCII other than letters and digits
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_keys(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_keys(texts: pa.Array, lower: bool = True,
+              separator: np.ndarray = SEPARATOR) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of documents: the first one's index, the keys of their words in order, and
     the number of words of each document (null: none)."""
+    values = byte_values()[LOWER] if lower else byte_values()
+    for a, text, ends in text_bytes(texts):
+        starts = np.concatenate([[0], ends[:-1]])
+        begin, end = word_places(text, starts, separator)
+        doc = np.searchsorted(starts, begin, side="right") - 1
+        yield a, span_hash(prefix_sums(values[text]), begin, end), np.bincount(doc, minlength=len(ends))
+
+
+def text_bytes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of documents: the first one's index, their bytes and where each one ends."""
     texts = texts.cast(pa.binary())
     lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    values = byte_values()[LOWER] if lower else byte_values()
     for a, b in pieces(lengths):
-        text = np.frombuffer(b"".join(x.as_py() or b"" for x in texts[a:b]), np.uint8)
-        ends = np.cumsum(lengths[a:b])
-        starts = ends - lengths[a:b]
-        begin, end = word_places(text, starts)
-        doc = np.searchsorted(starts, begin, side="right") - 1
-        yield a, span_hash(prefix_sums(values[text]), begin, end), np.bincount(doc, minlength=b - a)
+        yield (a, np.frombuffer(b"".join(x.as_py() or b"" for x in texts[a:b]), np.uint8), np.cumsum(lengths[a:b]))
 
 
-def word_places(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_places(text: np.ndarray, starts: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
     """Where words begin and end; a word also ends where a document does."""
-    inside = ~SEPARATOR[text]
+    inside = ~separator[text]
     edge = np.zeros(len(text) + 1, bool)
     edge[starts] = True
     edge[-1] = True
