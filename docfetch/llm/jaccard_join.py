@@ -36,6 +36,7 @@ from docfetch.llm.words import shingle_sets
 
 SLOTS_LOG = 18       # of the rarity sketch: 2**18 counters, whatever the corpus
 RANGES = 32          # key ranges of the suffix filter
+MARKS_LOG = 22       # bits of the table of asked texts
 
 
 def _slots(keys: np.ndarray) -> np.ndarray:
@@ -59,6 +60,10 @@ def _rarity(docs: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def _mark(text_key):
+    return F.shiftrightunsigned(text_key, 64 - MARKS_LOG).cast("int")
+
+
 def _digest(keys: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(keys.tobytes())
 
@@ -149,11 +154,18 @@ def groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
 
 def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
+    spark = docs.sparkSession
     asked = pairs.select(F.col("a").alias("entity")).unionByName(pairs.select(F.col("b").alias("entity"))).distinct()
     shown = entities.join(asked, "entity", "left_semi").select("entity", "doc_id", "text_key")
+    # which texts are asked for, as a bit table of fixed size: the other texts, but for those
+    # that share a bit, need no shuffle (a full table only filters less)
+    marks = np.zeros(1 << MARKS_LOG, bool)
+    marks[shown.select(_mark(F.col("text_key")).alias("mark")).distinct().toArrow()["mark"].to_numpy()] = True
+    marked = spark.sparkContext.broadcast(marks)
 
     def pack(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(marked.value[batch["mark"].to_numpy()]))
             sizes, keys, ranges = [], [], []
             for x in shingle_sets(batch["text"], n):
                 sizes.append(len(x))
@@ -161,11 +173,12 @@ def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, n: int, nu
                 ranges.append(np.bincount((x >> np.uint64(59)).astype(np.int64), minlength=RANGES)
                               .astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch["entity"], pa.array(sizes, pa.int32()), pa.array(ranges, pa.binary()),
-                 pa.array(keys, pa.binary())], names=["entity", "size", "ranges", "keys"])
+                [batch["doc_id"], batch["text_key"], pa.array(sizes, pa.int32()), pa.array(ranges, pa.binary()),
+                 pa.array(keys, pa.binary())], names=["doc_id", "text_key", "size", "ranges", "keys"])
 
-    texts = join_documents(docs.where("text is not null"), shown, "inner").select("entity", "text")
-    sets = stored(texts.mapInArrow(pack, "entity long, size int, ranges binary, keys binary"), "asked_sets")
+    packed = (docs.where("text is not null").withColumn("mark", _mark(F.col("text_key")))
+              .mapInArrow(pack, "doc_id long, text_key long, size int, ranges binary, keys binary"))
+    sets = stored(join_documents(packed, shown, "inner").select("entity", "size", "ranges", "keys"), "asked_sets")
     side = lambda x: sets.select(*(F.col(c).alias(x + "_" + c) for c in sets.columns))
     joined = (pairs.join(side("a"), F.col("a") == F.col("a_entity")).drop("a_entity")
               .join(side("b"), F.col("b") == F.col("b_entity")).drop("b_entity"))
