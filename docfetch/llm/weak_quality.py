@@ -1,13 +1,14 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote good (+1), bad (-1) or nothing (0) on every document.
+Overlapping heuristic labellers vote good (+1), bad (-1) or nothing (0) on every document: one
+for each kind of defect, which says nothing of documents without it, and one for plain prose.
 Expectation-maximisation over the counts of vote patterns of all documents estimates how
 each labeller votes on good and on bad ones; where a hand label exists the class is
 known. The posterior labels of a bounded sample (``sample`` documents, labelled ones
 first, in the order of a hash) train a linear scorer over hashed words and the votes,
 and the scorer judges every document.
 
-Only two things reach the driver: the pattern counts (3**7 patterns by label at most) and
+Only two things reach the driver: the pattern counts (3**8 patterns by label at most) and
 the sample.
 
 Defined cases: a null or empty text has no words; its labellers abstain and the scorer's
@@ -23,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfetch.llm.words import NOT_ALNUM, text_bytes, word_keys
+from docfetch.llm.chunks import span_hash
+from docfetch.llm.words import NOT_ALNUM, text_bytes, word_keys, word_spans
 
 SLOTS_LOG = 18
+STEMS = (4, 5, 6)    # bytes of the word beginnings that are features beside the words
 # A gazetteer of insults.
 INSULTS = ["clown", "disgusting", "dumb", "fool", "garbage", "idiot", "idiotic", "imbecile", "loser", "moron",
            "pathetic", "scum", "stupid", "trash", "vermin", "worthless"]
-LABELLERS = ["symbols", "tables", "shouting", "exclaims", "stutters", "repeats", "insults"]
+LABELLERS = ["symbols", "tables", "shouting", "exclaims", "stutters", "repeats", "insults", "prose"]
 NO_LABEL = -1
 
 
@@ -45,15 +48,16 @@ def _per_doc(flags: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
 
 
-def _vote(value: np.ndarray, good_up_to: float, bad_from: float) -> np.ndarray:
-    return np.where(value >= bad_from, -1, np.where(value <= good_up_to, 1, 0))
+def _vote(value: np.ndarray, good_below: float, bad_from: float) -> np.ndarray:
+    return np.where(value >= bad_from, -1, np.where(value < good_below, 1, 0))
 
 
 def signals(texts: pa.Array):
     """Runs of documents: votes (documents x labellers), and the hashed words as
-    (document, slot, weight) with weights of length one a document."""
+    (document, slot, weight): the words and word beginnings it has, of length one a document."""
     insults = np.sort(np.concatenate([k for _, k, _ in word_keys(pa.array(INSULTS), separator=NOT_ALNUM)]))
-    for (_, text, ends), (_, keys, counts) in zip(text_bytes(texts), word_keys(texts, separator=NOT_ALNUM)):
+    for (_, text, ends), (_, sums, begin, end, counts) in zip(text_bytes(texts), word_spans(texts, separator=NOT_ALNUM)):
+        keys = span_hash(sums, begin, end)
         n, doc = np.maximum(counts, 1), np.repeat(np.arange(len(counts)), counts)
         upper = _class_counts(text, ends, bytes(range(65, 91)))
         letters = upper + _class_counts(text, ends, bytes(range(97, 123)))
@@ -67,20 +71,26 @@ def signals(texts: pa.Array):
         repeats = np.bincount(d, weights=again, minlength=len(counts)) / np.maximum(counts - 2, 1)
         found = _per_doc(insults[np.minimum(np.searchsorted(insults, keys), len(insults) - 1)] == keys, counts)
         votes = np.stack([
-            _vote(_class_counts(text, ends, b"#*$%&<>~^") / n, 0.05, 0.5),
-            _vote(_class_counts(text, ends, b"|") / n, 0.05, 0.3),
-            _vote(np.where(letters > 20, upper / np.maximum(letters, 1), 0.1), 0.15, 0.5),
-            _vote(_class_counts(text, ends, b"!") / n, 0.1, 0.5),
-            _vote(_per_doc(same, counts) / n, 0.03, 0.2),
-            _vote(repeats, 0.05, 0.4),
+            _vote(_class_counts(text, ends, b"#*$%&<>~^") / n, 0, 0.3),
+            _vote(_class_counts(text, ends, b"|") / n, 0, 0.2),
+            _vote(np.where(letters > 20, upper / np.maximum(letters, 1), 0.1), 0, 0.5),
+            _vote(_class_counts(text, ends, b"!") / n, 0, 0.5),
+            _vote(_per_doc(same, counts) / n, 0, 0.2),
+            _vote(repeats, 0, 0.4),
             np.where(found >= 0.01 * n, -(found > 0).astype(int), 0),
+            # the one labeller that speaks for a document: plain and civil prose
+            np.where(found > 0, 0, _vote((_class_counts(text, ends, b"#*$%&<>~^|!=_{}[]") + upper / 4) / n + repeats,
+                                         0.3, np.inf)),
         ], axis=1)
         votes[counts == 0] = 0
-        slots = (keys >> np.uint64(64 - SLOTS_LOG)).astype(np.int64)
-        cells, count = np.unique((doc << SLOTS_LOG) | slots, return_counts=True)
-        row, weight = cells >> SLOTS_LOG, np.log1p(count)
-        norm = np.sqrt(np.bincount(row, weights=weight ** 2, minlength=len(counts)))
-        yield votes, row, cells & ((1 << SLOTS_LOG) - 1), weight / norm[row]
+        stems = [span_hash(sums, begin[long], begin[long] + p) + np.uint64(p)
+                 for p in STEMS for long in [end - begin >= p]]
+        owner = np.concatenate([doc, *(doc[end - begin >= p] for p in STEMS)])
+        slots = (np.concatenate([keys, *stems]) >> np.uint64(64 - SLOTS_LOG)).astype(np.int64)
+        cells = np.unique((owner << SLOTS_LOG) | slots)
+        row = cells >> SLOTS_LOG
+        weight = 1 / np.sqrt(np.bincount(row, minlength=len(counts)))[row]
+        yield votes, row, cells & ((1 << SLOTS_LOG) - 1), weight
 
 
 def _patterns(votes: np.ndarray) -> np.ndarray:
@@ -95,7 +105,9 @@ def label_model(pattern: np.ndarray, label: np.ndarray, count: np.ndarray, round
     """Posterior probability of good for each (pattern, label) row."""
     table = _unpack(pattern)
     known = label != NO_LABEL
-    post = np.where(known, label, 1 / (1 + np.exp(-(table - 1).sum(axis=1).astype(float))))
+    # begin with every defect that a labeller reports taken for one: junk of one kind looks
+    # good to the labellers of all other kinds, so a majority would hide it
+    post = np.where(known, label, np.where((table == 0).any(axis=1), 0.1, 0.9))
     for _ in range(rounds):
         prior = (count @ post + 1) / (count.sum() + 2)
         log_odds = np.full(len(count), np.log(prior / (1 - prior)))
@@ -109,29 +121,35 @@ def label_model(pattern: np.ndarray, label: np.ndarray, count: np.ndarray, round
 
 def train(votes: np.ndarray, row: np.ndarray, slot: np.ndarray, weight: np.ndarray, target: np.ndarray,
           steps: int = 150, ridge: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regression by full gradient steps (Adam); (dense weights, slot weights)."""
-    dense = _dense(votes)
-    w = np.zeros(dense.shape[1] + (1 << SLOTS_LOG))
+    """Logistic regression by full gradient steps (Adam); (dense weights, slot weights).
+    A slot enters by its log ratio between good and bad documents, so that rare tell-tale
+    words need no more steps than frequent ones."""
+    dense, size = _dense(votes), 1 << SLOTS_LOG
+    good = (np.bincount(slot, weights=target[row], minlength=size) + 1) / (target.sum() + 2)
+    bad = (np.bincount(slot, weights=1 - target[row], minlength=size) + 1) / ((1 - target).sum() + 2)
+    ratio = np.log(good / bad)
+    weight = weight * ratio[slot]
+    w = np.zeros(dense.shape[1] + size)
     m, v, n = np.zeros_like(w), np.zeros_like(w), max(len(target), 1)
     for t in range(1, steps + 1):
         z = dense @ w[:dense.shape[1]] + np.bincount(row, weights=weight * w[dense.shape[1] + slot], minlength=len(target))
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
         gradient = np.concatenate([dense.T @ error, np.bincount(slot, weights=weight * error[row],
-                                                                minlength=1 << SLOTS_LOG)]) / n + ridge * w
+                                                                minlength=size)]) / n + ridge * w
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient ** 2
         w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
-    return w[:dense.shape[1]], w[dense.shape[1]:]
+    return w[:dense.shape[1]], w[dense.shape[1]:] * ratio
 
 
 def _dense(votes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((len(votes), 1)), votes == -1, votes == 1], axis=1).astype(float)
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample: int = 8000, threshold: float = 0.5,
+def classify(docs: DataFrame, labels: DataFrame, sample: int = 8000, threshold: float = 0.75,
              id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id",
              quality_col: str = "quality", toxic_col: str = "toxic") -> DataFrame:
     """The documents with ``quality_score`` (the scorer's probability of good) and
-    ``quality_accepted``."""
+    ``quality_accepted``. Most documents of a corpus are good, hence a threshold over a half."""
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 

@@ -20,12 +20,18 @@ def word_keys(texts: pa.Array, lower: bool = True,
               separator: np.ndarray = SEPARATOR) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of documents: the first one's index, the keys of their words in order, and
     the number of words of each document (null: none)."""
+    for a, sums, begin, end, counts in word_spans(texts, lower, separator):
+        yield a, span_hash(sums, begin, end), counts
+
+
+def word_spans(texts: pa.Array, lower: bool = True, separator: np.ndarray = SEPARATOR):
+    """As ``word_keys``, with the prefix sums and the words' places instead of their keys."""
     values = byte_values()[LOWER] if lower else byte_values()
     for a, text, ends in text_bytes(texts):
         starts = np.concatenate([[0], ends[:-1]])
         begin, end = word_places(text, starts, separator)
         doc = np.searchsorted(starts, begin, side="right") - 1
-        yield a, span_hash(prefix_sums(values[text]), begin, end), np.bincount(doc, minlength=len(ends))
+        yield a, prefix_sums(values[text]), begin, end, np.bincount(doc, minlength=len(ends))
 
 
 def text_bytes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
