@@ -131,11 +131,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
-    """Adds ``decoded``: the bytes of the ids, from the token-byte table (id -> bytes)."""
+    """Adds (or replaces) ``decoded``: the bytes of the ids, from the token-byte table (id -> bytes)."""
     shared = _share(encoded.sparkSession, ranks)
+    encoded = encoded.drop("decoded")
     names = encoded.columns
-    if "decoded" in names:
-        raise ValueError("the input already has a column 'decoded'")
     schema = encoded.withColumn("decoded", F.lit(b"").cast("binary")).schema
 
     def decode_all(batches):

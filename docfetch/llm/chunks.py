@@ -147,10 +147,10 @@ class ChunkTable:
         self.spark, self.df, self.n_keys, self.n_chunk_buckets = spark, df, n_keys, n_chunk_buckets
 
     @classmethod
-    def build(cls, docs: DataFrame, pack: Callable, chunk_bytes: int = CHUNK_BYTES) -> ChunkTable:
+    def build(cls, docs: DataFrame, pack: Callable, chunk_bytes: int | None = None) -> ChunkTable:
         """``docs`` has (doc_id long, text string); ``pack(doc_ids, texts)`` makes the
         chunk's body from the ids (nullable Arrow array) and texts (Arrow binary)."""
-        spark = docs.sparkSession
+        spark, chunk_bytes = docs.sparkSession, chunk_bytes or CHUNK_BYTES
 
         def pack_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext

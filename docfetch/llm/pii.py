@@ -17,7 +17,7 @@ a kind. The patterns are written with possessive repeats and may only begin wher
 can, which finds the same matches in time linear in the text.
 
 Defined cases: null and empty texts have no spans; repeated rows each get a row; an empty
-table gives an empty result; columns other than the named ones are ignored.
+table gives an empty result; a column of the input named ``pii`` is replaced.
 """
 
 from __future__ import annotations
@@ -192,9 +192,9 @@ def fit(votes: list[tuple[int, tuple[int, ...], int]], rounds: int = 50) -> dict
 
 def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = 0.9) -> DataFrame:
     """The documents with ``pii``: (kind, start, end, base) structs by kind, then start."""
-    if {"pii", "pii_text", "found"} & set(docs.columns):
-        raise ValueError("pii, pii_text and found are names of this operator's columns")
-    spans = voted(docs.select(F.col(text_col)), text_col)
+    others = [c for c in docs.columns if c not in ("pii", text_col)]
+    docs = docs.select(F.struct(*others).alias("others"), F.col(text_col).alias("given"))
+    spans = voted(docs.select("given"), "given")
     rows = (spans.select(F.explode("found").alias("s")).groupBy("s.kind", "s.votes").count()
             .orderBy("kind", "votes").collect())                           # 4 * 3**5 rows at most
     model = fit([(r[0], tuple(r[1]), r[2]) for r in rows])
@@ -208,7 +208,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", threshold: float = 0.9) ->
 
     kept = F.transform(F.filter("found", lambda s: s["base"] | likely(s)), lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
-    return voted(docs, text_col).withColumn("pii", F.array_sort(kept)).drop("found", "pii_text")
+    return voted(docs, "given").select("others.*", F.col("given").alias(text_col), F.array_sort(kept).alias("pii"))
 
 
 def render(spans: Column) -> Column:
