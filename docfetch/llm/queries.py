@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfetch.llm import bpe, decontaminate, jaccard_join, katz, pii, risk_rules, substring, suffix_buckets, token_order, weak_quality
+from docfetch.llm import (bpe, decontaminate, jaccard_join, katz, pii, risk_rules, substring, suffix_buckets,
+                          token_order, weak_quality)
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +69,22 @@ def op2_substring_dedup(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
 
 
+ORACLE["op2_substring_dedup"] = r"""
+with dw as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+win as (select doc_id, i, md5(array_to_string(w[i + 1:i + 20], ' ')) as k
+  from (select doc_id, w, unnest(range(len(w) - 19)) as i from dw where len(w) >= 20)),
+dup as (select doc_id, i from (
+  select doc_id, i, row_number() over (partition by k order by doc_id, i) as r from win) where r > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 20)) as p from dup),
+word as (select doc_id, unnest(range(len(w))) as p, unnest(w) as x from dw),
+kept as (select word.doc_id, string_agg(x, ' ' order by word.p) as t, count(*) as n
+  from word anti join gone on gone.doc_id = word.doc_id and gone.p = word.p group by 1)
+select dw.doc_id, cast(len(w) as bigint) as n_words, len(w) - coalesce(n, 0) as n_removed,
+  sha256(coalesce(t, '')) as kept_sha256
+from dw left join kept on kept.doc_id = dw.doc_id
+"""
+
+
 @query
 def op3_katz_lm(spark, sf_dir):
     return katz.score(documents(spark, sf_dir))
@@ -78,6 +95,24 @@ def op4_jaccard_join(spark, sf_dir):
     return jaccard_join.groups(documents(spark, sf_dir), n=3, num=90).select("doc_id", "n_shingles", "component_id")
 
 
+ORACLE["op4_jaccard_join"] = r"""
+with recursive dw as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),
+sh as (select distinct doc_id, md5(array_to_string(w[i + 1:i + 3], ' ')) as k
+  from (select doc_id, w, unnest(range(greatest(len(w) - 2, 1))) as i from dw where len(w) > 0)),
+size as (select doc_id, count(*) as n from sh group by 1),
+both_in as (select a.doc_id as a, b.doc_id as b, count(*) as both_n
+  from sh a join sh b on a.k = b.k and a.doc_id <> b.doc_id group by 1, 2),
+link as (select a, b from both_in join size x on x.doc_id = a join size y on y.doc_id = b
+  where 100 * both_n >= 90 * (x.n + y.n - both_n)),
+reach as (select doc_id as a, doc_id as b from documents
+  union select reach.a, link.b from reach join link on link.a = reach.b)
+select d.doc_id, coalesce(n, 0) as n_shingles, c as component_id
+from documents d left join size on size.doc_id = d.doc_id
+join (select a, min(b) as c from reach group by 1) on a = d.doc_id
+"""
+
+
 @query
 def op5_pii(spark, sf_dir):
     found = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text"))
@@ -95,6 +130,44 @@ def op6_risk_rules(spark, sf_dir):
                       "base_failed", "kept")
 
 
+ORACLE["op6_risk_rules"] = r"""
+with dw as (select doc_id, lang, coalesce(text, '') as text,
+    coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w,
+    [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] as lines
+  from documents),
+gram as (select doc_id, i, array_to_string(w[i + 1:i + 5], ' ') as k
+  from (select doc_id, w, unnest(range(len(w) - 4)) as i from dw where len(w) >= 5)),
+rep as (select doc_id, count(*) as n from (
+  select distinct doc_id, unnest(range(i, i + 5)) as p from (
+    select doc_id, i, count(*) over (partition by doc_id, k) as c from gram) where c > 1) group by 1),
+f as (select dw.doc_id, lang, cast(len(w) as bigint) as n_words,
+    cast(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
+    cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+    cast(len(lines) as bigint) as n_lines,
+    cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words
+  from dw left join rep on rep.doc_id = dw.doc_id),
+b as (select *, __BASE__ as base_failed from f),
+test as (__TESTS__),
+good as (select doc_id from labels where quality is not null group by 1 having min(quality) = 1),
+t as (select coalesce(lang, '') as lang, rule, cutoff, count(*) as n, count(*) filter (where rejects) as k
+  from test where not base_failed and doc_id in (select doc_id from good) group by 1, 2, 3),
+p as (select *, case when k >= n * __SHARE__ then 1.0 else (
+    select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(__SHARE__) + (n - i) * ln(1 - __SHARE__)))
+    from unnest(range(k + 1)) as r(i)) end as p_value from t),
+holm as (select *, p_value * (count(*) over () - (rank() over (order by p_value) - 1)) as adjusted from p),
+certified as (select * from holm
+  where p_value < coalesce((select min(p_value) from holm where adjusted > __DELTA__), 2)),
+rejected as (select distinct doc_id from test join certified c
+  on c.lang = coalesce(test.lang, '') and c.rule = test.rule and c.cutoff = test.cutoff where rejects)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and doc_id not in (select doc_id from rejected) as kept
+from b
+""".replace("__BASE__", risk_rules.BASE_FAILED).replace("__SHARE__", repr(0.05 / len(risk_rules.RULES))).replace(
+    "__DELTA__", "0.05").replace("__TESTS__", " union all ".join(
+        f"select doc_id, lang, base_failed, '{rule}' as rule, {cutoff} as cutoff, {left} > {right} * {cutoff} as rejects from b"
+        for rule, (left, right, cutoffs) in risk_rules.RULES.items() for cutoff in cutoffs))
+
+
 @query
 def op7_weak_quality(spark, sf_dir):
     judged = weak_quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
