@@ -22,11 +22,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfetch.llm.bpe import _Encoders, _share
-from docfetch.llm.chunks import mix, stored
+from docfetch.llm.chunks import (ChunkTable, base_documents, get_ints, get_parts, mix, pack_ids, put_ints,
+                                 put_parts, stored, unpack_ids)
 
 ROUNDS = 6
 
@@ -47,39 +49,38 @@ def feistel(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def tokens(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, n, ids): token ids of the smallest unsigned type that holds them
-    and the end token, whose id is the first free one."""
-    shared = _share(docs.sparkSession, ranks)
-    end = max(ranks.values(), default=-1) + 1
-    kind = np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4")
-
-    def encode(batches):
-        encoder = _Encoders.get(pattern, shared)
-        for batch in batches:
-            ids = [np.array([*encoder.encode_ordinary(x.as_py() or ""), end], kind) for x in batch["text"]]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["text_key"], pa.array([len(x) for x in ids], pa.int64()),
-                 pa.array([x.tobytes() for x in ids], pa.binary())], names=["doc_id", "text_key", "n", "ids"])
-
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-            .withColumn("text_key", F.xxhash64("text"))
-            .mapInArrow(encode, "doc_id long, text_key long, n long, ids binary"))
-
-
 def materialise(docs: DataFrame, ranks: dict[bytes, int], pattern: str, length: int = 512, key: int = 20240601,
                 shard_slots: int = 4096, path: str | None = None, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """Writes the shards (to ``path``, or the shared folder) and returns them as a table:
-    (shard, first_slot, n_slots, stride, data)."""
+    (shard, first_slot, n_slots, stride, data). Token ids have the smallest unsigned type
+    that holds them and the end token, whose id is the first free one."""
+    spark = docs.sparkSession
+    shared = _share(spark, ranks)
     end = max(ranks.values(), default=-1) + 1
     kind = np.dtype("<u2") if end < 1 << 16 else np.dtype("<u4")
     stride = length * kind.itemsize
-    coded = stored(tokens(docs, ranks, pattern, id_col, text_col)
-                   .withColumn("row", F.monotonically_increasing_id()), "token_ids")
+
+    def pack(doc_ids: pa.Array, texts: pa.Array) -> bytes:
+        encoder = _Encoders.get(pattern, shared)
+        ids = [np.array([*encoder.encode_ordinary((t.as_py() or b"").decode()), end], kind) for t in texts]
+        keys = [xxhash.xxh3_64_intdigest(t.as_py() or b"") for t in texts]
+        return put_parts(pack_ids(doc_ids), put_ints(np.array(keys, np.uint64)),
+                         put_ints(np.array([len(x) for x in ids], np.int64)), put_ints(np.concatenate(ids)))
+
+    chunks = ChunkTable.build(base_documents(docs, id_col, text_col), pack)
 
     # where each document begins in the stream: sums inside ranges of ids, then over ranges
+    def sizes(batches):
+        for batch in batches:
+            for chunk, body in zip(batch["chunk"].to_pylist(), batch["body"]):
+                ids, keys, counts, _ = get_parts(body.as_py())
+                counts = get_ints(counts, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(counts), chunk)), pa.array(np.arange(len(counts), dtype=np.int32)),
+                     unpack_ids(ids), pa.array(get_ints(keys, np.int64)), pa.array(counts)],
+                    names=["chunk", "place", "doc_id", "text_key", "n"])
+
     def running(batches):
         from pyspark import TaskContext
 
@@ -88,38 +89,40 @@ def materialise(docs: DataFrame, ranks: dict[bytes, int], pattern: str, length:
             n = batch["n"].to_numpy()
             ends = at + np.cumsum(n)
             at = int(ends[-1]) if len(ends) else at
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["n"], pa.array(ends - n, pa.int64()),
+            yield pa.RecordBatch.from_arrays([batch["chunk"], batch["place"], batch["n"], pa.array(ends - n, pa.int64()),
                                               pa.array(np.full(len(n), part), pa.int32())],
-                                             names=["row", "n", "inside", "part"])
-
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = stored(coded.select("doc_id", "text_key", "row", "n")
-                     .repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "text_key", "row")
-                     .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text_key", "row").select("row", "n")
-                     .mapInArrow(running, "row long, n long, inside long, part int"), "offsets")
-    sums = sorted(tuple(r) for r in ordered.groupBy("part").agg(F.sum("n")).collect())   # a row a range
+                                             names=["chunk", "place", "n", "inside", "part"])
+
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_key"), F.col("chunk"), F.col("place")]
+    offsets = stored(chunks.df.mapInArrow(sizes, "chunk long, place int, doc_id long, text_key long, n long")
+                     .repartitionByRange(chunks.n_chunk_buckets, *order).sortWithinPartitions(*order)
+                     .select("chunk", "place", "n")
+                     .mapInArrow(running, "chunk long, place int, n long, inside long, part int"), "offsets")
+    sums = sorted(tuple(r) for r in offsets.groupBy("part").agg(F.sum("n")).collect())   # a row a range
     before = dict(zip([p for p, _ in sums], np.cumsum([0] + [s for _, s in sums]).tolist()))
     total = sum(s for _, s in sums)
     n_sequences = -(-total // length)
-    base = ordered.select("row", (F.col("inside") + _lookup(F.col("part"), before)).alias("base"))
-
-    def cut(batches):
-        for batch in batches:
-            sequence, start, data = [], [], []
-            for at, ids in zip(batch["base"].to_pylist(), batch["ids"].to_pylist()):
-                n = len(ids) // kind.itemsize
-                edges = [at, *range(at - at % length + length, at + n, length), at + n]
-                for a, b in zip(edges[:-1], edges[1:]):
-                    sequence.append(a // length)
-                    start.append(a % length)
-                    data.append(ids[(a - at) * kind.itemsize:(b - at) * kind.itemsize])
-            slot = feistel(np.array(sequence, np.int64), n_sequences, key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slot // shard_slots), pa.array((slot % shard_slots).astype(np.int32)),
-                 pa.array(start, pa.int32()), pa.array(data, pa.binary())], names=["shard", "place", "start", "data"])
-
-    pieces = coded.select("row", "ids").join(base, "row").mapInArrow(
-        cut, "shard long, place int, start int, data binary")
+    base = offsets.select("chunk", "place", (F.col("inside") + _lookup(F.col("part"), before)).alias("base"))
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The documents of a chunk, cut where sequences end."""
+        _, _, counts, ids = get_parts(left["body"][0].as_py())
+        ids, counts = get_ints(ids, kind).tobytes(), get_ints(counts, np.int64)
+        begin = right["base"].to_numpy()[np.argsort(right["place"].to_numpy())]
+        firsts = (np.cumsum(counts) - counts).tolist()
+        sequence, start, data = [], [], []
+        for at, n, first in zip(begin.tolist(), counts.tolist(), firsts):
+            edges = [at, *range(at - at % length + length, at + n, length), at + n]
+            for a, b in zip(edges[:-1], edges[1:]):
+                sequence.append(a // length)
+                start.append(a % length)
+                data.append(ids[(first + a - at) * kind.itemsize:(first + b - at) * kind.itemsize])
+        slot = feistel(np.array(sequence, np.int64), n_sequences, key)
+        return pa.table({"shard": pa.array(slot // shard_slots), "place": pa.array((slot % shard_slots).astype(np.int32)),
+                         "start": pa.array(start, pa.int32()), "data": pa.array(data, pa.binary())})
+
+    pieces = (chunks.df.groupBy("chunk").cogroup(base.groupBy("chunk"))
+              .applyInArrow(cut, "shard long, place int, start int, data binary"))
 
     def fill(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
@@ -136,7 +139,7 @@ def materialise(docs: DataFrame, ranks: dict[bytes, int], pattern: str, length:
     if path is None:
         return stored(shards, "shards")
     shards.write.mode("errorifexists").parquet(path)
-    return docs.sparkSession.read.schema(shards.schema).parquet(path)
+    return spark.read.schema(shards.schema).parquet(path)
 
 
 def _lookup(part, before: dict[int, int]):
