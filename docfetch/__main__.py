@@ -26,6 +26,8 @@ def main(argv: list[str] | None = None) -> int:
     r.add_argument("--partitions", type=int, default=None)
     r.add_argument("--concurrency", type=int, default=8)
     r.add_argument("--host-slots", type=int, default=None)
+    r.add_argument("--single-line", action="store_true", help="no line breaks inside cells: large CSVs are split")
+    r.add_argument("--encoding", default="UTF-8")
     c = sub.add_parser("cancel")
     c.add_argument("--state", required=True)
     c.add_argument("task_ids", nargs="+")
@@ -42,6 +44,7 @@ def main(argv: list[str] | None = None) -> int:
     e.add_argument("--compat", action="store_true")
     p = sub.add_parser("report")
     p.add_argument("--state", required=True)
+    p.add_argument("--limit", type=int, default=1000, help="the latest runs to print")
     args = ap.parse_args(argv)
 
     from docfetch.session import get_session
@@ -50,7 +53,8 @@ def main(argv: list[str] | None = None) -> int:
     if args.cmd == "run":
         from docfetch.plans.job import run_file
         rec = run_file(spark, args.file, args.state, args.dest, args.start_row, args.num_rows,
-                       num_partitions=args.partitions, concurrency=args.concurrency, host_slots=args.host_slots)
+                       num_partitions=args.partitions, concurrency=args.concurrency, host_slots=args.host_slots,
+                       multi_line=not args.single_line, encoding=args.encoding)
         print(json.dumps(rec, default=str))
         return 0
     if args.cmd == "cancel":
@@ -84,11 +88,9 @@ def main(argv: list[str] | None = None) -> int:
     if args.cmd == "report":
         from pyspark.sql import functions as F
 
-        from docfetch.operators.runs import progress_state, run_duration
-        from docfetch.plans.job import read_runs
-        runs = run_duration(progress_state(read_runs(spark, args.state)),
-                            F.current_timestamp().cast("timestamp_ntz"))
-        for row in runs.orderBy("start_time").collect():
+        from docfetch.plans.job import report
+        runs = report(spark, args.state, F.current_timestamp().cast("timestamp_ntz"))
+        for row in runs.orderBy(F.col("start_time").desc()).limit(args.limit).collect():
             print(json.dumps(row.asDict(), default=str))
         return 0
     return 2

@@ -144,9 +144,11 @@ class Fixtures:
         k = F.col("c_custkey")
         username = (F.when(k % 4 == 0, F.replace(F.col("c_name"), F.lit("#"), F.lit("_")))
                     .when(k % 4 == 1, F.lit("ab")).when(k % 4 == 2, F.col("c_name"))
-                    .otherwise(F.concat(F.lit("User_"), _s(k % 300))))
+                    .otherwise(F.concat(F.lit("User_"), _s(k % 60))))
+        # some accounts share the e-mail of one whose user name was taken
         email = (F.when(k % 5 == 0, F.lit("bad.address"))
-                 .otherwise(F.concat(F.lit("c"), _s(k % 700), F.lit("@example.org"))))
+                 .otherwise(F.concat(F.lit("c"), _s(F.when(k % 16 == 8, (k + 3) % 72).when(k % 4 == 3, k % 72)
+                                                    .otherwise(k % 700)), F.lit("@example.org"))))
         return c.select(k.alias("row_no"), username.alias("username"), email.alias("email"),
                         F.col("c_mktsegment").alias("segment"))
 
@@ -236,9 +238,10 @@ from attempts_v group by run_id"""),
     "accounts_v": ((), """
 select c_custkey as row_no,
        case c_custkey % 4 when 0 then replace(c_name, '#', '_') when 1 then 'ab' when 2 then c_name
-            else concat('User_', cast(c_custkey % 300 as string)) end as username,
+            else concat('User_', cast(c_custkey % 60 as string)) end as username,
        case when c_custkey % 5 = 0 then 'bad.address'
-            else concat('c', cast(c_custkey % 700 as string), '@example.org') end as email,
+            else concat('c', cast(case when c_custkey % 16 = 8 then (c_custkey + 3) % 72
+                 when c_custkey % 4 = 3 then c_custkey % 72 else c_custkey % 700 end as string), '@example.org') end as email,
        c_mktsegment as segment
 from customer"""),
     "uploads_v": ((), """

@@ -168,7 +168,7 @@ def resolve_delivery(catalog: DataFrame, files: DataFrame, mode: str | None = No
     ``local_uri`` (``file://folder/name``), the two ``link`` URLs, and for
     ``download`` either a ``deliver_path`` or the ``reason`` it cannot be
     delivered - no file name, file absent, status not TRUE, checked in that
-    order. ``files`` lists stored files as (file_folder, file_name).
+    order. ``files`` lists stored files as (file_folder, file_name), each once.
     ``mode`` (``local`` / ``link`` / ``download``) keeps only that answer."""
     if mode is not None and mode not in S.DELIVERY_MODES:
         raise QueryError(S.MSG_BAD_RESPONSE_TYPE)
@@ -182,7 +182,7 @@ def resolve_delivery(catalog: DataFrame, files: DataFrame, mode: str | None = No
              .withColumn("_jname", F.when(name == "", F.concat(F.lit("\u0000"), F.col("_salt").cast("string")))
                          .otherwise(name)))
     listing = files.select(F.col("file_folder").alias("_jfolder"), F.col("file_name").alias("_jname"))
-    j = presence_flag(keyed, listing, ["_jfolder", "_jname"], "_on_disk")
+    j = presence_flag(keyed, listing, ["_jfolder", "_jname"], "_on_disk", unique=True)
     path = F.concat(F.coalesce(F.col("file_folder"), F.lit("None")), F.lit("/"),
                     F.coalesce(F.col("file_name"), F.lit("None")))
     no_name = F.coalesce(F.col("file_name"), F.lit("")) == ""

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfetch import schemas as S
-from docfetch.operators.keys import keep_extreme_per_key, presence_flag
-from docfetch.operators.prepare import flag_duplicates
+from docfetch.operators.keys import keep_extreme_per_key
+from docfetch.operators.prepare import flag_duplicates, flag_duplicates_sequential
 
 
 def _max_id(table: DataFrame, id_col: str):
@@ -111,18 +111,9 @@ def delete_misses(table: DataFrame, keys: DataFrame, key: str = "id") -> DataFra
 # D5
 def insert_if_absent(table: DataFrame, rows: DataFrame, keys: Sequence[str] = ("username", "email"),
                      order: str = "row_no") -> DataFrame:
-    """Rows to seed: none of their unique fields is in the table or on an earlier
-    row of the batch."""
-    from docfetch.operators.keys import BROADCAST_KEYS, at_most_rows
-
-    out = rows
-    small = at_most_rows(table, BROADCAST_KEYS)   # one size check serves every key
-    for i, k in enumerate(keys):
-        out = presence_flag(out, table, [k], f"_in_table_{i}", small=small)
-    taken = F.lit(False)
-    for i in range(len(keys)):
-        taken = taken | F.col(f"_in_table_{i}")
-    out = out.where(~taken).drop(*[f"_in_table_{i}" for i in range(len(keys))])
+    """Rows to seed, as inserting them one at a time in ``order`` decides: none of
+    their unique fields is in the table or on an *inserted* earlier row of the
+    batch (a row that was refused takes no value)."""
     msgs = [f"{k} exists" for k in keys]
-    out = flag_duplicates(out, list(keys), msgs, order)
+    out = flag_duplicates_sequential(rows, list(keys), msgs, order, existing=table)
     return out.where(F.col("reject_reason").isNull()).drop("reject_reason")

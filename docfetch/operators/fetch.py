@@ -5,7 +5,7 @@ and the same on a retry); each task opens its URLs in order inside
 ``mapInPandas``. Partitions replace the original's thread pool; the number of
 partitions caps the number of open connections.
 
-Side effects under retry: a file is written to ``dest/.<name>.<uuid>.part`` and
+Side effects under retry: a file is written to ``dest/.docfetch-<uuid>.part`` and
 renamed into place, so a killed task leaves no half file under the real name
 and a re-run simply writes the same name again. Callers materialise the
 attempts once (``persist_attempts``) so later actions never re-run the fetch.
@@ -47,16 +47,20 @@ def _fetch_one(url, name, signature: bytes, dest: str | None, timeout: float, ch
                 return "successful", None, None
             n = len(head)
             final = os.path.join(dest, name)
-            tmp = os.path.join(dest, f".{name}.{uuid.uuid4().hex}.part")
-            with open(tmp, "wb") as out:
-                out.write(head)
-                while True:
-                    block = resp.read(chunk)
-                    if not block:
-                        break
-                    out.write(block)
-                    n += len(block)
-            os.replace(tmp, final)
+            tmp = os.path.join(dest, f".docfetch-{uuid.uuid4().hex}.part")
+            try:
+                with open(tmp, "wb") as out:
+                    out.write(head)
+                    while True:
+                        block = resp.read(chunk)
+                        if not block:
+                            break
+                        out.write(block)
+                        n += len(block)
+                os.replace(tmp, final)
+            finally:
+                if os.path.exists(tmp):      # a download that broke off leaves nothing behind
+                    os.unlink(tmp)
             return "successful", S.MSG_DOWNLOADED, n
     except Exception as e:  # noqa: BLE001 - every failure is an outcome
         return "failed", str(e), None
@@ -118,11 +122,25 @@ def fetch_documents(rows: DataFrame, url_col: str = "pdf_url", dest: str | None
         src = src.repartition(n, "row_no")
     sig, d, to, cc = bytes(signature), dest, float(timeout), int(concurrency)
     if d is not None:
-        from docfetch.session import to_local_path
-        d = to_local_path(d)
+        d = prepare_folder(d)
     return src.mapInPandas(lambda it: _fetch_batches(it, sig, d, to, cc), FETCH_OUT)
 
 
+def prepare_folder(dest: str) -> str:
+    """The OS path of the target folder, created if absent. Executors write it
+    with POSIX calls, so a folder on another store is refused before any fetch."""
+    import os
+    import re
+
+    from docfetch.session import to_local_path
+
+    if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://", dest) and not dest.startswith("file://"):
+        raise ValueError(f"target folder must be a mounted path, not {dest}")
+    path = to_local_path(dest)
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
 # C5
 def check_signature(df: DataFrame, content_col: str = "content",
                     signature: bytes = S.PDF_SIGNATURE, flag: str = "signature_ok") -> DataFrame:

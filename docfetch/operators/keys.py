@@ -8,9 +8,9 @@ and joined back on ``(key, order)``: that join hashes on both columns, so the
 rows of a hot key spread over all partitions, and the aggregated side has one
 row per key.
 
-Presence checks ("is this key in that table?") broadcast the other side's keys
-after an explicit size check, or else use semi/anti joins read straight from
-shuffles, the shape AQE's skew-join rule can split.
+Presence checks ("is this key in that table?") are one left outer join where the
+other side is unique on the key, and a semi/anti pair where it may repeat; both
+read straight from shuffles, the shape AQE's skew-join rule can split.
 """
 
 from __future__ import annotations
@@ -58,36 +58,22 @@ def keep_extreme_per_key(df: DataFrame, keys: Sequence[str], order: str,
     return packed.select(*[F.col("_w").getField(c).alias(c) for c in df.columns])
 
 
-# Largest key set ``presence_flag`` broadcasts: 1M keys is at most ~255 MB even
-# for 255-byte file names, and a few tens of MB for typical keys.
-BROADCAST_KEYS = 1_000_000
-
-
-def at_most_rows(df: DataFrame, n: int) -> bool:
-    """Size check before a broadcast: True when ``df`` has at most ``n`` rows.
-    A bounded action (``limit(n + 1)``), it stops reading once ``n + 1`` are seen."""
-    return df.limit(n + 1).count() <= n
-
-
 def presence_flag(df: DataFrame, other: DataFrame, keys: Sequence[str], flag: str,
-                  broadcast_keys: int | None = None, small: bool | None = None) -> DataFrame:
+                  unique: bool = False) -> DataFrame:
     """Add boolean ``flag``: does ``other`` hold the same ``keys``? Never
-    multiplies rows; rows with a NULL key are never present.
-
-    * ``other`` has at most ``broadcast_keys`` rows (checked): its distinct keys
-      are broadcast and joined in one pass - a hot key of ``df`` costs nothing
-      extra, every task joins its own rows locally.
-    * beyond that: a left-semi join (flag True) unioned with a left-anti join
-      (flag False). Both read straight from shuffles that they share (exchange
-      reuse, so ``df`` is computed once), and with no aggregate between shuffle
-      and join AQE can split a hot key of ``df`` over several tasks."""
+    multiplies rows; rows with a NULL key are never present. No job runs while
+    the plan is built; Spark broadcasts ``other`` only under its byte threshold.
+
+    * ``unique`` - ``other`` holds each key at most once by contract (file names
+      of a folder, a table's unique columns): one left outer join. No aggregate
+      stands between shuffle and join, so AQE can split a hot key of ``df``.
+    * otherwise a left-semi join (flag True) unioned with a left-anti join (flag
+      False); both read straight from shuffles too, and repeats in ``other``
+      do no harm."""
     keys = list(keys)
     right = other.select(*keys).where(_all_not_null(keys))
-    if small is None:
-        limit = BROADCAST_KEYS if broadcast_keys is None else broadcast_keys
-        small = at_most_rows(right, limit)
-    if small:
-        known = F.broadcast(right.distinct().withColumn(flag, F.lit(True)))
+    if unique:
+        known = right.withColumn(flag, F.lit(True))
         return (df.join(known, keys, "left")
                 .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
     hit = df.join(right, keys, "left_semi").withColumn(flag, F.lit(True))

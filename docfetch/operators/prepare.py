@@ -16,8 +16,9 @@ from docfetch.operators.keys import flag_extreme_per_key, presence_flag
 def slice_rows(df: DataFrame, start_row: int | None = 0, num_rows: int | None = None,
                row_col: str = "row_no") -> DataFrame:
     """Skip ``start_row`` data rows and keep ``num_rows`` in file order; 0 or None
-    keeps all the rest. A filter on the position set at read time, so it
-    pushes into the scan and needs no ordering shuffle (``limit`` has no order)."""
+    keeps all the rest. A filter on the position set at read time, so it needs
+    no ordering shuffle (``limit`` has no order); on a stored position column it
+    pushes into the scan, on one just numbered by a reader it cannot."""
     start = int(start_row or 0)
     cond = F.col(row_col) >= F.lit(start)
     if num_rows:
@@ -84,19 +85,18 @@ def flag_duplicates(new: DataFrame, keys: Sequence[str], messages: Sequence[str]
                     reason: str = "reject_reason") -> DataFrame:
     """Add ``reject_reason``: for each unique key in turn, its message when the key
     is already in ``existing`` or an earlier row (by ``order``) of the batch has
-    it; NULL when the row can be inserted. Each key is judged on its own."""
-    from docfetch.operators.keys import BROADCAST_KEYS, at_most_rows
-
+    it; NULL when the row can be inserted. Each key is judged on its own (see
+    ``flag_duplicates_sequential`` for one-at-a-time inserts). ``existing`` is
+    unique on each of the keys."""
     out = new
     reason_col = F.lit(None).cast("string")
     conds = []
-    small = at_most_rows(existing, BROADCAST_KEYS) if existing is not None else None
     for i, (key, msg) in enumerate(zip(keys, messages)):
         first_flag, exist_flag = f"_first_{i}", f"_exists_{i}"
         out = flag_extreme_per_key(out, [key], order, first_flag)
         taken = ~F.col(first_flag)
         if existing is not None:
-            out = presence_flag(out, existing, [key], exist_flag, small=small)
+            out = presence_flag(out, existing, [key], exist_flag, unique=True)
             taken = taken | F.col(exist_flag)
         conds.append((taken, msg))
     for taken, msg in reversed(conds):
@@ -212,10 +212,10 @@ def flag_duplicates_sequential(new: DataFrame, keys: Sequence[str], messages: Se
     pre_taken = F.lit(False)
     if existing is not None:
         for i, k in enumerate(keys):
-            base = presence_flag(base, existing, [k], f"_ex_{i}")
+            base = presence_flag(base, existing, [k], f"_ex_{i}", unique=True)
             pre_taken = pre_taken | F.col(f"_ex_{i}")
     undecided = base.where(~pre_taken).select(order, *keys).checkpoint()
-    accepted_parts: list[DataFrame] = []
+    accepted = undecided.limit(0)
     while not undecided.isEmpty():
         flagged = undecided
         first_all = F.lit(True)
@@ -223,18 +223,14 @@ def flag_duplicates_sequential(new: DataFrame, keys: Sequence[str], messages: Se
             flagged = flag_extreme_per_key(flagged, [k], order, f"_min_{i}")
             first_all = first_all & F.col(f"_min_{i}")
         winners = flagged.where(first_all).select(order, *keys).checkpoint()
-        accepted_parts.append(winners)
+        accepted = accepted.unionByName(winners).checkpoint()   # lineage stays one step long
         rest = undecided.join(winners.select(order), order, "left_anti")
         hit = F.lit(False)
         for i, k in enumerate(keys):
-            rest = presence_flag(rest, winners, [k], f"_hit_{i}")
+            rest = presence_flag(rest, winners, [k], f"_hit_{i}", unique=True)
             hit = hit | F.col(f"_hit_{i}")
         undecided = rest.where(~hit).select(order, *keys).checkpoint()
 
-    key_schema = new.select(order, *keys).schema
-    accepted = new.sparkSession.createDataFrame([], key_schema)
-    for part in accepted_parts:
-        accepted = accepted.unionByName(part)
     accepted = accepted.select(order, *keys).withColumn("_accepted", F.lit(True))
     out = new.join(accepted.select(order, "_accepted"), order, "left")
     reason_col = F.lit(None).cast("string")
@@ -245,7 +241,7 @@ def flag_duplicates_sequential(new: DataFrame, keys: Sequence[str], messages: Se
         out = out.join(holder, k, "left")
         taken = F.coalesce(F.col(f"_by_{i}") < F.col(order), F.lit(False))
         if existing is not None:
-            out = presence_flag(out, existing, [k], f"_ex_{i}")
+            out = presence_flag(out, existing, [k], f"_ex_{i}", unique=True)
             taken = taken | F.col(f"_ex_{i}")
         conds.append(taken & F.col("_accepted").isNull())
     for taken, msg in reversed(list(zip(conds, messages))):

@@ -2,10 +2,10 @@
 
 Counters are grouped aggregates (partial + final hash aggregation, so a run
 holding a third of all attempts is combined map-side). Running counters are a
-two-level prefix sum: rows are cut into (run, time bucket) slices, each slice
-is scanned by its own task, and the slice totals - a small table, one row per
-run and bucket - supply each slice's starting offset. No window ever holds a
-whole run.
+two-level prefix sum: rows are range-partitioned on (run, time, sequence) into
+slices of equal size, each slice is scanned by its own task, and the slice
+totals - a small table, one row per run and slice - supply each slice's
+starting offset. No window ever holds a whole run.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from docfetch import schemas as S
 from docfetch.functions import columns as C
+from docfetch.session import scratch_path
 
 COUNTERS = ("successful", "already_downloaded", "failed")
 
@@ -56,49 +57,46 @@ def outcome_counts(attempts: DataFrame, by: str = "run_id", outcome: str = "outc
 
 # F2
 def running_counts(attempts: DataFrame, by: str = "run_id", ts: str = "finished_at", seq: str = "seq",
-                   outcome: str = "outcome", bucket_seconds: int = 600,
-                   sample_seconds: int | None = None) -> DataFrame:
+                   outcome: str = "outcome", slices: int | None = None) -> DataFrame:
     """Counters after every finished row, in (``ts``, ``seq``) order per run.
 
-    The result is exact for any ``bucket_seconds``; the width only sets the work
-    per task: one window task per (run, bucket), and a slice table of one row per
-    (run, bucket). Pick it so the busiest run's bucket holds a few million rows
-    (10 minutes: a run writing 10,000 rows a second gives 6 M rows per task and
-    52,560 slices a year).
-
-    ``sample_seconds`` additionally keeps only the last row of each
-    ``sample_seconds`` slot (F3); it must divide ``bucket_seconds``."""
+    Rows are range-partitioned on (run, time, seq) into ``slices`` ranges of about
+    equal size (default: the shuffle partitions), so a burst of rows with one
+    time stamp is cut like any other. Each range is scanned by its own task; the
+    totals per run and range - at most runs + ranges rows - give every range its
+    starting offset. The ranges are written once to the shared folder: both uses
+    must see the same cuts. A NULL run is a run, a NULL time comes first."""
+    spark = attempts.sparkSession
+    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     o = F.col(outcome)
-    x = attempts.withColumn("_b", F.floor(epoch_seconds(ts) / F.lit(bucket_seconds)))
-    for k in COUNTERS:
-        x = x.withColumn(f"_i_{k}", (o == k).cast("long"))
-    x = x.withColumn("_i_processed_rows", F.lit(1).cast("long"))
     names = list(COUNTERS) + ["processed_rows"]
-
-    slices = x.groupBy(by, "_b").agg(*[F.sum(f"_i_{k}").alias(f"_t_{k}") for k in names])
+    one = {k: F.coalesce(o == k, F.lit(False)).cast("long") for k in COUNTERS}
+    one["processed_rows"] = F.lit(1).cast("long")
+    path = scratch_path(spark, "running-counts")
+    (attempts.repartitionByRange(n, by, ts, seq).withColumn("_b", F.spark_partition_id()).write.parquet(path))
+    x = spark.read.schema(attempts.withColumn("_b", F.lit(0)).schema).parquet(path)
+    x = x.withColumns({f"_i_{k}": c for k, c in one.items()})
+
+    totals = x.groupBy(by, "_b").agg(*[F.sum(f"_i_{k}").alias(f"_t_{k}") for k in names])
     before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = slices.select(by, "_b", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}")
-                                        for k in names])
-
+    offsets = totals.select(F.col(by).alias("_run"), F.col("_b").alias("_range"),
+                            *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in names])
     within = Window.partitionBy(by, "_b").orderBy(ts, seq).rowsBetween(Window.unboundedPreceding, 0)
-    y = x.select(*attempts.columns, "_b", *[F.sum(f"_i_{k}").over(within).alias(f"_r_{k}") for k in names],
-                 *([] if sample_seconds is None else [
-                     F.lead(F.floor(epoch_seconds(ts) / F.lit(sample_seconds)))
-                     .over(Window.partitionBy(by, "_b").orderBy(ts, seq)).alias("_next_slot"),
-                     F.floor(epoch_seconds(ts) / F.lit(sample_seconds)).alias("_slot")]))
-    if sample_seconds is not None:
-        if bucket_seconds % sample_seconds:
-            raise ValueError("sample_seconds must divide bucket_seconds")
-        y = y.where(F.col("_next_slot").isNull() | (F.col("_next_slot") != F.col("_slot")))
-    z = y.join(offsets, [by, "_b"], "left")
+    y = x.select(*attempts.columns, "_b", *[F.sum(f"_i_{k}").over(within).alias(f"_r_{k}") for k in names])
+    z = y.join(offsets, F.col(by).eqNullSafe(F.col("_run")) & (F.col("_b") == F.col("_range")))
     return z.select(*attempts.columns, *[(F.col(f"_r_{k}") + F.col(f"_o_{k}")).alias(k) for k in names])
 
 
 # F3
-def sample_progress(attempts: DataFrame, seconds: int = 1, **kw) -> DataFrame:
+def sample_progress(attempts: DataFrame, seconds: int = 1, by: str = "run_id", ts: str = "finished_at",
+                    seq: str = "seq", **kw) -> DataFrame:
     """Running counters kept at most once per ``seconds`` slot per run (the last
     row of the slot); the run's final row is always the last of its slot."""
-    return running_counts(attempts, sample_seconds=seconds, **kw)
+    counts = running_counts(attempts, by, ts, seq, **kw)
+    slot = F.floor(epoch_seconds(ts) / F.lit(seconds))
+    return (counts.groupBy(by, slot.alias("_slot"))
+            .agg(F.max_by(F.struct(*counts.columns), F.struct(ts, seq)).alias("_w"))
+            .select(*[F.col("_w").getField(c).alias(c) for c in counts.columns]))
 
 
 # F4

@@ -1,9 +1,9 @@
 """Decide per manifest row what to do (C1-C3) and shape outcomes into catalog rows (C7).
 
 No manifest row is ever multiplied. The folder check is a presence check
-(``keys.presence_flag``): the listing's names are broadcast after an explicit
-size check, or else joined by a left-semi / left-anti pair that AQE can split
-on a name many rows share. The catalog check is a left join against rows unique
+(``keys.presence_flag``): a left outer join on the names, which are unique in a
+folder, that AQE can split on a name many rows share (a listing that may repeat
+names, as of several folders, uses the semi/anti pair). The catalog check is a left join against rows unique
 on ``brnumber``, broadcast only under ``spark.sql.autoBroadcastJoinThreshold``
 (AQE re-checks the measured size), otherwise shuffle-joined with AQE free to
 split a hot key.
@@ -30,15 +30,13 @@ def _now_literal(now: dt.datetime | str | Column) -> Column:
 
 # C1
 def mark_existing_files(df: DataFrame, files: DataFrame, name_col: str = "file_name",
-                        flag: str = "in_folder", broadcast_keys: int | None = None,
-                        small: bool | None = None) -> DataFrame:
+                        flag: str = "in_folder", unique_names: bool = True) -> DataFrame:
     """``flag`` = the row's raw file name is in the folder listing **and** ends in
     ``.pdf`` in any case (a stored ``report.pdf`` does not cover a raw
     ``report``: the test is on the raw name).
 
-    Presence is ``keys.presence_flag``: a checked-size broadcast of the listing's
-    names, or beyond that a semi/anti join pair that AQE can split when many
-    rows share a name; a listing that repeats a name multiplies no row. Rows whose name is NULL or empty can never match a listed file;
+    ``files`` holds each name once, as the listing of one folder does; pass
+    ``unique_names=False`` for a listing that may repeat names. Rows whose name is NULL or empty can never match a listed file;
     they join on a unique NUL-prefixed key (no file name contains NUL), so a
     mass of missing URLs spreads over all partitions instead of hashing to one."""
     from docfetch.operators.keys import presence_flag
@@ -50,8 +48,7 @@ def mark_existing_files(df: DataFrame, files: DataFrame, name_col: str = "file_n
               .withColumn("_jkey", F.when(name.isNull() | (name == ""),
                                           F.concat(F.lit("\u0000"), F.col("_salt").cast("string")))
                           .otherwise(name)))
-    kw = {} if broadcast_keys is None else {"broadcast_keys": broadcast_keys}
-    out = presence_flag(salted, listing, ["_jkey"], "_present", small=small, **kw)
+    out = presence_flag(salted, listing, ["_jkey"], "_present", unique=unique_names)
     return (out.withColumn(flag, F.col("_present") & F.coalesce(C.has_pdf_suffix(name_col), F.lit(False)))
             .drop("_present", "_salt", "_jkey"))
 
@@ -73,15 +70,14 @@ def mark_already_downloaded(df: DataFrame, catalog: DataFrame, key: str = "brnum
 
 # C3
 def plan_fetch(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest: str,
-               url_col: str = "pdf_url", files_small: bool | None = None) -> DataFrame:
+               url_col: str = "pdf_url", unique_names: bool = True) -> DataFrame:
     """Per row: ``decision`` in (already_downloaded, failed, fetch), with the
     planned ``file_folder``, ``stored_name`` and ``message``. Priority: raw name in
     the folder, then key TRUE in the catalog, then a missing URL fails, else fetch.
-    ``files_small`` passes a size check of the listing already made (see
-    ``keys.presence_flag``).
+    ``unique_names``: see ``mark_existing_files``.
     """
     df = manifest.withColumn("file_name", C.base_name(url_col))
-    df = mark_existing_files(df, files, small=files_small)
+    df = mark_existing_files(df, files, unique_names=unique_names)
     df = mark_already_downloaded(df, catalog)
     in_folder, in_cat = F.col("in_folder"), F.col("in_catalog")
     missing = F.col(url_col).isNull()

@@ -3,17 +3,23 @@
 ``run_file`` is the whole "start a download run" flow as one Spark job: check
 the extension (B7) and that no run of the same file is running (F6), read the
 file (A1/A2), slice it (B1), map and check it (B2/B3), run it (C3-C7, D1),
-then write the next catalog version (A7), append the attempts and rejected rows
-and write the run record with its counters as JSON (F8). State lives under
-``state_root``: ``catalog``, ``attempts``, ``rejected``, ``runs`` (an
-append-only log of run records; the highest ``version`` per task is current:
-0 started, 1 failed, 2 cancelled, 3 finished - a cancel recorded while the run
-was going is kept when the run ends).
+then commit the next catalog version (A7) and write the run record with its
+counters as JSON (F8).
+
+State lives under ``state_root``. ``catalog`` is a versioned table: of two runs
+that end together the later one applies its updates to the version the earlier
+one committed. ``attempts`` and ``rejected`` are partitioned by ``task_id`` and a
+task writes its partition as a whole, so a repeated task adds nothing twice.
+``admission`` holds a file per manifest being run, created only if absent.
+``runs`` is an append-only log of run records; the highest ``version`` per task is
+current: 0 started, then one per fetch wave, 1000 failed, 2000 cancelled, 3000
+finished - a cancel recorded while the run was going is kept when the run ends.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import os
 import uuid
 
@@ -27,6 +33,14 @@ from docfetch.operators import prepare as P
 from docfetch.sources import manifest as M
 from docfetch.sources import tables as TB
 
+FAILED, CANCELLED, FINISHED = 1000, 2000, 3000
+COUNTS = ("successful", "already_downloaded", "failed", "processed_rows")
+ATTEMPTS_SCHEMA = ("row_no long, attempt int, url string, stored_name string, file_folder string, outcome string, "
+                   "message string, finished_at timestamp_ntz, run_id long, task_id string")
+REJECTED_SCHEMA = ("source_file string, row_no long, file_row_no long, "
+                   + ", ".join(f"{c} string" for c in S.MANIFEST_COLUMN_MAP.values())
+                   + ", missing_columns array<string>, read_error string, errors array<string>")
+
 
 class RunRefused(ValueError):
     """The run cannot start (unsupported file, or a run of it is running)."""
@@ -38,9 +52,8 @@ def _now() -> dt.datetime:
 
 def read_runs(spark: SparkSession, state_root: str) -> DataFrame:
     """Current state of every run: the latest record per ``task_id``."""
-    try:
-        log = spark.read.schema(RUN_LOG_SCHEMA).parquet(f"{state_root}/runs")
-    except Exception:  # noqa: BLE001 - no run yet
+    log = TB.read_if_exists(spark, f"{state_root}/runs", RUN_LOG_SCHEMA)
+    if log is None:
         return spark.createDataFrame([], S.RUN_SCHEMA)
     from docfetch.operators.keys import keep_extreme_per_key
     return keep_extreme_per_key(log, ["task_id"], "version", last=True).select(*S.RUN_SCHEMA.fieldNames())
@@ -49,7 +62,7 @@ def read_runs(spark: SparkSession, state_root: str) -> DataFrame:
 RUN_LOG_SCHEMA = T.StructType(list(S.RUN_SCHEMA.fields) + [T.StructField("version", T.LongType(), True)])
 
 
-def _write_run(spark: SparkSession, state_root: str, record: dict, version: int) -> None:
+def write_run(spark: SparkSession, state_root: str, record: dict, version: int) -> None:
     row = {**record, "version": version}
     spark.createDataFrame([row], RUN_LOG_SCHEMA).write.mode("append").parquet(f"{state_root}/runs")
 
@@ -62,59 +75,119 @@ def run_file(spark: SparkSession, path: str, state_root: str, dest: str, start_r
     ext = os.path.splitext(name)[1]
     if ext not in S.RUN_EXTENSIONS:
         raise RunRefused(f"Unsupported file format: {ext}")
-    runs = read_runs(spark, state_root)
-    if runs.where((F.col("running_file") == name) & (F.col("status") == "running")).limit(1).count():
+    task_id = task_id or str(uuid.uuid4())
+    lock = _admit(spark, state_root, name, task_id)
+    try:
+        start = now or _now()
+        record = {"task_id": task_id, "name": "Download Task", "status": "running", "running_file": name,
+                  "start_time": start, "end_time": None, "processed_rows": 0,
+                  "start_row": int(start_row or 0), "num_rows": int(num_rows or 0), "results": None}
+        write_run(spark, state_root, record, 0)
+        try:
+            rows = M.read_manifests(spark, [path], **{k: fetch_kwargs.pop(k) for k in ("multi_line", "encoding")
+                                                      if k in fetch_kwargs})
+            unreadable = F.col("read_error").isNotNull()
+            # a file that cannot be read has one row (position -1): report it whatever the slice
+            manifest = P.slice_rows(rows.where(~unreadable), start_row, num_rows).unionByName(rows.where(unreadable))
+            final = run_and_store(spark, manifest, state_root, dest, start, record, fetch_kwargs)
+        except Exception:
+            # never leave a crashed run "running": it would block its file forever
+            write_run(spark, state_root, {**record, "status": "failed", "end_time": _now()}, FAILED)
+            raise
+        # a run cancelled while it ran stays cancelled (cancelled is terminal)
+        current = read_runs(spark, state_root).where(F.col("task_id") == task_id).select("status").first()
+        if current is not None and current["status"] == "cancelled":
+            final = {**final, "status": "cancelled"}
+        if now is not None:
+            final = {**final, "end_time": now}
+        write_run(spark, state_root, final, FINISHED)
+        return final
+    finally:
+        TB.remove_file(spark, lock)
+
+
+def _admit(spark: SparkSession, state_root: str, name: str, task_id: str) -> str:
+    """Admission (F6) as a create-if-absent, so of two starts of a file one passes.
+    Returns the lock's path. A lock whose run has ended (its driver was lost
+    before it could remove it) is taken over."""
+    lock = f"{state_root}/admission/{hashlib.sha1(name.encode()).hexdigest()}"
+    admitted = TB.create_if_absent(spark, lock, task_id)
+    running = [r["task_id"] for r in read_runs(spark, state_root)
+               .where((F.col("running_file") == name) & (F.col("status") == "running")).select("task_id").collect()]
+    if not admitted and not running:
+        known = read_runs(spark, state_root).where(F.col("task_id") == TB.read_text_file(spark, lock)).first()
+        if known is not None:
+            TB.remove_file(spark, lock)
+            admitted = TB.create_if_absent(spark, lock, task_id)
+    if not admitted:
+        raise RunRefused(S.MSG_TASK_RUNNING)
+    if running:                                   # recorded by a run without a lock
+        TB.remove_file(spark, lock)
         raise RunRefused(S.MSG_TASK_RUNNING)
+    return lock
 
-    task_id = task_id or str(uuid.uuid4())
-    start = now or _now()
-    record = {"task_id": task_id, "name": "Download Task", "status": "running", "running_file": name,
-              "start_time": start, "end_time": None, "processed_rows": 0,
-              "start_row": int(start_row or 0), "num_rows": int(num_rows or 0), "results": None}
-    _write_run(spark, state_root, record, 0)
 
-    try:
-        final = _run(spark, path, ext, state_root, dest, start_row, num_rows, start, task_id, record,
-                     fetch_kwargs)
-    except Exception:
-        # never leave a crashed run "running": it would block its file forever
-        _write_run(spark, state_root, {**record, "status": "failed", "end_time": _now()}, 1)
-        raise
-    # a run cancelled while it ran stays cancelled (cancelled is terminal)
-    current = read_runs(spark, state_root).where(F.col("task_id") == task_id).select("status").first()
-    if current is not None and current["status"] == "cancelled":
-        final = {**final, "status": "cancelled"}
-    if now is not None:
-        final = {**final, "end_time": now}
-    _write_run(spark, state_root, final, 3)
-    return final
-
-
-def _run(spark, path, ext, state_root, dest, start_row, num_rows, start, task_id, record, fetch_kwargs) -> dict:
-    rows = M.read_manifests(spark, [path])
-    unreadable = F.col("read_error").isNotNull()
-    # a file that cannot be read has one row (position -1): report it whatever the slice
-    manifest = P.slice_rows(rows.where(~unreadable), start_row, num_rows).unionByName(rows.where(unreadable))
+def run_and_store(spark: SparkSession, manifest: DataFrame, state_root: str, dest: str, start, record: dict,
+                  fetch_kwargs: dict) -> dict:
+    """Run manifest rows and store rejects, attempts, progress and the catalog under
+    the record's ``task_id``; returns the finished record."""
+    from docfetch.operators import catalog as CA
+    from docfetch.operators.fetch import prepare_folder
+    from docfetch.plans.run import run_manifest
+
+    prepare_folder(dest)
+    task_id = record["task_id"]
     valid, rejected = P.validate_rows(manifest, P.manifest_key_rules())
-    rejected.withColumn("task_id", F.lit(task_id)).write.mode("append").parquet(f"{state_root}/rejected")
-    valid = valid.drop("missing_columns", "read_error")
+    store_rejected(rejected, state_root, task_id)
+    valid = valid.drop("missing_columns", "read_error", "file_row_no")
 
-    catalog = TB.read_latest(spark, f"{state_root}/catalog", S.CATALOG_SCHEMA)
+    root = f"{state_root}/catalog"
+    catalog = TB.read_latest(spark, root, S.CATALOG_SCHEMA)
     if catalog is None:
         catalog = spark.createDataFrame([], S.CATALOG_SCHEMA)
     files = TB.list_stored_files(spark, dest).select("file_name")
-
-    from docfetch.plans.run import run_manifest
-    res = run_manifest(valid, files, catalog, dest, start, **fetch_kwargs)
-    res.attempts.withColumn("task_id", F.lit(task_id)).write.mode("append").parquet(f"{state_root}/attempts")
-    TB.save_table(res.catalog, f"{state_root}/catalog", bucket_by="brnumber")
-
-    totals = res.counts.agg(*[F.coalesce(F.sum(k), F.lit(0)).cast("long").alias(k)
-                              for k in ("successful", "already_downloaded", "failed", "processed_rows")])
-    counts = totals.select(C.encode_results("successful", "already_downloaded", "failed",
-                                            "processed_rows").alias("results"), "processed_rows").first()
+    wave = iter(range(1, FAILED))
+
+    def progress(attempts: DataFrame) -> None:
+        counted = _counted(attempts)
+        write_run(spark, state_root, {**record, "processed_rows": counted["processed_rows"],
+                                       "results": counted["results"]}, next(wave))
+
+    res = run_manifest(valid, files, catalog, dest, start, progress=progress, **fetch_kwargs)
+    res.attempts.write.mode("overwrite").parquet(f"{state_root}/attempts/task_id={task_id}")
+    TB.update_table(spark, root, lambda latest: CA.upsert(latest, res.updates), S.CATALOG_SCHEMA,
+                    bucket_by="brnumber", note=task_id)
+    counted = _counted(res.attempts.where("attempt = 1"))
     return {**record, "status": "finished", "end_time": _now(),
-            "processed_rows": counts["processed_rows"], "results": counts["results"]}
+            "processed_rows": counted["processed_rows"], "results": counted["results"]}
+
+
+def store_rejected(rejected: DataFrame, state_root: str, task_id: str) -> None:
+    spark = rejected.sparkSession
+    (spark.createDataFrame([], REJECTED_SCHEMA).unionByName(rejected, allowMissingColumns=True)
+     .write.mode("overwrite").parquet(f"{state_root}/rejected/task_id={task_id}"))
+
+
+def _counted(attempts: DataFrame):
+    from docfetch.operators.runs import outcome_counts
+
+    counts = outcome_counts(attempts.withColumn("run_id", F.lit(0)))
+    totals = counts.agg(*[F.coalesce(F.sum(k), F.lit(0)).cast("long").alias(k) for k in COUNTS])
+    return totals.select(C.encode_results(*COUNTS).alias("results"), "processed_rows").first()
+
+
+def read_attempts(spark: SparkSession, state_root: str) -> DataFrame:
+    """Every stored attempt, with the ``task_id`` of its run."""
+    found = TB.read_if_exists(spark, f"{state_root}/attempts", ATTEMPTS_SCHEMA)
+    return spark.createDataFrame([], ATTEMPTS_SCHEMA) if found is None else found
+
+
+def report(spark: SparkSession, state_root: str, now) -> DataFrame:
+    """F10 over the stored runs and their attempts (first attempts count)."""
+    from docfetch.operators.runs import run_report
+
+    return run_report(read_runs(spark, state_root), read_attempts(spark, state_root).where("attempt = 1"), now,
+                      by="task_id")
 
 
 def cancel_runs(spark: SparkSession, state_root: str, task_ids: list[str]) -> DataFrame:
@@ -127,6 +200,6 @@ def cancel_runs(spark: SparkSession, state_root: str, task_ids: list[str]) -> Da
     after, answered = apply_cancels(runs, req)
     changed = after.join(runs.where(F.col("status") == "running").select("task_id"), "task_id", "left_semi") \
         .where(F.col("status") == "cancelled")
-    changed.withColumn("version", F.lit(2).cast("long")).select(*RUN_LOG_SCHEMA.fieldNames()) \
+    changed.withColumn("version", F.lit(CANCELLED).cast("long")).select(*RUN_LOG_SCHEMA.fieldNames()) \
         .write.mode("append").parquet(f"{state_root}/runs")
     return answered

@@ -14,6 +14,7 @@ holding all its rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -43,21 +44,25 @@ class RunResult:
 def run_manifest(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest: str, now, run_id: int = 0,
                  signature: bytes = S.PDF_SIGNATURE, timeout: float = 10.0,
                  num_partitions: int | None = None, persist=None, use_backup: bool = True,
-                 concurrency: int = 8, host_slots: int | None = None) -> RunResult:
+                 concurrency: int = 8, host_slots: int | None = None,
+                 progress: Callable[[DataFrame], None] | None = None) -> RunResult:
     """``manifest``: mapped manifest rows (B2) with a unique ``row_no``;
     ``files``: listing of ``dest`` (``file_name``); ``catalog``: current catalog.
     ``num_partitions``, ``concurrency`` and ``host_slots`` shape the fetch (see
-    ``fetch_documents``)."""
+    ``fetch_documents``). ``progress`` gets the attempts so far after each wave."""
     persist = persist or FE.persist_attempts
+    report = progress or (lambda attempts: None)
 
     def fetch(rows, url_col):
         return FE.fetch_documents(rows, url_col, dest, signature, timeout, num_partitions,
                                   concurrency=concurrency, host_slots=host_slots)
 
     now_col = FP._now_literal(now)
-    from docfetch.operators.keys import BROADCAST_KEYS, at_most_rows
-    files_small = at_most_rows(files.select("file_name"), BROADCAST_KEYS)   # one check, two folder look-ups
-    plan = persist(FP.plan_fetch(manifest, files, catalog, dest, files_small=files_small))
+    FE.prepare_folder(dest)
+    plan = persist(FP.plan_fetch(manifest, files, catalog, dest))
+    repeated = plan.groupBy("row_no").count().where("count > 1").select("row_no").first()
+    if repeated is not None:      # positions join everything below: never fetch on ambiguous ones
+        raise ValueError(f"row_no {repeated['row_no']} occurs more than once in the manifest")
 
     decided = (plan.where(F.col("decision") != "fetch")
                .select("row_no", F.lit(1).alias("attempt"), F.col("pdf_url").alias("url"), "stored_name",
@@ -72,6 +77,7 @@ def run_manifest(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest
 
     a1 = persist(fetch(wave1, "pdf_url")
                  .withColumn("attempt", F.lit(1)).withColumn("file_folder", F.lit(dest)))
+    report(decided.unionByName(a1.select(*ATTEMPT_COLS)))
     stored = a1.where(F.col("outcome") == "successful").select("stored_name")
     w2 = presence_flag(wave2, stored, ["stored_name"], "_stored")   # wave 2 holds the hot names
     w2_done = (w2.where(F.col("_stored"))
@@ -84,6 +90,7 @@ def run_manifest(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest
     first = (decided.unionByName(a1.select(*ATTEMPT_COLS)).unionByName(w2_done)
              .unionByName(a2.select(*ATTEMPT_COLS)))
     attempts = first
+    report(first)
     if use_backup:
         failed = first.where(F.col("outcome") == "failed").select("row_no")
         # no backup URL (NULL, or '' from a missing column) means no second attempt
@@ -91,7 +98,7 @@ def run_manifest(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest
                  .where(F.col("pdf_backup_url").isNotNull() & (F.col("pdf_backup_url") != ""))
                  .withColumn("file_name", C.base_name("pdf_backup_url"))
                  .withColumn("stored_name", C.stored_name("file_name")))
-        retry = FP.mark_existing_files(retry, files, small=files_small)
+        retry = FP.mark_existing_files(retry, files)
         b_done = (retry.where("in_folder")
                   .select("row_no", F.lit(2).alias("attempt"), F.col("pdf_backup_url").alias("url"),
                           F.col("file_name").alias("stored_name"), F.lit(dest).alias("file_folder"),
@@ -105,7 +112,7 @@ def run_manifest(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest
     last = keep_extreme_per_key(attempts, ["row_no"], "attempt", last=True)
     outcomes = (plan.drop("stored_name", "file_folder", "message")
                 .join(last.select("row_no", "stored_name", "file_folder", "outcome", "message"), "row_no"))
-    updates = FP.shape_result(outcomes, now)
+    updates = persist(FP.shape_result(outcomes, now))     # a commit may have to apply them again
     new_catalog = CA.upsert(catalog, updates)
     counts = RU.outcome_counts(attempts.where(F.col("attempt") == 1))
     totals = RU.outcome_counts(last)

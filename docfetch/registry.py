@@ -173,9 +173,30 @@ def q_b5(spark, sf):
     return out.select("row_no", "username", "email", "reject_reason")
 
 
-@register("b5_reject_duplicates_sequential")
+def _sequential_sql(rows: str, users: str = "[]::varchar[]", mails: str = "[]::varchar[]") -> str:
+    """One-at-a-time inserts as a recursive query that carries the taken values."""
+    return f"""
+with recursive v as (select row_number() over (order by row_no) as k, * from ({rows}) r),
+s as (
+  select 0::bigint as k, {users} as users, {mails} as mails, null::bigint as row_no, null::varchar as username,
+    null::varchar as email, null::varchar as reject_reason
+  union all
+  select v.k,
+    case when list_contains(users, v.username) or list_contains(mails, v.email) then users
+         else list_append(users, v.username) end,
+    case when list_contains(users, v.username) or list_contains(mails, v.email) then mails
+         else list_append(mails, v.email) end,
+    v.row_no, v.username, v.email,
+    case when list_contains(users, v.username) then 'Username already exists'
+         when list_contains(mails, v.email) then 'Email already exists' end
+  from s join v on v.k = s.k + 1)
+select row_no, username, email, reject_reason from s where k > 0"""
+
+
+@register("b5_reject_duplicates_sequential", with_views("select * from (" + _sequential_sql(
+    "select row_no, lower(username) as username, email from accounts_v where " + VALID_ACCOUNT_SQL) + ") q", "accounts_v"))
 def q_b5s(spark, sf):
-    """B5 as one-at-a-time inserts would decide it (iterative; no SQL oracle)."""
+    """B5 as one-at-a-time inserts decide it: a refused row takes no value."""
     valid, _ = P.validate_rows(Fixtures(spark, sf).accounts_v(), C.account_rules())
     valid = P.normalise_key(valid, "username")
     out = P.flag_duplicates_sequential(valid, ["username", "email"], [S.MSG_USERNAME_EXISTS, S.MSG_EMAIL_EXISTS])
@@ -372,7 +393,6 @@ from docfetch.operators import browse as BR  # noqa: E402
 from docfetch.operators import catalog as CA  # noqa: E402
 
 DATA_COLS = [c for c in S.CATALOG_COLUMNS if c not in ("id", "brnumber")]
-SLICE_START, SLICE_ROWS = 100, 100
 
 
 def _merge_select(new: str, old: str, flag: str) -> str:
@@ -385,13 +405,12 @@ select case when c.brnumber is not null then c.id
   coalesce(c.brnumber, u.brnumber) as brnumber,
   {_merge_select('u', 'c', 'u.brnumber is not null')}
 from catalog_v c full outer join
-  (select * from ({SHAPED_SQL}) s where row_no >= {SLICE_START} and row_no < {SLICE_START + SLICE_ROWS}) u
+  ({SHAPED_SQL}) u
   on c.brnumber = u.brnumber""", "manifest_v", "files_v", "catalog_v", "payload_v"))
 def q_d1(spark, sf):
-    """Catalog after upserting the outcome rows of a run over rows 100-199."""
+    """Catalog after upserting the outcome rows of a whole run (updates and inserts)."""
     fx = Fixtures(spark, sf)
-    updates = P.slice_rows(shaped_v(fx), SLICE_START, SLICE_ROWS)
-    return CA.upsert(fx.catalog_v(), updates)
+    return CA.upsert(fx.catalog_v(), shaped_v(fx))
 
 
 @register("d2_append_rows", with_views(f"""
@@ -472,13 +491,11 @@ _TABLE_SQL = (f"select * from ({_first_sql(VALID_NORM_SQL + f' and segment in ({
               "where reject_reason is null")
 
 
-@register("d5_insert_if_absent", with_views(f"""
-select row_no, username, email from (
-  select *, min(row_no) over (partition by username) as fu, min(row_no) over (partition by email) as fe
-  from ({VALID_NORM_SQL} and segment not in ({_SEG})) r
-  where username not in (select username from ({_TABLE_SQL}) a)
-    and email not in (select email from ({_TABLE_SQL}) a)) x
-where row_no = fu and row_no = fe""", "accounts_v"))
+@register("d5_insert_if_absent", with_views(
+    "select row_no, username, email from (" + _sequential_sql(
+        f"{VALID_NORM_SQL} and segment not in ({_SEG})",
+        f"(select coalesce(list(username), []) from ({_TABLE_SQL}) a)",
+        f"(select coalesce(list(email), []) from ({_TABLE_SQL}) a)") + ") d where reject_reason is null", "accounts_v"))
 def q_d5(spark, sf):
     """Accounts of two market segments were registered earlier (the table); the
     other segments' accounts are seeded unless a user name or e-mail is taken."""
@@ -647,11 +664,11 @@ def q_f2(spark, sf):
 
 @register("f3_sample_progress", with_views(f"""
 select * from ({F2_SQL}) r
-qualify row_number() over (partition by run_id, epoch_us(finished_at) // 1000000
+qualify row_number() over (partition by run_id, epoch_us(finished_at) // 86400000000
                            order by finished_at desc, seq desc) = 1""", "attempts_v"))
 def q_f3(spark, sf):
-    """Running counters kept once per one-second slot per run."""
-    return RU.sample_progress(Fixtures(spark, sf).attempts_v(), seconds=1)
+    """Running counters kept once a day per run (several attempts share a slot)."""
+    return RU.sample_progress(Fixtures(spark, sf).attempts_v(), seconds=86400)
 
 
 @register("f4_progress_state", with_views(f"""

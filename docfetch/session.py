@@ -81,6 +81,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or root
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names, the same for every application
+    (``sc.getCheckpointDir()`` is a new folder below it for each)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        checkpoint_root(spark)
+        root = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_root(spark)
+    return root.rstrip("/")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused location under the checkpoint root."""
     root = checkpoint_root(spark).rstrip("/")

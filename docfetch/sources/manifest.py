@@ -226,17 +226,40 @@ def expand_cells(df: DataFrame, mapping=S.MANIFEST_COLUMN_MAP, default: str | No
     return df.select(*cols)
 
 
-def read_manifests(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Mapped manifest rows (B2 names) of CSV files and workbooks, each file with
-    its own header, plus ``missing_columns``: the required headers the row's
-    file lacks (such rows are for rejection, not for an error that stops a run)."""
+def unique_positions(df: DataFrame) -> DataFrame:
+    """Make ``row_no`` unique across files (``file_row_no`` keeps the position in
+    the file): files are ranked by path and each file's positions are shifted past
+    the largest of the files before it. The window runs over one row per file.
+    Rows without a position (-1: an unreadable file) keep it."""
+    per_file = df.groupBy("source_file").agg(F.greatest(F.max("row_no") + 1, F.lit(0)).alias("_n"))
+    earlier = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_file.select(F.col("source_file").alias("_file"),
+                              F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    shifted = F.when(F.col("row_no") >= 0, F.col("row_no") + F.col("_off")).otherwise(F.col("row_no"))
+    return (df.join(offsets, F.col("source_file") == F.col("_file"))
+            .withColumn("file_row_no", F.col("row_no")).withColumn("row_no", shifted).drop("_file", "_off"))
+
+
+def read_manifests(spark: SparkSession, paths: Sequence[str], multi_line: bool = True,
+                   encoding: str = "UTF-8") -> DataFrame:
+    """Mapped manifest rows (B2 names) of CSV files (or folders of part files) and
+    workbooks, each with its own header, plus ``missing_columns``: the required
+    headers the row's file lacks (such rows are for rejection, not for an error
+    that stops a run). ``row_no`` is unique over all files, ``file_row_no`` the
+    position in the file. Files with equal headers are read in one scan.
+    ``multi_line`` and ``encoding`` are those of ``read_manifest_csv``."""
     from docfetch.operators.prepare import map_columns
 
     csvs = [p for p in paths if p.lower().endswith(".csv")]
     books = [p for p in paths if p.lower().endswith(WORKBOOK_EXTENSIONS)]
     parts = []
-    for p in csvs:  # each CSV has its own header (known from the schema, no data pass)
-        raw = read_manifest_csv(spark, p)
+    same_header: dict[tuple[str, ...], list[str]] = {}
+    for p in csvs:  # each CSV has its own header (its first line)
+        header = tuple(spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+                       .option("encoding", encoding).csv(p).columns)
+        same_header.setdefault(header, []).append(p)
+    for group in same_header.values():
+        raw = read_manifest_csv(spark, group, multi_line=multi_line, encoding=encoding)
         lacking = [h for h in S.REQUIRED_MANIFEST_COLUMNS if h not in raw.columns]
         parts.append(map_columns(raw).withColumn(
             "missing_columns", F.array(*[F.lit(h) for h in lacking]).cast("array<string>"))
@@ -248,4 +271,4 @@ def read_manifests(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return unique_positions(out)

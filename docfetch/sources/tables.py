@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import datetime as dt
+import json
+import re
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,12 +24,35 @@ LISTING_SCHEMA = T.StructType([
 ])
 
 
+def read_if_exists(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame | None:
+    """A Parquet table, or None when there is nothing at ``path`` yet. Any other
+    failure (permissions, a broken store) is raised: it must not look like an
+    empty table."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, Hadoop path): driver-side calls on any store."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+PART_NAME = r"^\.docfetch-[0-9a-f]{32}\.part$"    # the fetcher's files in progress
+
+
 # A3
 def list_stored_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """Regular files of ``folder`` as ``path, file_folder, file_name, length,
     modificationTime``. The ``content`` column is never selected, so no file is
-    read. Names starting with ``.`` or ``_`` are hidden by Spark's file listing
-    (the fetcher's temporary ``.part`` files rely on that).
+    read. Spark's listing hides names starting with ``.`` or ``_``; those (few)
+    are listed by the file system itself and added, without the fetcher's files
+    in progress. With ``recursive`` hidden names count in the top folder only.
 
     ``file_folder`` is ``folder`` exactly as given (the form the catalog stores
     after a run into that folder); with ``recursive`` it is each file's parent
@@ -33,10 +60,14 @@ def list_stored_files(spark: SparkSession, folder: str, recursive: bool = False)
     try:
         df = (spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
               .load(folder).select("path", "length", "modificationTime"))
-    except Exception as e:  # noqa: BLE001 - an absent or empty folder lists nothing
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return spark.createDataFrame([], LISTING_SCHEMA)
-        raise
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        df = spark.createDataFrame([], "path string, length long, modificationTime timestamp")
+    hidden = _hidden_files(spark, folder)
+    if hidden:
+        df = df.unionByName(spark.createDataFrame(hidden, "path string, length long, millis long")
+                            .select("path", "length", F.timestamp_millis("millis").alias("modificationTime")))
     name = F.substring_index("path", "/", -1)
     if recursive:
         parent = F.regexp_replace(F.regexp_replace("path", "/[^/]*$", ""), "^file:", "")
@@ -46,6 +77,17 @@ def list_stored_files(spark: SparkSession, folder: str, recursive: bool = False)
                      "length", "modificationTime")
 
 
+def _hidden_files(spark: SparkSession, folder: str) -> list[tuple[str, int, int]]:
+    fs, pattern = _file_system(spark, folder.rstrip("/") + "/[._]*")
+    out = []
+    for status in fs.globStatus(pattern) or []:
+        name = status.getPath().getName()
+        shown = name.startswith("_") and "=" in name or name.startswith(("_metadata", "_common_metadata"))
+        if status.isFile() and not shown and not re.match(PART_NAME, name) and not name.endswith(".crc"):
+            out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return out
+
+
 # A4
 def read_catalog(spark: SparkSession, location: str) -> DataFrame:
     return spark.read.schema(S.CATALOG_SCHEMA).parquet(location)
@@ -104,36 +146,111 @@ def export_csv(df: DataFrame, path: str, compat: bool = False, mode: str = "erro
 
 
 # A7
-def save_table(df: DataFrame, root: str, bucket_by: str | None = None, num_buckets: int = 0) -> str:
-    """Write a new version of a table under ``root/data/v=<stamp>-<uuid>`` - a
-    fresh folder, never the one being read (Spark would delete its own input) -
-    and record it in ``root/versions``. Returns the version path. With
-    ``bucket_by`` the rows are hash-partitioned on that key and sorted within
-    each file, so key look-ups prune on Parquet min/max statistics. Without
-    ``num_buckets`` the partitioning is a ``rebalance`` on the key: AQE sizes
-    the files to ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` and splits
-    an oversized partition, so the file count follows the data, not the cores."""
-    stamp = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
-    path = f"{root.rstrip('/')}/data/v={stamp}-{uuid.uuid4().hex[:8]}"
+class VersionConflict(RuntimeError):
+    """Another writer committed this version number first."""
+
+
+def create_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file unless it exists; False when it does. The store decides
+    (``create`` without overwrite), so of two writers one gets True."""
+    fs, p = _file_system(spark, path)
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def read_text_file(spark: SparkSession, path: str) -> str | None:
+    fs, p = _file_system(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def remove_file(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, False)
+
+
+def _version_file(root: str, number: int) -> str:
+    return f"{root.rstrip('/')}/versions/{number:012d}.json"
+
+
+def save_table(df: DataFrame, root: str, bucket_by: str | None = None, num_buckets: int = 0,
+               expected: int | None = None, note: str | None = None) -> str:
+    """Write the next version of a table under ``root/data/<uuid>`` - a fresh
+    folder, never the one being read (Spark would delete its own input) - and
+    commit it by creating ``root/versions/<number>.json``. Returns the data path.
+
+    ``expected`` is the version number ``df`` was computed from (0: none): when
+    another writer has committed in between, ``VersionConflict`` is raised and
+    nothing changes (``update_table`` retries). ``note`` is kept in the commit.
+
+    With ``bucket_by`` the rows are range-partitioned on that key and sorted
+    within each file, so files cover disjoint key ranges and key look-ups prune
+    on Parquet min/max statistics. Without ``num_buckets`` AQE sizes the ranges
+    to ``spark.sql.adaptive.advisoryPartitionSizeInBytes``."""
+    spark = df.sparkSession
+    number = (latest_commit(spark, root)[0] if expected is None else expected) + 1
+    path = f"{root.rstrip('/')}/data/v={number:012d}-{uuid.uuid4().hex[:8]}"
     out = df
     if bucket_by:
-        out = out.repartition(num_buckets, bucket_by) if num_buckets else out.hint("rebalance", bucket_by)
+        out = out.repartitionByRange(num_buckets, bucket_by) if num_buckets else out.repartitionByRange(bucket_by)
         out = out.sortWithinPartitions(bucket_by)
     out.write.parquet(path)
-    spark = df.sparkSession
-    spark.createDataFrame([(stamp, path)], "stamp string, path string") \
-        .write.mode("append").parquet(f"{root.rstrip('/')}/versions")
+    if not create_if_absent(spark, _version_file(root, number), json.dumps({"path": path, "note": note})):
+        raise VersionConflict(f"{root}: version {number} exists")
     return path
 
 
+def update_table(spark: SparkSession, root: str, change: Callable[[DataFrame], DataFrame], schema: T.StructType,
+                 bucket_by: str | None = None, note: str | None = None, tries: int = 20) -> str:
+    """Commit ``change(latest version)``; when another writer was first, apply the
+    change again to the version it wrote."""
+    for _ in range(tries):
+        number, path, _ = latest_commit(spark, root)
+        base = spark.createDataFrame([], schema) if path is None else spark.read.schema(schema).parquet(path)
+        try:
+            return save_table(change(base), root, bucket_by, expected=number, note=note)
+        except VersionConflict:
+            continue
+    raise VersionConflict(f"{root}: no commit in {tries} tries")
+
+
+def latest_commit(spark: SparkSession, root: str) -> tuple[int, str | None, str | None]:
+    """(number, data path, note) of the newest version; (0, None, None) for none."""
+    fs, folder = _file_system(spark, f"{root.rstrip('/')}/versions")
+    if not fs.exists(folder):
+        return 0, None, None
+    numbers = [int(s.getPath().getName()[:12]) for s in fs.listStatus(folder)
+               if re.match(r"^\d{12}\.json$", s.getPath().getName())]
+    if not numbers:
+        return 0, None, None
+    commit = json.loads(read_text_file(spark, _version_file(root, max(numbers))))
+    return max(numbers), commit["path"], commit["note"]
+
+
+def commit_notes(spark: SparkSession, root: str, note: str, back: int = 50) -> bool:
+    """Was ``note`` committed within the last ``back`` versions?"""
+    number = latest_commit(spark, root)[0]
+    found = (read_text_file(spark, _version_file(root, n)) for n in range(number, max(number - back, 0), -1))
+    return any(json.loads(text)["note"] == note for text in found if text)
+
+
 def latest_version(spark: SparkSession, root: str) -> str | None:
-    """Path of the newest complete version (written after its data)."""
-    try:
-        v = spark.read.parquet(f"{root.rstrip('/')}/versions")
-    except Exception:  # noqa: BLE001 - no version yet
-        return None
-    row = v.orderBy(F.col("stamp").desc()).select("path").first()
-    return None if row is None else row["path"]
+    """Path of the newest complete version (committed after its data)."""
+    return latest_commit(spark, root)[1]
 
 
 def read_latest(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame | None:

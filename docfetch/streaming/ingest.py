@@ -4,91 +4,80 @@ and run counters are kept live from an attempts stream (G2).
 G1 streams only the *names* of new files (a ``binaryFile`` source whose
 ``content`` column is never selected, so nothing is read twice); each
 micro-batch reads its files with the batch CSV/XLSX readers (header names,
-row positions), runs them, and writes the next catalog version. foreachBatch
-is at-least-once: a batch id already recorded is skipped, so a replay after a
-crash does not run its files twice.
+row positions), runs them, and commits the next catalog version. foreachBatch
+is at-least-once: files already recorded (by path and modification time, not by
+batch number, which starts anew with every checkpoint) are skipped, so a replay
+after a crash or a second watched folder neither repeats nor loses files.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docfetch import schemas as S
-from docfetch.operators import prepare as P
 from docfetch.operators import runs as RU
-from docfetch.session import checkpoint_root
+from docfetch.plans.job import FINISHED, run_and_store, store_rejected, write_run
+from docfetch.session import shared_root
 from docfetch.sources import manifest as M
 from docfetch.sources import tables as TB
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def _done_batches(spark: SparkSession, state_root: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(f"{state_root}/batches")
-    except Exception:  # noqa: BLE001 - nothing recorded yet
-        return None
-
-
-def batch_row_order(df: DataFrame) -> DataFrame:
-    """Make ``row_no`` unique across the files of one batch: files are ranked by
-    path (a table of one row per file) and each file's positions are shifted past
-    the largest position of the files before it (positions may have gaps)."""
-    from pyspark.sql import Window
-    per_file = df.groupBy("source_file").agg((F.max("row_no") + 1).alias("_n"))
-    w = Window.orderBy("source_file").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per_file.select("source_file", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (df.join(F.broadcast(offs), "source_file")
-            .withColumn("file_row_no", F.col("row_no"))
-            .withColumn("row_no", F.col("row_no") + F.col("_off")).drop("_off"))
+FILES_SCHEMA = "path string, modified timestamp, task_id string"
 
 
 # G1
 def ingest_stream(spark: SparkSession, in_dir: str, state_root: str, dest: str,
                   checkpoint: str | None = None, max_files_per_trigger: int = 1,
-                  now=None, available_now: bool = True, fetch_kwargs: dict | None = None):
+                  now=None, available_now: bool = True, fetch_kwargs: dict | None = None,
+                  multi_line: bool = True, encoding: str = "UTF-8"):
     """Start the stream; returns the ``StreamingQuery``.
 
-    State under ``state_root``: ``catalog`` (versioned, see ``save_table``),
-    ``attempts`` (append-only log), ``rejected`` (rows failing the key rules,
-    with their errors), ``batches`` (processed batch ids)."""
-    from docfetch.plans.run import run_manifest
-
-    if checkpoint is None:  # stable across restarts: derived from the watched folder
-        import hashlib
-        digest = hashlib.sha1(in_dir.encode()).hexdigest()[:16]
-        checkpoint = f"{checkpoint_root(spark).rstrip('/')}/docfetch/ingest-{digest}"
+    State under ``state_root`` is that of ``plans.job`` (catalog, attempts, rejected,
+    runs) and ``files``: the files taken so far, by path and modification time. A
+    micro-batch is one task whose id follows from its files, so a replay writes the
+    same partitions again, and one whose catalog version is already committed only
+    records its files. Files of other formats are recorded in ``rejected``."""
+    if checkpoint is None:  # the same after a restart: from the configured folder and the watched one
+        digest = hashlib.sha1(f"{in_dir}|{state_root}".encode()).hexdigest()[:16]
+        checkpoint = f"{shared_root(spark)}/docfetch/ingest-{digest}"
     fetch_kwargs = dict(fetch_kwargs or {})
     names = (spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
-             .option("maxFilesPerTrigger", max_files_per_trigger).load(in_dir).select("path"))
+             .option("maxFilesPerTrigger", max_files_per_trigger).load(in_dir)
+             .select("path", F.col("modificationTime").alias("modified")))
 
     def process(batch: DataFrame, batch_id: int) -> None:
         sp = batch.sparkSession
-        done = _done_batches(sp, state_root)
-        if done is not None and done.where(F.col("batch_id") == batch_id).limit(1).count() > 0:
+        done = TB.read_if_exists(sp, f"{state_root}/files", FILES_SCHEMA)
+        todo = batch if done is None else batch.join(done, ["path", "modified"], "left_anti")
+        found = sorted((r["path"], r["modified"]) for r in todo.distinct().collect())  # bounded by maxFilesPerTrigger
+        if not found:
             return
-        paths = sorted(r["path"] for r in batch.select("path").distinct().collect())  # bounded by maxFilesPerTrigger
-        paths = [p for p in paths if p.lower().endswith((".csv",) + M.WORKBOOK_EXTENSIONS)]
-        if paths:
-            manifest = batch_row_order(M.read_manifests(sp, paths))
-            valid, rejected = P.validate_rows(manifest, P.manifest_key_rules())
-            valid = valid.drop("missing_columns", "read_error")
-            rejected.withColumn("batch_id", F.lit(batch_id)).write.mode("append") \
-                .parquet(f"{state_root}/rejected")
-            catalog = TB.read_latest(sp, f"{state_root}/catalog", S.CATALOG_SCHEMA)
-            if catalog is None:
-                catalog = sp.createDataFrame([], S.CATALOG_SCHEMA)
-            files = TB.list_stored_files(sp, dest).select("file_name")
+        task_id = "ingest-" + hashlib.sha1(repr(found).encode()).hexdigest()[:24]
+        paths = [p for p, _ in found if p.lower().endswith((".csv",) + M.WORKBOOK_EXTENSIONS)]
+        others = [p for p, _ in found if p not in paths]
+        if others:
+            message = "Unsupported file format"
+            store_rejected(sp.createDataFrame([(p, -1, message, [message]) for p in others],
+                                              "source_file string, row_no long, read_error string, errors array<string>"),
+                           state_root, task_id + "-files")
+        if paths and not TB.commit_notes(sp, f"{state_root}/catalog", task_id):
             stamp = now if now is not None else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-            res = run_manifest(valid, files, catalog, dest, stamp, run_id=batch_id, **fetch_kwargs)
-            res.attempts.withColumn("batch_id", F.lit(batch_id)).write.mode("append") \
-                .parquet(f"{state_root}/attempts")
-            TB.save_table(res.catalog, f"{state_root}/catalog", bucket_by="brnumber")
-        sp.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(f"{state_root}/batches")
+            start = stamp if isinstance(stamp, dt.datetime) else dt.datetime.fromisoformat(str(stamp))
+            record = {"task_id": task_id, "name": "Download Task", "status": "running",
+                      "running_file": ", ".join(p.rsplit("/", 1)[-1] for p in paths), "start_time": start,
+                      "end_time": None, "processed_rows": 0, "start_row": 0, "num_rows": 0, "results": None}
+            write_run(sp, state_root, record, 0)
+            manifest = M.read_manifests(sp, paths, multi_line=multi_line, encoding=encoding)
+            final = run_and_store(sp, manifest, state_root, dest, stamp, record, fetch_kwargs)
+            write_run(sp, state_root, {**final, "end_time": start} if now is not None else final, FINISHED)
+        sp.createDataFrame(found, "path string, modified timestamp").write.mode("overwrite") \
+            .parquet(f"{state_root}/files/task_id={task_id}")
 
     writer = names.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
@@ -119,9 +108,8 @@ def track_progress(spark: SparkSession, attempts_stream: DataFrame, state_root:
     ``state_root/progress``. ``read_progress`` gives the latest per run.
     Returns the ``StreamingQuery``."""
     if checkpoint is None:
-        import hashlib
         digest = hashlib.sha1(state_root.encode()).hexdigest()[:16]
-        checkpoint = f"{checkpoint_root(spark).rstrip('/')}/docfetch/progress-{digest}"
+        checkpoint = f"{shared_root(spark)}/docfetch/progress-{digest}"
     counts = RU.encode_results(live_counts(attempts_stream, by))
 
     def sink(batch: DataFrame, batch_id: int) -> None:

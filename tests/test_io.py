@@ -146,7 +146,7 @@ def test_list_stored_files(spark, tmp_path):
     d = tmp_path / "pdf-files"
     d.mkdir()
     (d / "a.pdf").write_bytes(b"%PDF-1.4")
-    (d / ".b.pdf.123.part").write_bytes(b"x")
+    (d / f".docfetch-{'0' * 32}.part").write_bytes(b"x")            # a fetch in progress
     df = TB.list_stored_files(spark, str(d))
     assert [r.file_name for r in df.collect()] == ["a.pdf"]
     assert TB.list_stored_files(spark, str(tmp_path / "absent")).count() == 0

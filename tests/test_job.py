@@ -45,12 +45,12 @@ def test_run_file_end_to_end(spark, tmp_path):
 
 
 def test_running_file_is_refused_and_cancel_is_terminal(spark, tmp_path):
-    from docfetch.plans.job import _write_run
+    from docfetch.plans.job import write_run
     state = tmp_path / "state"
     rec = {"task_id": "t1", "name": "Download Task", "status": "running", "running_file": "big.xlsx",
            "start_time": NOW, "end_time": None, "processed_rows": 0, "start_row": 0, "num_rows": 0,
            "results": None}
-    _write_run(spark, str(state), rec, 0)
+    write_run(spark, str(state), rec, 0)
     with pytest.raises(RunRefused, match="Task already running"):
         run_file(spark, str(tmp_path / "big.xlsx"), str(state), str(tmp_path))
     answers = {r.task_id: r.message for r in cancel_runs(spark, str(state), ["t1", "nope"]).collect()}

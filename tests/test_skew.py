@@ -42,9 +42,11 @@ def test_first_per_key_spreads_a_hot_key(no_aqe):
 def test_running_counts_spread_a_hot_run(no_aqe):
     spark = no_aqe
     base = dt.datetime(2024, 1, 1)
-    rows = [(0 if i % 3 == 0 else i, i, base + dt.timedelta(seconds=7 * i), "successful") for i in range(N)]
+    # a third of the rows: one run, one time stamp
+    rows = [(0, i, base, "successful") if i % 3 == 0 else (i, i, base + dt.timedelta(seconds=7 * i), "successful")
+            for i in range(N)]
     df = spark.createDataFrame(rows, "run_id long, seq long, finished_at timestamp_ntz, outcome string")
-    out = running_counts(df, bucket_seconds=600)
+    out = running_counts(df, slices=8)
     sizes = _sizes(out)
     assert max(sizes) < 2 * N / len(sizes)
     hot = out.where("run_id = 0").agg(F.max("processed_rows")).first()[0]
@@ -71,7 +73,7 @@ def test_hot_file_name_is_split_by_aqe(spark):
         files = spark.range(0, n, 2).select(F.concat(F.lit("f"), F.col("id").cast("string"),
                                                      F.lit(".pdf")).alias("file_name")) \
             .union(spark.createDataFrame([("shared.pdf",)], "file_name string"))
-        out = mark_existing_files(df, files, broadcast_keys=100)   # listing too big to broadcast
+        out = mark_existing_files(df, files)
         rows = out.collect()
         plan = out._jdf.queryExecution().executedPlan().toString()
     finally:
@@ -82,13 +84,15 @@ def test_hot_file_name_is_split_by_aqe(spark):
     assert len(rows) == n and present == {i for i in range(n) if i % 3 == 0 or i % 2 == 0}
 
 
-def test_small_listing_is_broadcast_after_a_size_check(spark):
+def test_presence_of_unique_and_repeated_keys(spark):
+    """Both forms multiply no row, and no job runs while the plan is built."""
     from docfetch.operators.keys import presence_flag
     df = spark.range(1000).select((F.col("id") % 7).cast("string").alias("k"))
-    other = spark.createDataFrame([("1",), ("1",), ("3",)], "k string")
-    out = presence_flag(df, other, ["k"], "hit")
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "Broadcast" in plan
-    assert out.count() == 1000 and out.where("hit").count() == sum(1 for i in range(1000) if i % 7 in (1, 3))
-    big = presence_flag(df, other, ["k"], "hit", broadcast_keys=1)     # over the bound: shuffle joins
-    assert big.count() == 1000 and big.where("hit").count() == out.where("hit").count()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup
+    repeated = spark.createDataFrame([("1",), ("1",), ("3",)], "k string")
+    before = len(jobs())
+    out = presence_flag(df, repeated, ["k"], "hit")
+    once = presence_flag(df, repeated.distinct(), ["k"], "hit", unique=True)
+    assert len(jobs()) == before
+    for x in (out, once):
+        assert x.count() == 1000 and x.where("hit").count() == sum(1 for i in range(1000) if i % 7 in (1, 3))
