@@ -147,9 +147,11 @@ class ChunkTable:
         self.spark, self.df, self.n_keys, self.n_chunk_buckets = spark, df, n_keys, n_chunk_buckets
 
     @classmethod
-    def build(cls, docs: DataFrame, pack: Callable, chunk_bytes: int | None = None) -> ChunkTable:
-        """``docs`` has (doc_id long, text string); ``pack(doc_ids, texts)`` makes the
-        chunk's body from the ids (nullable Arrow array) and texts (Arrow binary)."""
+    def build(cls, docs: DataFrame, pack: Callable, chunk_bytes: int | None = None,
+              with_chunk: bool = False) -> ChunkTable:
+        """``docs`` has (doc_id, text); ``pack(doc_ids, texts)`` makes the chunk's body
+        from the ids (nullable Arrow array) and texts (Arrow binary); ``with_chunk``
+        also gives it the chunk's number."""
         spark, chunk_bytes = docs.sparkSession, chunk_bytes or CHUNK_BYTES
 
         def pack_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,8 +162,8 @@ class ChunkTable:
             def flush():
                 nonlocal at, held, size
                 table = pa.Table.from_batches(held).combine_chunks()
-                texts = table["text"].combine_chunks().cast(pa.binary())
-                body = pack(table["doc_id"].combine_chunks(), texts)
+                texts = _one(table["text"]).cast(pa.binary())
+                body = pack(_one(table["doc_id"]), texts, *[at] * with_chunk)
                 row = pa.RecordBatch.from_arrays(
                     [pa.array([at], pa.int64()), pa.array([size], pa.int64()), pa.array([body], pa.binary())],
                     names=["chunk", "n_bytes", "body"])
@@ -221,6 +223,11 @@ class ChunkTable:
                 .applyInArrow(finish_one, schema))
 
 
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    array = column.combine_chunks()
+    return array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
+
+
 def answer(requests: DataFrame, reply: Callable, kind: int = 0) -> DataFrame:
     """``reply(blocks, ns)`` gets the request blocks of one key bucket, in chunk order,
     and returns one block per request; an extra last block is kept as chunk -1."""

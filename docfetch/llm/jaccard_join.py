@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfetch.llm.chunks import from_low_bytes, low_bytes, stored
+from docfetch.llm.chunks import (ChunkTable, answer, bits, bucket_of, by_bucket, expand, from_bits, from_low_bytes,
+                                 get_ints, get_parts, low_bytes, put_ints, put_parts, squeeze, stored)
 from docfetch.llm.components import components
 from docfetch.llm.native import join_documents
 from docfetch.llm.words import shingle_sets
@@ -77,32 +78,34 @@ def groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     rarity = spark.sparkContext.broadcast(_rarity(docs, n))
 
+    def digests(batches):
+        for batch in batches:
+            keys = list(shingle_sets(batch["text"], n))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["text_key"], pa.array([len(k) for k in keys], pa.int32()),
+                 pa.array([_digest(k) for k in keys], pa.binary())], names=["doc_id", "text_key", "n", "digest"])
+
     def prefixes(batches):
         for batch in batches:
-            sizes, digests, firsts = [], [], []
+            rows = []
             for keys in shingle_sets(batch["text"], n):
                 size = len(keys)
-                sizes.append(size)
-                digests.append(_digest(keys))
                 order = np.lexsort((keys, rarity.value[_slots(keys)]))
-                firsts.append(keys[order[:size + (-num * size // den) + 1 if size else 0]].view(np.int64))
+                rows.append((size, _digest(keys), low_bytes(keys[order[:size + (-num * size // den) + 1]], 8)))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["text_key"], pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()),
-                 pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n", "digest", "prefix"])
+                [batch["doc_id"], batch["text_key"], pa.array([r[0] for r in rows], pa.int32()),
+                 pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
+                names=["doc_id", "text_key", "n", "digest", "prefix"])
 
-    sets = stored(docs.mapInArrow(prefixes, "doc_id long, text_key long, n int, digest binary, prefix array<long>"),
-                  "shingle_prefixes")
+    sets = stored(docs.mapInArrow(digests, "doc_id long, text_key long, n int, digest binary"), "shingle_digests")
     # one entity per distinct set, shown by one of its documents
-    entities = stored(
-        sets.where("n > 0").groupBy("digest").agg(
-            F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"),
-            F.min_by(F.struct("doc_id", "text_key", "prefix"), F.struct("doc_id", "text_key")).alias("shown"))
-        .select(F.monotonically_increasing_id().alias("entity"), "digest", "least_id", "n_copies", "n",
-                "shown.doc_id", "shown.text_key", "shown.prefix"), "entities")
-
-    placed = entities.select("entity", "n", F.posexplode("prefix").alias("at", "shingle"))
-    shared = placed.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1").drop("df")
-    postings = stored(placed.join(shared, "shingle"), "postings")
+    distinct = (docs.mapInArrow(prefixes, "doc_id long, text_key long, n int, digest binary, prefix binary")
+                .where("n > 0").groupBy("digest").agg(
+                    F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"),
+                    F.min_by(F.struct("doc_id", "text_key", "prefix"), F.struct("doc_id", "text_key")).alias("shown"))
+                .select("digest", "least_id", "n_copies", "n", "shown.doc_id", "shown.text_key", "shown.prefix"))
+    chunks, entities = _entities(distinct)
+    postings = _postings(chunks)
     weight = postings.groupBy("entity").agg(F.count(F.lit(1)).alias("weight"))
     hubs = (postings.join(weight, "entity").groupBy("shingle")
             .agg(F.max_by(F.struct("entity", "n", "at"), F.struct("weight", -F.col("entity"))).alias("hub"))
@@ -146,12 +149,88 @@ def groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
                 .withColumn("component", F.coalesce("component", "entity")).drop("node"))
     named = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_digest = labelled.join(named, "component").select("digest", "n_copies", "component_id")
-    return (sets.drop("prefix").join(of_digest, "digest", "left")
+    return (sets.join(of_digest, "digest", "left")
             .select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
                     F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies")))
 
 
+LIGHT = "entity long, digest binary, least_id long, n_copies long, n int, doc_id long, text_key long"
+
+
+def _entities(distinct: DataFrame) -> tuple[ChunkTable, DataFrame]:
+    """The entities with their prefixes in chunks, where they get their numbers, and
+    as a table without the prefixes."""
+    columns = [c for c in distinct.columns if c != "prefix"]
+
+    def pack(rows: pa.Array, prefix: pa.Array, chunk: int) -> bytes:
+        if len(rows) >= 1 << 22 or chunk & 0xFFFFFFFF >= 1 << 20:
+            raise ValueError("a chunk numbers 2**22 entities and a task 2**20 chunks")
+        number = ((chunk >> 32) << 42) + ((chunk & 0xFFFFFFFF) << 22) + np.arange(len(rows))
+        table = pa.table({"entity": pa.array(number), **{c: rows.field(c) for c in columns}})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        sizes = np.array([len(x.as_py()) for x in prefix], np.int64)
+        return put_parts(squeeze(sink.getvalue().to_pybytes()), put_ints(sizes),
+                         b"".join(x.as_py() for x in prefix))
+
+    chunks = ChunkTable.build(distinct.select(F.struct(*columns).alias("doc_id"), F.col("prefix").alias("text")),
+                              pack, with_chunk=True)
+
+    def light(batches):
+        for batch in batches:
+            for body in batch["body"]:
+                yield from _light(body.as_py()).select([c.split()[0] for c in LIGHT.split(", ")]).to_batches()
+
+    return chunks, stored(chunks.df.mapInArrow(light, LIGHT), "entities")
+
+
+def _light(body: bytes) -> pa.Table:
+    return pa.ipc.open_stream(expand(get_parts(body)[0])).read_all()
+
+
+def _postings(chunks: ChunkTable) -> DataFrame:
+    """(entity, n, at, shingle) of the prefix shingles that two entities or more have."""
+    n_keys = chunks.n_keys
+
+    def keys_of(body: bytes) -> np.ndarray:
+        return from_low_bytes(get_parts(body)[2], 8)
+
+    def routes(keys: np.ndarray):
+        buckets = bucket_of(keys, n_keys)
+        order = np.argsort(buckets, kind="stable")
+        for bucket, run in by_bucket(buckets[order]):
+            yield bucket, order[run]
+
+    def request(body: bytes):
+        keys, counts = np.unique(keys_of(body), return_counts=True)
+        for bucket, i in routes(keys):
+            yield bucket, len(i), put_parts(low_bytes(keys[i], 6), bits(counts[i] > 1))
+
+    def shared(blocks: list[bytes], ns: np.ndarray) -> list[bytes]:
+        parts = [get_parts(b) for b in blocks]
+        keys, inverse = np.unique(np.concatenate([from_low_bytes(p[0], 6) for p in parts]), return_inverse=True)
+        many = np.concatenate([from_bits(p[1], n) for p, n in zip(parts, ns)])
+        found = (np.bincount(inverse, weights=1 + many, minlength=len(keys)) > 1)[inverse]
+        ends = np.cumsum(ns)
+        return [bits(found[e - n:e]) for e, n in zip(ends.tolist(), ns.tolist())]
+
+    def emit(body: bytes, answers) -> pa.Table:
+        keys, inverse = np.unique(keys_of(body), return_inverse=True)
+        found = np.zeros(len(keys), bool)
+        for bucket, i in routes(keys):
+            found[i] = from_bits(answers[0][bucket], len(i))
+        table, sizes = _light(body), get_ints(get_parts(body)[1], np.int64) // 8
+        at = np.arange(len(inverse)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        kept, of = found[inverse], np.repeat(np.arange(len(sizes)), sizes)
+        return pa.table({"entity": table["entity"].take(of[kept]), "n": table["n"].take(of[kept]),
+                         "at": pa.array(at[kept], pa.int32()), "shingle": pa.array(keys[inverse][kept].view(np.int64))})
+
+    return stored(chunks.finish(answer(chunks.ask(request), shared), emit,
+                                "entity long, n int, at int, shingle long"), "postings")
+
+
 def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     spark = docs.sparkSession
