@@ -137,12 +137,13 @@ class Fixtures:
             F.concat(F.lit("list_"), _s(rid % 20), F.lit(".xlsx")).alias("running_file"),
             F.when(rid % 3 == 0, "finished").when(rid % 3 == 1, "running").otherwise("cancelled").alias("status"),
             "start_time", "end_time", "processed_rows",
-            (F.col("processed_rows") + rid % 3).alias("num_rows"))
+            (F.col("processed_rows") + rid % 2).alias("num_rows"))
 
     def accounts_v(self) -> DataFrame:
         c = self.t("customer")
         k = F.col("c_custkey")
-        username = (F.when(k % 4 == 0, F.replace(F.col("c_name"), F.lit("#"), F.lit("_")))
+        username = (F.when(k % 30 == 2, F.lit(None).cast("string")).when(k % 30 == 6, F.repeat(F.lit("x"), 60))
+                    .when(k % 4 == 0, F.replace(F.col("c_name"), F.lit("#"), F.lit("_")))
                     .when(k % 4 == 1, F.lit("ab")).when(k % 4 == 2, F.col("c_name"))
                     .otherwise(F.concat(F.lit("User_"), _s(k % 60))))
         # some accounts share the e-mail of one whose user name was taken
@@ -233,11 +234,13 @@ from events"""),
 select run_id as task_id, concat('list_', cast(run_id % 20 as string), '.xlsx') as running_file,
        case run_id % 3 when 0 then 'finished' when 1 then 'running' else 'cancelled' end as status,
        min(finished_at) as start_time, max(finished_at) as end_time,
-       count(*) as processed_rows, count(*) + run_id % 3 as num_rows
+       count(*) as processed_rows, count(*) + run_id % 2 as num_rows
 from attempts_v group by run_id"""),
     "accounts_v": ((), """
 select c_custkey as row_no,
-       case c_custkey % 4 when 0 then replace(c_name, '#', '_') when 1 then 'ab' when 2 then c_name
+       case when c_custkey % 30 = 2 then null when c_custkey % 30 = 6 then repeat('x', 60)
+            when c_custkey % 4 = 0 then replace(c_name, '#', '_') when c_custkey % 4 = 1 then 'ab'
+            when c_custkey % 4 = 2 then c_name
             else concat('User_', cast(c_custkey % 60 as string)) end as username,
        case when c_custkey % 5 = 0 then 'bad.address'
             else concat('c', cast(case when c_custkey % 16 = 8 then (c_custkey + 3) % 72

@@ -595,14 +595,17 @@ select c.brnumber,
   case when coalesce(c.file_name, '') = '' then '{S.MSG_PDF_NOT_FOUND}'
        when f.file_name is null then '{S.MSG_PDF_NOT_FOUND}'
        when coalesce(c.download_status = 'TRUE', false) = false then '{S.MSG_PDF_NOT_DOWNLOADED}' end as reason
-from catalog_v c
+from (select * replace (case when id % 120 = 1 then 'FALSE' else download_status end as download_status)
+      from catalog_v) c
 left join (select distinct 'archive' as file_folder, file_name from files_v) f
   on f.file_folder = c.file_folder and f.file_name = c.file_name""", "catalog_v", "manifest_v", "files_v"))
 def q_e7(spark, sf):
     """Delivery answers (local URI, links, deliverable path or reason) per catalog row."""
     fx = Fixtures(spark, sf)
     listing = fx.files_v().select(F.lit("archive").alias("file_folder"), "file_name")
-    return BR.resolve_delivery(fx.catalog_v(), listing)
+    # some stored documents have been withdrawn since
+    withdrawn = F.when(F.col("id") % 120 == 1, F.lit("FALSE")).otherwise(F.col("download_status"))
+    return BR.resolve_delivery(fx.catalog_v().withColumn("download_status", withdrawn), listing)
 
 
 @register("e8_public_view", with_views(
@@ -779,28 +782,60 @@ def q_f10(spark, sf):
 
 @register("g2_live_counts", with_views(F1_SQL, "attempts_v"))
 def q_g2(spark, sf):
-    """The events table replayed as a stream of attempts; the live counters after
-    the stream is drained equal the batch counters (F1)."""
-    import uuid
+    """The attempts replayed as a stream of several files; the progress records kept
+    by the stream (update mode, one batch per file) end at the batch counters (F1)."""
+    from docfetch.session import scratch_path
+    from docfetch.streaming.ingest import read_progress, track_progress
+
+    attempts, path, state = Fixtures(spark, sf).attempts_v(), scratch_path(spark, "attempts"), scratch_path(spark, "live")
+    attempts.repartition(4, "seq").write.parquet(path)
+    stream = spark.readStream.schema(attempts.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    track_progress(spark, stream, state, checkpoint=f"{state}/checkpoint", available_now=True).awaitTermination()
+    return read_progress(spark, state).select("run_id", *RU.COUNTERS, "processed_rows")
+
 
+@register("g1_ingest_stream", with_views("""
+select brnumber, title, case when row_no % 4 < 2 then 'TRUE' else 'FALSE' end as download_status,
+  case row_no % 4 when 0 then 'region.parquet.pdf' when 1 then 'nation.parquet.pdf' else '' end as file_name
+from manifest_v""", "manifest_v"))
+def q_g1(spark, sf):
+    """The raw manifest dropped as several CSV files and ingested by the stream: the
+    catalog. URLs lead to two driver tables, to a file that is not there, or are empty."""
+    from docfetch.session import scratch_path, to_local_path
+    from docfetch.streaming.ingest import ingest_stream
+
+    base = f"file://{to_local_path(sf.rstrip('/'))}/"
+    rn = F.col("row_no") % 4
+    url = (F.when(rn == 0, F.lit(base + "region.parquet")).when(rn == 1, F.lit(base + "nation.parquet"))
+           .when(rn == 2, F.lit(base + "missing.parquet")))
+    raw = (Fixtures(spark, sf).raw_manifest_v().withColumn("Pdf_URL", url).repartition(3, "row_no")
+           .drop("row_no", "Report Html Address"))
+    root = scratch_path(spark, "ingest")
+    TBL.export_csv(raw, f"{root}/in")
+    ingest_stream(spark, f"{root}/in", f"{root}/state", f"{root}/dest", checkpoint=f"{root}/checkpoint",
+                  max_files_per_trigger=2, now=RUN_NOW,
+                  fetch_kwargs={"signature": b"PAR1", "use_backup": False}).awaitTermination()
+    catalog = TBL.read_latest(spark, f"{root}/state/catalog", S.CATALOG_SCHEMA)
+    return catalog.select("brnumber", "title", "download_status", "file_name")
+
+
+@register("a6_store_and_list", with_views(f"""
+select distinct case when row_no % 2 = 0 then target else '_' || target end || '.pdf' as file_name
+from (select row_no, {_probe_target_sql()} as target from manifest_v) m
+where target in ({", ".join(f"'{t}'" for t in DRIVER_TABLES)})""", "manifest_v"))
+def q_a6(spark, sf):
+    """Every manifest row's file (a driver table, a missing file, no URL) stored in a new
+    folder; the names found there, also those that a Spark listing hides."""
     from docfetch.session import scratch_path
-    from docfetch.streaming.ingest import live_counts
-
-    from docfetch.fixtures import read_table
-    schema = read_table(spark, sf, "events").schema
-    events = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf))
-    et = F.col("event_type")
-    attempts = events.select(
-        F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("ts").alias("finished_at"),
-        F.when(et.isin("click", "purchase"), "successful").when(et == "view", "already_downloaded")
-        .otherwise("failed").alias("outcome"))
-    name = f"live_counts_{uuid.uuid4().hex[:12]}"
-    q = (live_counts(attempts).writeStream.outputMode("complete").format("memory").queryName(name)
-         .option("checkpointLocation", scratch_path(spark, "live-counts"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name)
+
+    m = Fixtures(spark, sf).manifest_v().select("row_no").withColumn("target", _probe_target(sf))
+    url = F.when(F.col("target") != "", F.concat(F.lit(f"file://{sf.rstrip('/')}/"), F.col("target"), F.lit(".parquet")))
+    name = F.concat(F.when(F.col("row_no") % 2 == 0, F.lit("")).otherwise(F.lit("_")), F.col("target"), F.lit(".pdf"))
+    dest = scratch_path(spark, "stored")
+    first = m.withColumn("url", url).withColumn("stored_name", name).groupBy("url", "stored_name").agg(
+        F.min("row_no").alias("row_no"))
+    FE.persist_attempts(FE.fetch_documents(first, "url", dest=dest, signature=b"PAR1"))
+    return TBL.list_stored_files(spark, dest).select("file_name")
 
 
 # ================================ A: sources and sinks ==============================
