@@ -68,7 +68,9 @@ CELLS_SCHEMA = T.StructType([
 def _workbook_rows(content: bytes, batch_rows: int = 10000):
     """Yield lists of (row_no, {header: text}) for the active sheet of an OOXML
     workbook, streaming the sheet XML. Empty cells are None; numbers keep the
-    text Excel stored, integral numbers without a fractional part."""
+    text Excel stored, integral numbers without a fractional part; cells with a
+    date format give ``YYYY-MM-DD hh:mm:ss``."""
+    import datetime as dt
     import io
     import posixpath
     import re
@@ -104,6 +106,19 @@ def _workbook_rows(content: bytes, batch_rows: int = 10000):
     else:
         sheet_path = posixpath.normpath(posixpath.join("xl", target))
 
+    # style index -> is its number format one for dates (built-in 14-22, 45-47, or
+    # a custom one with day, month, year or hour letters outside quotes)
+    dated: list[bool] = []
+    if "xl/styles.xml" in names:
+        styles = ET.fromstring(zf.read("xl/styles.xml"))
+        custom = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode") or "")
+                  for f in styles.iter(ns + "numFmt")}
+        ids = [int(x.get("numFmtId") or 0) for x in styles.findall(f"{ns}cellXfs/{ns}xf")]
+        dated = [14 <= i <= 22 or 45 <= i <= 47 or bool(re.search("[dmyhDMYH]", custom.get(i, ""))) for i in ids]
+    epoch = wb.find(f"{ns}workbookPr")
+    first_day = dt.datetime(1904, 1, 1) if epoch is not None and epoch.get("date1904") in ("1", "true") \
+        else dt.datetime(1899, 12, 30)
+
     def col_index(ref: str) -> int:
         letters = re.match(r"[A-Z]+", ref).group(0)
         n = 0
@@ -128,6 +143,9 @@ def _workbook_rows(content: bytes, batch_rows: int = 10000):
         txt = v.text
         try:
             f = float(txt)
+            style = int(c.get("s") or 0)
+            if style < len(dated) and dated[style]:
+                return str(first_day + dt.timedelta(seconds=round(f * 86400)))
             if f.is_integer() and "e" not in txt.lower():
                 return str(int(f))
             return repr(f)

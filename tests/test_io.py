@@ -202,3 +202,24 @@ def test_default_export_survives_newlines_and_quotes(spark, tmp_path):
     back = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
             .schema("id long, title string").csv(out))
     assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+def test_xlsx_date_cells(spark, tmp_path):
+    """A number under a date format is a date; under another format it stays a number."""
+    import zipfile
+
+    from docfetch.registry import _write_workbook
+    path = tmp_path / "dates.xlsx"
+    _write_workbook(str(path), ["BRnum", "Title", "Pdf_URL"], [["K1", "t", "u"]])
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    with zipfile.ZipFile(path) as z:
+        parts = {n: z.read(n).decode() for n in z.namelist()}
+    parts["xl/styles.xml"] = (f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm"/></numFmts>'
+                              '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/></cellXfs></styleSheet>')
+    row = '<row r="3"><c r="A3" s="1"><v>43831</v></c><c r="B3" s="2"><v>43831.5</v></c><c r="C3" s="0"><v>43831</v></c></row>'
+    parts["xl/worksheets/sheet1.xml"] = parts["xl/worksheets/sheet1.xml"].replace("</sheetData>", row + "</sheetData>")
+    with zipfile.ZipFile(path, "w") as z:
+        for n, text in parts.items():
+            z.writestr(n, text)
+    cells = {r.row_no: r.cells for r in M.read_manifest_xlsx(spark, str(path)).collect()}
+    assert cells[1] == {"BRnum": "2020-01-01 00:00:00", "Title": "2020-01-01 12:00:00", "Pdf_URL": "43831"}
