@@ -140,6 +140,14 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
 
 # --- the chunk table ---------------------------------------------------------------
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB (64 MB by default): a batch is held by the JVM and by
+    the Python worker at once, several times over."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m") in ("64m", "67108864b", "67108864"):
+        spark.conf.set(key, "8m")
+
+
 class ChunkTable:
     """Documents in chunks, in the shared folder, bucketed by chunk id."""
 
@@ -153,6 +161,7 @@ class ChunkTable:
         from the ids (nullable Arrow array) and texts (Arrow binary); ``with_chunk``
         also gives it the chunk's number."""
         spark, chunk_bytes = docs.sparkSession, chunk_bytes or CHUNK_BYTES
+        small_batches(spark)
 
         def pack_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext

@@ -7,7 +7,7 @@ the shingle's key.
 
 Equal sets are one entity. Candidate pairs share a prefix shingle and pass the length
 filter, the positional filter (what can still follow both positions) and, before the
-sets are compared, the suffix filter (the sets' counts over 32 key ranges). A pair is
+sets are compared, the suffix filter (the sets' counts over 128 key ranges). A pair is
 verified once, exactly.
 
 Components need not verify all pairs of a large group of near copies. First every
@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfetch.llm.chunks import (ChunkTable, answer, bits, bucket_of, by_bucket, expand, from_bits, from_low_bytes,
-                                 get_ints, get_parts, low_bytes, put_ints, put_parts, squeeze, stored)
+                                 get_ints, get_parts, low_bytes, put_ints, put_parts, small_batches, squeeze, stored)
 from docfetch.llm.components import components
 from docfetch.llm.native import join_documents
 from docfetch.llm.words import shingle_sets
 
 SLOTS_LOG = 18       # of the rarity sketch: 2**18 counters, whatever the corpus
-RANGES = 32          # key ranges of the suffix filter
+RANGES_LOG = 7       # 128 key ranges of the suffix filter
 MARKS_LOG = 22       # bits of the table of asked texts
 
 
@@ -74,6 +74,7 @@ def groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
     """Per document row: doc_id, text_key (xxhash64 of the text), n_shingles, component_id
     and ``n_copies``, the rows that have the same set. Linked: den * |A & B| >= num * |A | B|."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("text_key", F.xxhash64("text"))
     rarity = spark.sparkContext.broadcast(_rarity(docs, n))
@@ -249,8 +250,8 @@ def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, n: int, nu
             for x in shingle_sets(batch["text"], n):
                 sizes.append(len(x))
                 keys.append(low_bytes(x, 6))
-                ranges.append(np.bincount((x >> np.uint64(59)).astype(np.int64), minlength=RANGES)
-                              .astype(np.int32).tobytes())
+                ranges.append(np.minimum(np.bincount((x >> np.uint64(64 - RANGES_LOG)).astype(np.int64),
+                                                     minlength=1 << RANGES_LOG), 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["text_key"], pa.array(sizes, pa.int32()), pa.array(ranges, pa.binary()),
                  pa.array(keys, pa.binary())], names=["doc_id", "text_key", "size", "ranges", "keys"])
@@ -258,24 +259,36 @@ def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, n: int, nu
     packed = (docs.where("text is not null").withColumn("mark", _mark(F.col("text_key")))
               .mapInArrow(pack, "doc_id long, text_key long, size int, ranges binary, keys binary"))
     sets = stored(join_documents(packed, shown, "inner").select("entity", "size", "ranges", "keys"), "asked_sets")
-    side = lambda x: sets.select(*(F.col(c).alias(x + "_" + c) for c in sets.columns))
-    joined = (pairs.join(side("a"), F.col("a") == F.col("a_entity")).drop("a_entity")
-              .join(side("b"), F.col("b") == F.col("b_entity")).drop("b_entity"))
+
+    def joined(pairs: DataFrame, *columns: str) -> DataFrame:
+        for x in ("a", "b"):
+            side = sets.select(F.col("entity").alias("of"), *(F.col(c).alias(f"{x}_{c}") for c in columns))
+            pairs = pairs.join(side, F.col(x) == F.col("of")).drop("of")
+        return pairs
+
+    def suffix_filter(batches):
+        """What the counts by key range leave of the overlap must still reach the threshold."""
+        for batch in batches:
+            counts = lambda c: np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(
+                batch.num_rows, 1 << RANGES_LOG).astype(np.int16)
+            size = batch["a_size"].to_numpy().astype(np.int64) + batch["b_size"].to_numpy()
+            apart = np.abs(counts("a_ranges") - counts("b_ranges")).sum(axis=1, dtype=np.int64)
+            kept = pa.array((size - apart) // 2 * (num + den) >= num * size)
+            yield batch.select(["a", "b"]).filter(kept)
+
+    close = stored(joined(pairs, "size", "ranges").mapInArrow(suffix_filter, "a long, b long"), "close_pairs")
 
     def check(batches):
         for batch in batches:
-            rows = zip(*(batch[c].to_pylist() for c in ("a", "b", "a_size", "a_ranges", "a_keys", "b_size",
-                                                        "b_ranges", "b_keys")))
+            columns = [batch[c] for c in ("a", "b", "a_size", "a_keys", "b_size", "b_keys")]
+            rows = ([x.as_py() for x in row] for row in zip(*columns))
             kept = [(a, b) for a, b, *sides in rows if _linked(*sides, num, den)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()),
                                               pa.array([x[1] for x in kept], pa.int64())], names=["a", "b"])
 
-    return joined.mapInArrow(check, "a long, b long").distinct()
+    return joined(close, "size", "keys").mapInArrow(check, "a long, b long").distinct()
 
 
-def _linked(a_size, a_ranges, a_keys, b_size, b_ranges, b_keys, num, den) -> bool:
-    apart = np.abs(np.frombuffer(a_ranges, np.int32) - np.frombuffer(b_ranges, np.int32)).sum()
-    if (a_size + b_size - int(apart)) // 2 * (num + den) < num * (a_size + b_size):
-        return False                                                 # the suffix filter
+def _linked(a_size, a_keys, b_size, b_keys, num, den) -> bool:
     both = len(np.intersect1d(from_low_bytes(a_keys, 6), from_low_bytes(b_keys, 6), assume_unique=True))
     return den * both >= num * (a_size + b_size - both)

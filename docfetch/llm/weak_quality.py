@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfetch.llm.chunks import span_hash
+from docfetch.llm.chunks import small_batches, span_hash
 from docfetch.llm.words import NOT_ALNUM, text_bytes, word_keys, word_spans
 
 SLOTS_LOG = 18
@@ -151,6 +151,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 8000, threshold:
     """The documents with ``quality_score`` (the scorer's probability of good) and
     ``quality_accepted``. Most documents of a corpus are good, hence a threshold over a half."""
     spark = docs.sparkSession
+    small_batches(spark)
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def vote_rows(batches):
