@@ -92,19 +92,22 @@ def groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
             for keys in shingle_sets(batch["text"], n):
                 size = len(keys)
                 order = np.lexsort((keys, rarity.value[_slots(keys)]))
-                rows.append((size, _digest(keys), low_bytes(keys[order[:size + (-num * size // den) + 1]], 8)))
+                ranges = np.bincount((keys >> np.uint64(64 - RANGES_LOG)).astype(np.int64), minlength=1 << RANGES_LOG)
+                rows.append((size, _digest(keys), np.minimum(ranges, 255).astype(np.uint8).tobytes(),
+                             low_bytes(keys[order[:size + (-num * size // den) + 1]], 8)))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["text_key"], pa.array([r[0] for r in rows], pa.int32()),
-                 pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-                names=["doc_id", "text_key", "n", "digest", "prefix"])
+                 *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))],
+                names=["doc_id", "text_key", "n", "digest", "ranges", "prefix"])
 
     sets = stored(docs.mapInArrow(digests, "doc_id long, text_key long, n int, digest binary"), "shingle_digests")
     # one entity per distinct set, shown by one of its documents
-    distinct = (docs.mapInArrow(prefixes, "doc_id long, text_key long, n int, digest binary, prefix binary")
+    distinct = (docs.mapInArrow(prefixes, "doc_id long, text_key long, n int, digest binary, ranges binary, prefix binary")
                 .where("n > 0").groupBy("digest").agg(
                     F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"),
-                    F.min_by(F.struct("doc_id", "text_key", "prefix"), F.struct("doc_id", "text_key")).alias("shown"))
-                .select("digest", "least_id", "n_copies", "n", "shown.doc_id", "shown.text_key", "shown.prefix"))
+                    F.min_by(F.struct("doc_id", "text_key", "ranges", "prefix"), F.struct("doc_id", "text_key")).alias("shown"))
+                .select("digest", "least_id", "n_copies", "n", "shown.doc_id", "shown.text_key", "shown.ranges",
+                        "shown.prefix"))
     chunks, entities = _entities(distinct)
     postings = _postings(chunks)
     weight = postings.groupBy("entity").agg(F.count(F.lit(1)).alias("weight"))
@@ -156,7 +159,7 @@ def groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
                     F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies")))
 
 
-LIGHT = "entity long, digest binary, least_id long, n_copies long, n int, doc_id long, text_key long"
+LIGHT = "entity long, digest binary, least_id long, n_copies long, n int, doc_id long, text_key long, ranges binary"
 
 
 def _entities(distinct: DataFrame) -> tuple[ChunkTable, DataFrame]:
@@ -235,34 +238,10 @@ def _postings(chunks: ChunkTable) -> DataFrame:
 def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     spark = docs.sparkSession
-    asked = pairs.select(F.col("a").alias("entity")).unionByName(pairs.select(F.col("b").alias("entity"))).distinct()
-    shown = entities.join(asked, "entity", "left_semi").select("entity", "doc_id", "text_key")
-    # which texts are asked for, as a bit table of fixed size: the other texts, but for those
-    # that share a bit, need no shuffle (a full table only filters less)
-    marks = np.zeros(1 << MARKS_LOG, bool)
-    marks[shown.select(_mark(F.col("text_key")).alias("mark")).distinct().toArrow()["mark"].to_numpy()] = True
-    marked = spark.sparkContext.broadcast(marks)
-
-    def pack(batches):
-        for batch in batches:
-            batch = batch.filter(pa.array(marked.value[batch["mark"].to_numpy()]))
-            sizes, keys, ranges = [], [], []
-            for x in shingle_sets(batch["text"], n):
-                sizes.append(len(x))
-                keys.append(low_bytes(x, 6))
-                ranges.append(np.minimum(np.bincount((x >> np.uint64(64 - RANGES_LOG)).astype(np.int64),
-                                                     minlength=1 << RANGES_LOG), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["text_key"], pa.array(sizes, pa.int32()), pa.array(ranges, pa.binary()),
-                 pa.array(keys, pa.binary())], names=["doc_id", "text_key", "size", "ranges", "keys"])
 
-    packed = (docs.where("text is not null").withColumn("mark", _mark(F.col("text_key")))
-              .mapInArrow(pack, "doc_id long, text_key long, size int, ranges binary, keys binary"))
-    sets = stored(join_documents(packed, shown, "inner").select("entity", "size", "ranges", "keys"), "asked_sets")
-
-    def joined(pairs: DataFrame, *columns: str) -> DataFrame:
+    def joined(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
         for x in ("a", "b"):
-            side = sets.select(F.col("entity").alias("of"), *(F.col(c).alias(f"{x}_{c}") for c in columns))
+            side = table.select(F.col("entity").alias("of"), *(F.col(c).alias(f"{x}_{c}") for c in columns))
             pairs = pairs.join(side, F.col(x) == F.col("of")).drop("of")
         return pairs
 
@@ -271,12 +250,31 @@ def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, n: int, nu
         for batch in batches:
             counts = lambda c: np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(
                 batch.num_rows, 1 << RANGES_LOG).astype(np.int16)
-            size = batch["a_size"].to_numpy().astype(np.int64) + batch["b_size"].to_numpy()
+            size = batch["a_n"].to_numpy().astype(np.int64) + batch["b_n"].to_numpy()
             apart = np.abs(counts("a_ranges") - counts("b_ranges")).sum(axis=1, dtype=np.int64)
             kept = pa.array((size - apart) // 2 * (num + den) >= num * size)
             yield batch.select(["a", "b"]).filter(kept)
 
-    close = stored(joined(pairs, "size", "ranges").mapInArrow(suffix_filter, "a long, b long"), "close_pairs")
+    close = stored(joined(pairs, entities, "n", "ranges").mapInArrow(suffix_filter, "a long, b long"), "close_pairs")
+    asked = close.select(F.col("a").alias("entity")).unionByName(close.select(F.col("b").alias("entity"))).distinct()
+    shown = entities.join(asked, "entity", "left_semi").select("entity", "doc_id", "text_key")
+    # which texts are asked for, as a bit table of fixed size: the other texts, but for those
+    # that share a bit, need no shuffle (a full table only filters less)
+    marks = np.zeros(1 << MARKS_LOG, bool)
+    marks[shown.select(_mark(F.col("text_key")).alias("mark")).distinct().toArrow()["mark"].to_numpy()] = True
+    marked = spark.sparkContext.broadcast(marks)
+
+    def pack(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(marked.value[batch["mark"].to_numpy()]))
+            keys = list(shingle_sets(batch["text"], n))
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["text_key"], pa.array([len(k) for k in keys], pa.int32()),
+                 pa.array([low_bytes(k, 6) for k in keys], pa.binary())], names=["doc_id", "text_key", "size", "keys"])
+
+    packed = (docs.where("text is not null").withColumn("mark", _mark(F.col("text_key")))
+              .mapInArrow(pack, "doc_id long, text_key long, size int, keys binary"))
+    sets = stored(join_documents(packed, shown, "inner").select("entity", "size", "keys"), "asked_sets")
 
     def check(batches):
         for batch in batches:
@@ -286,7 +284,7 @@ def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, n: int, nu
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()),
                                               pa.array([x[1] for x in kept], pa.int64())], names=["a", "b"])
 
-    return joined(close, "size", "keys").mapInArrow(check, "a long, b long").distinct()
+    return joined(close, sets, "size", "keys").mapInArrow(check, "a long, b long").distinct()
 
 
 def _linked(a_size, a_keys, b_size, b_keys, num, den) -> bool:
