@@ -24,10 +24,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near copies (five-word shingles, similarity 0.8) the document
-    with the least id; documents without a word link with nothing and stay."""
+    with the least id (nulls last, then the least text key); documents without a word link
+    with nothing and stay."""
     found = jaccard_join.groups(docs, n=5, num=80)
-    kept = (found.where("n_shingles > 0 and doc_id <=> component_id").groupBy("doc_id")
-            .agg(F.min("text_key").alias("text_key")))
+    kept = (found.where("n_shingles > 0").groupBy("group_key")
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("kept"))
+            .select("kept.doc_id", "kept.text_key"))
     keyed = docs.withColumn("pipeline_key", F.concat_ws(":", "doc_id", F.xxhash64("text")))
     kept = kept.select(F.concat_ws(":", "doc_id", "text_key").alias("pipeline_key"))
     words = F.col("text").rlike(r"[^\x20\x09-\x0D]")

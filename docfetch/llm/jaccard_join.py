@@ -17,8 +17,8 @@ is lost, and pairs inside one are not needed.
 
 Defined cases: null and empty texts have no set and link with nothing; shorter texts have
 their whole sequence as one shingle; rows that share a doc_id are documents of their own;
-a component is named by its least non-null doc_id; a document without a set by its own;
-an empty table gives an empty result; other columns are ignored.
+a component is named by its least non-null doc_id (null if it has none, so that two can
+have one name); a document without a set by its own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -71,8 +71,9 @@ def _digest(keys: np.ndarray) -> bytes:
 
 def groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
-    """Per document row: doc_id, text_key (xxhash64 of the text), n_shingles, component_id
-    and ``n_copies``, the rows that have the same set. Linked: den * |A & B| >= num * |A | B|."""
+    """Per document row: doc_id, text_key (xxhash64 of the text), n_shingles, component_id,
+    ``n_copies``, the rows that have the same set, and ``group_key``, which tells components
+    apart that have one name (null without a set). Linked: den * |A & B| >= num * |A | B|."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -152,11 +153,12 @@ def groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
                 .join(found, F.col("entity") == F.col("node"), "left")
                 .withColumn("component", F.coalesce("component", "entity")).drop("node"))
     named = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_digest = labelled.join(named, "component").select("digest", "n_copies", "component_id")
+    of_digest = (labelled.join(named, "component")
+                 .select("digest", "n_copies", "component_id", F.col("component").alias("group_key")))
     return (sets.join(of_digest, "digest", "left")
             .select("doc_id", "text_key", F.col("n").cast("long").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                    F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies")))
+                    F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), "group_key"))
 
 
 LIGHT = "entity long, digest binary, least_id long, n_copies long, n int, doc_id long, text_key long, ranges binary"

@@ -74,3 +74,18 @@ def test_pipeline_odd_rows(spark):
     assert len([t for _, t in got if t]) == 1                       # one of the near copies
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == len(got) and last.where(F.col("n_tokens") == 0).count() == len([t for _, t in got if not t])
+
+
+def test_pipeline_unrelated_groups(spark):
+    """Groups without an id, and groups under one id, each keep a text of their own."""
+    import corpus_pipeline
+
+    text = lambda name: " ".join(f"{name}{i}" for i in range(60))
+    rows = [(None, text("a")), (None, text("b")), (5, text("c")), (5, text("d")), (6, text("c") + " end"),
+            (7, text("d") + " end"), (None, text("d") + " last"), (None, text("a")), (None, text("b") + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars int").repartition(4)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert len(got) == 4
+    assert {r for r in got if r[0] is not None} == {(5, text("c")), (5, text("d"))}
+    assert {t[0] for i, t in got if i is None} == {"a", "b"}
