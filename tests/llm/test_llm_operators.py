@@ -231,6 +231,27 @@ def test_weak_quality(spark, docs):
     assert weak_quality.classify(docs.limit(0), labels).count() == 0
 
 
+@pytest.fixture(scope="module")
+def toxic_rejected(spark):
+    """Per table and language: the held-out toxic documents that are rejected, and all of them."""
+    out = {}
+    for sf in ("sf0.01", "sf0.1"):
+        table, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        got = weak_quality.classify(table, labels.where("doc_id % 2 = 0"))
+        got = got.join(labels.where("doc_id % 2 = 1 and toxic = 1"), "doc_id").groupBy("lang")
+        for r in got.agg(F.sum((~F.col("quality_accepted")).cast("int")), F.count(F.lit(1))).collect():
+            out[sf, r[0]] = (r[1], r[2])
+    return out
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+@pytest.mark.parametrize("lang", ["en", *(pytest.param(x, marks=pytest.mark.xfail(
+    strict=True, reason="open: toxic documents without English insults are accepted")) for x in ("de", "es", "fr"))])
+def test_toxic_recall(toxic_rejected, sf, lang):
+    rejected, total = toxic_rejected[sf, lang]
+    assert total > 0 and rejected >= 0.9 * total
+
+
 def test_bpe(spark, docs, rows):
     import tiktoken
 
