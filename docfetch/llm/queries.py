@@ -1,4 +1,4 @@
-"""The ten registered queries; each applies its operator to the whole table."""
+"""The registered queries; each applies its operator to the whole table."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfetch.llm import (bpe, decontaminate, jaccard_join, katz, pii, risk_rules, substring, suffix_buckets,
-                          token_order, weak_quality)
+from docfetch.llm import (bpe, decontaminate, filter_audit, jaccard_join, katz, pii, risk_rules, substring,
+                          suffix_buckets, token_order, weak_quality)
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,38 @@ def op9_byte_bpe(spark, sf_dir):
 def op10_suffix_dedup(spark, sf_dir):
     out = suffix_buckets.dedup_suffixes(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+ORACLE["op11_filter_audit"] = r"""
+with dw as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+    coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+judged as (select doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) over (partition by text), false)] as fails from dw),
+label as (select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by 1),
+cell as (select part, fails, count(*) as n, count(*) filter (where good) as g, count(*) filter (where toxic) as x
+  from judged left join label using (doc_id) group by 1, 2),
+letter as (select unnest(range(1, 6)) as k, chr(cast(64 + unnest(range(1, 6)) as integer)) as c),
+filter_orders as (select [a.k, b.k, c.k, d.k, e.k] as ks, a.c || b.c || c.c || d.c || e.c as filter_order
+  from letter a, letter b, letter c, letter d, letter e where len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+play as (select part, filter_order, s as step, ks[s] as own, n, g, x, fails[ks[s]] as f,
+    len(list_filter(ks[1:s - 1], lambda k: fails[k])) > 0 as gone,
+    fails[ks[s]] and len(list_filter(fails, lambda y: y)) = 1 as alone
+  from cell, filter_orders, range(1, 6) as r(s)),
+counted as (select part, filter_order, step, own,
+    coalesce(sum(n) filter (where not f and not gone), 0) as kept, coalesce(sum(n) filter (where f and not gone), 0) as removed,
+    coalesce(sum(n) filter (where f and gone), 0) as redundant, coalesce(sum(n) filter (where alone), 0) as unique_fails,
+    coalesce(sum(g) filter (where f and not gone), 0) as good_lost,
+    coalesce(sum(x) filter (where f and not gone), 0) as toxic_lost
+  from play group by 1, 2, 3, 4)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+  cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+  cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+  cast(sum(removed) over (partition by part, own) as bigint) as shapley
+from counted
+"""
