@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfetch.llm import (bpe, decontaminate, filter_audit, jaccard_join, katz, pii, risk_rules, substring,
+from docfetch.llm import (bpe, decontaminate, filter_audit, jaccard_join, katz, merkle, pii, risk_rules, substring,
                           suffix_buckets, token_order, weak_quality)
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -228,3 +228,51 @@ select part, filter_order, cast(step as integer) as step, cast(kept as bigint) a
   cast(sum(removed) over (partition by part, own) as bigint) as shapley
 from counted
 """
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    tamper, tampered = merkle.lower_cased()
+    return merkle.manifest(documents(spark, sf_dir), tamper=tamper, tampered=tampered).drop("part")
+
+
+def _merkle_sql(fanout: int = 8, levels: int = 7, tops: int = 3) -> str:
+    """Level by level: h the nodes, c how many the part has; a document's place is i // fanout^level.
+    ``levels`` are enough for fanout^levels documents of a language, ``tops`` for fanout^tops languages."""
+    field = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256(concat({', '.join(map(field, ['doc_id', 'source', 'lang', 'n_chars']))}, {field(text)}))"
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)"
+    crc = (f"xor(list_reduce([4294967295] || [cast(ascii(x) as bigint) for x in string_split(cast(doc_id as varchar), '')], "
+           f"lambda c, b: {step}), 4294967295)")
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    sql = f"""
+with crcs as (select *, {crc} as crc from documents),
+d as (select doc_id, dense_rank() over (order by lang nulls first) - 1 as p, {leaf('text')} as leaf,
+  case when crc % 3 = 0 then {leaf(lower)} else {leaf('text')} end as other from crcs),
+at0 as (select *, row_number() over (partition by p order by doc_id nulls first, leaf) - 1 as i, other as f, '' as proof from d),
+h0 as (select p, i, leaf as h, count(*) over (partition by p) as c from at0)"""
+
+    def level(k: int, h: str, at: str, own: str, part: str) -> str:
+        run = f"run_{h}{k}"
+        return f""",
+{run} as (select {part} as p, i // {fanout} as j, any_value(c) as c, list(h order by i) as hs from {h}{k} group by all),
+{h}{k + 1} as (select p, j as i, case when c = 1 then hs[1] else sha256(array_to_string(hs, '')) end as h,
+  count(*) over (partition by p) as c from {run}),
+{at}{k + 1} as (select a.* replace (a.{own} // {fanout} as {own},
+    case when c = 1 then f else sha256(array_to_string(hs[1:a.{own} % {fanout}] || [f] || hs[a.{own} % {fanout} + 2:], '')) end as f,
+    case when c = 1 then proof else proof || array_to_string(hs[1:a.{own} % {fanout}] || hs[a.{own} % {fanout} + 2:], '') end as proof)
+  from {at}{k} a join {run} r on r.j = a.{own} // {fanout} and {'r.p = a.p' if part == 'p' else 'true'})"""
+
+    for k in range(levels):
+        sql += level(k, "h", "at", "i", "p")
+    sql += f""",
+t0 as (select 0 as p, p as i, h, count(*) over () as c from h{levels}),
+up0 as (select a.*, a.p as q, s.h as subroot from at{levels} a join h{levels} s on s.p = a.p)"""
+    for k in range(tops):
+        sql += level(k, "t", "up", "q", "0")
+    return sql + f"""
+select doc_id, leaf, subroot, h as root, sha256(proof) as proof_sha256, f as folded_root, f = h as verified
+from up{tops}, t{tops}"""
+
+
+ORACLE["op12_merkle_manifest"] = _merkle_sql()

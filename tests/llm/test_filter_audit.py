@@ -65,7 +65,7 @@ def test_hot_copies(spark):
     hot = " ".join(rng.choice(["ab", "CD", "e$"]) for _ in range(110))
     rows = [(i, rng.choice(["en", "de", None]), hot if i % 3 else " ".join(rng.choices("abcdefgXYZ", k=rng.randrange(200))))
             for i in range(90)]
-    check(spark, rows, [(i, i % 2, i % 5 == 0) for i in range(0, 90, 2)])
+    check(spark, rows, [(i, i % 2, int(i % 5 == 0)) for i in range(0, 90, 2)])
 
 
 def expected(texts):
