@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docfetch.llm import (bpe, decontaminate, filter_audit, jaccard_join, katz, merkle, pii, risk_rules, substring,
-                          suffix_buckets, token_order, weak_quality)
+from docfetch.llm import (bpe, decontaminate, filter_audit, html_text, jaccard_join, katz, merkle, pii, risk_rules,
+                          substring, suffix_buckets, token_order, weak_quality)
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -276,3 +276,8 @@ from up{tops}, t{tops}"""
 
 
 ORACLE["op12_merkle_manifest"] = _merkle_sql()
+
+
+@query
+def op13_html_text(spark, sf_dir):
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
