@@ -253,11 +253,11 @@ def answer(requests: DataFrame, reply: Callable, kind: int = 0) -> DataFrame:
     return requests.groupBy("bucket").applyInArrow(reply_all, ANSWER + ", kind int")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """The rows, written to the shared folder and read back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

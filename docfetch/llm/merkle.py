@@ -36,6 +36,7 @@ from docfetch.llm.chunks import small_batches, stored
 from docfetch.llm.native import lower_ascii
 
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+DIGESTS = "uncompressed"      # tables of digests do not compress
 PATH = "array<struct<at:int,others:array<string>>>"
 RESULT = ("doc_id long, part string, leaf string, subroot string, root string, proof_sha256 string, "
           "folded_root string, verified boolean")
@@ -65,8 +66,8 @@ def manifest(docs: DataFrame, fanout: int = 8, levels: int = 3, columns: Sequenc
     again = leaf_of([(tamper or {}).get(c, F.col(c)) for c in columns])
     hit = F.coalesce(tampered, F.lit(False)) if tampered is not None else F.lit(False)
     leaves = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(part_col).cast("string").alias("part"),
-                                F.unhex(leaf).alias("leaf"), F.unhex(F.when(hit, again)).alias("other")), "leaves")
-    blocks = stored(_blocks(leaves, fanout, fanout ** levels, levels), "merkle_blocks")
+                                F.unhex(leaf).alias("leaf"), F.unhex(F.when(hit, again)).alias("other")), "leaves", DIGESTS)
+    blocks = stored(_blocks(leaves, fanout, fanout ** levels, levels), "merkle_blocks", DIGESTS)
     nodes = _exchanged(blocks.select("part", "block", "n_blocks", "node", F.array().cast(PATH).alias("path")), fanout)
 
     # one row per part: the parts are ranked and exchange their subroots
@@ -84,8 +85,8 @@ def manifest(docs: DataFrame, fanout: int = 8, levels: int = 3, columns: Sequenc
 
     def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                yield _proofs(row, fanout, levels)
+            for i in range(batch.num_rows):
+                yield _proofs(batch.slice(i, 1).to_pylist()[0], fanout, levels)
 
     return whole.drop("of", "at", "node").mapInArrow(prove, RESULT)
 
@@ -103,7 +104,7 @@ def _blocks(leaves: DataFrame, fanout: int, size: int, levels: int) -> DataFrame
     order = ["part", "id", "leaf", "row"]           # the row number splits a run of equal rows
     ordered = stored(leaves.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order)
                      .sortWithinPartitions(*order).drop("row").withColumn("at", F.monotonically_increasing_id()),
-                     "ordered_leaves")
+                     "ordered_leaves", DIGESTS)
     ordered = ordered.withColumn("task", F.shiftright("at", 33))
     # a row per (task of the sort, part): where the task's leaves of the part begin
     runs = ordered.groupBy("task", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
