@@ -44,13 +44,13 @@ def _splitter(pattern: str):
 
 
 class _Encoders:
-    """One tiktoken encoding per worker process and rank table."""
+    """One tiktoken encoding per worker process, rank table and pattern."""
 
-    held: dict[int, object] = {}
+    held: dict[tuple[int, str], object] = {}
 
     @classmethod
     def get(cls, pattern: str, ranks_var):
-        key = ranks_var.value["key"]
+        key = ranks_var.value["key"], pattern
         if key not in cls.held:
             import tiktoken
 

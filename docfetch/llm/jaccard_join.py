@@ -272,7 +272,7 @@ def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, n: int, nu
             keys = list(shingle_sets(batch["text"], n))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["text_key"], pa.array([len(k) for k in keys], pa.int32()),
-                 pa.array([low_bytes(k, 6) for k in keys], pa.binary())], names=["doc_id", "text_key", "size", "keys"])
+                 pa.array([low_bytes(k, 8) for k in keys], pa.binary())], names=["doc_id", "text_key", "size", "keys"])
 
     packed = (docs.where("text is not null").withColumn("mark", _mark(F.col("text_key")))
               .mapInArrow(pack, "doc_id long, text_key long, size int, keys binary"))
@@ -290,5 +290,5 @@ def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, n: int, nu
 
 
 def _linked(a_size, a_keys, b_size, b_keys, num, den) -> bool:
-    both = len(np.intersect1d(from_low_bytes(a_keys, 6), from_low_bytes(b_keys, 6), assume_unique=True))
+    both = len(np.intersect1d(from_low_bytes(a_keys, 8), from_low_bytes(b_keys, 8), assume_unique=True))
     return den * both >= num * (a_size + b_size - both)

@@ -8,7 +8,8 @@ holds one, and a window goes when the same word sequence starts earlier; adjacen
 windows join to maximal repeats.
 
 Earlier: a smaller doc_id, or the same document and an earlier start. Words covered
-by such a window are removed; windows are judged on the input.
+by such a window are removed; windows are judged on the input. Windows are compared over
+the corpus by 96 bits: two independent keys of their words.
 
 Defined cases: null and empty texts have no words; a null doc_id comes before all
 others; rows that share a doc_id are separate documents, neither earlier than the
@@ -21,10 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docfetch.llm.chunks import (ChunkTable, answer, base_documents, bits, bucket_of, by_bucket, byte_values,
-                                 from_bits, from_low_bytes, get_ints, get_parts, low_bytes, mix, order_of,
-                                 pack_texts, pieces, prefix_sums, put_ints, put_parts, span_hash, stored,
-                                 unpack_texts)
+from docfetch.llm.chunks import (ChunkTable, answer, base_documents, bits, bucket_of, by_bucket, from_bits,
+                                 from_low_bytes, get_ints, get_parts, low_bytes, order_of, pack_texts, pieces,
+                                 put_ints, put_parts, stored, unpack_texts)
+from docfetch.llm.keys import byte_keys, distinct_pairs, window_checks, window_keys
 
 SEPARATOR = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 PROBE_BYTES = 6      # of a probe's key, besides its bucket: a filter, checked by the window's key
@@ -57,22 +58,24 @@ def dedup_substrings(docs: DataFrame, window: int = 20, id_col: str = "doc_id",
 
     def request_windows(body: bytes, answers):
         words = _Words(body, block, window)
-        keys, owners, _ = words.owners(_block_hits(words, answers.get(0, {}), n_keys))
+        keys, checks, owners, _ = words.owners(_block_hits(words, answers.get(0, {}), n_keys))
         for bucket, i in _routes(keys, n_keys):
-            yield bucket, len(i), put_parts(low_bytes(keys[i], 8), put_ints(owners[i]))
+            yield bucket, len(i), put_parts(low_bytes(keys[i], 8), checks[i].tobytes(), put_ints(owners[i]))
 
     def earlier(blocks: list[bytes], ns: np.ndarray) -> list[bytes]:
         parts = [get_parts(b) for b in blocks]
         keys = np.concatenate([from_low_bytes(p[0], 8) for p in parts])
-        owners = np.concatenate([get_ints(p[1], np.int64) for p in parts])
-        order, first = _groups(keys)
-        least = np.minimum.reduceat(owners[order], first)
-        return _split_bits(_spread(least, order, first) < owners, ns)
+        checks = np.concatenate([np.frombuffer(p[1], np.uint32) for p in parts])
+        owners = np.concatenate([get_ints(p[2], np.int64) for p in parts])
+        first, same = distinct_pairs(keys, checks)
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, same, owners)
+        return _split_bits(least[same] < owners, ns)
 
     def result(body: bytes, answers) -> pa.Table:
         words = _Words(body, block, window)
         hits = _block_hits(words, answers.get(0, {}), n_keys)
-        keys, owners, (at, inverse) = words.owners(hits)
+        keys, _, owners, (at, inverse) = words.owners(hits)
         gone_elsewhere = _gather_bits(keys, answers.get(1, {}), n_keys)
         order = words.order[words.doc[at]]
         gone = gone_elsewhere[inverse] | (order > owners[inverse])
@@ -95,8 +98,7 @@ class _Words:
         self.ids, self.lengths, self.data = unpack_texts(body)
         self.order = order_of(self.ids)
         self.window, self.block = window, block
-        docs, blocks, windows, places = [], [], [], []
-        values = byte_values()
+        docs, blocks, windows, checks, places = [], [], [], [], []
         buf = np.frombuffer(self.data, np.uint8)
         ends = np.cumsum(np.maximum(self.lengths, 0))
         starts = ends - np.maximum(self.lengths, 0)
@@ -112,14 +114,13 @@ class _Words:
             end = np.flatnonzero(inside & (~after | edge[1:])) + 1
             doc = np.searchsorted(starts[a:b] - starts[a], begin, side="right") - 1 + a
             # an empty document starts where the next one does: take the last that starts there
-            words = span_hash(prefix_sums(values[text]), begin, end)
-            sums = prefix_sums(mix(words))
+            words = byte_keys(text, begin, end)
             count = np.bincount(doc - a, minlength=b - a)
             place = np.arange(len(words)) - np.repeat(np.cumsum(count) - count, count)
             left = np.repeat(count, count) - place
-            at = np.arange(len(words))
-            blocks.append(np.where(left >= block, span_hash(sums, at, np.minimum(at + block, len(words))), 0))
-            windows.append(np.where(left >= window, span_hash(sums, at, np.minimum(at + window, len(words))), 0))
+            blocks.append(np.where(left >= block, window_keys(words, block), 0))
+            windows.append(np.where(left >= window, window_keys(words, window), 0))
+            checks.append(window_checks(words, window))
             docs.append(doc)
             places.append(place)
         join = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)])
@@ -131,18 +132,19 @@ class _Words:
         self.blocks = join(blocks, np.uint64).astype(np.uint64)[self.block_at]
         self.block_pos = self.place[self.block_at]
         self.windows = join(windows, np.uint64).astype(np.uint64)
+        self.checks = join(checks, np.uint32).astype(np.uint32)
 
     def owners(self, hit: np.ndarray):
-        """The distinct windows that hold a hit: key, least document order, and where each starts."""
+        """The distinct windows that hold a hit: key, check, least document order, and where each starts."""
         marks = np.zeros(len(self.doc) + 1, np.int64)
         marks[self.block_at + 1] = hit
         total = np.cumsum(marks)
         at = np.flatnonzero(self.window_ok)
         at = at[total[at + self.window - self.block + 1] > total[at]]
-        keys, inverse = np.unique(self.windows[at], return_inverse=True)
-        owners = np.full(len(keys), np.iinfo(np.int64).max)
+        first, inverse = distinct_pairs(self.windows[at], self.checks[at])
+        owners = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(owners, inverse, self.order[self.doc[at]])
-        return keys, owners, (at, inverse)
+        return self.windows[at][first], self.checks[at][first], owners, (at, inverse)
 
     def kept(self, gone: np.ndarray) -> pa.Table:
         change = np.zeros(len(self.doc) + 1, np.int64)

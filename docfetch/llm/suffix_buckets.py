@@ -4,7 +4,8 @@ Suffixes fall into buckets by their first bytes; a bucket's identifier is refine
 the identifier of the suffix some bytes later, and the refined identifiers are used
 for the next refinement: 25 bytes, then 50, 100 and 200. An identifier is a 64-bit
 name of the bucket, equal wherever the bytes are equal, so suffixes of different
-documents compare without one global sort.
+documents compare without one global sort. Runs are compared by the names of their
+anchor and of their bytes (112 bits), strings by 96 bits.
 
 Only suffixes that can share a bucket are refined to the end. Each 200-byte string
 is filed under one of the 100-byte buckets inside it (the least identifier, the
@@ -24,11 +25,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
-from docfetch.llm.chunks import (ChunkTable, answer, base_documents, bits, bucket_of, by_bucket, byte_values,
-                                 from_bits, from_low_bytes, get_parts, low_bytes, mix, pack_texts, pieces,
-                                 prefix_sums, put_parts, span_hash, stored, unpack_texts)
+from docfetch.llm.chunks import (ChunkTable, answer, base_documents, bits, bucket_of, by_bucket, from_bits,
+                                 from_low_bytes, get_parts, low_bytes, mix, pack_texts, pieces, put_parts, stored,
+                                 unpack_texts)
+from docfetch.llm.keys import combine, distinct_pairs, eights
 
 FIRST = 25           # bytes of the initial buckets
 ANCHOR_BYTES = 6     # of an anchor's key, besides its bucket: a clash only compares more strings
@@ -74,27 +77,28 @@ def dedup_suffixes(docs: DataFrame, doublings: int = 3, id_col: str = "doc_id",
 
     def request_strings(body: bytes, answers):
         runs = _Runs(body, doublings)
-        keys, counts = np.unique(runs.strings(runs.states(answers.get(0, {}), n_keys))[0], return_counts=True)
+        keys, checks, _ = runs.strings(runs.states(answers.get(0, {}), n_keys))
+        first, same = distinct_pairs(keys, checks)
+        keys, checks, counts = keys[first], checks[first], np.bincount(same, minlength=len(first))
         for bucket, i in _routes(keys, n_keys):
-            yield bucket, len(i), put_parts(low_bytes(keys[i], 8), bits(counts[i] > 1))
+            yield bucket, len(i), put_parts(low_bytes(keys[i], 8), checks[i].tobytes(), bits(counts[i] > 1))
 
     def compare_strings(blocks: list[bytes], ns: np.ndarray) -> list[bytes]:
         parts = [get_parts(b) for b in blocks]
         keys = np.concatenate([from_low_bytes(p[0], 8) for p in parts])
-        weight = 1 + np.concatenate([from_bits(p[1], n) for p, n in zip(parts, ns)]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        ranked = keys[order]
-        first = np.concatenate([[0], np.flatnonzero(ranked[1:] != ranked[:-1]) + 1])
-        repeated = np.empty(len(keys), bool)
-        repeated[order] = np.repeat(np.add.reduceat(weight[order], first) > 1, np.diff(np.append(first, len(keys))))
+        checks = np.concatenate([np.frombuffer(p[1], np.uint32) for p in parts])
+        weight = 1 + np.concatenate([from_bits(p[2], n) for p, n in zip(parts, ns)]).astype(np.int64)
+        _, same = distinct_pairs(keys, checks)
+        repeated = (np.bincount(same, weights=weight) > 1)[same]
         ends = np.cumsum(ns)
         return [bits(repeated[e - n:e]) for e, n in zip(ends.tolist(), ns.tolist())]
 
     def result(body: bytes, answers) -> pa.Table:
         runs = _Runs(body, doublings)
         states = runs.states(answers.get(0, {}), n_keys)
-        asked, at = runs.strings(states)
-        keys, inverse = np.unique(asked, return_inverse=True)
+        asked, checks, at = runs.strings(states)
+        first, inverse = distinct_pairs(asked, checks)
+        keys = asked[first]
         repeated = np.zeros(len(keys), bool)
         for bucket, i in _routes(keys, n_keys):
             repeated[i] = from_bits(answers[1][bucket], len(i))
@@ -120,19 +124,21 @@ class _Runs:
             np.concatenate([*(f[k] for f in found), np.zeros(0, kind)]) for k, kind in enumerate(kinds))
 
     def _names(self, text: np.ndarray, levels: int):
-        """Bucket identifiers of every suffix at FIRST << levels bytes, and the prefix sums."""
-        sums = prefix_sums(byte_values()[text])
-        at = np.arange(max(len(text) - FIRST + 1, 0))
-        names = span_hash(sums, at, at + FIRST)
+        """Bucket identifiers of every suffix at FIRST bytes, and at FIRST << levels bytes."""
+        n, view = max(len(text) - FIRST + 1, 0), eights(text)
+        names = mix(text[FIRST - 1:].astype(np.uint64) + np.uint64(1))[:n]
+        for at in range(0, FIRST - 1, 8):
+            names = combine(names, view[at:at + n])
+        first = names
         for level in range(levels):
             later = FIRST << level
-            names = _refine(names[:-later], names[later:]) if len(names) > later else names[:0]
-        return names, sums
+            names = combine(names[:-later], names[later:]) if len(names) > later else names[:0]
+        return first, names
 
     def _runs(self, a: int, b: int):
         shift = self.begin[a]
         text = self.buf[shift:self.end[b - 1]]
-        names, sums = self._names(text, self.doublings - 1)
+        _, names = self._names(text, self.doublings - 1)
         half = self.size // 2
         n = len(text) - self.size + 1
         if n <= 0:
@@ -156,7 +162,9 @@ class _Runs:
         new &= inside
         stop = np.append(~inside[1:] | new[1:], True) & inside
         first, last = np.flatnonzero(new), np.flatnonzero(stop)
-        context = span_hash(sums, first, last + self.size)
+        held, size = memoryview(self.data)[int(shift):], self.size
+        context = np.fromiter((xxhash.xxh3_64_intdigest(held[i:j + size]) for i, j in zip(first.tolist(), last.tolist())),
+                              np.uint64, len(first))
         anchor_at = at[first]
         context = mix(context ^ mix((anchor_at - first).astype(np.uint64) << np.uint64(32)
                                     | (last - first).astype(np.uint64)))
@@ -171,23 +179,26 @@ class _Runs:
         return out[inverse]
 
     def strings(self, states: np.ndarray):
-        """Keys and places of the strings of the runs that lend or ask (a lender once)."""
+        """Keys, checks and places of the strings of the runs that lend or ask (a lender once)."""
         picked = np.flatnonzero(states >= LENDS)
         _, once = np.unique(self.context[picked], return_index=True)
         picked = picked[np.sort(once)]
         n = self.last[picked] - self.first[picked] + 1
         ends = np.cumsum(n)
         at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[picked] - (ends - n), n)
-        keys = np.empty(len(at), np.uint64)
+        keys, checks = np.empty(len(at), np.uint64), np.zeros(len(at), np.uint64)
         done = 0
         for a, b in pieces(self.lengths):
             upto = int(np.searchsorted(at, self.end[b - 1]))
             if upto > done:
                 shift = self.begin[a]
-                names, _ = self._names(self.buf[shift:self.end[b - 1]], self.doublings)
-                keys[done:upto] = names[at[done:upto] - shift]
+                parts, names = self._names(self.buf[shift:self.end[b - 1]], self.doublings)
+                here = at[done:upto] - shift
+                keys[done:upto] = names[here]
+                for part in range(0, self.size, FIRST):
+                    checks[done:upto] = combine(parts[here + part], checks[done:upto])
             done = max(done, upto)
-        return keys, at
+        return keys, checks.astype(np.uint32), at
 
     def kept(self, states: np.ndarray, single: np.ndarray) -> pa.Table:
         """Removes the whole runs and the single strings found repeated."""
@@ -211,11 +222,6 @@ class _Runs:
                          "kept": pa.array(kept, pa.binary())})
 
 
-def _refine(names: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """The refined identifier: the bucket's own and that of the suffix some bytes later."""
-    return mix(names * np.uint64(0x9E3779B97F4A7C15) + later)
-
-
 def _routes(keys: np.ndarray, n: int):
     buckets = bucket_of(keys, n)
     order = np.argsort(buckets, kind="stable")

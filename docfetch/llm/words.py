@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from docfetch.llm.chunks import byte_values, mix, pieces, prefix_sums, span_hash
+from docfetch.llm.chunks import byte_values, pieces, prefix_sums, span_hash
+from docfetch.llm.keys import byte_keys, combine, window_keys
 
 SEPARATOR = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 #: ASCII other than letters and digits
@@ -56,16 +57,26 @@ def word_places(text: np.ndarray, starts: np.ndarray, separator: np.ndarray = SE
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """Per document the sorted distinct keys of its n-word shingles; of the whole text if
     it has fewer words, none if it has no word."""
-    for _, words, counts in word_keys(texts):
-        sums = prefix_sums(mix(words))
-        at = np.arange(len(words))
-        keys = span_hash(sums, at, np.minimum(at + n, len(words)))
+    for _, text, ends in text_bytes(texts):
+        text, starts = LOWER[text], np.concatenate([[0], ends[:-1]])
+        begin, end = word_places(text, starts)
+        words = byte_keys(text, begin, end)
+        counts = np.bincount(np.searchsorted(starts, begin, side="right") - 1, minlength=len(ends))
+        keys = window_keys(words, n)
         first = 0
         for count in counts.tolist():
             if count >= n:
                 yield np.unique(keys[first:first + count - n + 1])
             elif count:
-                yield span_hash(sums, np.array([first]), np.array([first + count]))
+                yield _whole(words[first:first + count])
             else:
                 yield keys[:0]
             first += count
+
+
+def _whole(words: np.ndarray) -> np.ndarray:
+    """The key of a text of fewer words than a shingle has; their number tells it from a shingle's."""
+    out = np.array([len(words)], np.uint64)
+    for word in words:
+        out = combine(out, np.array([word]))
+    return out
