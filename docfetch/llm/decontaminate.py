@@ -3,9 +3,9 @@
 Of the hashes of all k-word grams, the least of every w consecutive ones is kept as a
 fingerprint. Two texts that share k + w - 1 words share that window's least hash, so
 joining document and benchmark fingerprints finds every shared span of that length.
-Documents with a common fingerprint are searched at all gram positions, each match is
-an alignment of the item with the document, and alignments are extended word by word
-to the windows they really share.
+Documents with a common fingerprint are extended: their windows are joined with the items'
+distinct windows by hash, and a hit counts only if its words are the window's. So a document
+of repeated words costs a row per word, however many ways it could be aligned with an item.
 
 An item shorter than a window is one window of its own; its one gram is its fingerprint,
 looked for among the document grams of that length (only for lengths that occur).
@@ -63,20 +63,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
         kept = [let(grams(h, gram), least)] + [grams(h, m, m) for m in lengths]
         return F.array_distinct(F.concat(*kept) if len(kept) > 1 else kept[0])
 
-    # item fingerprints with their places in the item
-    item_hashes = bench.select("item", hashes(F.col("item_words")).alias("h"))
-    at = lambda g: F.transform(g, lambda x, i: F.struct(x.alias("print"), i.alias("at")))
-    long_prints = let(grams(F.col("h"), gram), lambda g: let(least(g), lambda kept: F.filter(
-        at(g), lambda x: F.array_contains(kept, x["print"]))))
-    short_prints = F.lit(None)
-    for m in lengths:
-        short_prints = F.when(F.size("h") == m, at(grams(F.col("h"), m, m))).otherwise(short_prints)
-    item_prints = stored(
-        item_hashes.select("item", F.explode(F.when(F.size("h") >= window, long_prints).otherwise(short_prints))
-                           .alias("p")).select("item", "p.print", "p.at"), "item_prints")
+    # item fingerprints
+    item_prints = stored(bench.select(F.explode(prints(hashes(F.col("item_words")))).alias("print")).distinct(),
+                         "item_prints")
 
     # which documents share a fingerprint; one row per document row
-    known = item_prints.select("print").distinct().withColumn("known", F.lit(True))
+    known = item_prints.withColumn("known", F.lit(True))
     flags = stored(
         docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_key"),
                     hashes(words(F.col("text"))).alias("h"))
@@ -90,34 +82,43 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
     found = stored(join_documents(keyed, wanted, "left_semi").dropDuplicates(["doc_id", "text_key"])
                    .select("doc_id", "text_key", words(F.col("text")).alias("words")), "fingerprinted")
 
-    # alignments: the item begins at word ``shift`` of the document (may be before it)
-    all_grams = lambda h: F.concat(at(grams(h, gram)), *(at(grams(h, m, m)) for m in lengths))
-    aligned = (found.select("doc_id", "text_key", F.explode(let(hashes(F.col("words")), all_grams)).alias("p"))
-               .select("doc_id", "text_key", "p.print", F.col("p.at").alias("doc_at"))
-               .join(item_prints, "print")
-               .groupBy("doc_id", "text_key")
-               .agg(F.collect_set(F.struct("item", (F.col("doc_at") - F.col("at")).alias("shift"))).alias("tries")))
-
-    n = F.least(F.lit(window), F.size("item_words"))
-    # j is out of the document (null) or another word: the window from s .. s + n - 1 is not shared
-    equal = F.transform(F.col("item_words"), lambda w, j: F.coalesce(
-        F.get(F.col("words"), F.when(j + F.col("shift") >= 0, j + F.col("shift")).otherwise(F.size("words"))) == w,
-        F.lit(False)))
-    starts = let(equal, lambda e: F.filter(indices(F.size(e) - n + 1), lambda s: ~F.exists(
-        F.slice(e, s + 1, n), lambda x: ~x)))
-    spans = F.transform(starts, lambda s: F.struct((s + F.col("shift")).alias("start"),
-                                                   (s + F.col("shift") + n).alias("end")))
-    hits = (join_documents(found, aligned, "inner")
-            .select("doc_id", "text_key", "words", F.explode("tries").alias("t"))
-            .select("doc_id", "text_key", "words", "t.item", "t.shift")
-            .join(bench, "item")
-            .select("doc_id", "text_key", "item_ids", spans.alias("spans")).where(F.size("spans") > 0)
-            .groupBy("doc_id", "text_key")
-            .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-                 F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids")))
+    # the items' distinct windows; the hash is of word hashes and the length, as in documents
+    size = F.least(F.lit(window), F.size("item_words"))
+    starts = lambda w, n: indices(F.size(w) - n + 1)
+    item_windows = F.transform(starts(F.col("item_words"), size), lambda i: F.slice("item_words", i + 1, size))
+    windows = stored(bench.select("item_ids", F.explode(item_windows).alias("words"))
+                     .groupBy("words").agg(F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
+                     .withColumn("print", _window_print(hashes(F.col("words")), [window, *lengths]))
+                     .withColumn("window", F.monotonically_increasing_id()), "item_windows")
+
+    # hits: (start, size) of the document's windows whose hash is an item window's
+    prints_at = lambda h: F.concat(*(F.transform(grams(h, n, n), lambda x, i: F.struct(
+        x.alias("print"), i.alias("start"), F.lit(n).alias("n"))) for n in [window, *lengths]))
+    probes = (found.select("doc_id", "text_key", F.explode(let(hashes(F.col("words")), prints_at)).alias("p"))
+              .select("doc_id", "text_key", "p.*"))
+    met = (probes.join(windows.select("print", "window", F.array_join("words", " ").alias("text")), "print")
+           .groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n", "window", "text")).alias("met")))
+    equal = lambda x: F.array_join(F.slice("words", x["start"] + 1, x["n"]), " ") == x["text"]
+    hits = stored(join_documents(found, met, "inner")
+                  .select("doc_id", "text_key", F.filter("met", equal).alias("met")).where(F.size("met") > 0)
+                  .select("doc_id", "text_key", F.array_distinct(F.col("met.window")).alias("windows"),
+                          F.array_sort(F.array_distinct(F.transform("met", lambda x: F.struct(
+                              x["start"].alias("start"), (x["start"] + x["n"]).alias("end"))))).alias("spans")), "hits")
+    items_of = (hits.select("doc_id", "text_key", F.explode("windows").alias("window"))
+                .join(windows.select("window", F.explode("item_ids").alias("item")), "window")
+                .groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("item")).alias("item_ids")))
+    hits = join_documents(hits.select("doc_id", "text_key", "spans"), items_of, "left")
     no_spans = F.array().cast("array<struct<start:int,end:int>>")
     return (join_documents(flags, hits, "left")
             .select("doc_id", *["text_key"] * keep_key, F.col("n_words").cast("long").alias("n_words"),
                     F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"),
                     F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
                     F.coalesce("spans", no_spans).alias("spans")))
+
+
+def _window_print(h: Column, sizes: list[int]) -> Column:
+    """The hash that documents give a window of these words (whose number is one of the sizes)."""
+    out = F.lit(None).cast("long")
+    for n in sizes:
+        out = F.when(F.size(h) == n, F.xxhash64(*(h[i] for i in range(n)), F.lit(-n))).otherwise(out)
+    return out

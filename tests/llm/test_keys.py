@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docfetch.llm import jaccard_join, keys, substring, suffix_buckets
+from docfetch.llm import decontaminate, jaccard_join, keys, substring, suffix_buckets
 
 
 def morse(n, a="a", b="b"):
@@ -73,3 +73,13 @@ def test_long_texts_and_a_hot_line(spark):
     same(out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect(), brute.substrings(rows))
     out = suffix_buckets.dedup_suffixes(docs)
     same(out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect(), brute.suffixes(rows))
+
+
+def test_repeated_words_through_decontamination(spark):
+    """Texts of one or two words that align with an item in thousands of ways."""
+    rows = [(1, "a " * 16_000), (2, "b " * 20_000), (3, "a b " * 8_000), (4, "x y")]
+    items = [(1, "a " * 12), (2, "b " * 1000), (3, "a b a b"), (4, "a b " * 7)]
+    out = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"),
+                                      spark.createDataFrame(items, "item_id long, text string"))
+    same(out.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long"), F.sha2(F.array_join("item_ids", ","), 256),
+                    F.col("n_hit") > 0).collect(), brute.decontamination(rows, items))
