@@ -844,18 +844,19 @@ from docfetch.sources import manifest as MA  # noqa: E402
 from docfetch.sources import tables as TBL  # noqa: E402
 
 
-@register("a1_read_manifest_csv", ORACLE["b2_map_columns"])
+@register("a1_read_manifest_csv", ORACLE["b2_map_columns"].replace(
+    '"Title" as title', """replace("Title", ' report ', chr(10) || '"report", ') as title"""))
 def q_a1(spark, sf):
-    """The raw manifest written as CSV part files (header = the manifest's own
-    column names) and read back by the manifest reader, then mapped (B2)."""
+    """The raw manifest written as CSV part files in row order, with newlines, quotes and commas
+    in the titles, and read back by the manifest reader, whose own positions are the rows' (B2)."""
     from docfetch.session import scratch_path
 
     path = scratch_path(spark, "manifest-csv")
-    raw = Fixtures(spark, sf).raw_manifest_v().withColumnRenamed("row_no", "Row")
+    raw = Fixtures(spark, sf).raw_manifest_v().repartitionByRange("row_no").sortWithinPartitions("row_no")
+    raw = raw.drop("row_no").withColumn("Title", F.regexp_replace("Title", " report ", '\n"report", '))
     TBL.export_csv(raw, path)
-    back = P.require_columns(MA.read_manifest_csv(spark, path))
-    mapped = P.map_columns(back.drop("row_no").withColumn("row_no", F.col("Row").cast("long")))
-    return mapped.drop("source_file")
+    back = MA.unique_positions(P.require_columns(MA.read_manifest_csv(spark, path)))
+    return P.map_columns(back).drop("source_file")
 
 
 def _write_workbook(path: str, header: list[str], rows) -> None:

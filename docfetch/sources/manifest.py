@@ -5,7 +5,8 @@ shuffle, without a window over a whole file: every input split is numbered
 locally (``monotonically_increasing_id`` is consecutive inside a task), the
 per-split row counts - one row per split, a table bounded by the number of
 input splits - give each split its starting offset within its file, and a join
-on (file, split start) adds it.
+on (file, split start) adds it. CSV files whose cells may hold newlines are cut
+the same way, with the quote state of each split (``sources.csv_lines``).
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docfetch import schemas as S
+from docfetch.sources.csv_lines import parse_rows, read_rows
 
 
 def number_rows(df: DataFrame, file_col: str = "source_file", start_col: str = "_split_start",
@@ -40,11 +42,14 @@ def read_manifest_csv(spark: SparkSession, path: str | Sequence[str], schema: T.
     is NULL, a short row has NULLs at the end, extra cells are dropped.
 
     Without ``schema`` the column names come from the header (all STRING).
-    ``multi_line`` keeps quoted newlines inside a cell; it makes each file one
-    split, so a very large single file without embedded newlines reads faster
-    with ``multi_line=False`` (the file is then split across tasks)."""
+    ``multi_line`` keeps quoted newlines inside a cell. Either way a file is cut
+    into splits read by many tasks; ``multi_line=False`` reads it once instead of
+    twice, if no cell holds a newline."""
     reader = (spark.read.option("header", True).option("multiLine", multi_line)
               .option("escape", '"').option("mode", "PERMISSIVE").option("encoding", encoding))
+    if multi_line:
+        names = schema or reader.csv(path if isinstance(path, str) else list(path)).schema
+        return parse_rows(read_rows(spark, path, encoding), names)
     if schema is not None:
         reader = reader.schema(schema)
     raw = reader.csv(path if isinstance(path, str) else list(path))
