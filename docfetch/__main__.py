@@ -63,13 +63,10 @@ def main(argv: list[str] | None = None) -> int:
             print(json.dumps({"task_id": row["task_id"], "message": row["message"]}))
         return 0
 
-    from docfetch.sources.tables import read_latest
-    catalog = read_latest(spark, f"{args.state.rstrip('/')}/catalog")
+    from docfetch.plans.job import read_catalog
+    catalog = read_catalog(spark, args.state)
     if args.cmd == "query":
         from docfetch.operators.browse import public_view, query_catalog
-        if catalog is None:
-            print("No PDFs found in the given range", file=sys.stderr)
-            return 1
         rows = public_view(query_catalog(catalog, args.filters, args.sort_by, args.order,
                                          args.page, args.page_size)).collect()
         if not rows:
@@ -80,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.cmd == "export":
         from docfetch.sources.tables import export_csv
-        if catalog is None:
+        if catalog.isEmpty():
             print("no catalog yet", file=sys.stderr)
             return 1
         print(export_csv(catalog, args.out, compat=args.compat))

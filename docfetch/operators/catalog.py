@@ -1,8 +1,9 @@
 """Catalog maintenance as pure DataFrame -> DataFrame functions (D1-D5).
 
-Parquet has no MERGE, so every change produces the next state of the table,
-which ``sources.tables.save_table`` writes to a fresh folder. The catalog is
-unique on its business key; every operator keeps it so.
+Parquet has no MERGE, so every change produces the next state of the table, or of
+the rows it touches: ``sources.tables.save_table`` writes a full version,
+``sources.log_table`` a delta. The catalog is unique on its business key; every
+operator keeps it so.
 
 Surrogate ids of inserted rows are ``max(id) + 1 + order`` where ``order`` is
 the row's unique position in its batch (``row_no``): deterministic, above every
@@ -36,11 +37,12 @@ def latest_per_key(updates: DataFrame, key: str, order: str) -> DataFrame:
 
 # D1
 def upsert(catalog: DataFrame, updates: DataFrame, key: str = "brnumber", order: str = "row_no",
-           id_col: str = "id") -> DataFrame:
+           id_col: str = "id", max_id: int | None = None) -> DataFrame:
     """Existing key: every column the update carries is replaced, ``id`` kept.
     New key: inserted with a fresh id. Keys without an update are unchanged.
     A full outer join of two sides unique on ``key``: no row multiplication and
-    no hot key on either side."""
+    no hot key on either side. ``max_id`` is the greatest id given so far, if it is
+    known (``catalog`` may then be only the rows of the updated keys)."""
     data_cols = [c for c in catalog.columns if c not in (id_col, key)]
     upd_cols = [c for c in data_cols if c in updates.columns]
     upd = latest_per_key(updates, key, order).select(
@@ -48,7 +50,7 @@ def upsert(catalog: DataFrame, updates: DataFrame, key: str = "brnumber", order:
         *[F.col(c).alias(f"_u_{c}") for c in upd_cols], F.lit(True).alias("_in_upd"))
     cat = catalog.withColumn("_in_cat", F.lit(True))
     j = cat.join(upd, key, "full_outer")
-    max_id = _max_id(catalog, id_col)
+    max_id = _max_id(catalog, id_col) if max_id is None else F.lit(max_id).cast("long")
     in_upd = F.coalesce(F.col("_in_upd"), F.lit(False))
     out = []
     for c in catalog.columns:

@@ -6,11 +6,12 @@ file (A1/A2), slice it (B1), map and check it (B2/B3), run it (C3-C7, D1),
 then commit the next catalog version (A7) and write the run record with its
 counters as JSON (F8).
 
-State lives under ``state_root``. ``catalog`` is a versioned table: of two runs
-that end together the later one applies its updates to the version the earlier
-one committed. ``attempts`` and ``rejected`` are partitioned by ``task_id`` and a
+State lives under ``state_root``. ``catalog`` is a log table (``sources.log_table``): a
+run adds a delta of its rows, and of two runs that end together the later one applies
+its updates to the version the earlier one committed. ``attempts`` and ``rejected`` are partitioned by ``task_id`` and a
 task writes its partition as a whole, so a repeated task adds nothing twice.
-``admission`` holds a file per manifest being run, created only if absent.
+``admission`` holds a folder per manifest file: a run is admitted by creating the next
+number in it, only if absent, and ends by marking it done.
 ``runs`` is an append-only log of run records; the highest ``version`` per task is
 current: 0 started, then one per fetch wave, 1000 failed, 2000 cancelled, 3000
 finished - a cancel recorded while the run was going is kept when the run ends.
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 from docfetch import schemas as S
 from docfetch.functions import columns as C
 from docfetch.operators import prepare as P
+from docfetch.sources import log_table as LT
 from docfetch.sources import manifest as M
 from docfetch.sources import tables as TB
 
@@ -67,6 +69,11 @@ def write_run(spark: SparkSession, state_root: str, record: dict, version: int)
     spark.createDataFrame([row], RUN_LOG_SCHEMA).write.mode("append").parquet(f"{state_root}/runs")
 
 
+def read_catalog(spark: SparkSession, state_root: str) -> DataFrame:
+    """The catalog after the last committed run."""
+    return LT.read(spark, f"{state_root.rstrip('/')}/catalog", S.CATALOG_SCHEMA)
+
+
 def run_file(spark: SparkSession, path: str, state_root: str, dest: str, start_row: int | None = None,
              num_rows: int | None = None, now: dt.datetime | None = None, task_id: str | None = None,
              **fetch_kwargs) -> dict:
@@ -103,35 +110,38 @@ def run_file(spark: SparkSession, path: str, state_root: str, dest: str, start_r
         write_run(spark, state_root, final, FINISHED)
         return final
     finally:
-        TB.remove_file(spark, lock)
+        _release(spark, lock)
 
 
 def _admit(spark: SparkSession, state_root: str, name: str, task_id: str) -> str:
-    """Admission (F6) as a create-if-absent, so of two starts of a file one passes.
-    Returns the lock's path. A lock whose run has ended (its driver was lost
-    before it could remove it) is taken over."""
-    lock = f"{state_root}/admission/{hashlib.sha1(name.encode()).hexdigest()}"
-    admitted = TB.create_if_absent(spark, lock, task_id)
-    running = [r["task_id"] for r in read_runs(spark, state_root)
-               .where((F.col("running_file") == name) & (F.col("status") == "running")).select("task_id").collect()]
-    if not admitted and not running:
-        known = read_runs(spark, state_root).where(F.col("task_id") == TB.read_text_file(spark, lock)).first()
-        if known is not None:
-            TB.remove_file(spark, lock)
-            admitted = TB.create_if_absent(spark, lock, task_id)
-    if not admitted:
+    """Admission (F6). Returns the path of the run's own number in the file's folder.
+
+    The next number is created only if absent, so of starters that all find the last
+    one done, or its run ended without marking it (its driver was lost), one passes."""
+    folder = f"{state_root}/admission/{hashlib.sha1(name.encode()).hexdigest()}"
+    taken = TB.list_names(spark, folder)
+    last = max((int(x) for x in taken if x.isdigit()), default=0)
+    runs = read_runs(spark, state_root)
+    running = runs.where((F.col("running_file") == name) & (F.col("status") == "running")).select("task_id")
+    holder = TB.read_text_file(spark, f"{folder}/{last:09d}") if last else None
+    free = last == 0 or f"{last:09d}.done" in taken or (
+        holder is not None and runs.where((F.col("task_id") == holder) & (F.col("status") != "running")).first() is not None)
+    if not free or running.first() is not None:
         raise RunRefused(S.MSG_TASK_RUNNING)
-    if running:                                   # recorded by a run without a lock
-        TB.remove_file(spark, lock)
+    own = f"{folder}/{last + 1:09d}"
+    if not TB.create_if_absent(spark, own, task_id):
         raise RunRefused(S.MSG_TASK_RUNNING)
-    return lock
+    return own
+
+
+def _release(spark: SparkSession, own: str) -> None:
+    TB.create_if_absent(spark, f"{own}.done", "")
 
 
 def run_and_store(spark: SparkSession, manifest: DataFrame, state_root: str, dest: str, start, record: dict,
                   fetch_kwargs: dict) -> dict:
     """Run manifest rows and store rejects, attempts, progress and the catalog under
     the record's ``task_id``; returns the finished record."""
-    from docfetch.operators import catalog as CA
     from docfetch.operators.fetch import prepare_folder
     from docfetch.plans.run import run_manifest
 
@@ -141,10 +151,7 @@ def run_and_store(spark: SparkSession, manifest: DataFrame, state_root: str, des
     store_rejected(rejected, state_root, task_id)
     valid = valid.drop("missing_columns", "read_error", "file_row_no")
 
-    root = f"{state_root}/catalog"
-    catalog = TB.read_latest(spark, root, S.CATALOG_SCHEMA)
-    if catalog is None:
-        catalog = spark.createDataFrame([], S.CATALOG_SCHEMA)
+    catalog = read_catalog(spark, state_root)
     files = TB.list_stored_files(spark, dest).select("file_name")
     wave = iter(range(1, FAILED))
 
@@ -155,8 +162,7 @@ def run_and_store(spark: SparkSession, manifest: DataFrame, state_root: str, des
 
     res = run_manifest(valid, files, catalog, dest, start, progress=progress, **fetch_kwargs)
     res.attempts.write.mode("overwrite").parquet(f"{state_root}/attempts/task_id={task_id}")
-    TB.update_table(spark, root, lambda latest: CA.upsert(latest, res.updates), S.CATALOG_SCHEMA,
-                    bucket_by="brnumber", note=task_id)
+    LT.upsert(spark, f"{state_root}/catalog", res.updates, S.CATALOG_SCHEMA, note=task_id)
     counted = _counted(res.attempts.where("attempt = 1"))
     return {**record, "status": "finished", "end_time": _now(),
             "processed_rows": counted["processed_rows"], "results": counted["results"]}

@@ -801,6 +801,7 @@ from manifest_v""", "manifest_v"))
 def q_g1(spark, sf):
     """The raw manifest dropped as several CSV files and ingested by the stream: the
     catalog. URLs lead to two driver tables, to a file that is not there, or are empty."""
+    from docfetch.plans.job import read_catalog
     from docfetch.session import scratch_path, to_local_path
     from docfetch.streaming.ingest import ingest_stream
 
@@ -815,7 +816,7 @@ def q_g1(spark, sf):
     ingest_stream(spark, f"{root}/in", f"{root}/state", f"{root}/dest", checkpoint=f"{root}/checkpoint",
                   max_files_per_trigger=2, now=RUN_NOW,
                   fetch_kwargs={"signature": b"PAR1", "use_backup": False}).awaitTermination()
-    catalog = TBL.read_latest(spark, f"{root}/state/catalog", S.CATALOG_SCHEMA)
+    catalog = read_catalog(spark, f"{root}/state")
     return catalog.select("brnumber", "title", "download_status", "file_name")
 
 
@@ -840,6 +841,7 @@ def q_a6(spark, sf):
 
 # ================================ A: sources and sinks ==============================
 
+from docfetch.sources import log_table as LT  # noqa: E402
 from docfetch.sources import manifest as MA  # noqa: E402
 from docfetch.sources import tables as TBL  # noqa: E402
 
@@ -933,3 +935,22 @@ def q_a7(spark, sf):
     root = scratch_path(spark, "catalog-table")
     TBL.save_table(Fixtures(spark, sf).catalog_v(), root, bucket_by="brnumber")
     return TBL.read_catalog(spark, TBL.latest_version(spark, root))
+
+
+@register("a7_log_table", f"""
+select * from ({ORACLE['d1_upsert']}) x where cast(substr(brnumber, 3) as integer) % 10 <> 7""")
+def q_a7l(spark, sf):
+    """The catalog as a log table of several key ranges: a run's rows upserted as a delta,
+    some keys deleted, the deltas merged into the ranges they touch, one more upsert."""
+    from docfetch.session import scratch_path
+
+    fx = Fixtures(spark, sf)
+    root = scratch_path(spark, "catalog-log")
+    updates = FE.persist_attempts(shaped_v(fx))
+    LT.create(spark, root, fx.catalog_v(), range_rows=200)
+    LT.upsert(spark, root, updates, S.CATALOG_SCHEMA)
+    gone = F.substring("brnumber", 3, 9).cast("int") % 10 == 7
+    LT.delete(spark, root, updates.where(gone), S.CATALOG_SCHEMA)
+    LT.merge(spark, root, S.CATALOG_SCHEMA, range_rows=200)
+    LT.upsert(spark, root, updates.where((F.col("row_no") < 50) & ~gone), S.CATALOG_SCHEMA)
+    return LT.read(spark, root, S.CATALOG_SCHEMA)

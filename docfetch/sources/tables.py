@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import uuid
@@ -178,9 +179,10 @@ def read_text_file(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def remove_file(spark: SparkSession, path: str) -> None:
-    fs, p = _file_system(spark, path)
-    fs.delete(p, False)
+def list_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a small folder (none if it does not exist)."""
+    fs, p = _file_system(spark, folder)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def _version_file(root: str, number: int) -> str:
@@ -209,23 +211,24 @@ def save_table(df: DataFrame, root: str, bucket_by: str | None = None, num_bucke
         out = out.repartitionByRange(num_buckets, bucket_by) if num_buckets else out.repartitionByRange(bucket_by)
         out = out.sortWithinPartitions(bucket_by)
     out.write.parquet(path)
+    if note is not None:
+        write_note(spark, root, note, number)
     if not create_if_absent(spark, _version_file(root, number), json.dumps({"path": path, "note": note})):
         raise VersionConflict(f"{root}: version {number} exists")
     return path
 
 
 def update_table(spark: SparkSession, root: str, change: Callable[[DataFrame], DataFrame], schema: T.StructType,
-                 bucket_by: str | None = None, note: str | None = None, tries: int = 20) -> str:
+                 bucket_by: str | None = None, note: str | None = None) -> str:
     """Commit ``change(latest version)``; when another writer was first, apply the
-    change again to the version it wrote."""
-    for _ in range(tries):
+    change again to the version it wrote (each conflict means that one got on)."""
+    while True:
         number, path, _ = latest_commit(spark, root)
         base = spark.createDataFrame([], schema) if path is None else spark.read.schema(schema).parquet(path)
         try:
             return save_table(change(base), root, bucket_by, expected=number, note=note)
         except VersionConflict:
             continue
-    raise VersionConflict(f"{root}: no commit in {tries} tries")
 
 
 def latest_commit(spark: SparkSession, root: str) -> tuple[int, str | None, str | None]:
@@ -238,14 +241,30 @@ def latest_commit(spark: SparkSession, root: str) -> tuple[int, str | None, str
     if not numbers:
         return 0, None, None
     commit = json.loads(read_text_file(spark, _version_file(root, max(numbers))))
-    return max(numbers), commit["path"], commit["note"]
+    return max(numbers), commit.get("path"), commit["note"]
+
+
+def _note_file(root: str, note: str) -> str:
+    return f"{root.rstrip('/')}/notes/{hashlib.sha256(note.encode()).hexdigest()}.json"
+
+
+def write_note(spark: SparkSession, root: str, note: str, number: int) -> None:
+    """Before version ``number`` is committed with this note: where to look for it later."""
+    fs, p = _file_system(spark, _note_file(root, note))
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(json.dumps({"note": note, "number": number}).encode()))
+    finally:
+        out.close()
 
 
-def commit_notes(spark: SparkSession, root: str, note: str, back: int = 50) -> bool:
-    """Was ``note`` committed within the last ``back`` versions?"""
-    number = latest_commit(spark, root)[0]
-    found = (read_text_file(spark, _version_file(root, n)) for n in range(number, max(number - back, 0), -1))
-    return any(json.loads(text)["note"] == note for text in found if text)
+def is_committed(spark: SparkSession, root: str, note: str) -> bool:
+    """Was a version with this note committed, however long ago? The note's own file names
+    the version tried last; whether it was committed shows in that version. A note has one
+    writer at a time (a task's id)."""
+    said = read_text_file(spark, _note_file(root, note))
+    text = said and read_text_file(spark, _version_file(root, json.loads(said)["number"]))
+    return bool(text) and json.loads(text)["note"] == note
 
 
 def latest_version(spark: SparkSession, root: str) -> str | None:
@@ -254,6 +273,7 @@ def latest_version(spark: SparkSession, root: str) -> str | None:
 
 
 def read_latest(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame | None:
+    """The newest version's rows, of a table of full versions; None if there is none."""
     path = latest_version(spark, root)
     if path is None:
         return None

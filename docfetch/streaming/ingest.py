@@ -66,7 +66,7 @@ def ingest_stream(spark: SparkSession, in_dir: str, state_root: str, dest: str,
             store_rejected(sp.createDataFrame([(p, -1, message, [message]) for p in others],
                                               "source_file string, row_no long, read_error string, errors array<string>"),
                            state_root, task_id + "-files")
-        if paths and not TB.commit_notes(sp, f"{state_root}/catalog", task_id):
+        if paths and not TB.is_committed(sp, f"{state_root}/catalog", task_id):
             stamp = now if now is not None else dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
             start = stamp if isinstance(stamp, dt.datetime) else dt.datetime.fromisoformat(str(stamp))
             record = {"task_id": task_id, "name": "Download Task", "status": "running",

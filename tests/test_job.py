@@ -7,7 +7,7 @@ import pytest
 
 from docfetch import schemas as S
 from docfetch.plans.job import RunRefused, cancel_runs, read_runs, run_file
-from docfetch.sources.tables import read_latest
+from docfetch.plans.job import read_catalog
 
 NOW = dt.datetime(2024, 6, 1, 8, 0, 0)
 
@@ -31,7 +31,7 @@ def test_run_file_end_to_end(spark, tmp_path):
     rec = run_file(spark, str(lists / "list.csv"), str(state), str(dest), start_row=1, num_rows=2, now=NOW)
     assert rec["status"] == "finished" and rec["processed_rows"] == 2
     assert rec["results"] == '{"successful": 1, "already_downloaded": 0, "failed": 1, "processed_rows": 2}'
-    cat = {r.brnumber: r for r in read_latest(spark, str(state / "catalog")).collect()}
+    cat = {r.brnumber: r for r in read_catalog(spark, str(state)).collect()}
     assert set(cat) == {"K1", "K2"} and cat["K2"].download_status == "TRUE"   # B1 slice: rows 1-2
     runs = {r.task_id: r for r in read_runs(spark, str(state)).collect()}
     assert runs[rec["task_id"]].status == "finished" and runs[rec["task_id"]].start_row == 1

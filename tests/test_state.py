@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docfetch import schemas as S
 from docfetch.plans import job as J
+from docfetch.sources import log_table as LT
 from docfetch.sources import tables as TB
 from docfetch.streaming import ingest as I
 
@@ -32,7 +33,7 @@ def _csv(path, rows):
 
 
 def _catalog(spark, state):
-    return {r.brnumber: r for r in TB.read_latest(spark, f"{state}/catalog", S.CATALOG_SCHEMA).collect()}
+    return {r.brnumber: r for r in J.read_catalog(spark, str(state)).collect()}
 
 
 def test_manifest_of_several_part_files(spark, tmp_path):
@@ -135,16 +136,49 @@ def test_unreadable_state_is_not_an_empty_table(spark, tmp_path):
         J.run_file(spark, str(tmp_path / "m.csv"), str(state), str(tmp_path / "dest"), now=NOW)
 
 
+def _ended(spark, state, task_id, name="l.csv"):
+    J.write_run(spark, state, {"task_id": task_id, "name": "n", "status": "failed", "running_file": name,
+                               "start_time": NOW, "end_time": NOW, "processed_rows": 0, "start_row": 0, "num_rows": 0,
+                               "results": None}, J.FAILED)
+
+
 def test_admission_is_one_create(spark, tmp_path):
     state = str(tmp_path / "state")
-    lock = J._admit(spark, state, "l.csv", "t1")
+    first = J._admit(spark, state, "l.csv", "t1")
     with pytest.raises(J.RunRefused):
         J._admit(spark, state, "l.csv", "t2")
     J._admit(spark, state, "other.csv", "t3")
-    J.write_run(spark, state, {"task_id": "t1", "name": "n", "status": "failed", "running_file": "l.csv",
-                               "start_time": NOW, "end_time": NOW, "processed_rows": 0, "start_row": 0, "num_rows": 0,
-                               "results": None}, J.FAILED)
-    assert J._admit(spark, state, "l.csv", "t4") == lock                 # its run has ended
+    _ended(spark, state, "t1")                                            # its driver was lost, it is not marked done
+    second = J._admit(spark, state, "l.csv", "t4")
+    assert first.endswith("000000001") and second.endswith("000000002")
+    with pytest.raises(J.RunRefused):
+        J._admit(spark, state, "l.csv", "t5")
+    J._release(spark, second)
+    assert J._admit(spark, state, "l.csv", "t6").endswith("000000003")
+
+
+def test_two_starters_find_a_stale_lock(spark, tmp_path, monkeypatch):
+    """Both look before either creates: one of them runs."""
+    state = str(tmp_path / "state")
+    J._admit(spark, state, "l.csv", "t1")
+    _ended(spark, state, "t1")
+    real, ready, got = TB.create_if_absent, threading.Barrier(2), []
+
+    def create(*args):
+        ready.wait(60)
+        return real(*args)
+
+    def start(task):
+        try:
+            got.append(J._admit(spark, state, "l.csv", task))
+        except J.RunRefused:
+            got.append(None)
+
+    monkeypatch.setattr(TB, "create_if_absent", create)
+    threads = [threading.Thread(target=start, args=(t,)) for t in ("t2", "t3")]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(got) == 2 and got.count(None) == 1
 
 
 def test_progress_and_report_of_a_run(spark, tmp_path):
@@ -189,25 +223,56 @@ def test_new_checkpoint_repeats_nothing(spark, tmp_path):
     assert J.read_attempts(spark, str(tmp_path / "state")).count() == 2
 
 
-@pytest.mark.parametrize("at", ["update_table", "write_run"])
+@pytest.mark.parametrize("at", ["upsert", "write_run"])
 def test_crash_inside_a_batch_adds_nothing_twice(spark, tmp_path, monkeypatch, at):
     """A crash after the attempts were written, or after the catalog was committed."""
     u = _site(tmp_path)
     (tmp_path / "in").mkdir()
     _csv(tmp_path / "in" / "1.csv", [("K1", f"{u}/a.pdf"), ("", f"{u}/b.pdf")])
-    real, calls = getattr(TB if at == "update_table" else I, at), []
+    real, calls = getattr(LT if at == "upsert" else I, at), []
 
     def crash(*args, **kw):
         calls.append(args)
-        if at == "update_table" or args[3] == J.FINISHED:
+        if at == "upsert" or args[3] == J.FINISHED:
             raise OSError("driver lost")
         return real(*args, **kw)
 
     with monkeypatch.context() as m:
-        m.setattr(TB if at == "update_table" else I, at, crash)
+        m.setattr(LT if at == "upsert" else I, at, crash)
         with pytest.raises(Exception):
             _drop_stream(spark, tmp_path / "in", tmp_path / "state", tmp_path / "dest", tmp_path / "ck")
     _drop_stream(spark, tmp_path / "in", tmp_path / "state", tmp_path / "dest", tmp_path / "ck")
     assert calls and set(_catalog(spark, tmp_path / "state")) == {"K1"}
     assert J.read_attempts(spark, str(tmp_path / "state")).count() == 1
     assert spark.read.parquet(str(tmp_path / "state" / "rejected")).count() == 1
+
+
+def test_replay_after_many_commits(spark, tmp_path):
+    """A note is found however many versions came after it; one that was only announced is not."""
+    root = str(tmp_path / "t")
+    schema = "brnumber string, row_no long"
+    full = spark.createDataFrame([("K", 1)], schema)
+    TB.save_table(full, root, note="first")
+    for n in range(60):
+        assert TB.create_if_absent(spark, f"{root}/versions/{n + 2:012d}.json", '{"path": "x", "note": null}')
+    assert TB.is_committed(spark, root, "first") and not TB.is_committed(spark, root, "other")
+    TB.write_note(spark, root, "lost", 62)                                # the driver was lost before the commit
+    assert not TB.is_committed(spark, root, "lost")
+    TB.create_if_absent(spark, f"{root}/versions/{62:012d}.json", '{"path": "x", "note": "another"}')
+    assert not TB.is_committed(spark, root, "lost")
+
+
+def test_replayed_batch_after_other_commits_changes_nothing(spark, tmp_path):
+    u = _site(tmp_path)
+    (tmp_path / "in").mkdir()
+    _csv(tmp_path / "in" / "1.csv", [("K1", f"{u}/none.pdf")])
+    state = tmp_path / "state"
+    _drop_stream(spark, tmp_path / "in", state, tmp_path / "dest", tmp_path / "ck1")
+    rows = spark.createDataFrame([("K1", "newer", "TRUE", 0)], "brnumber string, title string, download_status string, row_no long")
+    LT.upsert(spark, f"{state}/catalog", rows, S.CATALOG_SCHEMA)
+    number, commit = LT.read_commit(spark, f"{state}/catalog")
+    for n in range(60):                                                   # others commit meanwhile
+        assert LT._commit(spark, f"{state}/catalog", number + 1 + n, {**commit, "note": None})
+    (state / "files").rename(tmp_path / "lost-files")                    # the batch is not recorded: it is replayed
+    _drop_stream(spark, tmp_path / "in", state, tmp_path / "dest", tmp_path / "ck2")
+    assert {k: (r.title, r.download_status) for k, r in _catalog(spark, state).items()} == {"K1": ("newer", "TRUE")}

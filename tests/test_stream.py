@@ -6,7 +6,7 @@ import os
 import time
 
 from docfetch import schemas as S
-from docfetch.sources.tables import read_latest
+from docfetch.plans.job import read_catalog
 from docfetch.streaming.ingest import ingest_stream
 
 HEADERS = list(S.MANIFEST_COLUMN_MAP)
@@ -38,7 +38,7 @@ def test_ingest_stream_two_files_and_restart(spark, tmp_path):
     os.utime(drop / "2.csv", (t - 10, t - 10))
     q = ingest_stream(spark, str(drop), str(state), str(dest), checkpoint=str(ck), now="2024-06-01 00:00:00")
     q.awaitTermination()
-    cat = {r.brnumber: r for r in read_latest(spark, str(state / "catalog")).collect()}
+    cat = {r.brnumber: r for r in read_catalog(spark, str(state)).collect()}
     assert set(cat) == {"K1", "K2", "K3"}
     assert cat["K1"].title == "changed title"            # D1: later file updates the key
     assert cat["K1"].download_status == "TRUE"
@@ -69,7 +69,7 @@ def test_ingest_stream_two_files_and_restart(spark, tmp_path):
     os.utime(drop / "8.csv", (t + 50, t + 50))
     q = ingest_stream(spark, str(drop), str(state), str(dest), checkpoint=str(ck), now="2024-06-03 00:00:00")
     q.awaitTermination()
-    cat = {r.brnumber: r for r in read_latest(spark, str(state / "catalog")).collect()}
+    cat = {r.brnumber: r for r in read_catalog(spark, str(state)).collect()}
     assert set(cat) == {"K1", "K2", "K3", "K4", "K5", "K8"}
     assert cat["K4"].download_message == S.MSG_EXISTS_IN_FOLDER
     assert cat["K5"].title == "five" and cat["K5"].region == "" and cat["K5"].download_status == "TRUE"
