@@ -279,3 +279,24 @@ def with_views(body: str, *names: str) -> str:
         visit(n)
     ctes = ",\n".join(f"{n} as ({VIEW_SQL[n][1]}\n)" for n in ordered)
     return f"with {ctes}\n{body.strip()}"
+
+
+def write_workbook(path: str, header: list[str], rows) -> None:
+    """A minimal workbook: one sheet of inline strings; an empty cell is left out."""
+    import os
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    cell = lambda c, r, v: f'<c r="{chr(65 + c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+    lines = [f'<row r="{r}">' + "".join(cell(c, r, v) for c, v in enumerate(row) if v is not None) + "</row>"
+             for r, row in enumerate([header, *rows], 1)]
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>'
+                   '<sheet name="s" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/'
+                   f'2006/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/>'
+                   '</Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData></worksheet>')

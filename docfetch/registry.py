@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfetch import schemas as S
-from docfetch.fixtures import Fixtures, with_views
+from docfetch.fixtures import Fixtures, with_views, write_workbook
 from docfetch.functions import columns as C
 from docfetch.operators import fetch as FE
 from docfetch.operators import prepare as P
@@ -861,27 +861,6 @@ def q_a1(spark, sf):
     return P.map_columns(back).drop("source_file")
 
 
-def _write_workbook(path: str, header: list[str], rows) -> None:
-    """A minimal workbook: one sheet of inline strings; an empty cell is left out."""
-    import os
-    import zipfile
-    from xml.sax.saxutils import escape
-
-    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
-    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    cell = lambda c, r, v: f'<c r="{chr(65 + c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
-    lines = [f'<row r="{r}">' + "".join(cell(c, r, v) for c, v in enumerate(row) if v is not None) + "</row>"
-             for r, row in enumerate([header, *rows], 1)]
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>'
-                   '<sheet name="s" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/'
-                   f'2006/relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/>'
-                   '</Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData></worksheet>')
-
-
 @register("a2_read_manifest_xlsx", ORACLE["b2_map_columns"])
 def q_a2(spark, sf):
     """The raw manifest written as workbooks of 500 rows (one task each) and read back by
@@ -899,7 +878,7 @@ def q_a2(spark, sf):
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         book = int(pdf["book"].iloc[0])
         rows = [[None if pd.isna(v) else v for v in r] for r in pdf[header].itertuples(index=False)]
-        _write_workbook(f"{local}/list-{book}.xlsx", header, rows)
+        write_workbook(f"{local}/list-{book}.xlsx", header, rows)
         return pd.DataFrame({"book": [book], "n": [len(rows)]})
 
     FE.persist_attempts(raw.groupBy("book").applyInPandas(write, "book long, n long"))

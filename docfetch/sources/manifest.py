@@ -11,6 +11,7 @@ the same way, with the quote state of each split (``sources.csv_lines``).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from docfetch import schemas as S
 from docfetch.sources.csv_lines import parse_rows, read_rows
+from docfetch.sources.workbooks import CELLS_SCHEMA, WORKBOOK_EXTENSIONS, WorkbookSource, parse_contents
 
 
 def number_rows(df: DataFrame, file_col: str = "source_file", start_col: str = "_split_start",
@@ -61,171 +63,25 @@ def read_manifest_csv(spark: SparkSession, path: str | Sequence[str], schema: T.
 
 
 # A2
-WORKBOOK_EXTENSIONS = (".xlsx", ".xlsm", ".xltx", ".xltm")
-CELLS_SCHEMA = T.StructType([
-    T.StructField("source_file", T.StringType(), True),
-    T.StructField("row_no", T.LongType(), True),
-    T.StructField("cells", T.MapType(T.StringType(), T.StringType(), True), True),
-    T.StructField("read_error", T.StringType(), True),
-])
-
-
-def _workbook_rows(content: bytes, batch_rows: int = 10000):
-    """Yield lists of (row_no, {header: text}) for the active sheet of an OOXML
-    workbook, streaming the sheet XML. Empty cells are None; numbers keep the
-    text Excel stored, integral numbers without a fractional part; cells with a
-    date format give ``YYYY-MM-DD hh:mm:ss``."""
-    import datetime as dt
-    import io
-    import posixpath
-    import re
-    import xml.etree.ElementTree as ET
-    import zipfile
-
-    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    rns = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-    zf = zipfile.ZipFile(io.BytesIO(content))
-    names = set(zf.namelist())
-
-    shared: list[str] = []
-    if "xl/sharedStrings.xml" in names:
-        for _, el in ET.iterparse(zf.open("xl/sharedStrings.xml")):
-            if el.tag == ns + "si":
-                shared.append("".join(t.text or "" for t in el.iter(ns + "t")))
-                el.clear()
-
-    wb = ET.fromstring(zf.read("xl/workbook.xml"))
-    active = 0
-    view = wb.find(f"{ns}bookViews/{ns}workbookView")
-    if view is not None and view.get("activeTab"):
-        active = int(view.get("activeTab"))
-    sheets = wb.findall(f"{ns}sheets/{ns}sheet")
-    rid = sheets[active].get(rns + "id")
-    rels = ET.fromstring(zf.read("xl/_rels/workbook.xml.rels"))
-    target = None
-    for rel in rels:
-        if rel.get("Id") == rid:
-            target = rel.get("Target")
-    if target.startswith("/"):
-        sheet_path = target.lstrip("/")
-    else:
-        sheet_path = posixpath.normpath(posixpath.join("xl", target))
-
-    # style index -> is its number format one for dates (built-in 14-22, 45-47, or
-    # a custom one with day, month, year or hour letters outside quotes)
-    dated: list[bool] = []
-    if "xl/styles.xml" in names:
-        styles = ET.fromstring(zf.read("xl/styles.xml"))
-        custom = {int(f.get("numFmtId")): re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode") or "")
-                  for f in styles.iter(ns + "numFmt")}
-        ids = [int(x.get("numFmtId") or 0) for x in styles.findall(f"{ns}cellXfs/{ns}xf")]
-        dated = [14 <= i <= 22 or 45 <= i <= 47 or bool(re.search("[dmyhDMYH]", custom.get(i, ""))) for i in ids]
-    epoch = wb.find(f"{ns}workbookPr")
-    first_day = dt.datetime(1904, 1, 1) if epoch is not None and epoch.get("date1904") in ("1", "true") \
-        else dt.datetime(1899, 12, 30)
-
-    def col_index(ref: str) -> int:
-        letters = re.match(r"[A-Z]+", ref).group(0)
-        n = 0
-        for ch in letters:
-            n = n * 26 + (ord(ch) - 64)
-        return n - 1
-
-    def cell_text(c) -> str | None:
-        t = c.get("t")
-        if t == "inlineStr":
-            is_ = c.find(ns + "is")
-            return None if is_ is None else "".join(x.text or "" for x in is_.iter(ns + "t"))
-        v = c.find(ns + "v")
-        if v is None or v.text is None:
-            return None
-        if t == "s":
-            return shared[int(v.text)]
-        if t == "b":
-            return "True" if v.text == "1" else "False"
-        if t in ("str", "e"):
-            return v.text
-        txt = v.text
-        try:
-            f = float(txt)
-            style = int(c.get("s") or 0)
-            if style < len(dated) and dated[style]:
-                return str(first_day + dt.timedelta(seconds=round(f * 86400)))
-            if f.is_integer() and "e" not in txt.lower():
-                return str(int(f))
-            return repr(f)
-        except ValueError:
-            return txt
-
-    # Positions follow the sheet's row numbers (attribute ``r``, 1-based): the
-    # header is row 1 and data row ``r`` is ``row_no = r - 2``, so a slice means
-    # the same sheet rows even when blank rows are missing from the XML.
-    headers: list | None = None
-    out: list = []
-    seq = 0
-    for _, el in ET.iterparse(zf.open(sheet_path)):
-        if el.tag != ns + "row":
-            continue
-        seq += 1
-        r_attr = el.get("r")
-        sheet_row = int(r_attr) if r_attr else seq
-        values: dict[int, str | None] = {}
-        for pos, c in enumerate(el.findall(ns + "c")):
-            ref = c.get("r")
-            values[col_index(ref) if ref else pos] = cell_text(c)
-        width = (max(values) + 1) if values else 0
-        row = [values.get(i) for i in range(width)]
-        el.clear()
-        if sheet_row == 1:
-            headers = row
-            continue
-        if headers is None:
-            headers = []
-        cells = {}
-        for i, h in enumerate(headers):
-            if h is None:
-                continue
-            cells[str(h)] = row[i] if i < len(row) else None
-        out.append((sheet_row - 2, cells))
-        if len(out) >= batch_rows:
-            yield out
-            out = []
-    if out:
-        yield out
-
-
-def _parse_workbooks(batches):
-    """One workbook per input row. A workbook that cannot be read becomes one
-    row with ``read_error`` set (a bad file is rejected, it does not stop a run
-    or a stream that would replay it forever)."""
-    import pandas as pd
-
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            try:
-                chunks = list(_workbook_rows(bytes(content)))
-            except Exception as e:  # noqa: BLE001 - reported per file
-                yield pd.DataFrame({"source_file": [path], "row_no": [-1], "cells": [{}],
-                                    "read_error": [f"{type(e).__name__}: {e}"]})
-                continue
-            for chunk in chunks:
-                yield pd.DataFrame({"source_file": [path] * len(chunk),
-                                    "row_no": [r for r, _ in chunk],
-                                    "cells": [c for _, c in chunk],
-                                    "read_error": [None] * len(chunk)})
-
-
-def read_manifest_xlsx(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Workbooks (first row = header, active sheet only) as
-    ``source_file, row_no, cells MAP<header, text>``. Many workbooks are parsed in
-    parallel, one per task slot; a workbook is a zip and cannot be split."""
+def read_manifest_xlsx(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
+    """Workbooks (first row = header, active sheet only) as ``source_file, row_no,
+    cells MAP<header, text>, read_error``. Each workbook is a partition of the scan
+    (a zip cannot be split) and its rows are handed over as they are parsed, so a
+    task's memory does not grow with the workbook.
+
+    Files that executors can open (a mounted folder) are read in place; from other
+    stores Spark hands a workbook over as one value (2 GB at most)."""
     reader = spark.read.format("binaryFile")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(path).select("path", "content")
+    files = reader.load(path if isinstance(path, str) else list(path)).select("path", "content")
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
     files = files.where(ext.isin(*WORKBOOK_EXTENSIONS))
-    return files.mapInPandas(_parse_workbooks, CELLS_SCHEMA)
+    paths = [r["path"] for r in files.select("path").collect()]      # names only, as any scan lists its files
+    if paths and all(p.startswith("file:") for p in paths):
+        spark.dataSource.register(WorkbookSource)
+        return spark.read.format(WorkbookSource.name()).option("paths", json.dumps(sorted(paths))).load()
+    return files.mapInArrow(parse_contents, CELLS_SCHEMA)
 
 
 def expand_cells(df: DataFrame, mapping=S.MANIFEST_COLUMN_MAP, default: str | None = "",
@@ -287,8 +143,8 @@ def read_manifests(spark: SparkSession, paths: Sequence[str], multi_line: bool =
         parts.append(map_columns(raw).withColumn(
             "missing_columns", F.array(*[F.lit(h) for h in lacking]).cast("array<string>"))
             .withColumn("read_error", F.lit(None).cast("string")))
-    for p in books:
-        parts.append(expand_cells(read_manifest_xlsx(spark, p), required=S.REQUIRED_MANIFEST_COLUMNS))
+    if books:
+        parts.append(expand_cells(read_manifest_xlsx(spark, books), required=S.REQUIRED_MANIFEST_COLUMNS))
     if not parts:
         raise ValueError("no CSV or workbook among the given paths")
     out = parts[0]

@@ -208,9 +208,9 @@ def test_xlsx_date_cells(spark, tmp_path):
     """A number under a date format is a date; under another format it stays a number."""
     import zipfile
 
-    from docfetch.registry import _write_workbook
+    from docfetch.fixtures import write_workbook
     path = tmp_path / "dates.xlsx"
-    _write_workbook(str(path), ["BRnum", "Title", "Pdf_URL"], [["K1", "t", "u"]])
+    write_workbook(str(path), ["BRnum", "Title", "Pdf_URL"], [["K1", "t", "u"]])
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     with zipfile.ZipFile(path) as z:
         parts = {n: z.read(n).decode() for n in z.namelist()}
