@@ -196,13 +196,14 @@ def flag_duplicates_sequential(new: DataFrame, keys: Sequence[str], messages: Se
     is accepted unless an *accepted* earlier row (or ``existing``) already holds
     one of its unique keys; the reason names the first such key in ``keys`` order.
 
-    Iterative and distributed: each round accepts every undecided row that is the
-    first of its group for every key among the undecided rows (all earlier rows
-    sharing a key are decided and none was accepted, or it would have been
-    rejected), then rejects the undecided rows that share a key with a row just
-    accepted. Every round decides at least the earliest undecided row; the
-    undecided set is checkpointed each round so lineage stays short. Rows with a
-    NULL key never collide on that key.
+    Iterative and distributed. In a round, an undecided row without an earlier undecided
+    row on any of its keys is accepted. A row with exactly one such blocker is accepted
+    if and only if its blocker is not, so chains of such rows are decided at once by
+    pointer jumping (``_even_links``): a chain of n rows costs log(n) joins, not n rounds.
+    Then all rows that share a key with an accepted one are rejected. Rows with several
+    undecided blockers wait for the next round; only where these depend on each other in
+    turn do rounds add up. Every round decides at least the earliest undecided row. Rows
+    with a NULL key never collide on that key.
     """
     from docfetch.session import checkpoint_root
 
@@ -216,14 +217,19 @@ def flag_duplicates_sequential(new: DataFrame, keys: Sequence[str], messages: Se
             pre_taken = pre_taken | F.col(f"_ex_{i}")
     undecided = base.where(~pre_taken).select(order, *keys).checkpoint()
     accepted = undecided.limit(0)
-    while not undecided.isEmpty():
-        flagged = undecided
-        first_all = F.lit(True)
-        for i, k in enumerate(keys):
-            flagged = flag_extreme_per_key(flagged, [k], order, f"_min_{i}")
-            first_all = first_all & F.col(f"_min_{i}")
-        winners = flagged.where(first_all).select(order, *keys).checkpoint()
+    while True:
+        linked = _blockers(undecided, keys, order).checkpoint()
+        n_rows, n_linked = linked.agg(F.count(F.lit(1)), F.count_if(F.col("_state") == "one")).first()
+        if not n_rows:
+            break
+        winners = linked.where(F.col("_state") == "none").select(order, *keys)
+        if n_linked:
+            even = _even_links(linked, order)
+            winners = winners.unionByName(linked.join(even, order, "left_semi").select(order, *keys))
+        winners = winners.checkpoint()
         accepted = accepted.unionByName(winners).checkpoint()   # lineage stays one step long
+        if not n_linked and winners.count() == n_rows:
+            break
         rest = undecided.join(winners.select(order), order, "left_anti")
         hit = F.lit(False)
         for i, k in enumerate(keys):
@@ -248,3 +254,39 @@ def flag_duplicates_sequential(new: DataFrame, keys: Sequence[str], messages: Se
         reason_col = F.when(taken, F.lit(msg)).otherwise(reason_col)
     drop = [c for c in out.columns if c.startswith(("_by_", "_ex_")) or c == "_accepted"]
     return out.withColumn(reason, reason_col).drop(*drop)
+
+
+def _blockers(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Adds ``_state`` - does a row have none, one or many earlier rows on its keys? - and
+    ``_at``, the one. Of a key's rows only the second has exactly one before it. Joins are
+    on (key, order), so a hot value is spread like any other."""
+    found, later = [], F.lit(False)
+    for i, k in enumerate(keys):
+        first = rows.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias("_first"))
+        rows = rows.join(first.withColumn(order, F.col("_first")).withColumnRenamed("_first", f"_first_{i}"), [k, order], "left")
+        behind = rows.where(F.col(f"_first_{i}").isNull() & F.col(k).isNotNull())
+        second = behind.groupBy(k).agg(F.min(order).alias(order)).join(first.withColumnRenamed("_first", f"_at_{i}"), k)
+        rows = rows.join(second, [k, order], "left")
+        found.append(F.col(f"_at_{i}"))
+        later = later | (F.col(k).isNotNull() & F.col(f"_first_{i}").isNull() & F.col(f"_at_{i}").isNull())
+    blockers = F.array_distinct(F.array_compact(F.array(*found)))
+    state = F.when(later | (F.size(blockers) > 1), "many").when(F.size(blockers) == 1, "one").otherwise("none")
+    return rows.select(order, *keys, state.alias("_state"), F.when(state == "one", blockers[0]).alias("_at"))
+
+
+def _even_links(linked: DataFrame, order: str) -> DataFrame:
+    """``order`` of the rows an even number of links behind a row that is accepted. Each step
+    replaces a row's pointer by its pointer's pointer, so distances double."""
+    links = linked.where(F.col("_state") == "one").select(order, "_at", F.lit(True).alias("_odd"),
+                                                          F.lit(False).alias("_end"))
+    while True:
+        step = links.select(F.col(order).alias("_of"), F.col("_at").alias("_next"), F.col("_odd").alias("_more"))
+        moving = links.where(~F.col("_end")).join(step, F.col("_at") == F.col("_of"), "left")
+        moved = moving.select(order, F.coalesce("_next", "_at").alias("_at"),
+                              (F.col("_odd") != F.coalesce("_more", F.lit(False))).alias("_odd"),
+                              F.col("_of").isNull().alias("_end"))
+        links = links.where("_end").unionByName(moved).checkpoint()
+        if links.where(~F.col("_end")).isEmpty():
+            break
+    heads = linked.where(F.col("_state") == "none").select(F.col(order).alias("_head"))
+    return links.where(~F.col("_odd")).join(heads, F.col("_at") == F.col("_head"), "left_semi").select(order)

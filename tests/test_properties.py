@@ -172,3 +172,59 @@ def test_upsert_drops_updates_without_a_key(spark):
     upd = spark.createDataFrame([(0, None, "x"), (1, "K1", "new")], "row_no long, brnumber string, title string")
     out = {r.brnumber: r.title for r in CA.upsert(cat, upd).collect()}
     assert out == {"K1": "new"}
+
+
+def _one_at_a_time(rows):
+    """(row_no, user, mail) inserted in order: the positions that are accepted."""
+    users, mails, accepted = set(), set(), set()
+    for r, u, m in sorted(rows):
+        if (u is None or u not in users) and (m is None or m not in mails):
+            accepted.add(r)
+            users.add(u)
+            mails.add(m)
+    return accepted
+
+
+def _sequential(spark, rows, monkeypatch=None):
+    calls = []
+    if monkeypatch is not None:
+        from pyspark.sql.classic.dataframe import DataFrame
+
+        real = DataFrame.checkpoint
+        monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a, **k: calls.append(1) or real(self, *a, **k))
+    df = spark.createDataFrame(rows, "row_no long, username string, email string")
+    out = P.flag_duplicates_sequential(df, ["username", "email"], ["U", "E"])
+    return {r.row_no for r in out.where("reject_reason is null").collect()}, len(calls)
+
+
+def test_a_chain_of_blocking_rows_takes_log_rounds(spark, monkeypatch):
+    """100,000 rows, each blocked by the one before only: about 17 pointer steps, not 50,000 rounds."""
+    n = 100_000
+    chain = [(i, f"u{i // 2}", f"m{(i + 1) // 2}") for i in range(n)]
+    got, steps = _sequential(spark, chain, monkeypatch)
+    assert got == set(range(0, n, 2)) and steps < 40
+
+
+def test_sequential_duplicates_of_many_shapes(spark):
+    """Chains up and down, cycles, stars, hot values and nulls in one batch."""
+    import random
+
+    rng = random.Random(6)
+    rows, at = [], 0
+    for shape in range(60):
+        n = rng.randrange(1, 25)
+        order = list(range(at, at + n))
+        rng.shuffle(order)
+        kind = shape % 4
+        for j, r in enumerate(order):
+            if kind == 0:                                                 # a path in random order
+                rows.append((r, f"u{shape}-{j // 2}", f"m{shape}-{(j + 1) // 2}"))
+            elif kind == 1:                                               # a cycle
+                rows.append((r, f"u{shape}-{j // 2 % (n // 2 + 1)}", f"m{shape}-{(j + 1) // 2 % (n // 2 + 1)}"))
+            elif kind == 2:                                               # dense
+                rows.append((r, f"u{shape}-{rng.randrange(4)}", f"m{shape}-{rng.randrange(4)}"))
+            else:
+                rows.append((r, rng.choice([None, f"u{shape}", f"u{shape}-{j}"]), rng.choice([None, f"m{shape}-{j // 3}"])))
+        at += n
+    got, _ = _sequential(spark, rows)
+    assert got == _one_at_a_time(rows)
