@@ -17,6 +17,7 @@ the text (``BUCKET_TEXT`` bytes each).
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -138,6 +139,31 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((mix(keys + np.uint64(1)) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
+# --- memory ------------------------------------------------------------------------
+
+def give_back() -> None:
+    """Freed memory of a Python worker back to the system. Workers are kept for later
+    tasks, so what the allocators hold on to would add up over an executor's workers."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def giving_back(fn: Callable) -> Callable:
+    """A function for ``mapInArrow`` that gives memory back behind every batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told():
+            for batch in batches:
+                yield batch
+                give_back()
+
+        yield from fn(told())
+        give_back()
+
+    return run
+
+
 # --- the chunk table ---------------------------------------------------------------
 
 def small_batches(spark: SparkSession) -> None:
@@ -198,7 +224,7 @@ class ChunkTable:
         buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         path = scratch_path(spark, "chunks")
         name = f"docfetch_chunks_{uuid.uuid4().hex}"
-        (docs.mapInArrow(pack_all, "chunk long, n_bytes long, body binary")
+        (docs.mapInArrow(giving_back(pack_all), "chunk long, n_bytes long, body binary")
          .write.bucketBy(buckets, "chunk").option("path", path).option("compression", "uncompressed")
          .saveAsTable(name))
         table = spark.table(name)
@@ -212,12 +238,13 @@ class ChunkTable:
                 for chunk, body in zip(batch["chunk"], batch["body"]):
                     yield _request_rows(chunk.as_py(), request(body.as_py()))
 
-        return self.df.mapInArrow(ask_all, REQUEST)
+        return self.df.mapInArrow(giving_back(ask_all), REQUEST)
 
     def ask_again(self, answers: DataFrame, request: Callable) -> DataFrame:
         """As ``ask``, with the answers so far: ``request(body, {kind: {bucket: block}})``."""
         def ask_one(left: pa.Table, right: pa.Table) -> pa.Table:
             body, chunk = left["body"][0].as_py(), left["chunk"][0].as_py()
+            give_back()
             return pa.Table.from_batches([_request_rows(chunk, request(body, _by_kind(right)))])
 
         return (self.df.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk"))
@@ -226,6 +253,7 @@ class ChunkTable:
     def finish(self, answers: DataFrame, result: Callable, schema: str) -> DataFrame:
         """``result(body, {kind: {bucket: block}})`` makes the rows (an Arrow table)."""
         def finish_one(left: pa.Table, right: pa.Table) -> pa.Table:
+            give_back()
             return result(left["body"][0].as_py(), _by_kind(right))
 
         return (self.df.groupBy("chunk").cogroup(answers.where("chunk >= 0").groupBy("chunk"))
@@ -241,6 +269,7 @@ def answer(requests: DataFrame, reply: Callable, kind: int = 0) -> DataFrame:
     """``reply(blocks, ns)`` gets the request blocks of one key bucket, in chunk order,
     and returns one block per request; an extra last block is kept as chunk -1."""
     def reply_all(table: pa.Table) -> pa.Table:
+        give_back()
         table = table.sort_by("chunk")
         blocks = [x.as_py() for x in table["body"]]
         out = reply(blocks, table["n"].to_numpy())

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfetch.llm.chunks import (ChunkTable, answer, bits, bucket_of, by_bucket, expand, from_bits, from_low_bytes,
-                                 get_ints, get_parts, low_bytes, put_ints, put_parts, small_batches, squeeze, stored)
+                                 get_ints, get_parts, giving_back, low_bytes, put_ints, put_parts, small_batches, squeeze, stored)
 from docfetch.llm.components import components
 from docfetch.llm.native import join_documents
 from docfetch.llm.words import shingle_sets
@@ -54,7 +54,7 @@ def _rarity(docs: DataFrame, n: int) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["slot", "n"])
 
-    table = (docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    table = (docs.select("text").mapInArrow(giving_back(count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
              .toArrow())                                            # 2**18 rows at most
     out = np.zeros(1 << SLOTS_LOG, np.int64)
     out[table["slot"].to_numpy()] = table["n"].to_numpy()
@@ -101,9 +101,9 @@ def groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
                  *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))],
                 names=["doc_id", "text_key", "n", "digest", "ranges", "prefix"])
 
-    sets = stored(docs.mapInArrow(digests, "doc_id long, text_key long, n int, digest binary"), "shingle_digests")
+    sets = stored(docs.mapInArrow(giving_back(digests), "doc_id long, text_key long, n int, digest binary"), "shingle_digests")
     # one entity per distinct set, shown by one of its documents
-    distinct = (docs.mapInArrow(prefixes, "doc_id long, text_key long, n int, digest binary, ranges binary, prefix binary")
+    distinct = (docs.mapInArrow(giving_back(prefixes), "doc_id long, text_key long, n int, digest binary, ranges binary, prefix binary")
                 .where("n > 0").groupBy("digest").agg(
                     F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"),
                     F.min_by(F.struct("doc_id", "text_key", "ranges", "prefix"), F.struct("doc_id", "text_key")).alias("shown"))
@@ -189,7 +189,7 @@ def _entities(distinct: DataFrame) -> tuple[ChunkTable, DataFrame]:
             for body in batch["body"]:
                 yield from _light(body.as_py()).select([c.split()[0] for c in LIGHT.split(", ")]).to_batches()
 
-    return chunks, stored(chunks.df.mapInArrow(light, LIGHT), "entities")
+    return chunks, stored(chunks.df.mapInArrow(giving_back(light), LIGHT), "entities")
 
 
 def _light(body: bytes) -> pa.Table:
@@ -257,7 +257,7 @@ def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, n: int, nu
             kept = pa.array((size - apart) // 2 * (num + den) >= num * size)
             yield batch.select(["a", "b"]).filter(kept)
 
-    close = stored(joined(pairs, entities, "n", "ranges").mapInArrow(suffix_filter, "a long, b long"), "close_pairs")
+    close = stored(joined(pairs, entities, "n", "ranges").mapInArrow(giving_back(suffix_filter), "a long, b long"), "close_pairs")
     asked = close.select(F.col("a").alias("entity")).unionByName(close.select(F.col("b").alias("entity"))).distinct()
     shown = entities.join(asked, "entity", "left_semi").select("entity", "doc_id", "text_key")
     # which texts are asked for, as a bit table of fixed size: the other texts, but for those
@@ -275,7 +275,7 @@ def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, n: int, nu
                  pa.array([low_bytes(k, 8) for k in keys], pa.binary())], names=["doc_id", "text_key", "size", "keys"])
 
     packed = (docs.where("text is not null").withColumn("mark", _mark(F.col("text_key")))
-              .mapInArrow(pack, "doc_id long, text_key long, size int, keys binary"))
+              .mapInArrow(giving_back(pack), "doc_id long, text_key long, size int, keys binary"))
     sets = stored(join_documents(packed, shown, "inner").select("entity", "size", "keys"), "asked_sets")
 
     def check(batches):
@@ -286,7 +286,7 @@ def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, n: int, nu
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()),
                                               pa.array([x[1] for x in kept], pa.int64())], names=["a", "b"])
 
-    return joined(close, sets, "size", "keys").mapInArrow(check, "a long, b long").distinct()
+    return joined(close, sets, "size", "keys").mapInArrow(giving_back(check), "a long, b long").distinct()
 
 
 def _linked(a_size, a_keys, b_size, b_keys, num, den) -> bool:

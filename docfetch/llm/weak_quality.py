@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfetch.llm.chunks import small_batches, span_hash
+from docfetch.llm.chunks import giving_back, small_batches, span_hash
 from docfetch.llm.words import NOT_ALNUM, text_bytes, word_keys, word_spans
 
 SLOTS_LOG = 18
@@ -165,7 +165,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 8000, threshold:
     known = (labels.where(F.col(quality_col).isNotNull() & F.col(toxic_col).isNotNull() & F.col(label_id_col).isNotNull())
              .groupBy(F.col(label_id_col).alias("doc_id"))
              .agg(F.min(((F.col(quality_col) == 1) & (F.col(toxic_col) == 0)).cast("int")).alias("label")))
-    patterns = text.mapInArrow(vote_rows, f"doc_id {id_type}, pattern int").join(known, "doc_id", "left")
+    patterns = text.mapInArrow(giving_back(vote_rows), f"doc_id {id_type}, pattern int").join(known, "doc_id", "left")
     rows = (patterns.groupBy("pattern", F.coalesce("label", F.lit(NO_LABEL)).alias("label")).count()
             .orderBy("pattern", "label").collect())
     columns = [np.array([r[i] for r in rows], float if i == 2 else int) for i in range(3)]
@@ -191,7 +191,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 8000, threshold:
                  pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())],
                 names=["doc_id", "pattern", "label", "slots", "weights"])
 
-    got = chosen.mapInArrow(sample_rows, f"doc_id {id_type}, pattern int, label int, slots binary, weights binary"
+    got = chosen.mapInArrow(giving_back(sample_rows), f"doc_id {id_type}, pattern int, label int, slots binary, weights binary"
                             ).toArrow().sort_by([("doc_id", "ascending"), ("pattern", "ascending")])
     slots = [np.frombuffer(x.as_py(), np.int32) for x in got["slots"]]
     weights = [np.frombuffer(x.as_py(), np.float32) for x in got["weights"]]
@@ -217,5 +217,5 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 8000, threshold:
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(np.concatenate([*out, np.zeros(0)]))],
                                              names=["row", "quality_score"])
 
-    return (nested.mapInArrow(score, schema).select("row.*", "quality_score")
+    return (nested.mapInArrow(giving_back(score), schema).select("row.*", "quality_score")
             .withColumn("quality_accepted", F.col("quality_score") >= threshold))

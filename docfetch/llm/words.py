@@ -10,6 +10,7 @@ import pyarrow as pa
 from docfetch.llm.chunks import byte_values, pieces, prefix_sums, span_hash
 from docfetch.llm.keys import byte_keys, combine, window_keys
 
+PIECE = 1 << 18      # bytes of text worked on at once: a few MB of arrays
 SEPARATOR = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 #: ASCII other than letters and digits
 NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -39,7 +40,7 @@ def text_bytes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of documents: the first one's index, their bytes and where each one ends."""
     texts = texts.cast(pa.binary())
     lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    for a, b in pieces(lengths):
+    for a, b in pieces(lengths, PIECE):
         yield (a, np.frombuffer(b"".join(x.as_py() or b"" for x in texts[a:b]), np.uint8), np.cumsum(lengths[a:b]))
 
 
