@@ -175,29 +175,43 @@ def last_attempt_per_row(attempts: DataFrame, key: str = "row_no", attempt: str
 def fetch_with_backup(rows: DataFrame, primary: str = "pdf_url", backup: str = "pdf_backup_url",
                       dest: str | None = None, signature: bytes = S.PDF_SIGNATURE,
                       timeout: float = 10.0, num_partitions: int | None = None,
-                      persist=None, concurrency: int = 8, host_slots: int | None = None) -> DataFrame:
+                      persist=None, concurrency: int = 8, host_slots: int | None = None,
+                      first: DataFrame | None = None, files: DataFrame | None = None, now: Column | None = None) -> DataFrame:
     """Pass 1 on ``primary``; rows that failed are tried on ``backup`` (stored under
     the backup URL's own name); all attempts are returned with ``attempt`` 1/2.
 
-    ``persist`` (DataFrame -> DataFrame) materialises pass 1 before pass 2 reads
-    its failures, so the first fetch is never run twice; it defaults to
-    ``persist_attempts``.
+    ``first`` are the rows' first attempts if a run has made them already (a run plans
+    them and fetches in waves). ``files`` is the listing of ``dest``: a backup whose file is
+    there counts as already downloaded, at ``now``. ``persist`` (DataFrame -> DataFrame)
+    materialises a pass before its result is read, so no fetch is ever run twice; it
+    defaults to ``persist_attempts``.
     """
     from docfetch.functions.columns import base_name, stored_name
 
     persist = persist or persist_attempts
-    keyed = rows.select("row_no", primary, backup,
-                        stored_name(base_name(primary)).alias("stored_name"))
-    first = persist(fetch_documents(keyed, primary, dest, signature, timeout, num_partitions,
-                                    concurrency=concurrency, host_slots=host_slots)
-                    .withColumn("attempt", F.lit(1)))
-    retry = (keyed.join(first.where(F.col("outcome") == "failed").select("row_no"), "row_no", "left_semi")
-             .where(F.col(backup).isNotNull() & (F.col(backup) != ""))
-             .withColumn("stored_name", stored_name(base_name(backup))))
-    second = (fetch_documents(retry, backup, dest, signature, timeout, num_partitions,
-                              concurrency=concurrency, host_slots=host_slots)
-              .withColumn("attempt", F.lit(2)))
-    return first.unionByName(persist(second))
+
+    def fetch(df: DataFrame, url_col: str, attempt: int) -> DataFrame:
+        return persist(fetch_documents(df, url_col, dest, signature, timeout, num_partitions, concurrency=concurrency,
+                                       host_slots=host_slots).withColumn("attempt", F.lit(attempt)))
+
+    if first is None:
+        first = fetch(rows.select("row_no", primary, stored_name(base_name(primary)).alias("stored_name")), primary, 1)
+    # no backup URL (NULL, or '' from a missing column) means no second attempt
+    retry = (rows.select("row_no", backup).where(F.col(backup).isNotNull() & (F.col(backup) != ""))
+             .join(first.where(F.col("outcome") == "failed").select("row_no"), "row_no", "left_semi")
+             .withColumn("file_name", base_name(backup)).withColumn("stored_name", stored_name("file_name")))
+    if files is None:
+        return first.unionByName(fetch(retry.drop("file_name"), backup, 2), allowMissingColumns=True)
+    from docfetch.plans.fetch_plan import mark_existing_files
+
+    retry = mark_existing_files(retry, files)
+    there = retry.where("in_folder").select(
+        "row_no", F.lit(2).alias("attempt"), F.col(backup).alias("url"), F.col("file_name").alias("stored_name"),
+        F.lit(dest).alias("file_folder"), F.lit("already_downloaded").alias("outcome"),
+        F.lit(S.MSG_EXISTS_IN_FOLDER).alias("message"), (now if now is not None else F.lit(None).cast("timestamp_ntz")).alias("finished_at"))
+    second = fetch(retry.where(~F.col("in_folder")).select("row_no", backup, "stored_name"), backup, 2)
+    second = second.withColumn("file_folder", F.lit(dest)).select(*there.columns)
+    return first.unionByName(there.unionByName(second).select(*first.columns))
 
 
 def persist_attempts(df: DataFrame) -> DataFrame:

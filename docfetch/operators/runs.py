@@ -99,6 +99,71 @@ def sample_progress(attempts: DataFrame, seconds: int = 1, by: str = "run_id", t
             .select(*[F.col("_w").getField(c).alias(c) for c in counts.columns]))
 
 
+def sample_elapsed(attempts: DataFrame, seconds: float = 1, starts: DataFrame | None = None, by: str = "run_id",
+                   ts: str = "finished_at", seq: str = "seq", start_col: str = "start_time", **kw) -> DataFrame:
+    """Running counters as the original stored them: a row is kept when at least ``seconds``
+    have passed since the last kept one (the first: since the run's start, ``starts`` or
+    its first attempt), and the run's last row always. Rows without a time are counted,
+    not kept.
+
+    Which rows are kept is a chain: each names the next, the first row so much later. The
+    next row of every row is a running count (rows before that moment, plus one), and the
+    chain from a run's start is followed by doubled steps: with pointers over 1, 2, 4 ...
+    links at hand, the rows reached so far double with each join. So a run of n kept rows
+    costs 2 log(n) joins, on unique (run, position) pairs, and no task holds a run."""
+    counts = running_counts(attempts, by, ts, seq, **kw)
+    counts = _written(counts.withColumn("_rank", F.col("processed_rows")), "sampled-counts")
+    timed = counts.where(F.col(ts).isNotNull())
+    if starts is None:
+        starts = timed.groupBy(by).agg(F.min(ts).alias(start_col))
+    later = F.make_dt_interval(secs=F.lit(seconds))
+    # probes stand before the rows of their moment: a probe's count is of the rows before it
+    place = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col("_rank").alias("rank"))
+    row = timed.select(by, F.col(ts).alias("_t"), place(1).alias("_pos"), F.lit("successful").alias("_row"))
+    probes = timed.select(by, ts, "_rank").unionByName(
+        starts.select(by, F.col(start_col).cast("timestamp_ntz").alias(ts), F.lit(0).cast("long").alias("_rank")))
+    probes = probes.select(by, (F.col(ts) + later).alias("_t"), place(0).alias("_pos"), F.lit(None).cast("string").alias("_row"))
+    # NULL times come first and were counted, so ranks go on behind them
+    untimed = counts.where(F.col(ts).isNull()).groupBy(by).agg(F.count(F.lit(1)).alias("_untimed"))
+    links = running_counts(row.unionByName(probes), by, "_t", "_pos", "_row", **kw).where("_pos.kind = 0")
+    links = (links.join(untimed.withColumnRenamed(by, "_of"), F.col(by).eqNullSafe(F.col("_of")), "left")
+             .select(F.col(by).alias("_run"), F.col("_pos.rank").alias("_from"),
+                     (F.col("successful") + F.coalesce("_untimed", F.lit(0)) + 1).alias("_to")))
+    last = counts.groupBy(by).agg(F.max("_rank").alias("_last"))
+    links = (links.join(last.withColumnRenamed(by, "_of"), F.col("_run").eqNullSafe(F.col("_of")))
+             .where(F.col("_to") <= F.col("_last")).select("_run", "_from", "_to"))
+    reached = links.select("_run", F.col("_to").alias("_from")).distinct()   # only rows that a link leads to
+    links = _written(links.where("_from = 0").unionByName(_met(links.where("_from > 0"), reached, "left_semi")), "links")
+
+    steps = [links]
+    while True:
+        one, two = steps[-1], steps[-1].select(F.col("_run").alias("_r"), F.col("_from").alias("_f"), F.col("_to").alias("_t"))
+        longer = one.join(two, F.col("_run").eqNullSafe(F.col("_r")) & (F.col("_to") == F.col("_f")))
+        longer = _written(longer.select("_run", "_from", F.col("_t").alias("_to")), "links")
+        if longer.where("_from = 0").isEmpty():        # no chain is that long
+            break
+        steps.append(longer)
+    kept = links.where("_from = 0").select("_run", "_from")
+    for step in reversed(steps):
+        onward = _met(step, kept, "left_semi").select("_run", F.col("_to").alias("_from"))
+        kept = _written(kept.unionByName(onward), "kept")
+    kept = kept.unionByName(last.select(F.col(by).alias("_run"), F.col("_last").alias("_from"))).distinct()
+    names = [c for c in counts.columns if c != "_rank"]
+    return counts.join(kept, F.col(by).eqNullSafe(F.col("_run")) & (F.col("_rank") == F.col("_from")), "left_semi").select(*names)
+
+
+def _met(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
+    """Rows whose (_run, _from) the other side has; a NULL run is a run."""
+    right = other.select(F.col("_run").alias("_r"), F.col("_from").alias("_f"))
+    return rows.join(right, F.col("_run").eqNullSafe(F.col("_r")) & (F.col("_from") == F.col("_f")), how)
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # F4
 def progress_state(runs: DataFrame) -> DataFrame:
     """``progress`` = processed_rows / num_rows * 100 (NULL when num_rows is 0);

@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docfetch import schemas as S
-from docfetch.functions import columns as C
 from docfetch.operators import catalog as CA
 from docfetch.operators import fetch as FE
 from docfetch.operators import runs as RU
@@ -92,21 +91,9 @@ def run_manifest(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest
     attempts = first
     report(first)
     if use_backup:
-        failed = first.where(F.col("outcome") == "failed").select("row_no")
-        # no backup URL (NULL, or '' from a missing column) means no second attempt
-        retry = (plan.join(failed, "row_no", "left_semi")
-                 .where(F.col("pdf_backup_url").isNotNull() & (F.col("pdf_backup_url") != ""))
-                 .withColumn("file_name", C.base_name("pdf_backup_url"))
-                 .withColumn("stored_name", C.stored_name("file_name")))
-        retry = FP.mark_existing_files(retry, files)
-        b_done = (retry.where("in_folder")
-                  .select("row_no", F.lit(2).alias("attempt"), F.col("pdf_backup_url").alias("url"),
-                          F.col("file_name").alias("stored_name"), F.lit(dest).alias("file_folder"),
-                          F.lit("already_downloaded").alias("outcome"), F.lit(S.MSG_EXISTS_IN_FOLDER).alias("message"),
-                          now_col.alias("finished_at")))
-        b = persist(fetch(retry.where(~F.col("in_folder")), "pdf_backup_url")
-                    .withColumn("attempt", F.lit(2)).withColumn("file_folder", F.lit(dest)))
-        attempts = first.unionByName(b_done).unionByName(b.select(*ATTEMPT_COLS))
+        attempts = FE.fetch_with_backup(plan, dest=dest, signature=signature, timeout=timeout,
+                                        num_partitions=num_partitions, persist=persist, concurrency=concurrency,
+                                        host_slots=host_slots, first=first, files=files, now=now_col)
 
     attempts = attempts.withColumn("run_id", F.lit(run_id).cast("long"))
     last = keep_extreme_per_key(attempts, ["row_no"], "attempt", last=True)

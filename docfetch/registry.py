@@ -275,6 +275,34 @@ def q_b10(spark, sf):
     return decided.select("seq", "file_name", "decision", "message")
 
 
+@register("b10_overwrite_manifests", with_views("""
+select * from (with last as (select file_name, max(seq) as seq from uploads_v
+  where string_split(file_name, '.')[-1] in ('xlsx', 'xls') group by 1),
+said as (select u.seq, u.file_name, case when string_split(u.file_name, '.')[-1] not in ('xlsx', 'xls') then 'refused'
+    when u.seq <> last.seq then 'superseded' else 'stored' end as decision,
+  case when string_split(u.file_name, '.')[-1] not in ('xlsx', 'xls')
+    then 'Invalid file type. Only Excel files are allowed.' end as message
+  from uploads_v u left join last on last.file_name = u.file_name)
+select 'upload' as part, seq, file_name, decision, message from said
+union all
+select 'registry', null, running_file, 'kept', null from (select distinct running_file from runs_v) r
+where running_file not in (select file_name from last)
+union all
+select 'registry', seq, file_name, 'new', null from last) q""", "uploads_v", "runs_v"))
+def q_b10o(spark, sf):
+    """Uploads that overwrite stored lists: what becomes of each upload, and the registry
+    afterwards (``seq`` of the upload that a stored list comes from)."""
+    fx = Fixtures(spark, sf)
+    registry = (fx.runs_v().select(F.col("running_file").alias("file_name")).distinct()
+                .withColumn("seq", F.lit(None).cast(dict(fx.uploads_v().dtypes)["seq"])))
+    after, decided = P.register_manifests(fx.uploads_v(), registry, overwrite=True)
+    uploads = decided.select(F.lit("upload").alias("part"), "seq", "file_name", "decision", "message")
+    lists = after.select(F.lit("registry").alias("part"), "seq", "file_name",
+                         F.when(F.col("seq").isNull(), "kept").otherwise("new").alias("decision"),
+                         F.lit(None).cast("string").alias("message"))
+    return uploads.unionByName(lists)
+
+
 # ================================ C: plan and fetch =================================
 
 @register("c1_mark_existing_files", with_views(
@@ -674,6 +702,21 @@ def q_f3(spark, sf):
     return RU.sample_progress(Fixtures(spark, sf).attempts_v(), seconds=86400)
 
 
+@register("f3_sample_elapsed", with_views(f"""
+select * from (with recursive r as ({F2_SQL}),
+kept as (select run_id, min(finished_at) as t, 0 as n from r group by 1
+  union all
+  select kept.run_id, min(r.finished_at), kept.n + 1 from kept
+  join r on r.run_id = kept.run_id and r.finished_at >= kept.t + interval 2 day group by kept.run_id, kept.n)
+select r.* from r where (run_id, finished_at) in (select (run_id, t) from kept where n > 0)
+qualify row_number() over (partition by run_id, finished_at order by seq) = 1
+union
+select * from r qualify row_number() over (partition by run_id order by finished_at desc, seq desc) = 1) q""", "attempts_v"))
+def q_f3e(spark, sf):
+    """Running counters kept when two days have passed since the last kept row, and the last."""
+    return RU.sample_elapsed(Fixtures(spark, sf).attempts_v(), seconds=2 * 86400)
+
+
 @register("f4_progress_state", with_views(f"""
 select task_id, status, processed_rows, num_rows, {PROGRESS_SQL} as progress,
   case when status = 'running' and {PROGRESS_SQL} = 100.0 then 'finalizing' else status end as state
@@ -795,12 +838,15 @@ def q_g2(spark, sf):
 
 
 @register("g1_ingest_stream", with_views("""
-select brnumber, title, case when row_no % 4 < 2 then 'TRUE' else 'FALSE' end as download_status,
-  case row_no % 4 when 0 then 'region.parquet.pdf' when 1 then 'nation.parquet.pdf' else '' end as file_name
+select brnumber, title,
+  case when row_no % 4 < 2 or row_no % 8 in (2, 7) then 'TRUE' else 'FALSE' end as download_status,
+  case when row_no % 4 = 0 then 'region.parquet.pdf' when row_no % 4 = 1 then 'nation.parquet.pdf'
+       when row_no % 8 in (2, 7) then 'part.parquet.pdf' else '' end as file_name
 from manifest_v""", "manifest_v"))
 def q_g1(spark, sf):
     """The raw manifest dropped as several CSV files and ingested by the stream: the
-    catalog. URLs lead to two driver tables, to a file that is not there, or are empty."""
+    catalog. URLs lead to two driver tables, to a file that is not there, or are empty; the
+    backup URLs to a third table, to a file that is not there, or are empty too."""
     from docfetch.plans.job import read_catalog
     from docfetch.session import scratch_path, to_local_path
     from docfetch.streaming.ingest import ingest_stream
@@ -809,13 +855,15 @@ def q_g1(spark, sf):
     rn = F.col("row_no") % 4
     url = (F.when(rn == 0, F.lit(base + "region.parquet")).when(rn == 1, F.lit(base + "nation.parquet"))
            .when(rn == 2, F.lit(base + "missing.parquet")))
-    raw = (Fixtures(spark, sf).raw_manifest_v().withColumn("Pdf_URL", url).repartition(3, "row_no")
-           .drop("row_no", "Report Html Address"))
+    row = F.col("row_no") % 8
+    backup = (F.when(row.isin(0, 2, 7), F.lit(base + "part.parquet")).when(row.isin(3, 5), F.lit(base + "lost.parquet")))
+    raw = (Fixtures(spark, sf).raw_manifest_v().withColumn("Pdf_URL", url).withColumn("Report Html Address", backup)
+           .repartition(3, "row_no").drop("row_no"))
     root = scratch_path(spark, "ingest")
     TBL.export_csv(raw, f"{root}/in")
     ingest_stream(spark, f"{root}/in", f"{root}/state", f"{root}/dest", checkpoint=f"{root}/checkpoint",
                   max_files_per_trigger=2, now=RUN_NOW,
-                  fetch_kwargs={"signature": b"PAR1", "use_backup": False}).awaitTermination()
+                  fetch_kwargs={"signature": b"PAR1"}).awaitTermination()
     catalog = read_catalog(spark, f"{root}/state")
     return catalog.select("brnumber", "title", "download_status", "file_name")
 
