@@ -22,6 +22,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import os
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,17 +91,22 @@ def run_file(spark: SparkSession, path: str, state_root: str, dest: str, start_r
                   "start_time": start, "end_time": None, "processed_rows": 0,
                   "start_row": int(start_row or 0), "num_rows": int(num_rows or 0), "results": None}
         write_run(spark, state_root, record, 0)
+        watch = CancelWatch(spark, state_root, task_id)
         try:
             rows = M.read_manifests(spark, [path], **{k: fetch_kwargs.pop(k) for k in ("multi_line", "encoding")
                                                       if k in fetch_kwargs})
             unreadable = F.col("read_error").isNotNull()
             # a file that cannot be read has one row (position -1): report it whatever the slice
             manifest = P.slice_rows(rows.where(~unreadable), start_row, num_rows).unionByName(rows.where(unreadable))
-            final = run_and_store(spark, manifest, state_root, dest, start, record, fetch_kwargs)
+            final = run_and_store(spark, manifest, state_root, dest, start, record, fetch_kwargs, watch)
         except Exception:
+            if watch.stopped():                          # cancelled before anything was fetched
+                return {**record, "status": "cancelled", "end_time": _now()}
             # never leave a crashed run "running": it would block its file forever
             write_run(spark, state_root, {**record, "status": "failed", "end_time": _now()}, FAILED)
             raise
+        finally:
+            watch.settle()
         # a run cancelled while it ran stays cancelled (cancelled is terminal)
         current = read_runs(spark, state_root).where(F.col("task_id") == task_id).select("status").first()
         if current is not None and current["status"] == "cancelled":
@@ -113,6 +119,44 @@ def run_file(spark: SparkSession, path: str, state_root: str, dest: str, start_r
         _release(spark, lock)
 
 
+class CancelWatch:
+    """Stops a run's Spark jobs when the run is cancelled (F7), also from another process.
+
+    The run's thread tags its jobs with the task id; a thread of the driver looks for the
+    cancel's marker file and then cancels the tag's jobs, again and again until the run has
+    settled (a wave is several jobs). Tags of the context, not of the session: those are
+    known only to the thread that sets them."""
+
+    def __init__(self, spark: SparkSession, state_root: str, task_id: str, interval: float = 1.0):
+        self._spark, self._tag, self._interval = spark, task_id, interval
+        self._marker = _cancel_marker(state_root, task_id)
+        self._cancelled, self._settled = threading.Event(), threading.Event()
+        spark.sparkContext.addJobTag(task_id)
+        spark.sparkContext.setInterruptOnCancel(True)
+        self._thread = threading.Thread(target=self._watch, daemon=True)
+        self._thread.start()
+
+    def _watch(self) -> None:
+        while not self._settled.wait(self._interval):
+            if self._cancelled.is_set() or TB.read_text_file(self._spark, self._marker) is not None:
+                self._cancelled.set()
+                self._spark.sparkContext.cancelJobsWithTag(self._tag)
+
+    def stopped(self) -> bool:
+        return self._cancelled.is_set()
+
+    def settle(self) -> None:
+        """Called by the run's own thread."""
+        self._settled.set()
+        self._thread.join()
+        self._spark.sparkContext.removeJobTag(self._tag)
+        self._spark.sparkContext.setInterruptOnCancel(False)
+
+
+def _cancel_marker(state_root: str, task_id: str) -> str:
+    return f"{state_root}/cancels/{task_id}"
+
+
 def _admit(spark: SparkSession, state_root: str, name: str, task_id: str) -> str:
     """Admission (F6). Returns the path of the run's own number in the file's folder.
 
@@ -139,9 +183,10 @@ def _release(spark: SparkSession, own: str) -> None:
 
 
 def run_and_store(spark: SparkSession, manifest: DataFrame, state_root: str, dest: str, start, record: dict,
-                  fetch_kwargs: dict) -> dict:
+                  fetch_kwargs: dict, stop: CancelWatch | None = None) -> dict:
     """Run manifest rows and store rejects, attempts, progress and the catalog under
-    the record's ``task_id``; returns the finished record."""
+    the record's ``task_id``; returns the finished record. A run that is stopped stores
+    what its waves before had done."""
     from docfetch.operators.fetch import prepare_folder
     from docfetch.plans.run import run_manifest
 
@@ -160,7 +205,7 @@ def run_and_store(spark: SparkSession, manifest: DataFrame, state_root: str, des
         write_run(spark, state_root, {**record, "processed_rows": counted["processed_rows"],
                                        "results": counted["results"]}, next(wave))
 
-    res = run_manifest(valid, files, catalog, dest, start, progress=progress, **fetch_kwargs)
+    res = run_manifest(valid, files, catalog, dest, start, progress=progress, stop=stop, **fetch_kwargs)
     res.attempts.write.mode("overwrite").parquet(f"{state_root}/attempts/task_id={task_id}")
     LT.upsert(spark, f"{state_root}/catalog", res.updates, S.CATALOG_SCHEMA, note=task_id)
     counted = _counted(res.attempts.where("attempt = 1"))
@@ -198,7 +243,7 @@ def report(spark: SparkSession, state_root: str, now) -> DataFrame:
 
 def cancel_runs(spark: SparkSession, state_root: str, task_ids: list[str]) -> DataFrame:
     """Cancel requests (F7) applied to the stored runs; the new states are
-    recorded and the answers returned."""
+    recorded, the runs' drivers told to stop, and the answers returned."""
     from docfetch.operators.runs import apply_cancels
 
     runs = read_runs(spark, state_root)
@@ -206,6 +251,9 @@ def cancel_runs(spark: SparkSession, state_root: str, task_ids: list[str]) -> Da
     after, answered = apply_cancels(runs, req)
     changed = after.join(runs.where(F.col("status") == "running").select("task_id"), "task_id", "left_semi") \
         .where(F.col("status") == "cancelled")
+    stopped = [r["task_id"] for r in changed.select("task_id").collect()]        # at most the ids asked for
     changed.withColumn("version", F.lit(CANCELLED).cast("long")).select(*RUN_LOG_SCHEMA.fieldNames()) \
         .write.mode("append").parquet(f"{state_root}/runs")
+    for task_id in stopped:                              # the runs' drivers look for these
+        TB.create_if_absent(spark, _cancel_marker(state_root, task_id), task_id)
     return answered

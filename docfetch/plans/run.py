@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,14 @@ from docfetch.plans import fetch_plan as FP
 ATTEMPT_COLS = ["row_no", "attempt", "url", "stored_name", "file_folder", "outcome", "message", "finished_at"]
 
 
+class Stop(Protocol):
+    def stopped(self) -> bool:
+        """Shall the run end?"""
+
+    def settle(self) -> None:
+        """Fetching is over: what follows (storing the attempts) must not be interrupted."""
+
+
 @dataclass
 class RunResult:
     plan: DataFrame
@@ -44,11 +53,13 @@ def run_manifest(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest
                  signature: bytes = S.PDF_SIGNATURE, timeout: float = 10.0,
                  num_partitions: int | None = None, persist=None, use_backup: bool = True,
                  concurrency: int = 8, host_slots: int | None = None,
-                 progress: Callable[[DataFrame], None] | None = None) -> RunResult:
+                 progress: Callable[[DataFrame], None] | None = None, stop: Stop | None = None) -> RunResult:
     """``manifest``: mapped manifest rows (B2) with a unique ``row_no``;
     ``files``: listing of ``dest`` (``file_name``); ``catalog``: current catalog.
     ``num_partitions``, ``concurrency`` and ``host_slots`` shape the fetch (see
-    ``fetch_documents``). ``progress`` gets the attempts so far after each wave."""
+    ``fetch_documents``). ``progress`` gets the attempts so far after each wave.
+    ``stop`` ends the fetching early: no further wave begins, a wave that is interrupted
+    is given up, and the result is that of the waves before."""
     persist = persist or FE.persist_attempts
     report = progress or (lambda attempts: None)
 
@@ -74,26 +85,41 @@ def run_manifest(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest
     wave1 = fetch_rows.where(F.col("_first") | ~exact_pdf)
     wave2 = fetch_rows.where(~F.col("_first") & exact_pdf)
 
-    a1 = persist(fetch(wave1, "pdf_url")
-                 .withColumn("attempt", F.lit(1)).withColumn("file_folder", F.lit(dest)))
-    report(decided.unionByName(a1.select(*ATTEMPT_COLS)))
-    stored = a1.where(F.col("outcome") == "successful").select("stored_name")
-    w2 = presence_flag(wave2, stored, ["stored_name"], "_stored")   # wave 2 holds the hot names
-    w2_done = (w2.where(F.col("_stored"))
-               .select("row_no", F.lit(1).alias("attempt"), F.col("pdf_url").alias("url"), "stored_name",
-                       F.lit(dest).alias("file_folder"), F.lit("already_downloaded").alias("outcome"),
-                       F.lit(S.MSG_EXISTS_IN_FOLDER).alias("message"), now_col.alias("finished_at")))
-    a2 = persist(fetch(w2.where(~F.col("_stored")), "pdf_url")
-                 .withColumn("attempt", F.lit(1)).withColumn("file_folder", F.lit(dest)))
-
-    first = (decided.unionByName(a1.select(*ATTEMPT_COLS)).unionByName(w2_done)
-             .unionByName(a2.select(*ATTEMPT_COLS)))
-    attempts = first
-    report(first)
-    if use_backup:
-        attempts = FE.fetch_with_backup(plan, dest=dest, signature=signature, timeout=timeout,
-                                        num_partitions=num_partitions, persist=persist, concurrency=concurrency,
-                                        host_slots=host_slots, first=first, files=files, now=now_col)
+    def waves():
+        """The attempts so far, wave by wave."""
+        a1 = persist(fetch(wave1, "pdf_url")
+                     .withColumn("attempt", F.lit(1)).withColumn("file_folder", F.lit(dest)))
+        yield decided.unionByName(a1.select(*ATTEMPT_COLS))
+        stored = a1.where(F.col("outcome") == "successful").select("stored_name")
+        w2 = presence_flag(wave2, stored, ["stored_name"], "_stored")   # wave 2 holds the hot names
+        w2_done = (w2.where(F.col("_stored"))
+                   .select("row_no", F.lit(1).alias("attempt"), F.col("pdf_url").alias("url"), "stored_name",
+                           F.lit(dest).alias("file_folder"), F.lit("already_downloaded").alias("outcome"),
+                           F.lit(S.MSG_EXISTS_IN_FOLDER).alias("message"), now_col.alias("finished_at")))
+        a2 = persist(fetch(w2.where(~F.col("_stored")), "pdf_url")
+                     .withColumn("attempt", F.lit(1)).withColumn("file_folder", F.lit(dest)))
+        first = (decided.unionByName(a1.select(*ATTEMPT_COLS)).unionByName(w2_done)
+                 .unionByName(a2.select(*ATTEMPT_COLS)))
+        yield first
+        if use_backup:
+            yield FE.fetch_with_backup(plan, dest=dest, signature=signature, timeout=timeout,
+                                       num_partitions=num_partitions, persist=persist, concurrency=concurrency,
+                                       host_slots=host_slots, first=first, files=files, now=now_col)
+
+    attempts = decided
+    stopped = stop.stopped if stop else lambda: False
+    try:
+        if not stopped():
+            for n, attempts in enumerate(waves()):
+                if n < 2:
+                    report(attempts)
+                if stopped():
+                    break
+    except Exception:
+        if not stopped():             # else the wave was interrupted: the attempts before it stand
+            raise
+    if stop:
+        stop.settle()
 
     attempts = attempts.withColumn("run_id", F.lit(run_id).cast("long"))
     last = keep_extreme_per_key(attempts, ["row_no"], "attempt", last=True)

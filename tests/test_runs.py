@@ -60,3 +60,40 @@ def test_signature_on_binary_file_content(spark, tmp_path):
     files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
     got = {r.path.rsplit("/", 1)[-1]: r.signature_ok for r in FE.check_signature(files).collect()}
     assert got == {"a.pdf": True, "b.pdf": False, "c.pdf": False}
+
+
+def _elapsed(rows, seconds, starts=None):
+    """Rows (run, seq, time or None): the (run, seq) kept by the original's rule."""
+    kept = set()
+    for run in {r for r, _, _ in rows}:
+        own = sorted(((t is not None, t or NOW, s) for r, s, t in rows if r == run))
+        timed = [(t, s) for has, t, s in own if has]
+        last = (starts or {}).get(run, timed[0][0] if timed else None)
+        for t, s in timed:
+            if last is not None and t - last >= dt.timedelta(seconds=seconds):
+                kept.add((run, s))
+                last = t
+        kept.add((run, own[-1][2]))
+    return kept
+
+
+def test_sample_elapsed(spark):
+    """Bursts on one time stamp, pauses, a hot run, a null run, rows without a time, given starts."""
+    import random
+
+    rng = random.Random(7)
+    rows, seq = [], 0
+    for run, n in ((1, 400), (2, 40), (None, 30), (3, 1), (4, 60)):
+        t = NOW
+        for _ in range(n):
+            seq += 1
+            t += dt.timedelta(seconds=rng.choice([0, 0, 0.2, 0.5, 1, 1.5, 30]))
+            rows.append((run, seq, None if run == 4 and rng.random() < 0.2 else t))
+    df = spark.createDataFrame([(*r, "failed") for r in rows], "run_id long, seq long, finished_at timestamp_ntz, outcome string")
+    for seconds in (1, 2, 100):
+        got = RU.sample_elapsed(df.repartition(3), seconds).collect()
+        assert {(r["run_id"], r["seq"]) for r in got} == _elapsed(rows, seconds) and len(got) == len(_elapsed(rows, seconds))
+    starts = {1: NOW - dt.timedelta(days=1), 2: NOW + dt.timedelta(seconds=20), 3: NOW, 4: NOW, None: NOW}
+    known = spark.createDataFrame(list(starts.items()), "run_id long, start_time timestamp_ntz")
+    got = RU.sample_elapsed(df, 1, starts=known).collect()
+    assert {(r["run_id"], r["seq"]) for r in got} == _elapsed(rows, 1, starts)
