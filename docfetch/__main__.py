@@ -2,7 +2,7 @@
 
     run     --file F --state S --dest D [--start-row N] [--num-rows N]   one manifest file, prints the run record
     cancel  --state S TASK_ID ...                                        cancel running runs
-    query   --state S [--filters JSON] [--sort-by C] [--order asc|desc] [--page N] [--page-size N]
+    query   --state S [--filters JSON] [--sort-by C] [--order asc|desc] [--page N] [--page-size N] [--indexed]
     export  --state S --out PATH [--compat]                              catalog as CSV part files
     report  --state S                                                    one line per run (status, times, results)
 """
@@ -38,6 +38,7 @@ def main(argv: list[str] | None = None) -> int:
     q.add_argument("--order", default="asc")
     q.add_argument("--page", type=int, default=1)
     q.add_argument("--page-size", type=int, default=100)
+    q.add_argument("--indexed", action="store_true", help="keep a page index of this query: deep pages read their files only")
     e = sub.add_parser("export")
     e.add_argument("--state", required=True)
     e.add_argument("--out", required=True)
@@ -67,8 +68,15 @@ def main(argv: list[str] | None = None) -> int:
     catalog = read_catalog(spark, args.state)
     if args.cmd == "query":
         from docfetch.operators.browse import public_view, query_catalog
-        rows = public_view(query_catalog(catalog, args.filters, args.sort_by, args.order,
-                                         args.page, args.page_size)).collect()
+        from docfetch.operators.page_index import query_catalog_indexed
+        from docfetch.sources.log_table import read_commit
+        state = args.state.rstrip("/")
+        if args.indexed:
+            found = query_catalog_indexed(catalog, str(read_commit(spark, f"{state}/catalog")[0]), f"{state}/pages",
+                                          args.filters, args.sort_by, args.order, args.page, args.page_size)
+        else:
+            found = query_catalog(catalog, args.filters, args.sort_by, args.order, args.page, args.page_size)
+        rows = public_view(found).collect()
         if not rows:
             print("No PDFs found in the given range", file=sys.stderr)
             return 1
