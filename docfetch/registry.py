@@ -595,16 +595,16 @@ def q_e5(spark, sf):
 @register("e5_query_indexed", with_views("""
 select p.*, t.total_pdfs from
   (select * from catalog_v where download_status = 'FALSE'
-   order by title asc nulls first, brnumber asc limit 15 offset 75) p,
+   order by title asc nulls first, brnumber asc limit 15 offset 45) p,
   (select count(id) as total_pdfs from catalog_v where download_status = 'FALSE') t""",
     "catalog_v", "manifest_v"))
 def q_e5i(spark, sf):
-    """Sixth page of FALSE rows by title with the filtered total, from a page index."""
+    """Fourth page of FALSE rows by title with the filtered total, from a page index."""
     from docfetch.operators.page_index import query_catalog_indexed
     from docfetch.session import scratch_path
 
     return query_catalog_indexed(Fixtures(spark, sf).catalog_v(), "1", scratch_path(spark, "pages"),
-                                 '{"download_status": "FALSE"}', "title", "asc", 6, 15)
+                                 '{"download_status": "FALSE"}', "title", "asc", 4, 15)
 
 
 @register("e6_lookup", with_views(f"""

@@ -66,7 +66,7 @@ def _elapsed(rows, seconds, starts=None):
     """Rows (run, seq, time or None): the (run, seq) kept by the original's rule."""
     kept = set()
     for run in {r for r, _, _ in rows}:
-        own = sorted(((t is not None, t or NOW, s) for r, s, t in rows if r == run))
+        own = sorted(((t is not None, t or T0, s) for r, s, t in rows if r == run))
         timed = [(t, s) for has, t, s in own if has]
         last = (starts or {}).get(run, timed[0][0] if timed else None)
         for t, s in timed:
@@ -84,7 +84,7 @@ def test_sample_elapsed(spark):
     rng = random.Random(7)
     rows, seq = [], 0
     for run, n in ((1, 400), (2, 40), (None, 30), (3, 1), (4, 60)):
-        t = NOW
+        t = T0
         for _ in range(n):
             seq += 1
             t += dt.timedelta(seconds=rng.choice([0, 0, 0.2, 0.5, 1, 1.5, 30]))
@@ -93,7 +93,7 @@ def test_sample_elapsed(spark):
     for seconds in (1, 2, 100):
         got = RU.sample_elapsed(df.repartition(3), seconds).collect()
         assert {(r["run_id"], r["seq"]) for r in got} == _elapsed(rows, seconds) and len(got) == len(_elapsed(rows, seconds))
-    starts = {1: NOW - dt.timedelta(days=1), 2: NOW + dt.timedelta(seconds=20), 3: NOW, 4: NOW, None: NOW}
+    starts = {1: T0 - dt.timedelta(days=1), 2: T0 + dt.timedelta(seconds=20), 3: T0, 4: T0, None: T0}
     known = spark.createDataFrame(list(starts.items()), "run_id long, start_time timestamp_ntz")
     got = RU.sample_elapsed(df, 1, starts=known).collect()
     assert {(r["run_id"], r["seq"]) for r in got} == _elapsed(rows, 1, starts)
