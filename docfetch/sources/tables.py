@@ -185,6 +185,12 @@ def list_names(spark: SparkSession, folder: str) -> list[str]:
     return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def remove_tree(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder that this library wrote and nothing refers to any more."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
 def _version_file(root: str, number: int) -> str:
     return f"{root.rstrip('/')}/versions/{number:012d}.json"
 

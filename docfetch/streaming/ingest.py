@@ -101,28 +101,61 @@ def live_counts(attempts_stream: DataFrame, by: str = "run_id") -> DataFrame:
 
 def track_progress(spark: SparkSession, attempts_stream: DataFrame, state_root: str,
                    checkpoint: str | None = None, by: str = "run_id", available_now: bool = False,
-                   interval: str = "1 second"):
+                   interval: str = "1 second", compact_every: int = 50):
     """Keep run progress durable while runs go on (the original saved it about
     once a second): the live counters run in ``update`` mode and every trigger
-    appends the runs that changed, with their results JSON and the batch id, to
+    writes the runs that changed, with their results JSON and the batch id, to
     ``state_root/progress``. ``read_progress`` gives the latest per run.
-    Returns the ``StreamingQuery``."""
+
+    Every ``compact_every`` batches the latest records become a new base and batches
+    older than the base before it are removed, so files and what a reader reads stay
+    bounded however long the stream goes on (a reader that began before a compaction
+    still finds its files). Returns the ``StreamingQuery``."""
     if checkpoint is None:
         digest = hashlib.sha1(state_root.encode()).hexdigest()[:16]
         checkpoint = f"{shared_root(spark)}/docfetch/progress-{digest}"
     counts = RU.encode_results(live_counts(attempts_stream, by))
+    root = f"{state_root}/progress"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append") \
-            .parquet(f"{state_root}/progress")
+        sp = batch.sparkSession
+        # a replayed batch writes its folder again
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite") \
+            .parquet(f"{root}/batches/{batch_id:012d}")
+        if batch_id % compact_every == compact_every - 1 and f"{batch_id:012d}" not in TB.list_names(sp, f"{root}/marks"):
+            _compact_progress(sp, root, by, batch_id)
 
     writer = counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     return writer.start()
 
 
-def read_progress(spark: SparkSession, state_root: str, by: str = "run_id") -> DataFrame:
-    """Latest progress record per run (a replayed batch writes the same values)."""
+def _compact_progress(spark: SparkSession, root: str, by: str, batch_id: int) -> None:
+    """A base of the latest records up to this batch; what the base before it replaced goes."""
+    before = _newest_base(spark, root)
+    _latest_progress(spark, root, by).write.mode("overwrite").parquet(f"{root}/bases/{batch_id:012d}")
+    TB.create_if_absent(spark, f"{root}/marks/{batch_id:012d}", "")
+    if before is None:
+        return
+    for kind, keep_from in (("batches", int(before) + 1), ("bases", int(before)), ("marks", int(before))):
+        for name in TB.list_names(spark, f"{root}/{kind}"):
+            if name.isdigit() and int(name) < keep_from:
+                TB.remove_tree(spark, f"{root}/{kind}/{name}")
+
+
+def _newest_base(spark: SparkSession, root: str) -> str | None:
+    return max((n for n in TB.list_names(spark, f"{root}/marks") if n.isdigit()), default=None)
+
+
+def _latest_progress(spark: SparkSession, root: str, by: str) -> DataFrame:
     from docfetch.operators.keys import keep_extreme_per_key
-    log = spark.read.parquet(f"{state_root}/progress")
+    base = _newest_base(spark, root)
+    paths = [f"{root}/batches/{n}" for n in TB.list_names(spark, f"{root}/batches")
+             if n.isdigit() and (base is None or n > base)]
+    log = spark.read.parquet(*([f"{root}/bases/{base}"] if base else []), *paths)
     return keep_extreme_per_key(log, [by], "batch_id", last=True)
+
+
+def read_progress(spark: SparkSession, state_root: str, by: str = "run_id") -> DataFrame:
+    """Latest progress record per run (a replayed batch writes the same values)."""
+    return _latest_progress(spark, f"{state_root}/progress", by)
