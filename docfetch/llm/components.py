@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docfetch.llm.chunks import stored
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, compression: str = "zstd") -> DataFrame:
     """(node, component): every node of the links (a, b) with the least node it reaches.
 
     Each round links every node's larger neighbours to its least neighbour, then its
@@ -16,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     aggregates joined back, so no node's neighbours meet in one task's memory.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-                   .distinct(), "edges")
+                   .distinct(), "edges", compression)
     mark = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.withColumnRenamed("m", "v")).distinct())
-        edges = stored(small, "edges")
+        edges = stored(small, "edges", compression)
         before, mark = mark, _mark(edges)
         if mark == before:
             break

@@ -70,10 +70,12 @@ def _digest(keys: np.ndarray) -> bytes:
 
 
 def groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
+           text_col: str = "text", compression: str = "zstd") -> DataFrame:
     """Per document row: doc_id, text_key (xxhash64 of the text), n_shingles, component_id,
     ``n_copies``, the rows that have the same set, and ``group_key``, which tells components
-    apart that have one name (null without a set). Linked: den * |A & B| >= num * |A | B|."""
+    apart that have one name (null without a set). Linked: den * |A & B| >= num * |A | B|.
+    ``compression`` is that of the tables written on the way, many of them small: uncompressed
+    ones need some more disk, and no buffers of the codec outside of the executors' heap."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -101,7 +103,7 @@ def groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
                  *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))],
                 names=["doc_id", "text_key", "n", "digest", "ranges", "prefix"])
 
-    sets = stored(docs.mapInArrow(giving_back(digests), "doc_id long, text_key long, n int, digest binary"), "shingle_digests")
+    sets = stored(docs.mapInArrow(giving_back(digests), "doc_id long, text_key long, n int, digest binary"), "shingle_digests", compression)
     # one entity per distinct set, shown by one of its documents
     distinct = (docs.mapInArrow(giving_back(prefixes), "doc_id long, text_key long, n int, digest binary, ranges binary, prefix binary")
                 .where("n > 0").groupBy("digest").agg(
@@ -109,8 +111,8 @@ def groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
                     F.min_by(F.struct("doc_id", "text_key", "ranges", "prefix"), F.struct("doc_id", "text_key")).alias("shown"))
                 .select("digest", "least_id", "n_copies", "n", "shown.doc_id", "shown.text_key", "shown.ranges",
                         "shown.prefix"))
-    chunks, entities = _entities(distinct)
-    postings = _postings(chunks)
+    chunks, entities = _entities(distinct, compression)
+    postings = _postings(chunks, compression)
     weight = postings.groupBy("entity").agg(F.count(F.lit(1)).alias("weight"))
     hubs = (postings.join(weight, "entity").groupBy("shingle")
             .agg(F.max_by(F.struct("entity", "n", "at"), F.struct("weight", -F.col("entity"))).alias("hub"))
@@ -124,20 +126,20 @@ def groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
         return (small * den >= large * num) & (rest >= need(na, nb))
 
     pair = [F.least("entity", "hub").alias("a"), F.greatest("entity", "hub").alias("b")]
-    compare = lambda pairs, name: stored(_verified(docs, entities, pairs, n, num, den), name)
+    compare = lambda pairs, name: stored(_verified(docs, entities, pairs, n, num, den, compression), name, compression)
     first = stored(postings.join(hubs, "shingle").where(F.col("entity") != F.col("hub"))
-                   .where(possible("n", "at", "hub_n", "hub_at")).select(*pair).distinct(), "hub_pairs")
+                   .where(possible("n", "at", "hub_n", "hub_at")).select(*pair).distinct(), "hub_pairs", compression)
     links = compare(first, "hub_links")
 
     # the remaining pairs: of different components, one of them outside the shingle's largest
-    found = components(links)
+    found = components(links, compression)
     labelled = (postings.join(found, F.col("entity") == F.col("node"), "left")
                 .withColumn("component", F.coalesce("component", "entity")).drop("node"))
     main = (labelled.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("size"))
             .groupBy("shingle").agg(F.max_by("component", F.struct("size", "component")).alias("main"),
                                     F.count(F.lit(1)).alias("n_components"))
             .where("n_components > 1").drop("n_components"))
-    mixed = stored(labelled.join(main, "shingle"), "mixed_postings")
+    mixed = stored(labelled.join(main, "shingle"), "mixed_postings", compression)
     outside = (mixed.where("component <> main")
                .select(F.col("shingle").alias("hub_shingle"), F.col("entity").alias("hub"), F.col("n").alias("hub_n"),
                        F.col("at").alias("hub_at"), F.col("component").alias("hub_component")))
@@ -146,9 +148,9 @@ def groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
                        & ((F.col("component") == F.col("main")) | (F.col("entity") < F.col("hub")))
                        & possible("n", "at", "hub_n", "hub_at"))
             .select(*pair).distinct().join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(compare(stored(rest, "rest_pairs"), "rest_links"))
+    links = links.unionByName(compare(stored(rest, "rest_pairs", compression), "rest_links"))
 
-    found = components(links)
+    found = components(links, compression)
     labelled = (entities.select("entity", "digest", "least_id", "n_copies")
                 .join(found, F.col("entity") == F.col("node"), "left")
                 .withColumn("component", F.coalesce("component", "entity")).drop("node"))
@@ -164,7 +166,7 @@ def groups(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: s
 LIGHT = "entity long, digest binary, least_id long, n_copies long, n int, doc_id long, text_key long, ranges binary"
 
 
-def _entities(distinct: DataFrame) -> tuple[ChunkTable, DataFrame]:
+def _entities(distinct: DataFrame, compression: str) -> tuple[ChunkTable, DataFrame]:
     """The entities with their prefixes in chunks, where they get their numbers, and
     as a table without the prefixes."""
     columns = [c for c in distinct.columns if c != "prefix"]
@@ -189,14 +191,14 @@ def _entities(distinct: DataFrame) -> tuple[ChunkTable, DataFrame]:
             for body in batch["body"]:
                 yield from _light(body.as_py()).select([c.split()[0] for c in LIGHT.split(", ")]).to_batches()
 
-    return chunks, stored(chunks.df.mapInArrow(giving_back(light), LIGHT), "entities")
+    return chunks, stored(chunks.df.mapInArrow(giving_back(light), LIGHT), "entities", compression)
 
 
 def _light(body: bytes) -> pa.Table:
     return pa.ipc.open_stream(expand(get_parts(body)[0])).read_all()
 
 
-def _postings(chunks: ChunkTable) -> DataFrame:
+def _postings(chunks: ChunkTable, compression: str) -> DataFrame:
     """(entity, n, at, shingle) of the prefix shingles that two entities or more have."""
     n_keys = chunks.n_keys
 
@@ -234,10 +236,11 @@ def _postings(chunks: ChunkTable) -> DataFrame:
                          "at": pa.array(at[kept], pa.int32()), "shingle": pa.array(keys[inverse][kept].view(np.int64))})
 
     return stored(chunks.finish(answer(chunks.ask(request), shared), emit,
-                                "entity long, n int, at int, shingle long"), "postings")
+                                "entity long, n int, at int, shingle long"), "postings", compression)
 
 
-def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, n: int, num: int, den: int,
+              compression: str) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     spark = docs.sparkSession
 
@@ -257,7 +260,7 @@ def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, n: int, nu
             kept = pa.array((size - apart) // 2 * (num + den) >= num * size)
             yield batch.select(["a", "b"]).filter(kept)
 
-    close = stored(joined(pairs, entities, "n", "ranges").mapInArrow(giving_back(suffix_filter), "a long, b long"), "close_pairs")
+    close = stored(joined(pairs, entities, "n", "ranges").mapInArrow(giving_back(suffix_filter), "a long, b long"), "close_pairs", compression)
     asked = close.select(F.col("a").alias("entity")).unionByName(close.select(F.col("b").alias("entity"))).distinct()
     shown = entities.join(asked, "entity", "left_semi").select("entity", "doc_id", "text_key")
     # which texts are asked for, as a bit table of fixed size: the other texts, but for those
@@ -276,7 +279,7 @@ def _verified(docs: DataFrame, entities: DataFrame, pairs: DataFrame, n: int, nu
 
     packed = (docs.where("text is not null").withColumn("mark", _mark(F.col("text_key")))
               .mapInArrow(giving_back(pack), "doc_id long, text_key long, size int, keys binary"))
-    sets = stored(join_documents(packed, shown, "inner").select("entity", "size", "keys"), "asked_sets")
+    sets = stored(join_documents(packed, shown, "inner").select("entity", "size", "keys"), "asked_sets", compression)
 
     def check(batches):
         for batch in batches:

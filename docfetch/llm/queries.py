@@ -92,7 +92,8 @@ def op3_katz_lm(spark, sf_dir):
 
 @query
 def op4_jaccard_join(spark, sf_dir):
-    return jaccard_join.groups(documents(spark, sf_dir), n=3, num=90).select("doc_id", "n_shingles", "component_id")
+    found = jaccard_join.groups(documents(spark, sf_dir), n=3, num=90, compression="uncompressed")
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE["op4_jaccard_join"] = r"""
