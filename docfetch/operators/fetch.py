@@ -172,6 +172,24 @@ def last_attempt_per_row(attempts: DataFrame, key: str = "row_no", attempt: str
     return keep_extreme_per_key(attempts, [key], attempt, last=True)
 
 
+def share_downloads(rows: DataFrame, done: DataFrame, url_col: str = "pdf_url",
+                    name_col: str = "stored_name") -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose URL a successful attempt of ``done`` stored under the same name share
+    that attempt: the first result is their attempts (``done``'s columns), the second the
+    rows that are still to be fetched. A body that many rows name is so downloaded once,
+    not once a row; where the download failed, every row makes its own attempt."""
+    from docfetch.operators.keys import keep_extreme_per_key
+
+    one = keep_extreme_per_key(done.where(F.col("outcome") == "successful"), ["url", "stored_name"], "row_no")
+    one = one.select(F.col("url").alias("_url"), F.col("stored_name").alias("_name"),
+                     *[c for c in done.columns if c not in ("row_no", "url", "stored_name")])
+    same = (F.col(url_col) == F.col("_url")) & (F.col(name_col) == F.col("_name"))
+    asked = rows.select(F.col("row_no").cast("long").alias("row_no"), F.col(url_col), F.col(name_col))
+    own = {"url": "_url", "stored_name": "_name"}
+    shared = asked.join(one, same).select(*[F.col(own.get(c, c)).alias(c) for c in done.columns])
+    return shared, rows.join(one.select("_url", "_name"), same, "left_anti")
+
+
 def fetch_with_backup(rows: DataFrame, primary: str = "pdf_url", backup: str = "pdf_backup_url",
                       dest: str | None = None, signature: bytes = S.PDF_SIGNATURE,
                       timeout: float = 10.0, num_partitions: int | None = None,
@@ -184,16 +202,26 @@ def fetch_with_backup(rows: DataFrame, primary: str = "pdf_url", backup: str = "
     them and fetches in waves). ``files`` is the listing of ``dest``: a backup whose file is
     there counts as already downloaded, at ``now``. ``persist`` (DataFrame -> DataFrame)
     materialises a pass before its result is read, so no fetch is ever run twice; it
-    defaults to ``persist_attempts``.
+    defaults to ``persist_attempts``. Rows of one URL and stored name share its download
+    (``share_downloads``).
     """
     from docfetch.functions.columns import base_name, stored_name
+    from docfetch.operators.keys import flag_extreme_per_key
 
     persist = persist or persist_attempts
 
-    def fetch(df: DataFrame, url_col: str, attempt: int) -> DataFrame:
+    def fetch_rows(df: DataFrame, url_col: str, attempt: int) -> DataFrame:
         return persist(fetch_documents(df, url_col, dest, signature, timeout, num_partitions, concurrency=concurrency,
                                        host_slots=host_slots).withColumn("attempt", F.lit(attempt)))
 
+    def fetch(df: DataFrame, url_col: str, attempt: int) -> DataFrame:
+        if dest is None:                  # only the first bytes are read: nothing to share
+            return fetch_rows(df, url_col, attempt)
+        df = flag_extreme_per_key(df, [url_col, "stored_name"], "row_no", "_first")
+        once = fetch_rows(df.where("_first"), url_col, attempt)
+        shared, others = share_downloads(df.where("not _first"), once, url_col)
+        return once.unionByName(shared).unionByName(fetch_rows(others, url_col, attempt))
+
     if first is None:
         first = fetch(rows.select("row_no", primary, stored_name(base_name(primary)).alias("stored_name")), primary, 1)
     # no backup URL (NULL, or '' from a missing column) means no second attempt

@@ -9,7 +9,9 @@ Duplicates of one raw file name ending in ``.pdf`` (so stored under the same
 name) are fetched in two waves: the first row per name (by ``row_no``) in wave 1;
 later rows of a name a wave-1 row stored are ``already_downloaded``, the others
 are fetched in wave 2. A hot name therefore costs one fetch, not one task
-holding all its rows.
+holding all its rows. Other rows of one URL and stored name share the download of the
+first of them (``operators.fetch.share_downloads``); if that one failed, they are fetched
+in wave 2, each on its own.
 """
 
 from __future__ import annotations
@@ -81,9 +83,11 @@ def run_manifest(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest
 
     fetch_rows = plan.where(F.col("decision") == "fetch")
     exact_pdf = F.col("file_name").endswith(S.PDF_SUFFIX)
-    fetch_rows = flag_extreme_per_key(fetch_rows, ["stored_name"], "row_no", "_first")
-    wave1 = fetch_rows.where(F.col("_first") | ~exact_pdf)
+    fetch_rows = fetch_rows.withColumn("_url", F.when(exact_pdf, F.lit("")).otherwise(F.col("pdf_url")))
+    fetch_rows = flag_extreme_per_key(fetch_rows, ["stored_name", "_url"], "row_no", "_first").drop("_url")
+    wave1 = fetch_rows.where(F.col("_first"))
     wave2 = fetch_rows.where(~F.col("_first") & exact_pdf)
+    same_url = fetch_rows.where(~F.col("_first") & ~exact_pdf)
 
     def waves():
         """The attempts so far, wave by wave."""
@@ -96,10 +100,12 @@ def run_manifest(manifest: DataFrame, files: DataFrame, catalog: DataFrame, dest
                    .select("row_no", F.lit(1).alias("attempt"), F.col("pdf_url").alias("url"), "stored_name",
                            F.lit(dest).alias("file_folder"), F.lit("already_downloaded").alias("outcome"),
                            F.lit(S.MSG_EXISTS_IN_FOLDER).alias("message"), now_col.alias("finished_at")))
-        a2 = persist(fetch(w2.where(~F.col("_stored")), "pdf_url")
-                     .withColumn("attempt", F.lit(1)).withColumn("file_folder", F.lit(dest)))
+        shared, others = FE.share_downloads(same_url, a1)
+        asked = ["row_no", "pdf_url", "stored_name"]
+        again = w2.where(~F.col("_stored")).select(*asked).unionByName(others.select(*asked))
+        a2 = persist(fetch(again, "pdf_url").withColumn("attempt", F.lit(1)).withColumn("file_folder", F.lit(dest)))
         first = (decided.unionByName(a1.select(*ATTEMPT_COLS)).unionByName(w2_done)
-                 .unionByName(a2.select(*ATTEMPT_COLS)))
+                 .unionByName(shared.select(*ATTEMPT_COLS)).unionByName(a2.select(*ATTEMPT_COLS)))
         yield first
         if use_backup:
             yield FE.fetch_with_backup(plan, dest=dest, signature=signature, timeout=timeout,

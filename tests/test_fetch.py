@@ -138,3 +138,33 @@ def test_empty_backup_url_is_no_second_attempt(spark, site):
     assert res.attempts.where("attempt = 2").count() == 0
     msgs = {r.brnumber: r.download_message for r in res.updates.collect()}
     assert all("No such file" in m for m in msgs.values())
+
+
+def test_rows_of_one_url_share_its_download(spark, site):
+    src, dest = site
+    u = f"file://{src}"
+    m = _manifest(spark, [(f"N{i}", f"{u}/noext", None) for i in range(20)]                    # stored as noext.pdf
+                  + [(f"B{i}", f"{u}/missing", f"{u}/UP.PDF") for i in range(20)]              # by the backup URL
+                  + [(f"M{i}", f"{u}/missing", f"{u}/gone") for i in range(5)])
+    fetched = []
+
+    def persist(df):
+        out = FE.persist_attempts(df)
+        if "bytes_written" in out.columns:
+            fetched.extend(r.url for r in out.collect())
+        return out
+
+    res = run_manifest(m, spark.createDataFrame([], "file_name string"), _empty_catalog(spark), str(dest),
+                       "2024-06-01 00:00:00", persist=persist)
+    assert fetched.count(f"{u}/noext") == 1 and fetched.count(f"{u}/UP.PDF") == 1
+    assert fetched.count(f"{u}/missing") == 25 and fetched.count(f"{u}/gone") == 5   # a failure is not shared
+    up = {r.brnumber: r for r in res.updates.collect()}
+    assert len(up) == 45
+    for key, name in (("N", "noext.pdf"), ("B", "UP.PDF.pdf"), ("M", "")):
+        rows = [r for k, r in up.items() if k.startswith(key)]
+        assert {r.file_name for r in rows} == {name}
+        assert {r.download_message == S.MSG_DOWNLOADED for r in rows} == {key != "M"}
+    counts = res.counts.first()
+    assert (counts.successful, counts.already_downloaded, counts.failed, counts.processed_rows) == (20, 0, 25, 45)
+    assert res.totals.first().successful == 40
+    assert (dest / "noext.pdf").read_bytes() == (src / "noext").read_bytes()
