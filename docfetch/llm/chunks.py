@@ -92,13 +92,43 @@ def from_bits(data: bytes, n: int) -> np.ndarray:
 
 # --- hashing -----------------------------------------------------------------------
 
+_MIX = np.uint64(0xD6E8FEB86659FD93)
+_HALF = np.uint64(32)
+_BLOCK = 1 << 14     # keys worked on at a time, which stay in the processor's cache
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    out = np.array(h, np.uint64, ndmin=1)
+    spare = np.empty(min(len(out), _BLOCK), np.uint64)
+    for at in range(0, len(out), _BLOCK):
+        mix_into(out[at:at + _BLOCK], spare)
+    return out
+
+
+def mix_into(h: np.ndarray, spare: np.ndarray) -> None:
+    """``mix`` in place, of a block no longer than ``spare``."""
+    shifted = spare[:len(h)]
+    for _ in range(2):
+        np.right_shift(h, _HALF, out=shifted)
+        np.bitwise_xor(h, shifted, out=h)
+        np.multiply(h, _MIX, out=h)
+    np.right_shift(h, _HALF, out=shifted)
+    np.bitwise_xor(h, shifted, out=h)
+
+
+def mix_pairs(left: np.ndarray, right: np.ndarray, factor: np.uint64) -> np.ndarray:
+    """``mix(mix(left) * factor + right)``, block by block."""
+    out = np.array(left, np.uint64)
+    right = np.broadcast_to(right, out.shape)
+    spare = np.empty(min(len(out), _BLOCK), np.uint64)
+    for at in range(0, len(out), _BLOCK):
+        part = out[at:at + _BLOCK]
+        mix_into(part, spare)
+        np.multiply(part, factor, out=part)
+        np.add(part, right[at:at + _BLOCK], out=part)
+        mix_into(part, spare)
+    return out
 
 
 _BASE = 0x9E3779B97F4A7C15

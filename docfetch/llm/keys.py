@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-from docfetch.llm.chunks import mix
+from docfetch.llm.chunks import mix, mix_pairs
 
 BLOCKS = 8           # of 8 bytes; longer words are hashed one by one
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -44,7 +44,7 @@ def byte_keys(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
 
 def combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """An ordered pair's key."""
-    return mix(mix(left) * _FACTOR + right)
+    return mix_pairs(left, right, _FACTOR)
 
 
 def window_keys(words: np.ndarray, n: int) -> np.ndarray:

@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from docfetch.llm.chunks import (ChunkTable, answer, base_documents, bits, bucket_of, by_bucket, from_bits,
-                                 from_low_bytes, get_parts, low_bytes, mix, pack_texts, pieces, put_parts, stored,
-                                 unpack_texts)
+                                 from_low_bytes, get_ints, get_parts, low_bytes, mix, pack_texts, pieces, put_ints,
+                                 put_parts, stored, unpack_texts)
 from docfetch.llm.keys import combine, distinct_pairs, eights
 
 FIRST = 25           # bytes of the initial buckets
@@ -44,7 +44,11 @@ def dedup_suffixes(docs: DataFrame, doublings: int = 3, id_col: str = "doc_id",
     The string length is 25 bytes doubled ``doublings`` times (200)."""
     if doublings < 1:
         raise ValueError("at least one refinement")
-    chunks = ChunkTable.build(base_documents(docs, id_col, text_col), pack_texts)
+
+    def pack(doc_ids: pa.Array, texts: pa.Array) -> bytes:
+        return _Runs.pack(pack_texts(doc_ids, texts), doublings)
+
+    chunks = ChunkTable.build(base_documents(docs, id_col, text_col), pack)
     n_keys = chunks.n_keys
 
     def request_runs(body: bytes):
@@ -113,15 +117,30 @@ class _Runs:
     """The runs of a chunk: strings first..last share the anchor bucket at ``at``."""
 
     def __init__(self, body: bytes, doublings: int):
-        self.ids, self.lengths, self.data = unpack_texts(body)
+        texts, first, size, anchor, context = get_parts(body)
+        self._texts(texts, doublings)
+        self.first = np.cumsum(get_ints(first, np.int64))
+        self.last = self.first + get_ints(size, np.int64)
+        self.anchor, self.context = np.frombuffer(anchor, "<u8"), np.frombuffer(context, "<u8")
+
+    @classmethod
+    def pack(cls, texts: bytes, doublings: int) -> bytes:
+        """A chunk's body: its texts and their runs, which every pass over the chunk reads."""
+        runs = cls.__new__(cls)
+        runs._texts(texts, doublings)
+        found = [runs._runs(a, b) for a, b in pieces(runs.lengths)]
+        kinds = (np.int64, np.int64, "<u8", "<u8")
+        first, last, anchor, context = (
+            np.concatenate([*(f[k] for f in found), np.zeros(0, kind)]) for k, kind in enumerate(kinds))
+        return put_parts(texts, put_ints(np.diff(first, prepend=0)), put_ints(last - first),
+                         anchor.tobytes(), context.tobytes())
+
+    def _texts(self, texts: bytes, doublings: int) -> None:
+        self.ids, self.lengths, self.data = unpack_texts(texts)
         self.buf = np.frombuffer(self.data, np.uint8)
         self.size, self.doublings = FIRST << doublings, doublings
         ends = np.cumsum(np.maximum(self.lengths, 0))
         self.begin, self.end = ends - np.maximum(self.lengths, 0), ends
-        found = [self._runs(a, b) for a, b in pieces(self.lengths)]
-        kinds = (np.int64, np.int64, np.uint64, np.uint64)
-        self.first, self.last, self.anchor, self.context = (
-            np.concatenate([*(f[k] for f in found), np.zeros(0, kind)]) for k, kind in enumerate(kinds))
 
     def _names(self, text: np.ndarray, levels: int):
         """Bucket identifiers of every suffix at FIRST bytes, and at FIRST << levels bytes."""
