@@ -59,7 +59,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the hash of what they decode to."""
     ranks, pattern = queries.vocabulary(spark)
-    coded = bpe.decode(bpe.encode(docs, ranks, pattern), ranks)
+    coded = bpe.encode_and_decode(docs, ranks, pattern)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
                         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 

@@ -66,6 +66,19 @@ def _share(spark: SparkSession, ranks: dict[bytes, int]):
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id",
            text_col: str = "text") -> DataFrame:
     """(doc_id, ids): the token ids as little-endian unsigned 32-bit integers."""
+    return _encode(docs, ranks, pattern, id_col, text_col)
+
+
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id",
+                      text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): ``decode`` of ``encode``, with the decoding of a chunk's ids
+    in the worker that put them together. Two Arrow functions in a row would hold two
+    Python workers a core, each with its own vocabulary."""
+    return _encode(docs, ranks, pattern, id_col, text_col, with_decoded=True)
+
+
+def _encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str, text_col: str,
+            with_decoded: bool = False) -> DataFrame:
     spark = docs.sparkSession
     shared = _share(spark, ranks)
 
@@ -124,10 +137,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         for n in counts.tolist():                   # by position, one document at a time
             out.append(_gather(flat, starts, sizes, at[codes[first:first + n]])[0].astype("<u4").tobytes())
             first += n
-        return pa.table({"doc_id": doc_ids, "ids": pa.array(out, pa.binary())})
+        rows = {"doc_id": doc_ids, "ids": pa.array(out, pa.binary())}
+        return pa.table({**rows, "decoded": _decoded(rows["ids"], shared)} if with_decoded else rows)
 
     answers = answer(chunks.ask(request), encode_words)
-    return chunks.finish(answers, assemble, IDS_SCHEMA)
+    return chunks.finish(answers, assemble, IDS_SCHEMA + ", decoded binary" * with_decoded)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") -> DataFrame:
@@ -138,15 +152,19 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids") ->
     schema = encoded.withColumn("decoded", F.lit(b"").cast("binary")).schema
 
     def decode_all(batches):
-        data, starts, sizes = _token_bytes(shared)
         for batch in batches:
-            out = [_gather(data, starts, sizes, np.frombuffer(x.as_py() or b"", "<u4").astype(np.int64))[0].tobytes()
-                   for x in batch[ids_col]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(batch[ids_col], shared)],
+                                             names=[*names, "decoded"])
 
     return encoded.mapInArrow(decode_all, schema)
 
 
+def _decoded(ids: pa.Array, shared) -> pa.Array:
+    data, starts, sizes = _token_bytes(shared)
+    return pa.array([_gather(data, starts, sizes, np.frombuffer(x.as_py() or b"", "<u4").astype(np.int64))[0].tobytes()
+                     for x in ids], pa.binary())
+
+
 _TABLES: dict[int, tuple] = {}
 
 

@@ -184,7 +184,7 @@ def op8_token_order(spark, sf_dir):
 @query
 def op9_byte_bpe(spark, sf_dir):
     ranks, pattern = vocabulary(spark)
-    out = bpe.decode(bpe.encode(documents(spark, sf_dir), ranks, pattern), ranks)
+    out = bpe.encode_and_decode(documents(spark, sf_dir), ranks, pattern)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                       F.sha2(F.col("ids"), 256).alias("ids_sha256"),
                       F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
