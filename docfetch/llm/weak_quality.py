@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docfetch.llm.chunks import giving_back, small_batches, span_hash
+from docfetch.llm.chunks import get_ints, give_back, giving_back, pieces, put_ints, small_batches, span_hash
 from docfetch.llm.words import NOT_ALNUM, text_bytes, word_keys, word_spans
 
 SLOTS_LOG = 18
@@ -32,6 +32,7 @@ STEMS = (4, 5, 6)    # bytes of the word beginnings that are features beside the
 # A gazetteer of insults.
 INSULTS = ["clown", "disgusting", "dumb", "fool", "garbage", "idiot", "idiotic", "imbecile", "loser", "moron",
            "pathetic", "scum", "stupid", "trash", "vermin", "worthless"]
+BLOCK = 1 << 16      # slots of the sample that a training step works on at a time
 LABELLERS = ["symbols", "tables", "shouting", "exclaims", "stutters", "repeats", "insults", "prose"]
 NO_LABEL = -1
 
@@ -119,23 +120,38 @@ def label_model(pattern: np.ndarray, label: np.ndarray, count: np.ndarray, round
     return post
 
 
-def train(votes: np.ndarray, row: np.ndarray, slot: np.ndarray, weight: np.ndarray, target: np.ndarray,
+def train(votes: np.ndarray, slot: np.ndarray, sizes: np.ndarray, target: np.ndarray,
           steps: int = 150, ridge: float = 1e-4, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regression by full gradient steps (Adam); (dense weights, slot weights).
+    ``slot`` has the slots of one document behind those of another, ``sizes`` their numbers.
     A slot enters by its log ratio between good and bad documents, so that rare tell-tale
-    words need no more steps than frequent ones."""
+    words need no more steps than frequent ones. A step goes through the documents in
+    blocks: beside the slots themselves it holds nothing that is as long as they are."""
     dense, size = _dense(votes), 1 << SLOTS_LOG
-    good = (np.bincount(slot, weights=target[row], minlength=size) + 1) / (target.sum() + 2)
-    bad = (np.bincount(slot, weights=1 - target[row], minlength=size) + 1) / ((1 - target).sum() + 2)
-    ratio = np.log(good / bad)
-    weight = weight * ratio[slot]
+    length = (1 / np.sqrt(np.maximum(sizes, 1))).astype(np.float32).astype(float)
+    ends = np.cumsum(sizes)
+    runs = list(pieces(sizes, BLOCK))
+
+    def blocks():
+        for a, b in runs:
+            yield slice(a, b), slot[ends[a] - sizes[a]:ends[b - 1]].astype(np.int64), sizes[a:b]
+
+    good, bad = np.zeros(size), np.zeros(size)
+    for docs, slots, n in blocks():
+        np.add.at(good, slots, np.repeat(target[docs], n))
+        np.add.at(bad, slots, np.repeat(1 - target[docs], n))
+    ratio = np.log(((good + 1) / (target.sum() + 2)) / ((bad + 1) / ((1 - target).sum() + 2)))
     w = np.zeros(dense.shape[1] + size)
-    m, v, n = np.zeros_like(w), np.zeros_like(w), max(len(target), 1)
+    m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        z = dense @ w[:dense.shape[1]] + np.bincount(row, weights=weight * w[dense.shape[1] + slot], minlength=len(target))
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        gradient = np.concatenate([dense.T @ error, np.bincount(slot, weights=weight * error[row],
-                                                                minlength=size)]) / n + ridge * w
+        plain, of_slot = dense @ w[:dense.shape[1]], w[dense.shape[1]:]
+        error, slope = np.zeros(len(target)), np.zeros(size)
+        for docs, slots, n in blocks():
+            weight = np.repeat(length[docs], n) * ratio[slots]
+            z = plain[docs] + np.bincount(np.repeat(np.arange(len(n)), n), weights=weight * of_slot[slots], minlength=len(n))
+            error[docs] = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[docs]
+            np.add.at(slope, slots, weight * np.repeat(error[docs], n))
+        gradient = np.concatenate([dense.T @ error, slope]) / max(len(target), 1) + ridge * w
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient ** 2
         w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     return w[:dense.shape[1]], w[dense.shape[1]:] * ratio
@@ -182,25 +198,27 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 8000, threshold:
     def sample_rows(batches):
         for batch in batches:
             out, labels = [], batch["label"].to_pylist()
-            for votes, row, slot, weight in signals(batch["text"]):
+            for votes, row, slot, _ in signals(batch["text"]):
                 ends = np.searchsorted(row, np.arange(len(votes) + 1))
-                out += [(p, slot[a:b].astype(np.int32).tobytes(), weight[a:b].astype(np.float32).tobytes())
-                        for p, a, b in zip(_patterns(votes).tolist(), ends[:-1], ends[1:])]
+                # a document's slots ascend: their differences; its weights follow from their number
+                out += [(p, b - a, put_ints(np.diff(slot[a:b], prepend=0).astype(np.uint32)))
+                        for p, a, b in zip(_patterns(votes).tolist(), ends[:-1].tolist(), ends[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array([x[0] for x in out], pa.int32()), pa.array(labels, pa.int32()),
-                 pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())],
-                names=["doc_id", "pattern", "label", "slots", "weights"])
+                 pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())],
+                names=["doc_id", "pattern", "label", "n_slots", "slots"])
 
-    got = chosen.mapInArrow(giving_back(sample_rows), f"doc_id {id_type}, pattern int, label int, slots binary, weights binary"
+    got = chosen.mapInArrow(giving_back(sample_rows), f"doc_id {id_type}, pattern int, label int, n_slots int, slots binary"
                             ).toArrow().sort_by([("doc_id", "ascending"), ("pattern", "ascending")])
-    slots = [np.frombuffer(x.as_py(), np.int32) for x in got["slots"]]
-    weights = [np.frombuffer(x.as_py(), np.float32) for x in got["weights"]]
     pattern, label = got["pattern"].to_pylist(), got["label"].to_pylist()
-    none = np.zeros(0, np.int32)
-    model = train(_unpack(np.array(pattern, int).reshape(-1)) - 1,
-                  np.repeat(np.arange(len(slots)), [len(x) for x in slots]).astype(np.int64),
-                  np.concatenate([*slots, none]).astype(np.int64), np.concatenate([*weights, none]).astype(float),
+    sizes = got["n_slots"].to_numpy().astype(np.int64)
+    slots = np.empty(int(sizes.sum()), np.int32)
+    for end, n, packed in zip(np.cumsum(sizes).tolist(), sizes.tolist(), got["slots"]):
+        slots[end - n:end] = np.cumsum(get_ints(packed.as_py(), np.uint32))
+    model = train(_unpack(np.array(pattern, int).reshape(-1)) - 1, slots, sizes,
                   np.array([posterior[p, lab] for p, lab in zip(pattern, label)], float))
+    del got, slots
+    give_back()
     shared = spark.sparkContext.broadcast((model[0], model[1].astype(np.float32)))
 
     names = [c for c in docs.columns if c not in ("quality_score", "quality_accepted")]

@@ -1,7 +1,10 @@
 """The operators against plain versions: whole tables, odd rows, several chunks."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import brute
 from pyspark.sql import functions as F
@@ -231,6 +234,50 @@ def test_weak_quality(spark, docs):
     assert weak_quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_weak_quality_steps_in_blocks(monkeypatch):
+    """The steps over blocks are those over the whole sample."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(0, 60, 300)
+    slots = np.concatenate([np.sort(rng.choice(2000, n, replace=False)) for n in sizes]).astype(np.int32)
+    votes, target = rng.integers(-1, 2, (300, len(weak_quality.LABELLERS))), rng.random(300)
+    row, size = np.repeat(np.arange(300), sizes), 1 << weak_quality.SLOTS_LOG
+    dense = np.concatenate([np.ones((300, 1)), votes == -1, votes == 1], axis=1).astype(float)
+    ratio = np.log((np.bincount(slots, target[row], size) + 1) / (target.sum() + 2)
+                   / ((np.bincount(slots, 1 - target[row], size) + 1) / ((1 - target).sum() + 2)))
+    x = (1 / np.sqrt(np.maximum(sizes, 1))).astype(np.float32)[row] * ratio[slots]
+    w = np.zeros(dense.shape[1] + size)
+    m = v = np.zeros_like(w)
+    for t in range(1, 11):
+        z = dense @ w[:dense.shape[1]] + np.bincount(row, x * w[dense.shape[1]:][slots], 300)
+        error = 1 / (1 + np.exp(-z)) - target
+        gradient = np.concatenate([dense.T @ error, np.bincount(slots, x * error[row], size)]) / 300 + 1e-4 * w
+        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient ** 2
+        w -= 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+    for block in (1, 500, 1 << 16):
+        monkeypatch.setattr(weak_quality, "BLOCK", block)
+        got = weak_quality.train(votes, slots, sizes, target, steps=10)
+        assert np.allclose(got[0], w[:dense.shape[1]]) and np.allclose(got[1], w[dense.shape[1]:] * ratio)
+    none = weak_quality.train(votes[:0], slots[:0], sizes[:0], target[:0], steps=1)
+    assert not none[0].any() and not none[1].any()
+
+
+def test_weak_quality_driver_memory(spark):
+    """The driver holds 4 bytes a slot of the sample and arrays of fixed length."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(9999)), lambda i: F.concat(F.lit("x"), F.hash(i, "doc_id").cast("string")))
+    docs = spark.range(120).select(F.col("id").alias("doc_id")).withColumn("text", F.array_join(words, " "))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    rows = [r[0] for r in docs.select("text").collect()]
+    cells = sum(len(row) for _, row, *_ in weak_quality.signals(pa.array(rows)))
+    del rows
+    tracemalloc.start()
+    try:
+        weak_quality.classify(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert cells > 1_000_000 and peak < 12 * cells + (40 << 20)
+
+
 @pytest.fixture(scope="module")
 def toxic_rejected(spark):
     """Per table and language: the held-out toxic documents that are rejected, and all of them."""
